@@ -103,12 +103,16 @@ class Hasher:
         self.up = np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(_BASE))]))
         self.down = np.cumprod(np.concatenate([[U64(1)], np.full(n, U64(_INV))]))
 
-    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of a block, for several calls of ``runs``."""
         if len(data) >= len(self.up):
             self._powers(max(len(data), 2 * len(self.up)))
         sums = np.empty(len(data) + 1, U64)
         sums[0] = 0
         np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
+        return sums
+
+    def runs(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
 
 

@@ -27,6 +27,8 @@ SAMPLE_PER_CLASS = 6000
 BITS = 20
 FACTORS = 8
 MIN_DF = 5
+#: Lengths in bytes of the word stems that are terms besides the words.
+STEMS = (4, 5)
 #: Terms kept by the fit: those whose presence depends most on the label.
 MAX_TERMS = 1 << 14
 #: Log-likelihood ratio (chi-square, 1 degree of freedom) under which a term is taken as noise.
@@ -64,11 +66,21 @@ _hasher = None
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hashed word) pairs of a block of text."""
+    """Distinct (row, hashed term) pairs of a block of text: lower-cased words, and word stems.
+
+    A stem is a word's first 4 or 5 bytes (of longer words), so that inflected forms of one
+    insult share evidence.
+    """
     global _hasher
     _hasher = _hasher or Hasher()
     starts, ends, row = edges_of(IS_WORD[data], offsets)
-    key = np.unique((row.astype(np.int64) << BITS) | (_hasher.runs(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64))
+    sums = _hasher.sums(data)
+    rows, hashes = [row], [_hasher.runs(sums, starts, ends)]
+    for n in STEMS:
+        longer = ends - starts > n
+        rows.append(row[longer])
+        hashes.append(_hasher.runs(sums, starts[longer], starts[longer] + n) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
+    key = np.unique((np.concatenate(rows).astype(np.int64) << BITS) | (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64))
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
