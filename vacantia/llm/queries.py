@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, toxicity
+from . import exact_dedup, jaccard, mixing, pieces, sharding, toxicity
 from .common import table
 
 
@@ -21,13 +21,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.assign(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_min(F.transform("takes", lambda x: x["position"])).alias("first_position"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_sharding, op5_toxicity, op8_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_sharding, op5_toxicity, op6_pieces, op8_mixing, op10_jaccard)}
 
 
 SQL = {
