@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -359,8 +360,13 @@ def _batched(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.
                 lo, held = i + 1, 0
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id and ids (array of int) of every text."""
+def with_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``docs`` without its text and with ``ids`` (array of int; null or empty text: no ids).
+
+    Rows keep their order; a column of ``docs`` named ids is replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("text", "ids")]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("ids", ArrayType(IntegerType(), False))])
 
     def run(batches):
         c = codec(path)
@@ -368,9 +374,14 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             ids = c.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, values)], [*kept, "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(*kept, "text").mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """doc_id and ids (array of int) of every text."""
+    return with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
