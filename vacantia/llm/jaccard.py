@@ -11,8 +11,9 @@ n-grams behind are skipped, without looking at either set.
 
 Answer-level skipping: in a list longer than ``SMALL_LIST`` each set is first compared with one
 centre only. A set that links to the centre inherits the centre's answers: all members of one
-component are reachable from each other, and their mutual pairs are never generated. Only
-entries of different components are then paired, in blocks, so no link is lost.
+component are reachable from each other, and their mutual pairs are never generated. Lists that
+still hold several components get other centres in a few turns; in the end all entries of different
+components are paired, in blocks, so no link between components is lost.
 
 Candidates are verified on the whole sets. Sets travel only for nodes that have a candidate.
 """
@@ -38,19 +39,19 @@ PERCENT = 75
 SMALL_LIST = 8
 #: Documents for each bucket of index lists.
 BUCKET_DOCS = 1500
-#: A frequent n-gram is one that a run of LOCAL_GRAMS n-grams holds LOCAL_MIN times; at most MAX_FREQUENT count.
-LOCAL_GRAMS = 1 << 22
-LOCAL_MIN = 4
-MAX_FREQUENT = 1 << 18
+#: N-grams counted at a time, and bits of a counter's number within its bucket.
+COUNT_GRAMS, COUNTER_BITS = 1 << 22, 22
+#: Frequent n-grams (those in more than SMALL_LIST sets) that the global order tells apart.
+MAX_FREQUENT = 1 << 20
 #: Entries of a list that one task pairs with others.
 PAIR_BLOCK = 2048
+#: Turns in which open long lists get another centre, before their pairs are listed.
+TURNS = 3
 #: Candidate nodes up to which their Bloom filter (2 bytes each) is broadcast; beyond, sets are joined unfiltered.
 BLOOM_NODES = 1 << 25
 #: Postings a task holds before it deals them out.
 FLUSH = 1 << 20
 
-_PAIR = "a long, b long, na int, nb int"
-
 
 @dataclass
 class Grams:
@@ -131,21 +132,32 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def frequent(docs: DataFrame, grams: Grams) -> np.ndarray:
-    """Frequent n-grams, the most frequent last: they come last in the global order.
+def _counter(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of an n-gram's counter: its bucket, and a hash within it."""
+    return ((gram >> U64(40)) % U64(buckets)).astype(np.int64) << COUNTER_BITS | (gram & U64((1 << COUNTER_BITS) - 1)).astype(np.int64)
+
 
-    Counts cover all documents. A task counts runs of LOCAL_GRAMS n-grams and reports those it
-    meets LOCAL_MIN times. The order decides how much work is done, never the result, so the
-    table may be bounded (MAX_FREQUENT numbers).
+def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
+    """Counters of frequent n-grams, the most frequent last: their n-grams come last in the order.
+
+    Counts cover all documents: each run of n-grams is counted in its task, the counters travel as
+    packed gaps, and a bucket adds them up. Counters are hashes, and MAX_FREQUENT of them return:
+    the order decides how much work is done, never the result.
     """
 
     def run(batches):
         held, size, seen = [], 0, set()
 
         def flush():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= LOCAL_MIN
-            return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["gram", "n"])
+            value, count = np.unique(_counter(np.concatenate(held), buckets), return_counts=True)
+            bucket, slot = value >> COUNTER_BITS, value & ((1 << COUNTER_BITS) - 1)
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            blobs = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = np.empty(b - a, _COUNTS)
+                part["gap"], part["n"] = np.diff(slot[a:b], prepend=0), np.minimum(count[a:b], 65535)
+                blobs.append(_planes(part))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "counts"])
 
         for _, data, offsets in blocks(batches):
             gram, cuts = grams.sets(data, offsets)
@@ -154,33 +166,43 @@ def frequent(docs: DataFrame, grams: Grams) -> np.ndarray:
                     seen.add(node)
                     held.append(gram[cuts[i] : cuts[i + 1]])
                     size += cuts[i + 1] - cuts[i]
-            if size >= LOCAL_GRAMS:
+            if size >= COUNT_GRAMS:
                 yield flush()
                 held, size, seen = [], 0, set()
         if size:
             yield flush()
 
-    found = _texts(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "gram").limit(MAX_FREQUENT).toPandas()
-    return rows.sort_values(["n", "gram"]).gram.to_numpy(np.int64).view(U64)
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for blob in group.column("counts").to_pylist():
+            part = _unplane(blob, _COUNTS)
+            total[np.cumsum(part["gap"], dtype=np.int64)] += part["n"]
+        often = np.flatnonzero(total > SMALL_LIST)
+        return pa.table({"counter": (group.column("bucket")[0].as_py() << COUNTER_BITS) + often, "n": total[often]})
+
+    counts = _texts(docs).mapInArrow(run, "bucket int, counts binary").groupBy("bucket").applyInArrow(add, "counter long, n long")
+    rows = counts.orderBy(F.desc("n"), "counter").limit(MAX_FREQUENT).toPandas()
+    return rows.sort_values(["n", "counter"]).counter.to_numpy(np.int64)
 
 
 class Order:
     """Maps n-gram hashes to their place in the global order: rare ones by hash, frequent ones last."""
 
-    def __init__(self, often: np.ndarray):
+    def __init__(self, often: np.ndarray, buckets: int):
         by = np.argsort(often)
-        self.value, self.place = often[by], by.astype(U64)
+        self.counter, self.place, self.buckets = often[by], by.astype(U64), buckets
 
     def __call__(self, gram: np.ndarray) -> np.ndarray:
         out = gram >> U64(1)
-        if len(self.value):
-            at = np.minimum(np.searchsorted(self.value, gram), len(self.value) - 1)
-            hit = self.value[at] == gram
-            out[hit] = (U64(1) << U64(63)) | self.place[at[hit]]
+        if len(self.counter) and len(gram):
+            mine = _counter(gram, self.buckets)
+            at = np.minimum(np.searchsorted(self.counter, mine), len(self.counter) - 1)
+            hit = self.counter[at] == mine
+            out[hit] = (U64(1) << U64(63)) | (self.place[at[hit]] << U64(40)) | (gram[hit] >> U64(24))
         return out
 
 
+_COUNTS = np.dtype([("gap", "<u4"), ("n", "<u2")])
 _LISTS = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
@@ -189,7 +211,7 @@ def postings(docs: DataFrame, grams: Grams, often: np.ndarray, buckets: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        order, held, size = Order(shared.value), [], 0
+        order, held, size = Order(shared.value, buckets), [], 0
 
         def flush():
             rows = np.concatenate(held)
@@ -229,18 +251,20 @@ def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack(rows: np.ndarray) -> bytes:
-    """Column by column, sorted by token, so that equal bytes lie together for the shuffle's compression."""
-    rows = rows[np.argsort(rows["token"], kind="stable")]
-    return b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in _LISTS.names)
+    return _planes(rows[np.argsort(rows["token"], kind="stable")])
+
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Columns of a record array byte by byte, so that equal bytes lie together for compression."""
+    return b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in rows.dtype.names)
 
-def unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // _LISTS.itemsize
-    rows, at = np.empty(n, _LISTS), 0
-    for c in _LISTS.names:
-        width = _LISTS[c].itemsize
-        part = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
-        rows[c] = np.ascontiguousarray(part.T).reshape(-1).view(_LISTS[c])
+
+def _unplane(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n = len(blob) // kind.itemsize
+    rows, at = np.empty(n, kind), 0
+    for c in kind.names:
+        width = kind[c].itemsize
+        rows[c] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind[c])
         at += n * width
     return rows
 
@@ -268,14 +292,15 @@ def _bound(pi, pj, na, nb):
 
 def _near(lists: pa.Table, grams: Grams) -> pa.Table:
     """Rows of kind 0: candidate pairs (all of short lists, centre and entry of long ones); kind 1: entries of long lists."""
-    rows, cuts = _lists(np.concatenate([unpack(x) for x in lists.column("entries").to_pylist()]))
+    rows, cuts = _lists(np.concatenate([_unplane(x, _LISTS) for x in lists.column("entries").to_pylist()]))
     size = np.diff(cuts)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, stars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
     for n in range(2, SMALL_LIST + 1):
         base = cuts[:-1][size == n]
         i, j = np.triu_indices(n, 1)
         left.append((base[:, None] + i).ravel())
         right.append((base[:, None] + j).ravel())
+        stars.append(0)
     long = np.flatnonzero(size > SMALL_LIST)
     kept = np.zeros(0, np.int64)
     if len(long):
@@ -285,74 +310,140 @@ def _near(lists: pa.Table, grams: Grams) -> pa.Table:
         other = centre != kept
         left.append(centre[other])
         right.append(kept[other])
+        stars.append(1)
+    star = np.concatenate([np.full(len(x), k) for x, k in zip(left, stars)])
     i, j = np.concatenate(left), np.concatenate(right)
     x, y = rows[i], rows[j]
     good = _bound(x["pos"], y["pos"], x["size"], y["size"]) >= grams.need(x["size"].astype(np.int64), y["size"])
-    x, y = x[good], y[good]
+    x, y, star = x[good], y[good], star[good]
     swap = x["node"] > y["node"]
     a, b = np.where(swap, y, x), np.where(swap, x, y)
     by = np.lexsort((b["node"], a["node"]))
-    a, b = a[by], b[by]
+    a, b, star = a[by], b[by], star[by]
     first = np.ones(len(a), bool)
     first[1:] = (a["node"][1:] != a["node"][:-1]) | (b["node"][1:] != b["node"][:-1])
-    a, b, held = a[first], b[first], rows[kept]
-    zero = np.zeros(len(held), np.int32)
-    return pa.table({
-        "kind": np.concatenate([np.zeros(len(a), np.int32), np.ones(len(held), np.int32)]),
-        "a": np.concatenate([a["node"], held["node"]]), "b": np.concatenate([b["node"], held["token"].view(np.int64)]),
-        "na": np.concatenate([a["size"], held["size"]]), "nb": np.concatenate([b["size"], zero]), "pos": np.concatenate([np.zeros(len(a), np.int32), held["pos"]]),
-    })
+    at = np.flatnonzero(first)
+    fold = lambda f, v: f.reduceat(v, at) if len(at) else v
+    star, n, pa_, pb_ = fold(np.maximum, star), fold(np.add, 1 - star), fold(np.maximum, np.where(star, -1, a["pos"])), fold(np.maximum, np.where(star, -1, b["pos"]))
+    a, b, held = a[at], b[at], rows[kept]
+    more = len(held)
+    none = np.zeros(more, np.int32)
+    columns = {
+        "kind": (np.zeros(len(a)), np.ones(more)), "a": (a["node"], held["node"]), "b": (b["node"], held["token"].view(np.int64)),
+        "na": (a["size"], held["size"]), "nb": (b["size"], none), "pa": (pa_, held["pos"]), "pb": (pb_, none), "n": (n, none), "star": (star, none),
+    }
+    return pa.table({c: np.concatenate(v).astype(np.int64 if c in "ab" else np.int32) for c, v in columns.items()})
 
 
-def _across(block: pa.Table, grams: Grams) -> pa.Table:
-    """Pairs of one list's block pair whose components differ: (a, b, na, nb, pi, pj)."""
-    node, comp, size, pos, side = (block.column(c).to_numpy() for c in ("node", "comp", "size", "pos", "side"))
-    by = np.lexsort((node, size))
-    node, comp, size, pos, side = node[by], comp[by], size[by].astype(np.int64), pos[by].astype(np.int64), side[by]
-    own = bool((side == 2).all())  # a block with itself
-    out = []
-    top = np.searchsorted(size, size * 100 // grams.percent, "right")  # block skipping: no larger set can link
-    for i in range(len(node)):
-        j = np.arange(i + 1, top[i])
-        j = j[(comp[j] != comp[i]) & (own | (side[j] != side[i]))]
-        if len(j):
-            j = j[_bound(pos[i], pos[j], size[i], size[j]) >= grams.need(size[i], size[j])]
-            out.append((np.full(len(j), i), j))
-    i = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
-    j = np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64)
-    swap = node[i] > node[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.table({"a": node[i], "b": node[j], "na": size[i].astype(np.int32), "nb": size[j].astype(np.int32), "pa": pos[i].astype(np.int32), "pb": pos[j].astype(np.int32)})
+_NEAR = "kind int, a long, b long, na int, nb int, pa int, pb int, n int, star int"
+
+
+def _first_pairs(near: DataFrame, grams: Grams) -> DataFrame:
+    """Candidates of short lists and of centres.
+
+    What a pair shares in short lists is counted in full; it may share as many more prefix n-grams
+    as both have entries in long lists, and what follows the last shared place in the shorter rest.
+    """
+    pairs = near.filter("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("star").alias("star"))
+    long = near.filter("kind = 1").groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.join(long.withColumnRenamed("k", "ka"), "a", "left").join(long.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
+    p = grams.percent
+    hidden = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    most = F.col("n") + hidden + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.filter((F.col("star") == 1) | ((100 + p) * most >= p * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+def open_entries(long: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries (token, node, size, pos, comp) of long lists that still hold two components or more."""
+    known = long.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return known.join(mixed, "token")
+
+
+def _linkable(na, nb, pa_, pb_, percent: int):
+    """Whether sizes and one shared place leave room for a link."""
+    most = F.least(pa_, pb_) + F.least(na - pa_, nb - pb_)
+    return (100 + percent) * most >= percent * (na + nb)
 
 
-def cross_pairs(entries: DataFrame, comp: DataFrame, grams: Grams) -> DataFrame:
-    """Candidates of long lists between different components, pruned by all their shared positions.
+def star_pairs(entries: DataFrame, turn: int, grams: Grams) -> DataFrame:
+    """Each open list gets a centre (another one each turn); entries of other components are paired with it."""
+    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "size", "pos")
+    centre = entries.groupBy("token").agg(F.min(by).alias("c"))
+    found = entries.join(centre, "token").filter(F.col("comp") != F.col("c.comp"))
+    found = found.filter(_linkable(F.col("size"), F.col("c.size"), F.col("pos"), F.col("c.pos"), grams.percent))
+    return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
-    Pairs that short lists share too were decided before, so for the others the matches counted
-    here are all there are in both prefixes, and the bound counts what may follow the last one.
+
+def _across(block: pa.Table, grams: Grams) -> pa.Table:
+    """Pairs of different components in the lists of one block: a, b, sizes, shared n-grams, last shared places."""
+    names, node = np.unique(block.column("node").to_numpy(), return_inverse=True)
+    token, comp, size, pos, side = (block.column(c).to_numpy() for c in ("token", "comp", "size", "pos", "side"))
+    by = np.lexsort((node, size, token))
+    token, node, comp, size, pos, side = token[by], node[by], comp[by], size[by].astype(np.int64), pos[by].astype(np.int64), side[by]
+    own = bool((side == 2).all())  # a block with itself
+    sizes = np.zeros(len(names), np.int64)
+    sizes[node] = size
+    done, held, waiting = [], [], 0
+
+    def fold():
+        key, n, px, py = (np.concatenate([h[k] for h in (*done, *held)]) for k in range(4))
+        order = np.argsort(key, kind="stable")
+        key, n, px, py = key[order], n[order], px[order], py[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        done[:] = [(key[at], np.add.reduceat(n, at), np.maximum.reduceat(px, at), np.maximum.reduceat(py, at))]
+        held.clear()
+
+    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        # block skipping: no larger set can link
+        top = lo + np.searchsorted(size[lo:hi], size[lo:hi] * 100 // grams.percent, "right")
+        for i in range(lo, hi - 1):
+            j = np.arange(i + 1, top[i - lo])
+            j = j[(comp[j] != comp[i]) & (own | (side[j] != side[i]))]
+            j = j[_bound(pos[i], pos[j], size[i], size[j]) >= grams.need(size[i], size[j])]
+            if len(j):
+                first = node[i] < node[j]
+                x, y = np.where(first, node[i], node[j]), np.where(first, node[j], node[i])
+                held.append((x * len(names) + y, np.ones(len(j), np.int64), np.where(first, pos[i], pos[j]), np.where(first, pos[j], pos[i])))
+                waiting += len(j)
+        if waiting > 1 << 21:
+            fold()
+            waiting = 0
+    if held:
+        fold()
+    key, n, px, py = done[0] if done else (np.zeros(0, np.int64),) * 4
+    x, y = key // len(names), key % len(names)
+    cols = {"a": names[x], "b": names[y], "na": sizes[x], "nb": sizes[y], "n": n, "pa": px, "pb": py}
+    return pa.table({c: v.astype(np.int64 if c in "ab" else np.int32) for c, v in cols.items()})
+
+
+def cross_pairs(entries: DataFrame, grams: Grams) -> DataFrame:
+    """All candidates of open long lists between different components, pruned by all their shared places.
+
+    Lists with one smallest node hold much the same sets, so they are dealt together (in blocks of
+    nodes, each pair of blocks once) and a pair leaves the task once. Pairs that short lists share
+    too were decided before; for the others the matches counted here are all there are in both
+    prefixes, and the bound counts what may follow the last one.
     """
-    known = entries.join(comp.withColumnRenamed("node", "a"), "a", "left").select(
-        F.col("b").alias("token"), F.col("a").alias("node"), F.coalesce("comp", "a").alias("comp"), F.col("na").alias("size"), "pos"
-    )
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    open_ = known.join(mixed.select("token", F.greatest(F.lit(1), F.ceil(F.col("n") / PAIR_BLOCK)).cast("int").alias("k")), "token")
-    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    spread = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    centre = entries.groupBy("token").agg(F.min("node").alias("centre"))
+    named = entries.join(centre, "token")
+    blocks_ = named.groupBy("centre").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("node") / PAIR_BLOCK)).cast("int").alias("k"))
+    spread = named.join(blocks_, "centre").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = spread.select("token", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "comp", "size", "pos", side.cast("int").alias("side"))
-    pairs = dealt.groupBy("token", "p", "q").applyInArrow(lambda t: _across(t, grams), "a long, b long, na int, nb int, pa int, pb int")
-    found = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    dealt = spread.select("centre", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "token", "node", "comp", "size", "pos", side.cast("int").alias("side"))
+    pairs = dealt.groupBy("centre", "p", "q").applyInArrow(lambda t: _across(t, grams), "a long, b long, na int, nb int, n int, pa int, pb int")
+    found = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     p = grams.percent
     most = F.col("n") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return found.filter((100 + p) * most >= p * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    return found.filter((100 + p) * most >= p * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 # ---------------------------------------------------------------- verification
 
 
-def _bloom(pairs: DataFrame):
-    """Bit array over the candidate nodes (two bytes a node), or None where they are too many."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _bloom(nodes: DataFrame):
+    """Bit array over distinct nodes (two bytes a node), or None where they are too many."""
     n = nodes.count()
     if n > BLOOM_NODES:
         return None
@@ -373,9 +464,9 @@ def _bloom(pairs: DataFrame):
     return bits, out.reshape(-1)
 
 
-def candidate_sets(docs: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
-    """node, grams (6 bytes of each hash): the sets of the nodes in ``pairs``, and few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(pairs))
+def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFrame:
+    """node, grams (5 bytes of each hash, by byte): the sets of the wanted nodes, and few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches):
         bloom = shared.value
@@ -394,21 +485,27 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame
                     seen.clear()
                 seen.add(node)
                 nodes.append(node)
-                packed.append(gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                packed.append(gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
 
     return _texts(docs).mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
 def _keys(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(5, -1).T
     return out.view(np.uint64).ravel()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
-    """Those of ``pairs`` (a, b, na, nb) that link: a, b."""
-    sets = candidate_sets(docs, pairs, grams)
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of values in both of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def verify(sets: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, by their whole sets."""
 
     def run(batches):
         for batch in batches:
@@ -418,7 +515,7 @@ def verify(docs: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
                 if a[i] != last:
                     last, mine = a[i], _keys(x)
                 other = _keys(y)
-                common = len(np.intersect1d(mine, other, assume_unique=True))
+                common = _common(mine, other)
                 keep.append(100 * common >= grams.percent * (len(mine) + len(other) - common))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -436,14 +533,27 @@ def links(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFrame, DataF
     grams = grams or Grams()
     nodes = materialize(document_nodes(docs, grams))
     buckets = max(1, -(-nodes.count() // BUCKET_DOCS))
-    lists = postings(docs, grams, frequent(docs, grams), buckets)
-    near = materialize(lists.groupBy("bucket").applyInArrow(lambda t: _near(t, grams), "kind int, a long, b long, na int, nb int, pos int"))
-    first = near.filter("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    done = materialize(verify(docs, materialize(first), grams))
-    rest = materialize(cross_pairs(near.filter("kind = 1"), components(done), grams))
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = verify(docs, materialize(rest), grams)
-    return done.union(more), nodes
+    lists = postings(docs, grams, frequent(docs, grams, buckets), buckets)
+    near = materialize(lists.groupBy("bucket").applyInArrow(lambda t: _near(t, grams), _NEAR))
+    first = materialize(_first_pairs(near, grams))
+    long = near.filter("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("node"), F.col("na").alias("size"), F.col("pa").alias("pos"))
+    wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(long.select("node")).distinct()
+    sets = materialize(candidate_sets(docs, materialize(wanted), grams))
+    done = materialize(verify(sets, first, grams))
+    tried = first
+    for turn in range(TURNS):
+        entries = materialize(open_entries(long, components(done)))
+        if entries.isEmpty():
+            return done, nodes
+        pairs = materialize(star_pairs(entries, turn, grams).join(tried, ["a", "b"], "left_anti"))
+        new = materialize(verify(sets, pairs, grams))
+        tried = tried.union(pairs)
+        if new.isEmpty():
+            break
+        done = done.union(new)
+    entries = materialize(open_entries(long, components(done)))
+    rest = materialize(cross_pairs(entries, grams).join(tried, ["a", "b"], "left_anti"))
+    return done.union(materialize(verify(sets, rest, grams))), nodes
 
 
 def near_duplicates(docs: DataFrame, grams: Grams | None = None) -> DataFrame:
