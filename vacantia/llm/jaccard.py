@@ -91,8 +91,10 @@ class Grams:
         if not parts:
             return np.zeros(0, U64), np.zeros(n + 1, np.int64)
         gram, owner = np.concatenate(parts), np.concatenate(owners)
-        order = np.lexsort((gram, owner))
-        gram, owner = gram[order], owner[order]
+        if len(short):
+            order = np.argsort(owner, kind="stable")
+            gram, owner = gram[order], owner[order]
+        sort_rows(gram, np.searchsorted(owner, np.arange(n + 1)))
         keep = np.ones(len(gram), bool)
         keep[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
         gram, owner = gram[keep], owner[keep]
@@ -108,6 +110,13 @@ class Grams:
         return n + (self.percent * n) // -100 + 1
 
 
+def sort_rows(values: np.ndarray, cuts: np.ndarray) -> None:
+    """Sort each row's values in place."""
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a > 1:
+            values[a:b].sort()
+
+
 def node_id(grams: np.ndarray) -> int:
     """Id of a set: documents with equal sets share it (0 is kept for the empty set)."""
     return int(np.int64(U64(xxhash.xxh3_64_intdigest(grams.tobytes()) | 1))) if len(grams) else 0
@@ -227,7 +236,7 @@ def postings(docs: DataFrame, grams: Grams, often: np.ndarray, buckets: int) ->
             gram, cuts = grams.sets(data, offsets)
             owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
             token = order(gram)
-            token = token[np.lexsort((token, owner))]
+            sort_rows(token, cuts)
             pos = np.arange(len(token)) - cuts[owner]
             n = np.diff(cuts)
             node = np.array(_nodes(gram, cuts), np.int64)

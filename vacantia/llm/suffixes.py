@@ -38,42 +38,66 @@ GRAM = 20
 COVER, RESIDUES = 13, (0, 1, 3, 9)
 #: Bytes of text for each shuffle bucket.
 BUCKET_BYTES = 6 << 20
-#: Minimizers (or bytes of pieces) that a map task gathers before it deals them out.
-FLUSH = 1 << 21
-FLUSH_BYTES = 1 << 25
+#: Minimizers, or pieces, that a map task gathers before it deals them out.
+FLUSH, FLUSH_PIECES = 1 << 19, 1 << 17
 #: Bytes of pieces sorted at a time.
-SORT_BYTES = 1 << 22
+SORT_BYTES = 1 << 21
 _PLACE = 28  # bits of a position within a block; hashes are compared by the others
 
-_MARKS = np.dtype([("doc", "<i8"), ("at", "<i4"), ("hash", "<u8")])
+#: A minimizer's run of windows: its document, first window, further windows, place in the first window, hash.
+_MARKS = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1"), ("hash", "<u8")])
+_HEAD = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("hash", "<u8")])
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: row, hash, first window and last window of each run of windows with one minimizer."""
-    n, span = len(data), length - GRAM + 1
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """A quick finalizer for polynomial hashes, in place."""
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
+
+
+def _span(length: int) -> int:
+    """k-grams in a window; a minimizer's run has this many windows at most, so it must fit a byte."""
+    if not GRAM <= length < GRAM + 255:
+        raise ValueError("the length must be from 20 to 274 bytes")
+    return length - GRAM + 1
+
+
+def _width(length: int) -> int:
+    """Bytes of the widest piece, in whole words."""
+    return -(-(length + _span(length) - 1) // 8) * 8
+
+
+def minimizers(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: row, hash, first window, further windows, and place in the first window of each run of windows with one minimizer."""
+    n, span = len(data), _span(length)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.astype(U64), none, none
+        return none, none.astype(U64), none, none, none
     sums = hasher.sums(data)
-    value = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * hasher.down[: n - GRAM + 1])
-    least = (value & ~U64((1 << _PLACE) - 1)) | np.arange(len(value), dtype=U64)
+    value = sums[GRAM:] - sums[: n - GRAM + 1]
+    value *= hasher.down[: n - GRAM + 1]
+    _scramble(value)
+    least = value & ~U64((1 << _PLACE) - 1)
+    least |= np.arange(len(value), dtype=U64)
     reach = 1
     while reach * 2 <= span:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if span > reach:
         least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    window = np.flatnonzero(np.arange(len(least)) + length <= offsets[row + 1])
-    if not len(window):
-        return none, none.astype(U64), none, none
-    place = (least[window] & U64((1 << _PLACE) - 1)).astype(np.int64)
-    row = row[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(window)) - 1
-    return row[first], value[place[first]], window[first], window[last]
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    whole = np.ones(len(least), bool)  # windows within a row
+    for o in offsets[1:-1]:
+        whole[max(0, o - length + 1) : o] = False
+    new[offsets[1:-1][offsets[1:-1] < len(new)]] = True
+    new &= whole
+    stop = np.ones(len(least), bool)
+    np.logical_or(new[1:], ~whole[1:], out=stop[:-1])
+    first, last = np.flatnonzero(new), np.flatnonzero(stop & whole)
+    place = (least[first] & U64((1 << _PLACE) - 1)).astype(np.int64)
+    return np.searchsorted(offsets, first, "right") - 1, value[place], first, last - first, place - first
 
 
 def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -100,47 +124,45 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _repeats(hash_: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which entries have a hash that occurs in two documents or more."""
-    order = np.lexsort((doc, hash_))
+def _repeats(hash_: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries have a hash that occurs in two documents or more, and one entry of each such hash."""
+    order = np.argsort(hash_)
     h, d = hash_[order], doc[order]
     first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
+    np.not_equal(h[1:], h[:-1], out=first[1:])
     start = np.flatnonzero(first)
-    group = np.cumsum(first) - 1
-    last = np.append(start[1:], len(h)) - 1
+    twice = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
     out = np.zeros(len(h), bool)
-    out[order] = (d[start] != d[last])[group]
-    return out
+    out[order] = np.repeat(twice, np.diff(np.append(start, len(h))))
+    return out, order[start[twice]]
 
 
 def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, marks: fingerprints of all minimizers. bucket -1: marks known to repeat within the task."""
+    """bucket, marks: the minimizers of all texts. bucket -1: marks known to repeat within the task."""
 
     def run(batches):
         hasher, held, size = Hasher(lower=False), [], 0
 
         def flush():
             rows = np.concatenate(held)
-            twice = _repeats(rows["hash"], rows["doc"])
-            # one entry of each hash goes on, so a frequent one is an entry per task
-            order = np.lexsort((rows["doc"], rows["hash"]))
-            first = np.ones(len(rows), bool)
-            first[1:] = rows["hash"][order][1:] != rows["hash"][order][:-1]
-            sent = np.sort(order[first])
+            twice, one = _repeats(rows["hash"], rows["doc"])
+            # of a hash met in several documents here one entry goes on, so a frequent one is an entry per task
+            sent = ~twice
+            sent[one] = True
+            sent = np.flatnonzero(sent)
             bucket = _deal(rows["hash"][sent], buckets)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            out = [(int(b), _planes(rows[sent[by[cuts[b] : cuts[b + 1]]]])) for b in used]
-            if twice.any():
+            dealt = rows[sent[by]]
+            out = [(int(b), _planes(dealt[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+            if len(one):
                 out.append((-1, _planes(rows[twice])))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "marks"])
 
         for rows, data, offsets in blocks(batches):
-            row, value, first, _ = minimizers(data, offsets, hasher, length)
+            row, value, first, more, inner = minimizers(data, offsets, hasher, length)
             part = np.empty(len(row), _MARKS)
-            part["doc"], part["at"], part["hash"] = rows.column(0).to_numpy()[row], first - offsets[row], value
+            part["doc"], part["at"], part["hash"], part["more"], part["inner"] = rows.column(0).to_numpy()[row], first - offsets[row], value, more, inner
             held.append(part)
             size += len(part)
             if size >= FLUSH:
@@ -152,114 +174,118 @@ def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, marks binary")
 
 
-def _by_doc(doc: np.ndarray, values: list[np.ndarray], names: list[str]) -> pa.Table:
-    """One row for each run of equal ids (sorted), the values packed as little-endian int32."""
+def _grouped(doc: np.ndarray, rows: np.ndarray, name: str) -> pa.Table:
+    """One row for each document, its records packed."""
     order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], [v[order].astype("<i4") for v in values]
+    doc, rows = doc[order], rows[order]
     cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, int)
-    packed = [pa.array([v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for v in values]
-    return pa.table([pa.array(doc[cuts[:-1]], pa.int64()), *packed], ["doc_id", *names])
+    return pa.table([pa.array(doc[cuts[:-1]], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", name])
+
+
+_FLAG = np.dtype([("at", "<i4"), ("more", "u1"), ("inner", "u1")])
+_RUN = np.dtype([("start", "<i4"), ("end", "<i4")])
+
+
+def _flags(rows: np.ndarray) -> pa.Table:
+    flag = np.empty(len(rows), _FLAG)
+    for c in _FLAG.names:
+        flag[c] = rows[c]
+    return _grouped(rows["doc"], flag, "flags")
 
 
 def _shared_marks(group: pa.Table) -> pa.Table:
     rows = np.concatenate([_unplane(x, _MARKS) for x in group.column("marks").to_pylist()])
-    rows = rows[_repeats(rows["hash"], rows["doc"])]
-    return _by_doc(rows["doc"], [rows["at"]], ["at"])
+    return _flags(rows[_repeats(rows["hash"], rows["doc"])[0]])
 
 
 def _local_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            rows = _unplane(blob, _MARKS)
-            yield from _by_doc(rows["doc"], [rows["at"]], ["at"]).to_batches()
+            yield from _flags(_unplane(blob, _MARKS)).to_batches()
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    run = np.empty(len(doc), _RUN)
+    run["start"], run["end"] = start, end
+    return _grouped(doc, run, "spans")
 
 
 # ---------------------------------------------------------------- pieces
 
 
 def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, pieces (packed), and rows of bucket -1 with spans that are decided within the task.
+    """bucket, head and body (packed pieces); rows of bucket -1: doc_id and head with spans decided within the task.
 
-    ``marked``: doc_id, text, at (list of packed window starts whose minimizer repeats).
+    ``marked``: doc_id, text, flags (list of packed runs of windows whose minimizer repeats).
     """
+    width = _width(length)
 
     def run(batches):
-        hasher, wide = Hasher(lower=False), Hasher(lower=False, seed=11)
+        hasher = Hasher(lower=False)
         held, size = [], 0
 
         def flush():
-            bucket, doc, at, key, text, cut, hash_of = (np.concatenate([h[i] for h in held]) for i in range(7))
-            text_start = np.cumsum(cut) - cut
-            order = np.lexsort((doc, cut, key))
-            k, c, d = key[order], cut[order], doc[order]
-            same = np.zeros(len(order), bool)
-            same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-            follows = np.flatnonzero(same)
-            same[follows] = _equal(text, text_start[order[follows - 1]], text_start[order[follows]], c[follows])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            gone = same & (d > d[head])
-            keep = np.sort(order[~gone])
-            out = []
-            by = keep[np.argsort(bucket[keep], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1], [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                mine = by[a:b]
-                body = _take(text, text_start[mine], cut[mine]).tobytes()
-                head_ = np.empty(len(mine), _HEAD)
-                head_["doc"], head_["at"], head_["size"], head_["hash"] = doc[mine], at[mine], cut[mine], hash_of[mine]
-                out.append((int(bucket[mine[0]]), _planes(head_), body))
-            lost = order[gone]
-            table = _by_doc(doc[lost], [at[lost], at[lost] + cut[lost]], ["starts", "ends"])
+            head, body = (np.concatenate([h[i] for h in held]) for i in range(2))
+            top = _same_pieces(head, body)
+            doc, least = head["doc"], head["doc"][top]
+            gone = doc > least
+            keep = np.flatnonzero(~gone)
+            bucket = _deal(head["hash"][keep], buckets)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            by = keep[by]
+            out = [(int(b), _planes(head[by[cuts[b] : cuts[b + 1]]]), body[by[cuts[b] : cuts[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cuts))]
+            lost = head[gone]
+            table = _spans(lost["doc"], lost["at"], lost["at"] + lost["more"] + length)
             n = len(out)
             return pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out] + [-1] * table.num_rows, pa.int32()),
-                pa.array([x[1] for x in out] + table.column("starts").to_pylist(), pa.binary()),
-                pa.array([x[2] for x in out] + table.column("ends").to_pylist(), pa.binary()),
-                pa.array([None] * n + table.column("doc_id").to_pylist(), pa.int64()),
+                pa.array([x[0] for x in out] + [-1] * table.num_rows, pa.int32()), pa.array([x[1] for x in out] + table.column("spans").to_pylist(), pa.binary()),
+                pa.array([x[2] for x in out] + [None] * table.num_rows, pa.binary()), pa.array([None] * n + table.column("doc_id").to_pylist(), pa.int64()),
             ], ["bucket", "head", "body", "doc_id"])
 
         for rows, data, offsets in blocks(batches):
-            row, value, first, last = minimizers(data, offsets, hasher, length)
-            marks = [np.frombuffer(b"".join(x or []), "<i4").astype(np.int64) + o for x, o in zip(rows.column(2).to_pylist(), offsets[:-1])]
-            chosen = np.zeros(len(data) + 1, bool)
-            if marks:
-                marked_at = np.concatenate(marks)
-                chosen[marked_at[marked_at < len(data)]] = True
-            pick = chosen[first]
-            row, value, first, last = row[pick], value[pick], first[pick], last[pick]
-            if not len(row):
-                continue
-            end = last + length
-            whole = wide.runs(wide.sums(data), first, end)
-            doc = rows.column(0).to_numpy()[row]
-            held.append((_deal(value, buckets), doc, first - offsets[row], whole, _take(data, first, end - first), end - first, value))
-            size += int((end - first).sum())
-            if size >= FLUSH_BYTES:
+            packed = [b"".join(x or []) for x in rows.column(2).to_pylist()]
+            flag = np.frombuffer(b"".join(packed), _FLAG)
+            row = np.repeat(np.arange(rows.num_rows), [len(x) // _FLAG.itemsize for x in packed])
+            start = flag["at"] + offsets[row]
+            fits = start + flag["more"] + length <= offsets[row + 1]
+            flag, row, start = flag[fits], row[fits], start[fits]
+            padded = np.concatenate([data, np.zeros(width, np.uint8)])
+            body = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+            body[np.arange(width) >= (flag["more"].astype(np.int64) + length)[:, None]] = 0
+            head = np.empty(len(flag), _HEAD)
+            head["doc"], head["at"], head["more"] = rows.column(0).to_numpy()[row], flag["at"], flag["more"]
+            place = start + flag["inner"]
+            value = np.zeros(len(flag), U64)
+            for k in range(GRAM):
+                value += hasher.table[padded[place + k]] * hasher.up[k]
+            head["hash"] = _scramble(value)
+            held.append((head, body))
+            size += len(head)
+            if size >= FLUSH_PIECES:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
-    return marked.select("doc_id", "text", "at").mapInArrow(run, "bucket int, head binary, body binary, doc_id long")
-
-
-_HEAD = np.dtype([("doc", "<i8"), ("at", "<i4"), ("size", "<i4"), ("hash", "<u8")])
-
+    return marked.select("doc_id", "text", "flags").mapInArrow(run, "bucket int, head binary, body binary, doc_id long")
 
-def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of several runs, one behind the other."""
-    total = np.cumsum(size)
-    if not len(total):
-        return data[:0]
-    return data[np.repeat(start - total + size, size) + np.arange(total[-1])]
 
-
-def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the runs at a and at b are the same bytes."""
-    if not len(a):
-        return np.zeros(0, bool)
-    differ = _take(text, a, size) != _take(text, b, size)
-    return np.add.reduceat(differ, np.cumsum(size) - size) == 0
+def _same_pieces(head: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """For each piece the entry of the smallest document with the same piece (equal bytes and length)."""
+    words = body.view("<u8")
+    key = head["hash"] ^ head["more"].astype(U64)
+    for k in range(words.shape[1]):
+        key = mix(key ^ words[:, k])
+    order = np.lexsort((head["doc"], key))
+    same = np.zeros(len(order), bool)
+    same[1:] = key[order[1:]] == key[order[:-1]]
+    follows = np.flatnonzero(same)
+    a, b = order[follows - 1], order[follows]
+    same[follows] = (words[a] == words[b]).all(1) & (head["more"][a] == head["more"][b])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    return out
 
 
 # ---------------------------------------------------------------- blockwise sort
@@ -326,83 +352,63 @@ def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, bucke
 
 
 def _sorted_bucket(group: pa.Table, length: int) -> pa.Table:
-    """Removed spans (doc_id, starts, ends) of one shuffle bucket, a bounded block of suffix buckets at a time."""
+    """Removed spans of one shuffle bucket, a bounded run of suffix buckets at a time."""
     head = np.concatenate([_unplane(x, _HEAD) for x in group.column("head").to_pylist()])
-    text = np.frombuffer(b"".join(group.column("body").to_pylist()), np.uint8)
-    start = np.cumsum(head["size"], dtype=np.int64) - head["size"]
+    body = np.frombuffer(b"".join(group.column("body").to_pylist()), np.uint8).reshape(len(head), -1)
     order = np.argsort(head["hash"], kind="stable")
-    size, value = head["size"][order].astype(np.int64), head["hash"][order]
+    value = head["hash"][order]
     edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
-    grown = np.concatenate([[0], np.cumsum(size)])[edge]
-    docs, starts, ends = [], [], []
-    a = 0
+    found, a = [], 0
     while a + 1 < len(edge):
-        b = max(a + 1, int(np.searchsorted(grown, grown[a] + SORT_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(edge, edge[a] + SORT_BYTES // body.shape[1], "right")) - 1)
         mine = order[edge[a] : edge[b]]
-        found = _block(text, head[mine], start[mine], length)
-        for x, y in zip((docs, starts, ends), found):
-            x.append(y)
+        found += _block(head[mine], body[mine], length)
         a = b
-    doc, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts, ends))
-    return _by_doc(doc, [s, e], ["starts", "ends"])
-
-
-def _block(text: np.ndarray, head: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed spans of the pieces of whole suffix buckets."""
-    size, doc, at = head["size"].astype(np.int64), head["doc"], head["at"].astype(np.int64)
-    # equal pieces: sort by their bytes (padded), then by document
-    widest = int(size.max())
-    padded = np.zeros((len(size), -(-widest // 8) * 8), np.uint8)
-    padded[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = _take(text, start, size)
-    mixed = np.zeros(len(size), U64)
-    for w in padded.view(">u8").T:
-        mixed = mix(mixed ^ w.astype(U64))
-    order = np.lexsort((doc, mixed, head["hash"]))
-    rows = padded[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (rows[1:] == rows[:-1]).all(1) & (head["hash"][order][1:] == head["hash"][order][:-1]) & (size[order][1:] == size[order][:-1])
-    top = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    d = doc[order]
-    gone = d > d[top]
-    whole = order[gone]
-    out = [(doc[whole], at[whole], at[whole] + size[whole])]
-    # distinct pieces of buckets that hold several: windows sorted
-    first = np.flatnonzero(~same)
-    hashes = head["hash"][order][first]
-    several = np.zeros(len(first), bool)
+    return _spans(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+
+
+def _block(head: np.ndarray, body: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Removed spans (doc, start, end) of the pieces of whole suffix buckets."""
+    doc, at = head["doc"], head["at"].astype(np.int64)
+    top = _same_pieces(head, body)
+    gone = doc > doc[top]
+    out = [(doc[gone], at[gone], at[gone] + head["more"][gone] + length)]
+    # distinct pieces of buckets that hold several: their windows are sorted
+    piece = np.flatnonzero(top == np.arange(len(top)))
+    piece = piece[np.argsort(head["hash"][piece], kind="stable")]
+    hashes = head["hash"][piece]
+    several = np.zeros(len(piece), bool)
     several[1:] = hashes[1:] == hashes[:-1]
     several[:-1] |= several[1:]
-    piece = first[several]
-    if len(piece):
-        piece_size = size[order][piece]
-        windows = piece_size - length + 1
-        body = np.concatenate([_take(padded.ravel(), order[piece] * padded.shape[1], piece_size), np.zeros(length, np.uint8)])
-        base = np.cumsum(piece_size) - piece_size
-        owner = np.repeat(np.arange(len(piece)), windows)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        mine = d[piece][owner]
-        least = least_documents(body, base[owner] + inner, mine, hashes[several][owner], length)
-        lost = least < mine
-        owner, inner = owner[lost], inner[lost]
-        if len(owner):
-            new = np.ones(len(owner), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(owner)) - 1
-            run_owner, run_lo, run_hi = owner[lo], inner[lo], inner[hi] + length
-            # every occurrence of the piece in its smallest document loses these runs
-            stays = np.flatnonzero(~gone)
-            number = np.full(len(order), -1)
-            number[piece] = np.arange(len(piece))
-            holder = number[top[stays]]
-            stays, holder = stays[holder >= 0], holder[holder >= 0]
-            by = np.argsort(run_owner, kind="stable")
-            left, right = np.searchsorted(run_owner[by], holder, "left"), np.searchsorted(run_owner[by], holder, "right")
-            count = right - left
-            who = order[np.repeat(stays, count)]
-            which = by[np.repeat(left - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
-            out.append((doc[who], at[who] + run_lo[which], at[who] + run_hi[which]))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+    piece, hashes = piece[several], hashes[several]
+    if not len(piece):
+        return out
+    windows = head["more"][piece].astype(np.int64) + 1
+    text = np.concatenate([body[piece].ravel(), np.zeros(length, np.uint8)])
+    owner = np.repeat(np.arange(len(piece)), windows)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    mine = doc[piece][owner]
+    lost = least_documents(text, owner * body.shape[1] + inner, mine, np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]]))[owner], length) < mine
+    owner, inner = owner[lost], inner[lost]
+    if not len(owner):
+        return out
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(owner)) - 1
+    run_owner, run_lo, run_hi = owner[lo], inner[lo], inner[hi] + length
+    # every occurrence of a piece in its smallest document loses these runs
+    number = np.full(len(top), -1)
+    number[piece] = np.arange(len(piece))
+    stays = np.flatnonzero(~gone)
+    holder = number[top[stays]]
+    stays, holder = stays[holder >= 0], holder[holder >= 0]
+    left = np.searchsorted(run_owner, holder, "left")
+    count = np.searchsorted(run_owner, holder, "right") - left
+    who = np.repeat(stays, count)
+    which = np.repeat(left - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    out.append((doc[who], at[who] + run_lo[which], at[who] + run_hi[which]))
+    return out
 
 
 # ---------------------------------------------------------------- the operator
@@ -421,19 +427,19 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text and the packed spans (lists of starts and ends) of every document."""
+    """doc_id, text and the removed spans (lists of packed runs) of every document."""
     base = _texts(docs)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     marks = _marks(base, buckets, length)
-    shared = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_shared_marks, "doc_id long, at binary")
-    local = marks.filter("bucket < 0").select("marks").mapInArrow(_local_marks, "doc_id long, at binary")
-    flags = shared.union(local).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    shared = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_shared_marks, "doc_id long, flags binary")
+    local = marks.filter("bucket < 0").select("marks").mapInArrow(_local_marks, "doc_id long, flags binary")
+    flags = shared.union(local).groupBy("doc_id").agg(F.collect_list("flags").alias("flags"))
     dealt = _pieces(base.join(flags, "doc_id"), buckets, length)
-    sorted_ = dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t, length), "doc_id long, starts binary, ends binary")
-    decided = dealt.filter("bucket < 0").select("doc_id", F.col("head").alias("starts"), F.col("body").alias("ends"))
-    spans = sorted_.union(decided).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    return base.join(spans, "doc_id", "left")
+    sorted_ = dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t, length), "doc_id long, spans binary")
+    decided = dealt.filter("bucket < 0").select("doc_id", F.col("head").alias("spans"))
+    spans = sorted_.union(decided).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    return base.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -447,9 +453,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, s, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                raw = (text or "").encode()
-                s, e = merge_spans(*(np.frombuffer(b"".join(x or []), "<i4") for x in (s, e)))
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+                raw = text.as_py().encode()
+                run_ = np.frombuffer(b"".join(spans or []), _RUN)
+                s, e = merge_spans(run_["start"], np.minimum(run_["end"], len(raw)))
                 at, kept = 0, []
                 for a, b in zip(s.tolist(), e.tolist()):
                     kept.append(raw[at:a])
@@ -459,5 +466,5 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = repeated_spans(docs, length).select("doc_id", "text", "starts", "ends").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = repeated_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
