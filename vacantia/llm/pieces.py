@@ -30,9 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_UNITS = 600_000
-#: Bytes of text in a batch: its units are indexed together.
-BATCH_BYTES = 1 << 23
+CACHE_UNITS = 400_000
+#: Bytes of text in a batch, and units that are indexed together (an edge takes some 30 bytes, a unit has some 50 edges).
+BATCH_BYTES, INDEX_UNITS = 1 << 22, 1 << 15
 NONE = -1
 
 
@@ -319,11 +319,15 @@ class Codec:
         for text in texts:
             found = find(SPACE + text.replace(" ", SPACE)) if text else []
             rows.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
-        if len(index) > known:
-            flat, start, count = encode_units(self.vocab, list(islice(index, known, None)))
-            self.start = np.concatenate([self.start, start + len(self.flat)])
-            self.flat = np.concatenate([self.flat, flat])
-            self.count = np.concatenate([self.count, count])
+        fresh = list(islice(index, known, None))
+        done = [(self.flat, self.start, self.count)]
+        base = len(self.flat)
+        for lo in range(0, len(fresh), INDEX_UNITS):
+            flat, start, count = encode_units(self.vocab, fresh[lo : lo + INDEX_UNITS])
+            done.append((flat, start + base, count))
+            base += len(flat)
+        if fresh:
+            self.flat, self.start, self.count = (np.concatenate([d[k] for d in done]) for k in range(3))
         return [self._expand(self.flat, self.start[r], self.count[r]) for r in rows]
 
     @staticmethod
