@@ -7,7 +7,9 @@ clashing extra columns do no harm), an empty table gives an empty result of the
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,9 +43,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: write ``df`` as a table in the cluster's shared folder, and read it there.
+
+    Unlike a checkpoint this computes ``df`` once, and the table's size is known to later joins.
+    The application's tables are removed when its driver ends.
+    """
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_remove, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_homes: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def doc_crc(doc_id: str = "doc_id") -> Column:

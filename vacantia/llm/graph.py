@@ -36,3 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def join_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``known`` (node, comp: an earlier result) with more links (a, b)."""
+    return components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links.select("a", "b")))

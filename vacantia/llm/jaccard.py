@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix
-from .graph import components
+from .graph import components, join_components
 
 WORDS = 5
 #: 100 * |x & y| >= PERCENT * |x | y|
@@ -46,9 +47,9 @@ MAX_FREQUENT = 1 << 20
 #: Entries of a list that one task pairs with others.
 PAIR_BLOCK = 2048
 #: Turns in which open long lists get another centre, before their pairs are listed.
-TURNS = 3
-#: Candidate nodes up to which their Bloom filter (2 bytes each) is broadcast; beyond, sets are joined unfiltered.
-BLOOM_NODES = 1 << 25
+TURNS = 2
+#: Candidate nodes up to which their Bloom filter (2 to 4 bytes each) is broadcast; beyond, sets are joined unfiltered.
+BLOOM_NODES, PROBES = 1 << 25, 3
 #: Postings a task holds before it deals them out.
 FLUSH = 1 << 20
 
@@ -451,53 +452,57 @@ def cross_pairs(entries: DataFrame, grams: Grams) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _bloom(nodes: DataFrame):
-    """Bit array over distinct nodes (two bytes a node), or None where they are too many."""
-    n = nodes.count()
+def _places(value: np.ndarray, bits: int) -> np.ndarray:
+    """PROBES bit numbers of each id."""
+    h = mix(value.view(U64) + U64(1))
+    return np.stack([(mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) >> U64(64 - bits)).astype(np.int64) for k in range(PROBES)])
+
+
+def _bloom(ids: DataFrame):
+    """Bit array over distinct ids (16 to 32 bits each, PROBES of them set), or None where they are too many."""
+    n = ids.count()
     if n > BLOOM_NODES:
         return None
-    bits = max(10, int(np.ceil(np.log2(max(n, 1)))) + 4)
+    bits = max(20, int(np.ceil(np.log2(max(n, 1)))) + 4)
     chunk = 1 << 20
 
+    def spread(batches):
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy(), bits).ravel())
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] // chunk != at[:-1] // chunk, [True]])) if len(at) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([at[a] // chunk], pa.int32()), pa.array([(at[a:b] % chunk).astype("<i4").tobytes()], pa.binary())], ["chunk", "bits"])
+
     def build(t: pa.Table) -> pa.Table:
-        at = (t.column("node").to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64) % chunk
         flags = np.zeros(chunk, bool)
-        flags[at] = True
+        flags[np.frombuffer(b"".join(t.column("bits").to_pylist()), "<i4")] = True
         return pa.table({"chunk": t.column("chunk")[:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    placed = nodes.select(F.floor(F.shiftrightunsigned("node", 64 - bits) / chunk).cast("int").alias("chunk"), "node")
-    found = placed.groupBy("chunk").applyInArrow(build, "chunk int, bits binary").collect()
-    out = np.zeros((max(1, (1 << bits) // chunk), chunk // 8), np.uint8)
+    found = ids.mapInArrow(spread, "chunk int, bits binary").groupBy("chunk").applyInArrow(build, "chunk int, bits binary").collect()
+    out = np.zeros(((1 << bits) // chunk, chunk // 8), np.uint8)
     for r in found:
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
-    return bits, out.reshape(-1)
+    return bits, out.ravel()
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFrame:
-    """node, grams (5 bytes of each hash, by byte): the sets of the wanted nodes, and few others."""
+    """doc_id, grams (5 bytes of each hash, by byte): the sets of the wanted documents (doc_id), and few others."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches):
         bloom = shared.value
-        seen: set[int] = set()
-        for _, data, offsets in blocks(batches):
-            gram, cuts = grams.sets(data, offsets)
-            nodes, packed = [], []
-            for i, node in enumerate(_nodes(gram, cuts)):
-                if node == 0 or node in seen:
-                    continue
-                if bloom is not None:
-                    at = (node & 0xFFFFFFFFFFFFFFFF) >> (64 - bloom[0])
-                    if not bloom[1][at >> 3] >> (7 - (at & 7)) & 1:
-                        continue
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                seen.add(node)
-                nodes.append(node)
-                packed.append(gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
-
-    return _texts(docs).mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+        for batch in batches:
+            doc = batch.column(0).fill_null(-1)
+            if bloom is not None:
+                at = _places(doc.to_numpy(), bloom[0])
+                hit = ((bloom[1][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+                batch = batch.filter(pa.array(hit))
+            for rows, data, offsets in blocks([batch]):
+                gram, cuts = grams.sets(data, offsets)
+                packed = [gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for i in range(rows.num_rows)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], ["doc_id", "grams"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, grams binary")
 
 
 def _keys(blob: bytes) -> np.ndarray:
@@ -514,7 +519,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def verify(sets: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, by their whole sets."""
+    """Those of ``pairs`` (a, b) that link, by their whole sets (node, grams)."""
 
     def run(batches):
         for batch in batches:
@@ -537,8 +542,9 @@ def verify(sets: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
-def links(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verified links between nodes (a, b) that connect all components, and the node of each document."""
+def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node of each document (doc_id, node, n_shingles), components of nodes (node, comp), and
+    verified links between nodes (a, b) that connect each component."""
     grams = grams or Grams()
     nodes = materialize(document_nodes(docs, grams))
     buckets = max(1, -(-nodes.count() // BUCKET_DOCS))
@@ -546,23 +552,29 @@ def links(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFrame, DataF
     near = materialize(lists.groupBy("bucket").applyInArrow(lambda t: _near(t, grams), _NEAR))
     first = materialize(_first_pairs(near, grams))
     long = near.filter("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("node"), F.col("na").alias("size"), F.col("pa").alias("pos"))
-    wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(long.select("node")).distinct()
-    sets = materialize(candidate_sets(docs, materialize(wanted), grams))
-    done = materialize(verify(sets, first, grams))
+    in_long = long.select("node").distinct()
+    wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(in_long).distinct()
+    # one document stands for each node; rows without an id have none that could be looked up
+    holders = materialize(nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(wanted, "node"))
+    found = materialize(candidate_sets(docs, holders.select("doc_id").distinct(), grams))
+    sets = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(holders, "doc_id").select("node", "grams")
+    links = [materialize(verify(sets, first, grams))]
+    comp = components(links[0])
+    entries = materialize(open_entries(long, comp))
+    if entries.isEmpty():
+        return nodes, comp, links[0]
+    open_nodes = entries.select("node").distinct()
+    sets = materialize(sets.join(open_nodes, "node"))
     tried = first
     for turn in range(TURNS):
-        entries = materialize(open_entries(long, components(done)))
-        if entries.isEmpty():
-            return done, nodes
         pairs = materialize(star_pairs(entries, turn, grams).join(tried, ["a", "b"], "left_anti"))
-        new = materialize(verify(sets, pairs, grams))
+        links.append(materialize(verify(sets, pairs, grams)))
         tried = tried.union(pairs)
-        if new.isEmpty():
-            break
-        done = done.union(new)
-    entries = materialize(open_entries(long, components(done)))
+        comp = join_components(comp, links[-1])
+        entries = materialize(open_entries(long, comp))
     rest = materialize(cross_pairs(entries, grams).join(tried, ["a", "b"], "left_anti"))
-    return done.union(materialize(verify(sets, rest, grams))), nodes
+    links.append(materialize(verify(sets, rest, grams)))
+    return nodes, join_components(comp, links[-1]), reduce(DataFrame.union, links)
 
 
 def near_duplicates(docs: DataFrame, grams: Grams | None = None) -> DataFrame:
@@ -570,10 +582,9 @@ def near_duplicates(docs: DataFrame, grams: Grams | None = None) -> DataFrame:
 
     A text without words has an empty set (n_shingles 0) and links with nothing; fewer words than
     an n-gram form one n-gram. component_id is the smallest doc_id reachable by links, itself
-    included. Rows that share one id and one text are one node; a null id is never the smallest.
+    included. Rows that share one id need one text; a null id is never the smallest.
     """
-    found, nodes = links(docs, grams)
-    comp = components(found)
+    nodes, comp, _ = node_components(docs, grams)
     joined = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     roots = joined.filter("node <> 0").groupBy("comp").agg(F.min("doc_id").alias("root"))
     named = joined.join(roots, "comp", "left")
