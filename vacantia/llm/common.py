@@ -166,3 +166,40 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 WHITE = b" \t\n\x0b\x0c\r"
+
+
+# ---------------------------------------------------------------- packed records for shuffles
+
+
+def squeeze(raw: bytes) -> bytes:
+    """zstd with the length in front; what a shuffle carries (its own codec knows no entropy coding)."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def pack(rows: np.ndarray, narrow: dict[str, int] | None = None) -> bytes:
+    """A record array, column by column and byte by byte, so that equal bytes lie together.
+
+    ``narrow``: low bytes to keep of a column (little-endian), the rest is dropped.
+    """
+    planes = []
+    for c in rows.dtype.names:
+        raw = np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1)
+        planes.append(raw[:, : (narrow or {}).get(c, raw.shape[1])].T.tobytes())
+    return squeeze(b"".join(planes))
+
+
+def unpack(blob: bytes, kind: np.dtype, narrow: dict[str, int] | None = None) -> np.ndarray:
+    raw = unsqueeze(blob)
+    widths = {c: (narrow or {}).get(c, kind[c].itemsize) for c in kind.names}
+    n = len(raw) // sum(widths.values())
+    rows, at = np.empty(n, kind), 0
+    for c, width in widths.items():
+        full = np.zeros((n, kind[c].itemsize), np.uint8)
+        full[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        rows[c] = full.reshape(-1).view(kind[c])
+        at += n * width
+    return rows

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix
+from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix, pack, unpack
 from .graph import components, join_components
 
 WORDS = 5
@@ -166,7 +166,7 @@ def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 part = np.empty(b - a, _COUNTS)
                 part["gap"], part["n"] = np.diff(slot[a:b], prepend=0), np.minimum(count[a:b], 65535)
-                blobs.append(_planes(part))
+                blobs.append(pack(part))
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "counts"])
 
         for _, data, offsets in blocks(batches):
@@ -185,7 +185,7 @@ def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for blob in group.column("counts").to_pylist():
-            part = _unplane(blob, _COUNTS)
+            part = unpack(blob, _COUNTS)
             total[np.cumsum(part["gap"], dtype=np.int64)] += part["n"]
         often = np.flatnonzero(total > SMALL_LIST)
         return pa.table({"counter": (group.column("bucket")[0].as_py() << COUNTER_BITS) + often, "n": total[often]})
@@ -229,7 +229,7 @@ def postings(docs: DataFrame, grams: Grams, often: np.ndarray, buckets: int) ->
             bucket = _bucket(rows["token"], buckets)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             return pa.RecordBatch.from_arrays([
-                pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([pack(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([pack(rows[a:b][np.argsort(rows["token"][a:b])]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
             ], ["bucket", "entries"])
 
         seen: set[int] = set()
@@ -260,25 +260,6 @@ def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(token) >> U64(33)) % U64(buckets)).astype(np.int32)
 
 
-def pack(rows: np.ndarray) -> bytes:
-    return _planes(rows[np.argsort(rows["token"], kind="stable")])
-
-
-def _planes(rows: np.ndarray) -> bytes:
-    """Columns of a record array byte by byte, so that equal bytes lie together for compression."""
-    return b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in rows.dtype.names)
-
-
-def _unplane(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n = len(blob) // kind.itemsize
-    rows, at = np.empty(n, kind), 0
-    for c in kind.names:
-        width = kind[c].itemsize
-        rows[c] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind[c])
-        at += n * width
-    return rows
-
-
 def _lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries of lists with two nodes or more, by (token, size, node), and the cuts between lists."""
     rows = rows[np.argsort(rows["token"], kind="stable")]
@@ -302,7 +283,7 @@ def _bound(pi, pj, na, nb):
 
 def _near(lists: pa.Table, grams: Grams) -> pa.Table:
     """Rows of kind 0: candidate pairs (all of short lists, centre and entry of long ones); kind 1: entries of long lists."""
-    rows, cuts = _lists(np.concatenate([_unplane(x, _LISTS) for x in lists.column("entries").to_pylist()]))
+    rows, cuts = _lists(np.concatenate([unpack(x, _LISTS) for x in lists.column("entries").to_pylist()]))
     size = np.diff(cuts)
     left, right, stars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
     for n in range(2, SMALL_LIST + 1):

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, blocks, mix
+from .common import U64, Hasher, blocks, mix, pack, squeeze, unpack, unsqueeze
 
 LENGTH = 50
 GRAM = 20
 #: Period and residues of the difference cover: every residue mod 13 is a difference of two of these.
 COVER, RESIDUES = 13, (0, 1, 3, 9)
 #: Bytes of text for each shuffle bucket.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 16 << 20
 #: Minimizers, or pieces, that a map task gathers before it deals them out.
 FLUSH, FLUSH_PIECES = 1 << 19, 1 << 17
 #: Bytes of pieces sorted at a time.
@@ -46,6 +46,8 @@ _PLACE = 28  # bits of a position within a block; hashes are compared by the oth
 
 #: A minimizer's run of windows: its document, first window, further windows, place in the first window, hash.
 _MARKS = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1"), ("hash", "<u8")])
+#: Of a hash the marks carry what the bucket does not tell: more than 40 bits would tell nothing new.
+_NARROW = {"hash": 5}
 _HEAD = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("hash", "<u8")])
 
 
@@ -104,21 +106,6 @@ def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U64(40)) % U64(buckets)).astype(np.int32)
 
 
-def _planes(rows: np.ndarray) -> bytes:
-    """Columns of a record array byte by byte, so that equal bytes lie together for compression."""
-    return b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in rows.dtype.names)
-
-
-def _unplane(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n = len(blob) // kind.itemsize
-    rows, at = np.empty(n, kind), 0
-    for c in kind.names:
-        width = kind[c].itemsize
-        rows[c] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind[c])
-        at += n * width
-    return rows
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     """doc_id and text; a null id sorts behind all others."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -154,9 +141,9 @@ def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             dealt = rows[sent[by]]
-            out = [(int(b), _planes(dealt[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+            out = [(int(b), pack(dealt[cuts[b] : cuts[b + 1]], _NARROW)) for b in np.flatnonzero(np.diff(cuts))]
             if len(one):
-                out.append((-1, _planes(rows[twice])))
+                out.append((-1, pack(rows[twice], _NARROW)))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "marks"])
 
         for rows, data, offsets in blocks(batches):
@@ -194,14 +181,14 @@ def _flags(rows: np.ndarray) -> pa.Table:
 
 
 def _shared_marks(group: pa.Table) -> pa.Table:
-    rows = np.concatenate([_unplane(x, _MARKS) for x in group.column("marks").to_pylist()])
+    rows = np.concatenate([unpack(x, _MARKS, _NARROW) for x in group.column("marks").to_pylist()])
     return _flags(rows[_repeats(rows["hash"], rows["doc"])[0]])
 
 
 def _local_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            yield from _flags(_unplane(blob, _MARKS)).to_batches()
+            yield from _flags(unpack(blob, _MARKS, _NARROW)).to_batches()
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -234,7 +221,7 @@ def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             by = keep[by]
-            out = [(int(b), _planes(head[by[cuts[b] : cuts[b + 1]]]), body[by[cuts[b] : cuts[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cuts))]
+            out = [(int(b), pack(head[by[cuts[b] : cuts[b + 1]]]), squeeze(body[by[cuts[b] : cuts[b + 1]]].tobytes())) for b in np.flatnonzero(np.diff(cuts))]
             lost = head[gone]
             table = _spans(lost["doc"], lost["at"], lost["at"] + lost["more"] + length)
             n = len(out)
@@ -353,8 +340,8 @@ def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, bucke
 
 def _sorted_bucket(group: pa.Table, length: int) -> pa.Table:
     """Removed spans of one shuffle bucket, a bounded run of suffix buckets at a time."""
-    head = np.concatenate([_unplane(x, _HEAD) for x in group.column("head").to_pylist()])
-    body = np.frombuffer(b"".join(group.column("body").to_pylist()), np.uint8).reshape(len(head), -1)
+    head = np.concatenate([unpack(x, _HEAD) for x in group.column("head").to_pylist()])
+    body = np.frombuffer(b"".join(map(unsqueeze, group.column("body").to_pylist())), np.uint8).reshape(len(head), -1)
     order = np.argsort(head["hash"], kind="stable")
     value = head["hash"][order]
     edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
