@@ -125,7 +125,7 @@ def _repeats(hash_: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, marks: the minimizers of all texts. bucket -1: marks known to repeat within the task."""
+    """bucket, marks: the minimizers of all texts. bucket -1: flags (by block) of those known to repeat within the task."""
 
     def run(batches):
         hasher, held, size = Hasher(lower=False), [], 0
@@ -141,10 +141,9 @@ def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             dealt = rows[sent[by]]
-            out = [(int(b), pack(dealt[cuts[b] : cuts[b + 1]], _NARROW)) for b in np.flatnonzero(np.diff(cuts))]
-            if len(one):
-                out.append((-1, pack(rows[twice], _NARROW)))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "marks"])
+            out = [(int(b), None, pack(dealt[cuts[b] : cuts[b + 1]], _NARROW)) for b in np.flatnonzero(np.diff(cuts))]
+            out += [(-1, k, blob) for k, blob in _by_block(_as(_FLAG, rows[twice]), buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "block", "marks"])
 
         for rows, data, offsets in blocks(batches):
             row, value, first, more, inner = minimizers(data, offsets, hasher, length)
@@ -158,52 +157,64 @@ def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, marks binary")
+    return docs.mapInArrow(run, "bucket int, block int, marks binary")
 
 
-def _grouped(doc: np.ndarray, rows: np.ndarray, name: str) -> pa.Table:
-    """One row for each document, its records packed."""
-    order = np.argsort(doc, kind="stable")
-    doc, rows = doc[order], rows[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, int)
-    return pa.table([pa.array(doc[cuts[:-1]], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", name])
+_FLAG = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1")])
+_RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
-_FLAG = np.dtype([("at", "<i4"), ("more", "u1"), ("inner", "u1")])
-_RUN = np.dtype([("start", "<i4"), ("end", "<i4")])
+def _as(kind: np.dtype, rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), kind)
+    for c in kind.names:
+        out[c] = rows[c]
+    return out
 
 
-def _flags(rows: np.ndarray) -> pa.Table:
-    flag = np.empty(len(rows), _FLAG)
-    for c in _FLAG.names:
-        flag[c] = rows[c]
-    return _grouped(rows["doc"], flag, "flags")
+def _by_block(rows: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Records dealt to blocks of documents: a packed row for each block that has some."""
+    block = (mix(rows["doc"].view(U64) if rows["doc"].flags.c_contiguous else rows["doc"].copy().view(U64)) % U64(n)).astype(np.int64)
+    by = np.lexsort((rows["doc"], block))
+    cuts = np.searchsorted(block[by], np.arange(n + 1))
+    return [(int(k), pack(rows[by[cuts[k] : cuts[k + 1]]])) for k in np.flatnonzero(np.diff(cuts))]
 
 
-def _shared_marks(group: pa.Table) -> pa.Table:
-    rows = np.concatenate([unpack(x, _MARKS, _NARROW) for x in group.column("marks").to_pylist()])
-    return _flags(rows[_repeats(rows["hash"], rows["doc"])[0]])
+def _blocks_table(rows: np.ndarray, n: int) -> pa.Table:
+    dealt = _by_block(rows, n)
+    return pa.table({"block": pa.array([k for k, _ in dealt], pa.int32()), "rows": pa.array([x for _, x in dealt], pa.binary())})
+
+
+def _by_document(blocks_: DataFrame, kind: np.dtype, name: str) -> DataFrame:
+    """doc_id and its packed records, from packed rows of blocks (block, rows)."""
 
+    def gather(group: pa.Table) -> pa.Table:
+        rows = np.concatenate([unpack(x, kind) for x in group.column("rows").to_pylist()])
+        rows = rows[np.argsort(rows["doc"], kind="stable")]
+        doc = rows["doc"]
+        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        return pa.table({"doc_id": pa.array(doc[cuts[:-1]]), name: pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
-def _local_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            yield from _flags(unpack(blob, _MARKS, _NARROW)).to_batches()
+    return blocks_.groupBy("block").applyInArrow(gather, f"doc_id long, {name} binary")
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    run = np.empty(len(doc), _RUN)
-    run["start"], run["end"] = start, end
-    return _grouped(doc, run, "spans")
+def _shared_marks(group: pa.Table, buckets: int) -> pa.Table:
+    rows = np.concatenate([unpack(x, _MARKS, _NARROW) for x in group.column("marks").to_pylist()])
+    return _blocks_table(_as(_FLAG, rows[_repeats(rows["hash"], rows["doc"])[0]]), buckets)
+
+
+def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(doc), _RUN)
+    out["doc"], out["start"], out["end"] = doc, start, end
+    return out
 
 
 # ---------------------------------------------------------------- pieces
 
 
 def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, head and body (packed pieces); rows of bucket -1: doc_id and head with spans decided within the task.
+    """bucket, head and body (packed pieces); bucket -1: spans (head, by block) decided within the task.
 
-    ``marked``: doc_id, text, flags (list of packed runs of windows whose minimizer repeats).
+    ``marked``: doc_id, text, flags (packed runs of windows whose minimizer repeats).
     """
     width = _width(length)
 
@@ -223,15 +234,13 @@ def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
             by = keep[by]
             out = [(int(b), pack(head[by[cuts[b] : cuts[b + 1]]]), squeeze(body[by[cuts[b] : cuts[b + 1]]].tobytes())) for b in np.flatnonzero(np.diff(cuts))]
             lost = head[gone]
-            table = _spans(lost["doc"], lost["at"], lost["at"] + lost["more"] + length)
-            n = len(out)
-            return pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out] + [-1] * table.num_rows, pa.int32()), pa.array([x[1] for x in out] + table.column("spans").to_pylist(), pa.binary()),
-                pa.array([x[2] for x in out] + [None] * table.num_rows, pa.binary()), pa.array([None] * n + table.column("doc_id").to_pylist(), pa.int64()),
-            ], ["bucket", "head", "body", "doc_id"])
+            out = [(*x, None) for x in out]
+            out += [(-1, blob, None, k) for k, blob in _by_block(_runs(lost["doc"], lost["at"], lost["at"] + lost["more"] + length), buckets)]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["bucket", "head", "body", "block"])
 
         for rows, data, offsets in blocks(batches):
-            packed = [b"".join(x or []) for x in rows.column(2).to_pylist()]
+            packed = [x or b"" for x in rows.column(2).to_pylist()]
             flag = np.frombuffer(b"".join(packed), _FLAG)
             row = np.repeat(np.arange(rows.num_rows), [len(x) // _FLAG.itemsize for x in packed])
             start = flag["at"] + offsets[row]
@@ -255,7 +264,7 @@ def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
         if size:
             yield flush()
 
-    return marked.select("doc_id", "text", "flags").mapInArrow(run, "bucket int, head binary, body binary, doc_id long")
+    return marked.select("doc_id", "text", "flags").mapInArrow(run, "bucket int, head binary, body binary, block int")
 
 
 def _same_pieces(head: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -338,7 +347,7 @@ def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, bucke
     return out
 
 
-def _sorted_bucket(group: pa.Table, length: int) -> pa.Table:
+def _sorted_bucket(group: pa.Table, length: int, buckets: int) -> pa.Table:
     """Removed spans of one shuffle bucket, a bounded run of suffix buckets at a time."""
     head = np.concatenate([unpack(x, _HEAD) for x in group.column("head").to_pylist()])
     body = np.frombuffer(b"".join(map(unsqueeze, group.column("body").to_pylist())), np.uint8).reshape(len(head), -1)
@@ -351,7 +360,7 @@ def _sorted_bucket(group: pa.Table, length: int) -> pa.Table:
         mine = order[edge[a] : edge[b]]
         found += _block(head[mine], body[mine], length)
         a = b
-    return _spans(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+    return _blocks_table(_runs(*(np.concatenate([f[i] for f in found]) for i in range(3))), buckets)
 
 
 def _block(head: np.ndarray, body: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -414,18 +423,18 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text and the removed spans (lists of packed runs) of every document."""
+    """doc_id, text and the removed spans (packed runs) of every document."""
     base = _texts(docs)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     marks = _marks(base, buckets, length)
-    shared = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_shared_marks, "doc_id long, flags binary")
-    local = marks.filter("bucket < 0").select("marks").mapInArrow(_local_marks, "doc_id long, flags binary")
-    flags = shared.union(local).groupBy("doc_id").agg(F.collect_list("flags").alias("flags"))
+    shared = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _shared_marks(t, buckets), "block int, rows binary")
+    local = marks.filter("bucket < 0").select("block", F.col("marks").alias("rows"))
+    flags = _by_document(shared.union(local), _FLAG, "flags")
     dealt = _pieces(base.join(flags, "doc_id"), buckets, length)
-    sorted_ = dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t, length), "doc_id long, spans binary")
-    decided = dealt.filter("bucket < 0").select("doc_id", F.col("head").alias("spans"))
-    spans = sorted_.union(decided).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    sorted_ = dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t, length, buckets), "block int, rows binary")
+    decided = dealt.filter("bucket < 0").select("block", F.col("head").alias("rows"))
+    spans = _by_document(sorted_.union(decided), _RUN, "spans")
     return base.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
 
 
@@ -442,7 +451,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_py().encode()
-                run_ = np.frombuffer(b"".join(spans or []), _RUN)
+                run_ = np.frombuffer(spans or b"", _RUN)
                 s, e = merge_spans(run_["start"], np.minimum(run_["end"], len(raw)))
                 at, kept = 0, []
                 for a, b in zip(s.tolist(), e.tolist()):
