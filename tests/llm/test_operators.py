@@ -371,3 +371,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert r.n_pieces == len(r.ids)
         out[r.doc_id].append(len(c.decode(__import__("numpy").array(r.ids)).split()))
     assert {i: sorted(n) for i, n in out.items()} == takes
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_jaccard_of_borderline_copies(spark, monkeypatch, block):
+    """Copies of one text that differ so much from each other that about half of the pairs link."""
+    monkeypatch.setattr(jaccard, "SMALL_LIST", 2)
+    monkeypatch.setattr(jaccard, "PAIR_BLOCK", block)
+    used, plain = [], jaccard.cross_links
+    monkeypatch.setattr(jaccard, "cross_links", lambda *a: used.append(1) or plain(*a))
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(70):
+        now = list(base)
+        for k in rng.sample(range(120), 1 + i % 3):
+            now[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(now)))
+    sets = sets_of(rows)
+    expected = brute_components(sets)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and used and 1 < len(set(expected.values())) < 70

@@ -7,13 +7,13 @@ n-gram's index list (its node, set size and position), and the lists are dealt o
 
 Index-level skipping: a list is sorted by set size; for an entry only the block of entries whose
 size can reach the threshold is visited, and within it entries whose positions leave too few
-n-grams behind are skipped, without looking at either set.
+n-grams before and behind are skipped, without looking at either set.
 
 Answer-level skipping: in a list longer than ``SMALL_LIST`` each set is first compared with one
 centre only. A set that links to the centre inherits the centre's answers: all members of one
-component are reachable from each other, and their mutual pairs are never generated. Lists that
-still hold several components get other centres in a few turns; in the end all entries of different
-components are paired, in blocks, so no link between components is lost.
+component are reachable from each other, and their mutual pairs are never generated. Where lists
+still hold several components, all entries of different components are compared, in blocks that
+have the sets at hand, so no link between components is lost and only links leave a task.
 
 Candidates are verified on the whole sets. Sets travel only for nodes that have a candidate.
 """
@@ -27,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix, pack, unpack
@@ -46,8 +46,8 @@ COUNT_GRAMS, COUNTER_BITS = 1 << 22, 22
 MAX_FREQUENT = 1 << 20
 #: Entries of a list that one task pairs with others.
 PAIR_BLOCK = 2048
-#: Turns in which open long lists get another centre, before their pairs are listed.
-TURNS = 2
+#: Turns in which open long lists get a centre, before their entries are compared in blocks.
+TURNS = 1
 #: Candidate nodes up to which their Bloom filter (2 to 4 bytes each) is broadcast; beyond, sets are joined unfiltered.
 BLOOM_NODES, PROBES = 1 << 25, 3
 #: Postings a task holds before it deals them out.
@@ -276,158 +276,173 @@ def _lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cuts
 
 
-def _bound(pi, pj, na, nb):
-    """Most n-grams that two sets can share, given one they share at these positions."""
-    return np.minimum(pi, pj) + 1 + np.minimum(na - pi - 1, nb - pj - 1)
+def _bound(ki, pi, kj, pj, na, nb):
+    """Most n-grams that two sets can share, given one they share at places pi and pj, when at most
+    ki and kj of those before it come into question."""
+    return np.minimum(ki, kj) + 1 + np.minimum(na - pi - 1, nb - pj - 1)
 
 
 def _near(lists: pa.Table, grams: Grams) -> pa.Table:
-    """Rows of kind 0: candidate pairs (all of short lists, centre and entry of long ones); kind 1: entries of long lists."""
+    """Rows of kind 0: pairs of short lists; of kind 1: entries of long lists."""
     rows, cuts = _lists(np.concatenate([unpack(x, _LISTS) for x in lists.column("entries").to_pylist()]))
     size = np.diff(cuts)
-    left, right, stars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(2, SMALL_LIST + 1):
         base = cuts[:-1][size == n]
         i, j = np.triu_indices(n, 1)
         left.append((base[:, None] + i).ravel())
         right.append((base[:, None] + j).ravel())
-        stars.append(0)
-    long = np.flatnonzero(size > SMALL_LIST)
-    kept = np.zeros(0, np.int64)
-    if len(long):
-        kept = np.concatenate([np.arange(cuts[k], cuts[k + 1]) for k in long])
-        # the centre is the entry of the smallest node: the same one in all lists of a group of copies
-        centre = np.concatenate([np.full(size[k], cuts[k] + np.argmin(rows["node"][cuts[k] : cuts[k + 1]])) for k in long])
-        other = centre != kept
-        left.append(centre[other])
-        right.append(kept[other])
-        stars.append(1)
-    star = np.concatenate([np.full(len(x), k) for x, k in zip(left, stars)])
-    i, j = np.concatenate(left), np.concatenate(right)
-    x, y = rows[i], rows[j]
-    good = _bound(x["pos"], y["pos"], x["size"], y["size"]) >= grams.need(x["size"].astype(np.int64), y["size"])
-    x, y, star = x[good], y[good], star[good]
+    long = np.repeat(size > SMALL_LIST, size)
+    x, y = rows[np.concatenate(left)], rows[np.concatenate(right)]
+    good = _bound(x["pos"], x["pos"], y["pos"], y["pos"], x["size"], y["size"]) >= grams.need(x["size"].astype(np.int64), y["size"])
+    x, y = x[good], y[good]
     swap = x["node"] > y["node"]
     a, b = np.where(swap, y, x), np.where(swap, x, y)
     by = np.lexsort((b["node"], a["node"]))
-    a, b, star = a[by], b[by], star[by]
+    a, b = a[by], b[by]
     first = np.ones(len(a), bool)
     first[1:] = (a["node"][1:] != a["node"][:-1]) | (b["node"][1:] != b["node"][:-1])
     at = np.flatnonzero(first)
-    fold = lambda f, v: f.reduceat(v, at) if len(at) else v
-    star, n, pa_, pb_ = fold(np.maximum, star), fold(np.add, 1 - star), fold(np.maximum, np.where(star, -1, a["pos"])), fold(np.maximum, np.where(star, -1, b["pos"]))
-    a, b, held = a[at], b[at], rows[kept]
-    more = len(held)
-    none = np.zeros(more, np.int32)
+    n = np.diff(np.append(at, len(a)))
+    fold = lambda v: np.maximum.reduceat(v, at) if len(at) else v
+    pa_, pb_ = fold(a["pos"]), fold(b["pos"])
+    a, b, held = a[at], b[at], rows[long]
+    none = np.zeros(len(held), np.int32)
     columns = {
-        "kind": (np.zeros(len(a)), np.ones(more)), "a": (a["node"], held["node"]), "b": (b["node"], held["token"].view(np.int64)),
-        "na": (a["size"], held["size"]), "nb": (b["size"], none), "pa": (pa_, held["pos"]), "pb": (pb_, none), "n": (n, none), "star": (star, none),
+        "kind": (np.zeros(len(a)), np.ones(len(held))), "a": (a["node"], held["node"]), "b": (b["node"], held["token"].view(np.int64)),
+        "na": (a["size"], held["size"]), "nb": (b["size"], none), "pa": (pa_, held["pos"]), "pb": (pb_, none), "n": (n, none),
     }
     return pa.table({c: np.concatenate(v).astype(np.int64 if c in "ab" else np.int32) for c, v in columns.items()})
 
 
-_NEAR = "kind int, a long, b long, na int, nb int, pa int, pb int, n int, star int"
+_NEAR = "kind int, a long, b long, na int, nb int, pa int, pb int, n int"
 
 
 def _first_pairs(near: DataFrame, grams: Grams) -> DataFrame:
-    """Candidates of short lists and of centres.
+    """Candidates of short lists.
 
     What a pair shares in short lists is counted in full; it may share as many more prefix n-grams
     as both have entries in long lists, and what follows the last shared place in the shorter rest.
     """
-    pairs = near.filter("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("star").alias("star"))
+    pairs = near.filter("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     long = near.filter("kind = 1").groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     pairs = pairs.join(long.withColumnRenamed("k", "ka"), "a", "left").join(long.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b", "left")
     p = grams.percent
     hidden = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
     most = F.col("n") + hidden + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return pairs.filter((F.col("star") == 1) | ((100 + p) * most >= p * (F.col("na") + F.col("nb")))).select("a", "b")
+    return pairs.filter((100 + p) * most >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def long_entries(near: DataFrame) -> DataFrame:
+    """Entries of long lists: token, node, size, pos, and k, the node's long entries before this one.
+
+    Pairs that share a short list are decided by it. Any other pair shares only n-grams of long
+    lists in its prefixes, so of what stands before a shared one at most k n-grams can be shared.
+    """
+    long = near.filter("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("node"), F.col("na").alias("size"), F.col("pa").alias("pos"))
+    return long.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
 
 
 def open_entries(long: DataFrame, comp: DataFrame) -> DataFrame:
-    """Entries (token, node, size, pos, comp) of long lists that still hold two components or more."""
+    """Entries (token, node, size, pos, k, comp) of long lists that still hold two components or more."""
     known = long.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     return known.join(mixed, "token")
 
 
-def _linkable(na, nb, pa_, pb_, percent: int):
-    """Whether sizes and one shared place leave room for a link."""
-    most = F.least(pa_, pb_) + F.least(na - pa_, nb - pb_)
-    return (100 + percent) * most >= percent * (na + nb)
-
-
 def star_pairs(entries: DataFrame, turn: int, grams: Grams) -> DataFrame:
     """Each open list gets a centre (another one each turn); entries of other components are paired with it."""
-    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "size", "pos")
+    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "size", "pos", "k")
     centre = entries.groupBy("token").agg(F.min(by).alias("c"))
     found = entries.join(centre, "token").filter(F.col("comp") != F.col("c.comp"))
-    found = found.filter(_linkable(F.col("size"), F.col("c.size"), F.col("pos"), F.col("c.pos"), grams.percent))
+    p = grams.percent
+    most = F.least("k", "c.k") + F.least(F.col("size") - F.col("pos"), F.col("c.size") - F.col("c.pos"))
+    found = found.filter((100 + p) * most >= p * (F.col("size") + F.col("c.size")))
     return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _across(block: pa.Table, grams: Grams) -> pa.Table:
-    """Pairs of different components in the lists of one block: a, b, sizes, shared n-grams, last shared places."""
-    names, node = np.unique(block.column("node").to_numpy(), return_inverse=True)
-    token, comp, size, pos, side = (block.column(c).to_numpy() for c in ("token", "comp", "size", "pos", "side"))
-    by = np.lexsort((node, size, token))
-    token, node, comp, size, pos, side = token[by], node[by], comp[by], size[by].astype(np.int64), pos[by].astype(np.int64), side[by]
-    own = bool((side == 2).all())  # a block with itself
-    sizes = np.zeros(len(names), np.int64)
-    sizes[node] = size
-    done, held, waiting = [], [], 0
-
-    def fold():
-        key, n, px, py = (np.concatenate([h[k] for h in (*done, *held)]) for k in range(4))
-        order = np.argsort(key, kind="stable")
-        key, n, px, py = key[order], n[order], px[order], py[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        done[:] = [(key[at], np.add.reduceat(n, at), np.maximum.reduceat(px, at), np.maximum.reduceat(py, at))]
-        held.clear()
+def _across(lists: pa.Table, sets: pa.Table, grams: Grams) -> pa.Table:
+    """Links (a, b) between different components in one block of lists, enough to connect what links.
 
+    A set is compared, on all n-grams, with those entries of its lists that size and places allow
+    and that are in no common component with it by now; found links count at once, so the answers
+    of a set's component need not be computed again.
+    """
+    if not lists.num_rows or not sets.num_rows:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    names, node = np.unique(lists.column("node").to_numpy(), return_inverse=True)
+    token, comp, size, pos, k, side = (lists.column(c).to_numpy() for c in ("token", "comp", "size", "pos", "k", "side"))
+    by = np.lexsort((size, token))
+    token, node, comp, size, pos, k, side = token[by], node[by], comp[by], size[by].astype(np.int64), pos[by].astype(np.int64), k[by].astype(np.int64), side[by]
+    where = dict(zip(sets.column("s_node").to_pylist() if sets.num_rows else [], range(sets.num_rows)))
+    at = np.array([where.get(x, -1) for x in names.tolist()])
+    parts = [_keys(sets.column("grams")[int(i)].as_py()) if i >= 0 else np.zeros(0, U64) for i in at]
+    count = np.array([len(x) for x in parts])
+    flat = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    start = np.cumsum(count) - count
+    seen = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    label = np.zeros(len(names), np.int64)
+    label[node] = comp
+    own = bool((side == 2).all())  # a block with itself
+    half, sizes = np.zeros(len(names), side.dtype), np.zeros(len(names), np.int64)
+    half[node], sizes[node] = side, size
+    # places of each node's entries, and the end of its size block in each list
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    low = np.repeat(edge[:-1], np.diff(edge))
+    top = np.empty(len(token), np.int64)
     for lo, hi in zip(edge[:-1], edge[1:]):
-        # block skipping: no larger set can link
-        top = lo + np.searchsorted(size[lo:hi], size[lo:hi] * 100 // grams.percent, "right")
-        for i in range(lo, hi - 1):
-            j = np.arange(i + 1, top[i - lo])
-            j = j[(comp[j] != comp[i]) & (own | (side[j] != side[i]))]
-            j = j[_bound(pos[i], pos[j], size[i], size[j]) >= grams.need(size[i], size[j])]
-            if len(j):
-                first = node[i] < node[j]
-                x, y = np.where(first, node[i], node[j]), np.where(first, node[j], node[i])
-                held.append((x * len(names) + y, np.ones(len(j), np.int64), np.where(first, pos[i], pos[j]), np.where(first, pos[j], pos[i])))
-                waiting += len(j)
-        if waiting > 1 << 21:
-            fold()
-            waiting = 0
-    if held:
-        fold()
-    key, n, px, py = done[0] if done else (np.zeros(0, np.int64),) * 4
-    x, y = key // len(names), key % len(names)
-    cols = {"a": names[x], "b": names[y], "na": sizes[x], "nb": sizes[y], "n": n, "pa": px, "pb": py}
-    return pa.table({c: v.astype(np.int64 if c in "ab" else np.int32) for c, v in cols.items()})
-
-
-def cross_pairs(entries: DataFrame, grams: Grams) -> DataFrame:
-    """All candidates of open long lists between different components, pruned by all their shared places.
-
-    Lists with one smallest node hold much the same sets, so they are dealt together (in blocks of
-    nodes, each pair of blocks once) and a pair leaves the task once. Pairs that short lists share
-    too were decided before; for the others the matches counted here are all there are in both
-    prefixes, and the bound counts what may follow the last one.
+        top[lo:hi] = lo + np.searchsorted(size[lo:hi], size[lo:hi] * 100 // grams.percent, "right")
+    order = np.argsort(node, kind="stable")
+    cuts = np.searchsorted(node[order], np.arange(len(names) + 1))
+    left, right = [], []
+    for x in np.argsort(sizes, kind="stable").tolist():
+        near = []
+        for i in order[cuts[x] : cuts[x + 1]].tolist():
+            # block skipping: smaller sets came before (ties: by place in the list), larger ones cannot link
+            j = np.arange(low[i], top[i])
+            j = j[(size[j] >= size[i]) & (label[node[j]] != label[x]) & (own | (half[node[j]] != half[x]))]
+            near.append(node[j[_bound(k[i], pos[i], k[j], pos[j], size[i], size[j]) >= grams.need(size[i], size[j])]])
+        other = np.unique(np.concatenate(near))
+        other = other[label[other] != label[x]]
+        if not len(other):
+            continue
+        seen[flat[start[x] : start[x] + count[x]]] = True
+        for lo in range(0, len(other), 256):
+            some = other[lo : lo + 256]
+            some = some[(label[some] != label[x]) & (count[some] > 0)]
+            if not len(some):
+                continue
+            n = count[some]
+            gather = np.repeat(start[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            common = np.add.reduceat(seen[flat[gather]].astype(np.int64), np.cumsum(n) - n)
+            for y in some[100 * common >= grams.percent * (count[x] + n - common)].tolist():
+                if label[y] != label[x]:
+                    left.append(x)
+                    right.append(y)
+                    label[label == label[y]] = label[x]
+        seen[flat[start[x] : start[x] + count[x]]] = False
+    a, b = names[np.array(left, np.int64)], names[np.array(right, np.int64)]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def cross_links(entries: DataFrame, sets: DataFrame, grams: Grams) -> DataFrame:
+    """Links between different components in open long lists.
+
+    Lists with one smallest node hold much the same sets, so they are dealt together, in blocks of
+    nodes, each pair of blocks once, with the sets of its nodes. A pair that shares a short list was
+    decided by it.
     """
     centre = entries.groupBy("token").agg(F.min("node").alias("centre"))
     named = entries.join(centre, "token")
-    blocks_ = named.groupBy("centre").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("node") / PAIR_BLOCK)).cast("int").alias("k"))
-    spread = named.join(blocks_, "centre").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    blocks_ = named.groupBy("centre").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("node") / PAIR_BLOCK)).cast("int").alias("parts"))
+    spread = named.join(blocks_, "centre").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = spread.select("centre", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "token", "node", "comp", "size", "pos", side.cast("int").alias("side"))
-    pairs = dealt.groupBy("centre", "p", "q").applyInArrow(lambda t: _across(t, grams), "a long, b long, na int, nb int, n int, pa int, pb int")
-    found = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    p = grams.percent
-    most = F.col("n") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return found.filter((100 + p) * most >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+    dealt = spread.select("centre", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "token", "node", "comp", "size", "pos", "k", side.cast("int").alias("side"))
+    dealt = materialize(dealt)
+    key = ("centre", "p", "q")
+    mine = dealt.select(*(F.col(c).alias(f"s_{c}") for c in key), F.col("node").alias("s_node")).distinct()
+    held = mine.join(sets.select(F.col("node").alias("s_node"), "grams"), "s_node")
+    return dealt.groupBy(*key).cogroup(held.groupBy(*(f"s_{c}" for c in key))).applyInArrow(lambda x, y: _across(x, y, grams), "a long, b long")
 
 
 # ---------------------------------------------------------------- verification
@@ -532,7 +547,7 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     lists = postings(docs, grams, frequent(docs, grams, buckets), buckets)
     near = materialize(lists.groupBy("bucket").applyInArrow(lambda t: _near(t, grams), _NEAR))
     first = materialize(_first_pairs(near, grams))
-    long = near.filter("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("node"), F.col("na").alias("size"), F.col("pa").alias("pos"))
+    long = materialize(long_entries(near))
     in_long = long.select("node").distinct()
     wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(in_long).distinct()
     # one document stands for each node; rows without an id have none that could be looked up
@@ -544,17 +559,13 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     entries = materialize(open_entries(long, comp))
     if entries.isEmpty():
         return nodes, comp, links[0]
-    open_nodes = entries.select("node").distinct()
-    sets = materialize(sets.join(open_nodes, "node"))
-    tried = first
+    sets = materialize(sets.join(entries.select("node").distinct(), "node"))
     for turn in range(TURNS):
-        pairs = materialize(star_pairs(entries, turn, grams).join(tried, ["a", "b"], "left_anti"))
+        pairs = materialize(star_pairs(entries, turn, grams).join(first, ["a", "b"], "left_anti"))
         links.append(materialize(verify(sets, pairs, grams)))
-        tried = tried.union(pairs)
         comp = join_components(comp, links[-1])
         entries = materialize(open_entries(long, comp))
-    rest = materialize(cross_pairs(entries, grams).join(tried, ["a", "b"], "left_anti"))
-    links.append(materialize(verify(sets, rest, grams)))
+    links.append(materialize(cross_links(entries, sets, grams)))
     return nodes, join_components(comp, links[-1]), reduce(DataFrame.union, links)
 
 
