@@ -482,7 +482,10 @@ def _bloom(ids: DataFrame):
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFrame:
-    """doc_id, grams (5 bytes of each hash, by byte): the sets of the wanted documents (doc_id), and few others."""
+    """node, grams (5 bytes of each hash, by byte): the sets of the wanted documents (doc_id), and of few others.
+
+    A node may come twice, by a document that the filter lets pass; that repeats a link at most.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches):
@@ -496,9 +499,9 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFram
             for rows, data, offsets in blocks([batch]):
                 gram, cuts = grams.sets(data, offsets)
                 packed = [gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for i in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(gram, cuts), pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, grams binary")
+    return _texts(docs).mapInArrow(run, "node long, grams binary")
 
 
 def _keys(blob: bytes) -> np.ndarray:
@@ -530,8 +533,9 @@ def verify(sets: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    with_b = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    # sets are the large side at every size: one plan, whatever the number of pairs
+    with_b = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")).hint("merge"), "b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")).hint("merge"), "a")
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
@@ -550,10 +554,9 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     long = materialize(long_entries(near))
     in_long = long.select("node").distinct()
     wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(in_long).distinct()
-    # one document stands for each node; rows without an id have none that could be looked up
-    holders = materialize(nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(wanted, "node"))
-    found = materialize(candidate_sets(docs, holders.select("doc_id").distinct(), grams))
-    sets = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(holders, "doc_id").select("node", "grams")
+    # one document stands for each node
+    holders = nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(wanted, "node")
+    sets = materialize(candidate_sets(docs, materialize(holders.select("doc_id").distinct()), grams))
     links = [materialize(verify(sets, first, grams))]
     comp = components(links[0])
     entries = materialize(open_entries(long, comp))
