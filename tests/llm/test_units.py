@@ -221,6 +221,11 @@ def test_mixture_finds_both_languages():
     assert abs(share[0, 0] - 0.75) < 0.05 and share[1].tolist() == [1.0, 0.0] and words.tolist() == [80, 2, 0]
 
 
+def test_letters():
+    _, data, offsets = block(["", "1 2", "¿ 🤖 …", "é", "日", "x"])
+    assert language._has_letter(data, offsets).tolist() == [False, False, False, True, True, True]
+
+
 def test_shingle_sets():
     g = jaccard.Grams()
     _, data, offsets = block(["a b c d e f", "A  B\tc d e", "a b c d e a b c d e", "a b", "a c", "", "a\nb"])

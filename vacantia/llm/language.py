@@ -121,6 +121,15 @@ class Model:
         return pi
 
 
+def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows with a letter: a-z, A-Z, or (looked up only where there is none of these) any other."""
+    count = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 128))])
+    out = count[offsets[1:]] > count[offsets[:-1]]
+    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
+        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+    return out
+
+
 def fit(docs: DataFrame) -> Model:
     """Model of all languages that label a row of ``docs``; no labels: no languages."""
     rows = trigram_counts(docs).toPandas()
@@ -147,7 +156,7 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
             share, words = m.mixtures(data, offsets)
             top = share.argmax(1)
             score = share[np.arange(len(top)), top]
-            found = (words > 0) & (len(m.names) > 0)
+            found = (words > 0) & (len(m.names) > 0) & _has_letter(data, offsets)
             langs = [" ".join(f"{m.names[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] >= 0.0005) if f else "" for s, f in zip(share, found)]
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array([m.names[j] if f else "und" for j, f in zip(top, found)], pa.string()),
