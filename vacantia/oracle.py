@@ -364,3 +364,11 @@ SQL["facet_trust"] = """WITH b AS (SELECT c_custkey AS board_id, c_custkey % 50
   SELECT *, uses_facet OR n_other = 0 AS trusted FROM r"""
 SQL["normalize_json_events"] = "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, event_type AS kind FROM events"
 SQL["stream_daily_counts"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+ROUTE_P = ["Custom", "AshbyHQ", "workday", "Team Tailor", None, "Greenhouse"]
+ROUTE_T = ["https://www.amazon.jobs/en", "acme", "nu", "", "x/y"]
+SQL["resolve_provider"] = f"""WITH {C}, a AS (SELECT id, {pick(ROUTE_P, 'id')} AS r, {pick(ROUTE_T, 'id')} AS t, {URL} AS u, coalesce(careers_url, '') AS raw FROM c),
+  b AS (SELECT *, {hostof('u')} AS h, {PARTS}[1] AS p FROM a),
+  x AS (SELECT id, CASE WHEN r = 'Custom' AND contains(coalesce(nullif(t, ''), raw), 'amazon.jobs') THEN ['amazon', t]
+      WHEN r = 'workday' AND t <> '' AND NOT contains(t, '/') THEN ['workday', CASE WHEN h IS NOT NULL AND p IS NOT NULL AND p NOT IN ('en-US', 'en-GB') THEN {SUB} || '/' || p ELSE t END]
+      WHEN r IS NOT NULL AND t <> '' THEN [CASE r WHEN 'AshbyHQ' THEN 'ashby' WHEN 'Team Tailor' THEN 'teamtailor' ELSE lower(r) END, t] END AS x FROM b)
+  SELECT id, x[1] AS provider, x[2] AS token FROM x"""
