@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import exact_dedup, jaccard, mixing, pieces, toxicity
-from vacantia.llm.common import shared_folder, table
+from vacantia.llm.common import keep_rows, shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +23,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the most code points, then the smallest doc_id."""
-    return _without(docs, exact_dedup.dedup(docs).filter(~F.col("kept")).select("doc_id"))
+    return keep_rows(docs, exact_dedup.copies(docs)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id."""
-    found = jaccard.near_duplicates(docs)
-    return _without(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return keep_rows(docs, jaccard.copies(docs)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +41,6 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.with_ids(docs).select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the ids in ``dropped``; rows with a null id stay."""
-    return docs.join(dropped.filter(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 STAGES = [
     ("toxicity", reject_toxic),
     ("exact dedup", drop_exact_copies),

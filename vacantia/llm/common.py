@@ -68,6 +68,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """64-bit hash of all columns, nulls told apart: the rows of one key are equal, hence interchangeable.
+
+    Two different rows share a key with a probability of about n^2 / 2^65.
+    """
+    return F.xxhash64(*[docs[c].isNull() for c in docs.columns], *[docs[c] for c in docs.columns])
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """``docs`` with ``__key`` and without the rows whose key is not kept; of equal rows that are kept one stays.
+
+    ``verdict`` (key, n, kept) has one row a key, n counts its rows; keys that it lacks stay. Only
+    repeated rows are grouped, so texts with a key of their own are not moved for that.
+    """
+    keyed = docs.withColumn("__key", row_key(docs))
+    named = verdict.select(F.col("key").alias("__key"), "n", "kept")
+    found = materialize(named.filter(~F.col("kept") | (F.col("n") > 1)))
+    again = materialize(found.filter("kept").select("__key"))
+    out = keyed.join(found.select("__key"), "__key", "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out
+
+
 def doc_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))

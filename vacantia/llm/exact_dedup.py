@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, doc_crc, materialize
+from .common import WHITE, doc_crc, materialize, row_key
 
 #: Distinct digests that a bucket holds on average; the number of buckets follows the table.
 BUCKET_KEYS = 4096
@@ -37,12 +37,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             chars.append(len(text))
             digests.append(hashlib.sha256(text.encode().translate(None, WHITE)).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "chars", "digest"])
+        rest = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64()), pa.array(digests, pa.binary()), *batch.columns[2:]], ["doc_id", "chars", "digest", *rest])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, chars (code points of the original text), digest (of the normal form)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, chars long, digest binary")
+def digests(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id, chars (code points of the original text), digest (of the normal form), and if wanted key (of the row)."""
+    key = [row_key(docs).alias("key")] if with_key else []
+    schema = "doc_id long, chars long, digest binary" + ", key long" * with_key
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(_digests, schema)
 
 
 def winners(keyed: DataFrame) -> DataFrame:
@@ -188,3 +191,19 @@ def dedup(docs: DataFrame, is_history=None) -> DataFrame:
     found = groups(keyed.filter(old), keyed.filter(~old), buckets_for(keyed.count()))
     joined = keyed.join(found, "digest")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """key, n, kept of the rows that share their text with another (see ``keep_rows``): one key of each group is kept.
+
+    The winner is that of ``dedup``; where rows share its id, the one with the most code points, then the greatest key.
+    """
+    keyed = materialize(digests(docs, with_key=True))
+    old = doc_crc() % 2 == 0
+    found = groups(keyed.filter(old), keyed.filter(~old), buckets_for(keyed.count())).filter("group_size > 1")
+    shared = materialize(keyed.join(found, "digest").withColumn("may_win", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "chars", "key", "may_win"))
+    mine = shared.filter("may_win").groupBy("digest", "key").agg(F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
+    best = mine.groupBy("digest").agg(F.max(F.struct("chars", "key")).alias("best"))
+    won = mine.join(best, "digest").select("key", "n", (F.col("key") == F.col("best.key")).alias("kept"))
+    lost = shared.filter("not may_win").groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(False))
+    return won.union(lost)

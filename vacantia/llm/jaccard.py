@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix, pack, unpack
+from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix, pack, row_key, unpack
 from .graph import components, join_components
 
 WORDS = 5
@@ -584,3 +584,19 @@ def near_duplicates(docs: DataFrame, grams: Grams | None = None) -> DataFrame:
     roots = joined.filter("node <> 0").groupBy("comp").agg(F.min("doc_id").alias("root"))
     named = joined.join(roots, "comp", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+
+
+def copies(docs: DataFrame, grams: Grams | None = None) -> DataFrame:
+    """key, n, kept of the rows of components of several rows (see ``keep_rows``): one key of each component is kept.
+
+    The winner has the smallest doc_id (null last), then the smallest key. Rows are told apart by
+    their key, so an id may be null or stand for several texts.
+    """
+    key = row_key(docs)
+    found = materialize(near_duplicates(docs.select(key.alias("doc_id"), "text"), grams).filter("n_shingles > 0"))
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component_id")
+    grouped = materialize(found.join(several, "component_id").groupBy("component_id", F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    named = materialize(grouped.join(ids, "key").distinct())
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best"))
+    return named.join(best, "component_id").select("key", "n", (F.col("key") == F.col("best.key")).alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import materialize
+from .common import keep_rows, materialize, row_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (0.6, 0.0, -0.6)
@@ -48,7 +48,7 @@ def targets(sizes: list[int], weights: list[float], cap: float = MAX_PASSES) ->
 
 def word_sizes(docs: DataFrame) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key(docs).alias("key"))
 
 
 def source_table(sized: DataFrame) -> DataFrame:
@@ -77,6 +77,11 @@ def assign(docs: DataFrame) -> DataFrame:
     Order within a source: hash of the id, then the id (rows that share an id are
     interchangeable). Null sources are one source, null texts have size 0.
     """
+    return _plan(docs).drop("key")
+
+
+def _plan(docs: DataFrame) -> DataFrame:
+    """``assign`` with the key of each row."""
     sized = materialize(word_sizes(docs))
     slices = max(1, -(-sized.count() // SLICE_ROWS))
     # one row per source: bounded by the catalogue of sources, a few bytes each
@@ -86,7 +91,7 @@ def assign(docs: DataFrame) -> DataFrame:
     sums = known.groupBy("rank", "slice").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("rank", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("rank", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "slice").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.join(offsets, ["rank", "slice"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     quota = F.floor(F.col("target") + F.lit(0.5)).cast("long")
 
@@ -97,7 +102,7 @@ def assign(docs: DataFrame) -> DataFrame:
 
     takes = F.filter(F.array(*[take(k) for k in range(MAX_PASSES)]), lambda x: x["words"] > 0)
     taken = F.aggregate(F.col("takes"), F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return placed.withColumn("takes", takes).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "takes")
+    return placed.withColumn("takes", takes).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "takes", "key")
 
 
 def _with_sources(sized: DataFrame) -> DataFrame:
@@ -125,14 +130,16 @@ def _first_words(text: pd.Series, words: pd.Series) -> pd.Series:
 def mixture(docs: DataFrame) -> DataFrame:
     """The training order: the columns of ``docs``, a row for each take, range-sorted by position.
 
-    A take of fewer words than the document has keeps its first words. Documents are matched to
-    their takes by doc_id; ids must be distinct and not null here, else rows pair up.
+    A take of fewer words than the document has keeps its first words. Rows are matched to their
+    takes by their key; of equal rows one is joined with the takes of all of them.
     """
-    plan = assign(docs).select(F.col("doc_id").alias("take_id"), "size", F.explode("takes").alias("take"))
-    joined = docs.join(plan, docs["doc_id"].cast("long") == F.col("take_id"))
-    part = F.col("take.words") < F.col("size")
-    text = F.when(part, _first_words(F.when(part, docs["text"]), F.col("take.words"))).otherwise(docs["text"])
+    plan = materialize(_plan(docs).select("key", "size", "takes"))
+    alone = keep_rows(docs, plan.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(True)))
+    takes = plan.select(F.col("key").alias("__key"), F.col("size").alias("__size"), F.explode("takes").alias("__take"))
+    joined = alone.join(takes, "__key")
+    part = F.col("__take.words") < F.col("__size")
+    text = F.when(part, _first_words(F.when(part, F.col("text")), F.col("__take.words"))).otherwise(F.col("text"))
     cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    chosen = joined.select(*cols, F.col("take.position").alias("__position"))
-    ordered = chosen.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id")
-    return ordered.drop("__position")
+    order = ["__position", "doc_id", "__key"]
+    chosen = joined.select(*cols, F.col("__take.position").alias("__position"), "__key")
+    return chosen.repartitionByRange(*order).sortWithinPartitions(*order).drop("__position", "__key")
