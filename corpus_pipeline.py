@@ -37,8 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_pieces and ids of each row, in the order of the stage before."""
-    return pieces.with_ids(docs).select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids")
+    """doc_id, source, n_pieces, ids and position of each row; position grows in the training order of the stage before."""
+    placed = docs.withColumn("position", mixing.written_position(docs))
+    return pieces.with_ids(placed).select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids", "position")
 
 
 STAGES = [

@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from vacantia.llm import mixing
+from vacantia.llm import mixing, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,3 +46,32 @@ def test_mixture_takes_each_row_once_a_pass(spark):
     for r in mixing.mixture(docs).collect():
         got[r.doc_id] += len(r.text.split())
     assert got == {i: n for i, n in planned.items() if n} and got[None]
+
+
+def test_pipeline_result_has_the_training_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [row(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 50, 2000]))), f"s{i % 3}") for i in range(200)]
+    mixed = mixing.mixture(spark.createDataFrame(rows, DOCS)).select(*DOCS.replace(",", "").split()[::2])
+    order = [r.doc_id for r in mixed.collect()]
+    for k, n in enumerate((150, 3, 40, len(order) - 193)):  # files of unlike sizes, as range partitions may be
+        lo = (0, 150, 153, 193)[k]
+        one = spark.createDataFrame([(*rows[i], lo + j) for j, i in enumerate(order[lo : lo + n])], DOCS + ", at int").coalesce(1).sortWithinPartitions("at").drop("at")
+        one.write.parquet(f"{tmp_path}/one{k}")
+        part = next((tmp_path / f"one{k}").glob("part-*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        part.rename(tmp_path / "all" / part.name.replace("part-00000", f"part-{k:05d}"))
+    back = spark.read.parquet(f"{tmp_path}/all")
+    assert [r.doc_id for r in back.collect()] != order
+    got = corpus_pipeline.STAGES[-1][1](spark, back, "").collect()
+    assert len({r.position for r in got}) == len(order)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == order
+
+
+def test_op8_is_sorted_and_has_all_positions(spark, tmp_path):
+    rows = [row(i, t, f"s{min(i, 3)}") for i, t in enumerate(texts(40))]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_mixing(spark, str(tmp_path)).collect()
+    takes = {r.doc_id: sorted(t.position for t in r.takes) for r in mixing.assign(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {r.doc_id: r.positions for r in got} == takes and max(map(len, takes.values())) > 1
+    first = [(r.first_position is None, r.first_position or 0.0, r.doc_id) for r in got]
+    assert first == sorted(first) and all((r.first_position is None) == (not r.positions) for r in got)

@@ -15,7 +15,8 @@ sums are accumulated, and each slice is accumulated by itself, so no source is i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -143,3 +144,31 @@ def mixture(docs: DataFrame) -> DataFrame:
     order = ["__position", "doc_id", "__key"]
     chosen = joined.select(*cols, F.col("__take.position").alias("__position"), "__key")
     return chosen.repartitionByRange(*order).sortWithinPartitions(*order).drop("__position", "__key")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """One row per document, range-sorted by first_position (null: never taken, last).
+
+    doc_id, size, source_size, target, taken, first_position, and positions: that of each take, ascending.
+    """
+    plan = _plan(docs).withColumn("positions", F.array_sort(F.transform("takes", lambda x: x["position"])))
+    found = plan.select("doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"), "positions", "key")
+    order = [F.asc_nulls_last("first_position"), F.asc("doc_id"), F.asc("key")]
+    return found.repartitionByRange(*order).sortWithinPartitions(*order).drop("key")
+
+
+def written_position(docs: DataFrame) -> Column:
+    """A number that grows in the row order of ``docs``, distinct but with gaps.
+
+    For rows read from Spark's files it comes from the file's task and part number and the row's
+    place in it, as the scan deals files out by size; else from the partition and the place in it.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+
+    def number(pattern):
+        return F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+
+    return F.shiftleft(number(r"^part-(\d+)"), 43) + F.shiftleft(number(r"c(\d{3,})\."), 33) + F.col("_metadata.row_index")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard, language, licenses, mixing, pieces, sharding, suffixes, tiff, toxicity
 from .common import table
@@ -38,8 +37,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.assign(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_min(F.transform("takes", lambda x: x["position"])).alias("first_position"))
+    return mixing.in_order(table(spark, sf_dir, "documents"))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
