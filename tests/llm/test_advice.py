@@ -3,8 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from vacantia.llm import mixing, queries
+from vacantia.llm import language, mixing, queries
+from vacantia.llm.common import utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +80,26 @@ def test_op8_is_sorted_and_has_all_positions(spark, tmp_path):
     assert {r.doc_id: r.positions for r in got} == takes and max(map(len, takes.values())) > 1
     first = [(r.first_position is None, r.first_position or 0.0, r.doc_id) for r in got]
     assert first == sorted(first) and all((r.first_position is None) == (not r.positions) for r in got)
+
+
+def languages(n, seed=1):
+    """n languages of disjoint letters: a word maker for each, and their model."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    make = [lambda a=letters[4 * k : 4 * k + 4]: "".join(rng.choices(a, k=5)) for k in range(n)]
+    logs = np.zeros((n, 1 << language.BITS), np.float32)
+    for k in range(n):
+        code, _, _ = language.word_trigrams(*utf8(pa.array([" ".join(make[k]() for _ in range(400))])))
+        count = np.bincount(code, minlength=1 << language.BITS) + 0.5
+        logs[k] = np.log(count / count.sum())
+    return make, language.Model([f"l{k}" for k in range(n)], logs)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
+def test_language_sets_have_any_size(n):
+    make, model = languages(6)
+    long = " ".join(make[k]() for k in range(n) for _ in range(40))
+    share, _ = model.mixtures(*utf8(pa.array([long, make[5](), "", long])))
+    for s in (share[0], share[3]):
+        assert np.flatnonzero(s > 0.0005).tolist() == list(range(n)) and np.abs(s[:n] - 1 / n).max() < 0.05
+    assert share[1].tolist() == [0, 0, 0, 0, 0, 1] and not share[2].any()

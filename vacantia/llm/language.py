@@ -2,8 +2,8 @@
 
 Every word has a likelihood under each language, from its byte trigrams (blanks at both ends).
 A document is a mixture: expectation-maximisation over its words estimates how much of it is in
-each language. Nested sets of its likeliest languages are fitted and the one with the best
-penalised likelihood (half a log of the word count for each further language) is its language set.
+each language. Nested sets of its likeliest languages, of any size, are fitted and the one with the
+best penalised likelihood (half a log of the word count for each further language) is its language set.
 
 Trigram counts cover all training rows: map tasks count densely, the counts are summed by
 (language, trigram) with map-side combining, and the model (one table of 2^16 numbers for each
@@ -27,7 +27,8 @@ SMOOTHING = 0.5
 EM_STEPS = 12
 #: EM steps for each nested set; the full fit gives the starting point.
 SET_STEPS = 6
-MAX_SET = 3
+#: What a set's likelihood may exceed its bound by, for sums in single precision.
+SLACK = 1.0
 #: A word's likelihoods under two languages differ by this factor (log) at most, so that one
 #: odd word (a name, a link) decides nothing.
 WORD_RANGE = 12.0
@@ -97,21 +98,41 @@ class Model:
         order = np.argsort(-pi, 1, kind="stable")
         best = np.full(len(pi), -np.inf)
         chosen = pi.copy()
-        for size in range(1, min(MAX_SET, k) + 1):
-            mask = np.zeros(pi.shape, np.float32)
-            np.put_along_axis(mask, order[:, :size], 1, 1)
-            fit = pi * mask
+        count, rows = words[some], np.arange(len(pi))
+        limit, penalty = self._limit(p, pi, count, at), 0.5 * np.log(count)
+        for size in range(1, k + 1):
+            # a row goes on while a set of this size or a larger one could still win
+            live = limit[rows] + SLACK - size * penalty[rows] > best[rows]
+            if not live.any():
+                break
+            if not live.all():
+                p, rows = p[np.repeat(live, count[rows])], rows[live]
+                at = np.cumsum(count[rows]) - count[rows]
+            mask = np.zeros((len(rows), k), np.float32)
+            np.put_along_axis(mask, order[rows, :size], 1, 1)
+            fit = pi[rows] * mask
             fit /= np.maximum(fit.sum(1, keepdims=True), 1e-30)
             if size > 1:
-                fit = self._em(p, fit, words[some], at, SET_STEPS)
-            seen = np.log(np.maximum((p * np.repeat(fit, words[some], 0)).sum(1), 1e-30))
-            value = np.add.reduceat(seen, at) - 0.5 * size * np.log(words[some])
-            better = value > best
-            best, chosen[better] = np.where(better, value, best), fit[better]
+                fit = self._em(p, fit, count[rows], at, SET_STEPS)
+            seen = np.log(np.maximum((p * np.repeat(fit, count[rows], 0)).sum(1), 1e-30))
+            value = np.add.reduceat(seen, at) - size * penalty[rows]
+            better = value > best[rows]
+            best[rows[better]], chosen[rows[better]] = value[better], fit[better]
         out = np.zeros((n, k))
         out[some] = chosen
         return out, words
 
+    @staticmethod
+    def _limit(p: np.ndarray, pi: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log likelihood that no mixture of a row's words exceeds.
+
+        It is concave in the proportions: by Jensen's inequality the gain over ``pi`` is at most
+        words * log(max over languages of the mean of p / mixture).
+        """
+        mixed = np.maximum((p * np.repeat(pi, words, 0)).sum(1), 1e-30)
+        gain = np.add.reduceat(p / mixed[:, None], at, 0).max(1) / words
+        return np.add.reduceat(np.log(mixed), at) + words * np.log(np.maximum(gain, 1.0))
+
     @staticmethod
     def _em(p: np.ndarray, pi: np.ndarray, words: np.ndarray, at: np.ndarray, steps: int) -> np.ndarray:
         for _ in range(steps):
