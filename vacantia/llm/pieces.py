@@ -10,7 +10,11 @@ merges from the latest one back, no earlier merge would have joined the boundary
 edge survives at each position, and the chain read backwards from the unit's end is the encoding
 that the model's merge order gives. Characters outside the vocabulary fall back to byte pieces.
 
-Units are dealt with once per worker (a bounded cache keeps their ids), texts are never cut.
+Blank runs are matched like words: their pieces tie on score, and the rule that of equal merges the
+left one comes first decides them. The text of a batch is its distinct units, one behind the other; it
+is indexed ``INDEX_BYTES`` at a time (the relaxation carries on from slice to slice, also within one
+long unit), so memory is bounded and the work linear. Units are dealt with once per worker (a bounded
+cache keeps their ids), texts are never cut.
 """
 
 from __future__ import annotations
@@ -31,8 +35,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_UNITS = 400_000
-#: Bytes of text in a batch, and units that are indexed together (an edge takes some 30 bytes, a unit has some 50 edges).
-BATCH_BYTES, INDEX_UNITS = 1 << 22, 1 << 15
+#: Bytes of text in a batch, units that are concatenated, and bytes of them that are indexed together (an edge takes some 30
+#: bytes, a byte has some 5 edges).
+BATCH_BYTES, JOINED_UNITS, INDEX_BYTES = 1 << 22, 1 << 16, 1 << 19
+#: Edges at one position up to which pairs are looked up one by one, and pairs that are remembered for that.
+FEW, KNOWN_PAIRS = 24, 1 << 18
 NONE = -1
 
 
@@ -68,6 +75,7 @@ class Vocabulary:
         chars = "".join(re.escape(c) for c in sorted(joined))
         # spaces and the word behind them; spaces before anything else; any other single character
         self.units = re.compile(f"{SPACE}*[{chars}]+|{SPACE}+|[^{SPACE}]" if chars else f"{SPACE}+|[^{SPACE}]", re.DOTALL)
+        self._known: dict[tuple[int, int], bool] = {}
         self._merge_tables()
 
     def merge(self, text: str) -> list[int]:
@@ -115,9 +123,10 @@ class Vocabulary:
                 if len(parts) == 1:
                     reachable[i] = True
                     self.left[i], self.right[i] = (self.ids[x] for x in last)
-        used = np.array(sorted(i for i in self.ids.values() if reachable[i] and SPACE * 2 not in self.pieces[i]), np.int64)
+        used = np.array(sorted(i for i in self.ids.values() if reachable[i]), np.int64)
         self.match_ids = used
         self.match_bytes = [self.pieces[i].encode() for i in used]
+        self.match_len = np.array([len(x) for x in self.match_bytes], np.int64)
         keys = np.array([a * n + b for a, b in pairs], np.int64)
         self._size = 1 << 21
         self._key, self._val = np.full(self._size, -1, np.int64), np.zeros(self._size, np.int64)
@@ -145,6 +154,15 @@ class Vocabulary:
                 break
         return out
 
+    def follows(self, a: int, b: int) -> bool:
+        """``may_follow`` of one pair, remembered."""
+        found = self._known.get((a, b))
+        if found is None:
+            if len(self._known) >= KNOWN_PAIRS:
+                self._known.clear()
+            found = self._known[a, b] = bool(self.may_follow(np.array([a]), np.array([b]))[0])
+        return found
+
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may stand right behind piece a in an encoding."""
         ok = np.ones(len(a), bool)
@@ -226,69 +244,77 @@ def occurrences(data: np.ndarray, order: np.ndarray, pieces: list[bytes]) -> tup
 def encode_units(vocab: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat ids of all units, and where each unit's ids start and how many they are.
 
-    Units with two or more leading spaces tie on score and go by plain merges, single characters
-    by a lookup; all others by matching.
+    Single characters go by a lookup, all others by matching.
     """
-    single: dict[int, list[int]] = {}
-    plain = []
-    for i, u in enumerate(units):
-        if len(u) == 1:
-            single[i] = vocab.lookup([u])
-        elif u.startswith(SPACE * 2):
-            single[i] = vocab.merge(u)
-        else:
-            plain.append(i)
+    plain = [i for i, u in enumerate(units) if len(u) > 1]
     start, count, flat = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), np.zeros(0, np.int32)
+    single = {i: vocab.lookup([u]) for i, u in enumerate(units) if len(u) == 1}
     if plain:
-        flat, each = _match(vocab, [units[i] for i in plain])
+        flat, each, unmatched = _match(vocab, [units[i] for i in plain])
         start[plain], count[plain] = np.cumsum(each) - each, each
+        single |= {plain[k]: vocab.merge(units[plain[k]]) for k in unmatched}
     rest = list(single)
     each = np.array([len(single[i]) for i in rest], np.int64)
     start[rest], count[rest] = len(flat) + np.cumsum(each) - each, each
     return np.concatenate([flat, np.array([t for i in rest for t in single[i]], np.int32)]), start, count
 
 
-def _match(vocab: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array, occurrences, edges by position, relaxation: flat ids and ids per unit."""
+def _edges(vocab: Vocabulary, data: np.ndarray, lo: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (start, end, piece) that start in ``size`` bytes from ``lo``, by suffix array and binary search."""
+    part = np.concatenate([data[lo : lo + size + vocab.match_len.max()], np.zeros(8, np.uint8)])
+    order = suffix_array(part, int(vocab.match_len.max()))
+    low, high = occurrences(part, order, vocab.match_bytes)
+    count = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    start = order[np.arange(len(which)) + np.repeat(low - np.cumsum(count) + count, count)]
+    mine = start < size
+    start, which = start[mine] + lo, which[mine]
+    return start, start + vocab.match_len[which], vocab.match_ids[which]
+
+
+def _match(vocab: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Suffix array, occurrences, edges by position, relaxation: flat ids, ids per unit, and units without a chain."""
     raw = [u.encode() for u in units]
-    data = np.frombuffer(b"\0".join(raw) + b"\0" * 9, np.uint8)
+    data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
     size = np.array([len(x) for x in raw], np.int64)
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    order = suffix_array(data, max(map(len, vocab.match_bytes)))
-    lo, hi = occurrences(data, order, vocab.match_bytes)
-    lengths = np.array([len(p) for p in vocab.match_bytes], np.int64)
-    count = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(count), dtype=np.int32), count)
-    start = order[np.arange(len(which)) + np.repeat(lo - np.cumsum(count) + count, count)]
-    end = start + lengths[which]
-    place = (end - np.repeat(begin, size + 1)[start]).astype(np.uint16 if size.max() < 1 << 16 else np.int64)  # end position within the unit
-    by = np.argsort(place, kind="stable")
-    start, end, which, place = start[by], end[by], vocab.match_ids[which[by]], place[by]
-    last = np.full(len(data), NONE, np.int64)
+    of_unit = np.repeat(begin, size + 1)
+    last = np.full(len(data) + 1, NONE, np.int32)  # last[e]: the piece that ends before e
     first = np.zeros(len(data), bool)
     first[begin] = True
-    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else np.zeros(1, np.int64)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        s, e, t = start[a:b], end[a:b], which[a:b]
-        before = last[s]
-        good = first[s]
-        check = np.flatnonzero(~good & (before >= 0))
-        good[check] = vocab.may_follow(before[check], t[check])
-        last[e[good]] = t[good]  # the array is indexed by end: last[e] is the piece ending before e
+    for lo in range(0, len(data), INDEX_BYTES):
+        start, end, piece = _edges(vocab, data, lo, min(INDEX_BYTES, len(data) - lo))
+        place = end - of_unit[start]  # end position within the unit
+        by = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+        start, end, piece, place = start[by], end[by], piece[by], place[by]
+        cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            s, e, t = start[a:b], end[a:b], piece[a:b]
+            if b - a < FEW:  # the inside of a long unit
+                for s_, e_, t_ in zip(s.tolist(), e.tolist(), t.tolist()):
+                    if first[s_] or (last[s_] >= 0 and vocab.follows(int(last[s_]), t_)):
+                        last[e_] = t_
+                continue
+            before = last[s].astype(np.int64)
+            good = first[s]
+            check = np.flatnonzero(~good & (before >= 0))
+            good[check] = vocab.may_follow(before[check], t[check])
+            last[e[good]] = t[good]
     length = np.zeros(len(vocab.pieces), np.int64)
-    length[vocab.match_ids] = lengths
-    at, live, steps = begin + size, np.arange(len(size)), []
+    length[vocab.match_ids] = vocab.match_len
+    at, live, steps, lost = begin + size, np.arange(len(size)), [], np.zeros(len(size), bool)
     while len(live):
         t = last[at[live]]
-        if (t < 0).any():
-            raise ValueError("a unit has no encoding")
+        lost[live[t < 0]] = True
+        live, t = live[t >= 0], t[t >= 0]
         steps.append((live, t))
         at[live] -= length[t]
         live = live[at[live] > begin[live]]
     owner = np.concatenate([s[0] for s in steps][::-1])
     token = np.concatenate([s[1] for s in steps][::-1])
     by = np.argsort(owner, kind="stable")
-    return token[by].astype(np.int32), np.bincount(owner, minlength=len(size))
+    by = by[~lost[owner[by]]]
+    return token[by].astype(np.int32), np.bincount(owner[by], minlength=len(size)), np.flatnonzero(lost).tolist()
 
 
 class _Numbers(dict):
@@ -322,8 +348,8 @@ class Codec:
         fresh = list(islice(index, known, None))
         done = [(self.flat, self.start, self.count)]
         base = len(self.flat)
-        for lo in range(0, len(fresh), INDEX_UNITS):
-            flat, start, count = encode_units(self.vocab, fresh[lo : lo + INDEX_UNITS])
+        for lo in range(0, len(fresh), JOINED_UNITS):
+            flat, start, count = encode_units(self.vocab, fresh[lo : lo + JOINED_UNITS])
             done.append((flat, start + base, count))
             base += len(flat)
         if fresh:
