@@ -50,7 +50,7 @@ def digests(docs: DataFrame, with_key: bool = False) -> DataFrame:
 
 def winners(keyed: DataFrame) -> DataFrame:
     """One row per digest: chars and doc_id of the row that stays, and the number of rows."""
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("neg_id"))).alias("best")
+    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("neg_id"))).alias("best")
     grouped = keyed.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n"))
     return grouped.select("digest", F.col("best.chars").alias("chars"), F.col("best.neg_id").alias("neg_id"), "n")
 
@@ -137,33 +137,41 @@ def build_index(history: DataFrame, buckets: int) -> DataFrame:
     return history.select(_bucket(buckets), "*").groupBy("bucket").applyInArrow(_build, INDEX_SCHEMA)
 
 
+def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of longs (null: the least long) and which of them are there."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
 def _probe(index: pa.Table, arrivals: pa.Table) -> pa.Table:
-    out = {"digest": [], "chars": [], "neg_id": [], "n": []}
-    slot_keys, pilots, held = np.zeros(0, _DIGEST), np.zeros(0, np.int64), {c: [] for c in ("chars", "neg_id", "n")}
+    columns, none = ("chars", "neg_id", "n"), np.zeros(0, np.int64)
+    slot_keys, pilots, held = np.zeros(0, _DIGEST), none, {c: (none, none.astype(bool)) for c in columns}
+    keys, mine = slot_keys, dict(held)
     if index.num_rows:
         slot_keys = np.frombuffer(index.column("digests")[0].as_py(), _DIGEST)
-        pilots = np.array(index.column("pilots")[0].as_py(), np.int64)
-        held = {c: index.column(c)[0].as_py() for c in held}
-    keys = _as_keys(arrivals.column("digest")) if arrivals.num_rows else np.zeros(0, _DIGEST)
+        pilots = index.column("pilots")[0].values.to_numpy()
+        held = {c: _numbers(index.column(c)[0].values) for c in columns}
+    if arrivals.num_rows:
+        keys = _as_keys(arrivals.column("digest"))
+        mine = {c: _numbers(arrivals.column(c)) for c in columns}
     at = lookup_mph(pilots, slot_keys, keys)
-    mine = {c: arrivals.column(c).to_pylist() for c in held} if arrivals.num_rows else {c: [] for c in held}
-    found = dict(zip(at[at >= 0].tolist(), np.flatnonzero(at >= 0).tolist()))
-    least = -(1 << 63)
-    rank = lambda chars, neg_id: (chars, least if neg_id is None else neg_id)
-
-    def add(digest, chars, neg_id, n):
-        for c, x in zip(out, (digest, chars, neg_id, n)):
-            out[c].append(x)
-
-    for slot in range(len(slot_keys)):
-        row = tuple(held[c][slot] for c in ("chars", "neg_id", "n"))
-        if (k := found.get(slot)) is not None:
-            best = max(row[:2], (mine["chars"][k], mine["neg_id"][k]), key=lambda x: rank(*x))
-            row = (*best, row[2] + mine["n"][k])
-        add(slot_keys[slot].tobytes(), *row)
-    for k in np.flatnonzero(at < 0):
-        add(keys[k].tobytes(), mine["chars"][k], mine["neg_id"][k], mine["n"][k])
-    return pa.table({"digest": pa.array(out["digest"], pa.binary()), **{c: pa.array(out[c], pa.int64()) for c in ("chars", "neg_id", "n")}})
+    known, fresh = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+    slot = at[known]
+    held = {c: (v.copy(), ok.copy()) for c, (v, ok) in held.items()}
+    # more code points win, then any id over none, then the greater complement, which is the smaller id
+    new, old = ([x["neg_id"][0][i], x["neg_id"][1][i], x["chars"][0][i]] for x, i in ((mine, known), (held, slot)))
+    wins = np.zeros(len(known), bool)
+    for a, b in zip(new, old):  # the last one decides first
+        wins = (a > b) | ((a == b) & wins)
+    held["n"][0][slot] += mine["n"][0][known]
+    for c in ("chars", "neg_id"):
+        for k in range(2):
+            held[c][k][slot[wins]] = mine[c][k][known[wins]]
+    digest = np.concatenate([slot_keys.view("V32").ravel(), keys[fresh].view("V32").ravel()])
+    return pa.table({
+        "digest": pa.array([x.tobytes() for x in digest], pa.binary()),
+        **{c: pa.array(np.concatenate([held[c][0], mine[c][0][fresh]]), mask=~np.concatenate([held[c][1], mine[c][1][fresh]])) for c in columns},
+    })
 
 
 def groups(history: DataFrame, arrivals: DataFrame, buckets: int) -> DataFrame:
@@ -175,7 +183,7 @@ def groups(history: DataFrame, arrivals: DataFrame, buckets: int) -> DataFrame:
     index = build_index(winners(history), buckets)
     coming = winners(arrivals).select(_bucket(buckets), "*")
     merged = index.groupBy("bucket").cogroup(coming.groupBy("bucket")).applyInArrow(_probe, "digest binary, chars long, neg_id long, n long")
-    return merged.select("digest", (-F.col("neg_id")).alias("keep_id"), F.col("n").alias("group_size"))
+    return merged.select("digest", F.bitwise_not("neg_id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def dedup(docs: DataFrame, is_history=None) -> DataFrame:
@@ -184,7 +192,10 @@ def dedup(docs: DataFrame, is_history=None) -> DataFrame:
     ``is_history``: Column that marks the rows already ingested (default: an even crc32 of the
     id). The split decides which side a row comes from, never the result. Rows that share one
     id and one text are copies of each other and all carry that id as keep_id; rows with a null
-    id lose every tie.
+    id lose every tie. Rows with one id and different texts are in the groups of their own texts, so
+    kept (doc_id = keep_id) may hold for several rows of a group. Every row is counted and joined by its
+    digest; where one text holds much of the table (all null texts share one digest), adaptive execution
+    splits that key's rows, as the other side has one row a digest.
     """
     keyed = materialize(digests(docs))
     old = (doc_crc() % 2 == 0) if is_history is None else is_history
