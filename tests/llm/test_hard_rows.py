@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from vacantia.llm import exact_dedup, pieces
+from vacantia.llm import exact_dedup, pieces, tiff
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 DOCS = "doc_id long, text string"
@@ -46,3 +46,26 @@ def test_a_unit_without_a_chain_is_merged(library, monkeypatch):
     monkeypatch.setattr(codec.vocab, "may_follow", lambda a, b: a < 0)
     monkeypatch.setattr(codec.vocab, "follows", lambda a, b: False)
     assert codec.encode(["unmatched words"])[0].tolist() == library.encode("unmatched words")
+
+
+def test_every_text_is_stored_in_all_codings_and_layouts(spark):
+    rng = random.Random(8)
+    texts = [None, "", "a", "x" * 64, "lorem ipsum " * 30, "".join(rng.choices("abcdef \n", k=30_000)), "é日" * 5000, "\0" * 700]
+    for r in tiff.round_trip(spark.createDataFrame([(7, t) for t in texts], DOCS)).collect():
+        kinds = [x.split(":")[0].split("-") for x in r.kinds.split(",")]
+        assert [{k[i] for k in kinds} for i in range(3)] == [{"lzw", "packbits", "deflate"}, {"strips", "tiles"}, {"1", "2"}] and r.n_pages >= 4
+    found = {r.payload_sha256 for r in tiff.round_trip(spark.createDataFrame([(7, t) for t in texts], DOCS)).collect()}
+    assert found == {hashlib.sha256(tiff.payload_of(t)[0]).hexdigest() for t in texts}
+
+
+def test_pages_behind_a_bad_one_are_read(spark):
+    good = tiff.write_tiff(bytes(range(64)) * 64, page_rows=8)
+    numbers = [p.number for p in tiff.read_pages(good)]
+    bad = bytearray(good)
+    for tag, value in ((tiff.LENGTH, 0), (tiff.TILE_WIDTH, 0), (tiff.ROWS_PER_STRIP, 0)):
+        at = good.index(tag.to_bytes(2, "little") + b"\x04\x00\x01\x00\x00\x00")
+        bad[at + 8 : at + 12] = value.to_bytes(4, "little")
+    rows = tiff.pages(spark.createDataFrame([(1, bytes(bad)), (2, good)], "file_id long, content binary")).collect()
+    assert [r.page for r in rows if r.file_id == 1] == numbers == [r.page for r in rows if r.file_id == 2]
+    errors = [r.page for r in rows if r.error]
+    assert 1 <= len(errors) <= 3 and len(numbers) == 8

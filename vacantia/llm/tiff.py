@@ -1,9 +1,13 @@
 """TIFF media columns: image directories to one row per page.
 
-``read_pages`` walks the directories of a file (either byte order), decodes strips or tiles
-(none, PackBits, LZW, deflate), undoes horizontal differencing, and gives each page's samples.
-``write_tiff`` stores bytes losslessly as 8-bit grey pages. Both are plain functions of one file's
-bytes; Spark spreads the files (``pages``: a row per page; ``round_trip``: payload features).
+``walk`` follows the directories of a file (either byte order), decodes strips or tiles (none,
+PackBits, LZW, deflate), undoes horizontal differencing, and gives each page's samples. ``write_tiff``
+stores bytes losslessly as 8-bit grey pages; consecutive pages take turns through all codings, in
+strips and in tiles, with and without differencing, whatever the payload's size. Both are plain
+functions of one file's bytes; Spark spreads the files (``pages``: a row per page).
+
+``round_trip`` stores every text in small pages, reads them back through ``pages`` and folds each
+file's page rows, which lie one behind the other, so nothing is shuffled and no file is held whole.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed values of the TIFF 6.0 format: tags, field types (code: struct letter), compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -26,12 +31,14 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
-#: Page layout of ``write_tiff``.
+#: Page layout of ``write_tiff``: pages may be lower than PAGE_ROWS, tiles are padded.
 PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 512, 64
-#: Payloads up to this size are stored with LZW.
-LZW_BYTES = 512
-#: A stored page may claim this many bytes at most (a damaged header claims anything).
-MAX_PAGE = 1 << 31
+#: Layout of the stored texts: pages of up to 4 KB, four at least, so that every text meets each coding and layout.
+TEXT_PAGES = {"width": 16, "page_rows": 256, "strip_rows": 128, "tile": 16, "least_pages": 4}
+#: Turns of ``write_tiff``: (coding, tiled, predictor). Any four in a row hold every coding, layout and predictor.
+TURNS = tuple(((LZW, PACKBITS, DEFLATE)[k % 3], k % 2 == 1, 1 + k // 2 % 2) for k in range(12))
+#: A stored page may claim this many bytes at most (a damaged header claims anything); larger ones give an error row.
+MAX_PAGE = 1 << 28
 
 
 class BadTiff(ValueError):
@@ -83,37 +90,37 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    fresh = {bytes([i]): i for i in range(256)}
-    table, bits, held, width = dict(fresh), 256, 9, 9  # the clear code comes first
-    prefix = b""
+_FRESH = {bytes([i]): i for i in range(256)}
 
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = (bits << width) | code, held + width
 
+def lzw_encode(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
+    out, bits, held, width = [], 256, 9, 9  # the clear code comes first
+    table, n, prefix = _FRESH.copy(), 258, b""
     for i in range(len(data)):
         longer = prefix + data[i : i + 1]
         if longer in table:
             prefix = longer
             continue
-        put(table[prefix])
-        table[longer] = len(table) + 2
-        prefix = data[i : i + 1]
-        n = len(table) + 2
+        bits, held = (bits << width) | table[prefix], held + width
+        if held >= 1024:  # whole bytes leave, so the number stays short
+            spare = held % 8
+            out.append((bits >> spare).to_bytes(held // 8, "big"))
+            bits, held = bits & ((1 << spare) - 1), spare
+        table[longer] = n
+        prefix, n = data[i : i + 1], n + 1
         if n >= 4095:
-            put(256)
-            table, width = dict(fresh), 9
+            bits, held = (bits << width) | 256, held + width
+            table, n, width = _FRESH.copy(), 258, 9
         elif n >= 1 << width:
             width += 1
     if prefix:
-        put(table[prefix])
-        if len(table) + 3 >= 1 << width and width < 12:  # the reader's table is one entry further by now
+        bits, held = (bits << width) | table[prefix], held + width
+        if n + 1 >= 1 << width and width < 12:  # the reader's table is one entry further by now
             width += 1
-    put(257)
+    bits, held = (bits << width) | 257, held + width
     pad = -held % 8
-    return (bits << pad).to_bytes((held + pad) // 8, "big")
+    return b"".join([*out, (bits << pad).to_bytes((held + pad) // 8, "big")])
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -193,25 +200,42 @@ class Page:
     pixels: np.ndarray
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """Every page of a file, in directory order. Raises BadTiff on damaged or unsupported input."""
+def walk(data: bytes) -> Iterator[tuple[int | None, Page | str]]:
+    """(number, page) of every directory in order; (number, reason) of one that cannot be decoded, and
+    the walk goes on to the next. A file whose chain of directories is broken ends with (None, reason)."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise BadTiff("no TIFF header")
+        yield None, "no TIFF header"
+        return
     at, seen, number = struct.unpack(order + "I", data[4:8])[0], set(), 0
     while at:
         if at in seen or at + 2 > len(data):
-            raise BadTiff("a directory lies outside the file or repeats")
+            yield None, "a directory lies outside the file or repeats"
+            return
         seen.add(at)
-        tags, at = _directory(data, at, order)
-        yield _page(data, order, tags, number)
+        try:
+            (n,) = struct.unpack_from(order + "H", data, at)
+            if at + 2 + 12 * n + 4 > len(data):
+                yield None, "a directory is cut short"
+                return
+            here, at = at, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+            yield number, _page(data, order, _directory(data, here, order, n), number)
+        except (BadTiff, struct.error) as e:
+            yield number, str(e)
         number += 1
+    if not number:
+        yield None, "no directory"
+
 
+def read_pages(data: bytes) -> Iterator[Page]:
+    """Every page of a file, in directory order. Raises BadTiff on damaged or unsupported input."""
+    for _, page in walk(data):
+        if isinstance(page, str):
+            raise BadTiff(page)
+        yield page
 
-def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
-    (n,) = struct.unpack_from(order + "H", data, at)
-    if at + 2 + 12 * n + 4 > len(data):
-        raise BadTiff("a directory is cut short")
+
+def _directory(data: bytes, at: int, order: str, n: int) -> dict[int, tuple]:
     tags = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
@@ -227,7 +251,7 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         if where + size > len(data):
             raise BadTiff("a field lies outside the file")
         tags[tag] = struct.unpack_from(form, data, where)
-    return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    return tags
 
 
 def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
@@ -253,6 +277,8 @@ def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags.get(TILE_OFFSETS, ()), tags.get(TILE_COUNTS, ())) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()))
+    if not w or not h or w * h * samples * unit > MAX_PAGE:
+        raise BadTiff("strip or tile size out of range")
     across = -(-width // w)
     if len(offsets) != len(counts) or len(offsets) != across * -(-height // h):
         raise BadTiff("the number of strips or tiles is wrong")
@@ -275,95 +301,102 @@ def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
 # ---------------------------------------------------------------- writing
 
 
-def write_tiff(payload: bytes) -> bytes:
-    """A file of 8-bit grey pages 64 samples wide; ``payload`` must be a positive multiple of 64.
+def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS, tile: int = TILE, least_pages: int = 1) -> bytes:
+    """A file of 8-bit grey pages ``width`` samples wide; ``payload`` must be a positive multiple of the width.
 
-    Small payloads use LZW; else pages alternate between deflated strips of differences and
-    PackBits tiles. Equal payloads give equal files.
+    The rows are dealt evenly over pages of up to ``page_rows`` rows, ``least_pages`` at least as far as
+    there are rows. Pages go through TURNS from one that the payload's crc32 names. Equal payloads give equal files.
     """
-    if not payload or len(payload) % PAGE_WIDTH:
-        raise ValueError("the payload must be a positive multiple of 64 bytes")
-    body, link = [struct.pack("<2sHI", b"II", 42, 8)], 8
-    at = 8
-    size = PAGE_WIDTH * PAGE_ROWS
-    pages = range(0, len(payload), size)
-    for number, lo in enumerate(pages):
-        rows = np.frombuffer(payload, np.uint8)[lo : lo + size].reshape(-1, PAGE_WIDTH)
-        tiled = number % 2 == 1
-        how = LZW if len(payload) <= LZW_BYTES else PACKBITS if tiled else DEFLATE
-        step = TILE if tiled else STRIP_ROWS
-        parts = []
-        for y in range(0, len(rows), step):
-            part = rows[y : y + step]
-            if tiled and len(part) < step:
-                part = np.concatenate([part, np.zeros((step - len(part), PAGE_WIDTH), np.uint8)])
-            if not tiled:
-                part = np.diff(part, axis=1, prepend=np.uint8(0))
-            parts.append(compress(part.tobytes(), how))
-        n = len(parts)
-        fields = [(WIDTH, 4, 1, PAGE_WIDTH), (LENGTH, 4, 1, len(rows)), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, how), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1)]
-        if tiled:
-            fields += [(TILE_WIDTH, 4, 1, TILE), (TILE_LENGTH, 4, 1, TILE), (TILE_OFFSETS, 4, n, None), (TILE_COUNTS, 4, n, None)]
-        else:
-            fields += [(STRIP_OFFSETS, 4, n, None), (ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_COUNTS, 4, n, None), (PREDICTOR, 3, 1, 2)]
-        fields.sort()
-        head = 2 + 12 * len(fields) + 4
-        arrays = at + head
-        first = arrays + (8 * n if n > 1 else 0)
-        starts = [first]
-        for p in parts[:-1]:
-            starts.append(starts[-1] + len(p) + len(p) % 2)
-        end = starts[-1] + len(parts[-1]) + len(parts[-1]) % 2
-        out = [struct.pack("<H", len(fields))]
-        for tag, kind, count, value in fields:
-            if value is None:
-                is_offset = tag in (STRIP_OFFSETS, TILE_OFFSETS)
-                value = (starts[0] if is_offset else len(parts[0])) if n == 1 else arrays if is_offset else arrays + 4 * n
-            out.append(struct.pack("<HHI", tag, kind, count) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value)))
-        link = end if lo + size < len(payload) else 0
-        out.append(struct.pack("<I", link))
-        if n > 1:
-            out.append(struct.pack(f"<{2 * n}I", *starts, *map(len, parts)))
-        out += [p + b"\0" * (len(p) % 2) for p in parts]
-        body += out
-        at = end
-    return b"".join(body)
+    if not payload or len(payload) % width or tile % width:
+        raise ValueError("the payload must be a positive multiple of the width, and the tile side too")
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    n_pages = max(-(-len(rows) // page_rows), min(least_pages, len(rows)))
+    turn, at = zlib.crc32(payload), 8
+    out = [struct.pack("<2sHI", b"II", 42, at)]
+    for k in range(n_pages):
+        part = rows[k * len(rows) // n_pages : (k + 1) * len(rows) // n_pages]
+        page = _write_page(part, at, *TURNS[(turn + k) % len(TURNS)], strip_rows, tile, k + 1 == n_pages)
+        out.append(page)
+        at += len(page)
+    return b"".join(out)
+
+
+def _write_page(rows: np.ndarray, at: int, how: int, tiled: bool, predictor: int, strip_rows: int, tile: int, last: bool) -> bytes:
+    """Directory, arrays and data of one page that begins at offset ``at`` of the file."""
+    width, step, parts = rows.shape[1], tile if tiled else strip_rows, []
+    for y in range(0, len(rows), step):
+        part = rows[y : y + step]
+        if tiled and part.shape != (tile, tile):
+            part = np.pad(part, ((0, tile - len(part)), (0, tile - width)))
+        if predictor == 2:
+            part = np.diff(part, axis=1, prepend=np.uint8(0))
+        parts.append(compress(part.tobytes(), how))
+    n = len(parts)
+    fields = {WIDTH: (4, width), LENGTH: (4, len(rows)), BITS: (3, 8), COMPRESSION: (3, how), PHOTOMETRIC: (3, 1), SAMPLES: (3, 1), PREDICTOR: (3, predictor)}
+    fields |= {TILE_WIDTH: (4, tile), TILE_LENGTH: (4, tile)} if tiled else {ROWS_PER_STRIP: (4, strip_rows)}
+    offsets_tag, counts_tag = (TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)
+    arrays = at + 2 + 12 * (len(fields) + 2) + 4
+    first = arrays + (8 * n if n > 1 else 0)
+    padded = [p + b"\0" * (len(p) % 2) for p in parts]
+    starts = [first + sum(map(len, padded[:k])) for k in range(n)] if n < 8 else [first, *(first + np.cumsum([len(p) for p in padded])[:-1]).tolist()]
+    entries = {tag: struct.pack("<HHI", tag, kind, 1) + struct.pack("<I", value) for tag, (kind, value) in fields.items()}
+    entries[offsets_tag] = struct.pack("<HHII", offsets_tag, 4, n, starts[0] if n == 1 else arrays)
+    entries[counts_tag] = struct.pack("<HHII", counts_tag, 4, n, len(parts[0]) if n == 1 else arrays + 4 * n)
+    link = 0 if last else starts[-1] + len(padded[-1])
+    head = [struct.pack("<H", len(entries)), *(entries[tag] for tag in sorted(entries)), struct.pack("<I", link)]
+    if n > 1:
+        head.append(struct.pack(f"<{2 * n}I", *starts, *map(len, parts)))
+    return b"".join([*head, *padded])
 
 
 # ---------------------------------------------------------------- Spark
 
 
 PAGES_SCHEMA = "file_id long, page int, width int, height int, bits int, samples int, compression int, predictor int, layout string, pixels binary, error string"
+#: Bytes of samples that a task gathers before it hands rows on.
+GATHER = 4 << 20
 
 
-def pages(files: DataFrame) -> DataFrame:
-    """One row per page of every file. ``files``: file_id, content (binary).
+def pages(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page of every file. ``files``: file_id, content (binary); columns named in ``carry`` come along.
 
-    pixels: samples row by row (16-bit ones little-endian). A file that is null, empty, damaged or
-    of an unsupported kind gives the pages before the fault and one row that has only file_id and
-    error; nothing is dropped silently.
+    pixels: samples row by row (16-bit ones little-endian). A page that is damaged or of an unsupported
+    kind gives a row with its number and error, and the pages behind it follow; a file that is null,
+    empty or whose chain of directories breaks ends with a row that has error and no page. Nothing is
+    dropped silently. A file's rows follow each other in the order of its pages.
     """
+    schema = StructType([*StructType.fromDDL(PAGES_SCHEMA), *(files.schema[c] for c in carry)])
 
     def run(batches):
         for batch in batches:
-            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                try:
-                    for p in read_pages(content.as_py() or b""):
-                        rows.append((file_id, p.number, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.layout, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None))
-                except (BadTiff, struct.error) as e:
-                    rows.append((file_id, *[None] * 9, str(e)))
-                yield _rows(rows, PAGES_SCHEMA)
-
-    return files.select(F.col("file_id").cast("long"), F.col("content").cast("binary")).mapInArrow(run, PAGES_SCHEMA)
+            rows, owner, size = [], [], 0
+            for i, (file_id, content) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                for number, p in walk(content.as_py() or b""):
+                    if isinstance(p, str):
+                        rows.append((file_id, number, *[None] * 8, p))
+                    else:
+                        rows.append((file_id, number, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.layout, p.pixels.astype(p.pixels.dtype.newbyteorder("<"), copy=False).tobytes(), None))
+                        size += p.pixels.nbytes
+                    owner.append(i)
+                    if size >= GATHER:
+                        yield _rows(rows, batch, owner)
+                        rows, owner, size = [], [], 0
+            if rows:
+                yield _rows(rows, batch, owner)
+
+    def _rows(rows: list[tuple], batch: pa.RecordBatch, owner: list[int]) -> pa.RecordBatch:
+        made = _columns(rows, PAGES_SCHEMA)
+        extra = batch.take(pa.array(owner, pa.int64()))
+        return pa.RecordBatch.from_arrays([*made, *extra.columns[2:]], schema.names)
+
+    return files.select(F.col("file_id").cast("long"), F.col("content").cast("binary"), *carry).mapInArrow(run, schema)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+def _columns(rows: list[tuple], schema: str) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], _ARROW[field.split()[1]]) for i, field in enumerate(schema.split(", "))]
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -372,29 +405,79 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % PAGE_WIDTH or (0 if raw else PAGE_WIDTH)), len(raw)
 
 
-def feature(found: list[Page]) -> str:
-    """Pages, rows, mean and spread of the samples, and shares of the eight ranges of 32 values."""
-    flat = np.concatenate([p.pixels.ravel() for p in found])
-    share = np.bincount(flat >> 5, minlength=8) * 255 // len(flat)
-    mean = int(flat.sum(dtype=np.int64) * 100 // len(flat))
-    return f"p{len(found)}h{sum(p.height for p in found)}m{mean}-" + "".join(f"{x:02x}" for x in share)
+STORED_SCHEMA = "file_id long, content binary, n_bytes long, media_bytes long, media_sha256 string"
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """file_id (the doc_id), content (the text as a TIFF file), n_bytes of the text, media_bytes and media_sha256 of the file."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                rows = []
+                for doc_id, text in zip(batch.column(0)[lo : lo + 256].to_pylist(), batch.column(1)[lo : lo + 256]):
+                    payload, n = payload_of(text.as_py())
+                    media = write_tiff(payload, **TEXT_PAGES)
+                    rows.append((doc_id, media, n, len(media), sha256(media).hexdigest()))
+                yield pa.RecordBatch.from_arrays(_columns(rows, STORED_SCHEMA), [x.split()[0] for x in STORED_SCHEMA.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED_SCHEMA)
+
+
+class Fold:
+    """What ``round_trip`` keeps of the pages of one file read so far."""
+
+    def __init__(self, file_id: int | None, carried: tuple):
+        self.file_id, self.carried = file_id, carried
+        self.digest, self.size, self.tail, self.pages, self.rows, self.kinds = sha256(), 0, b"", 0, 0, {}
+        self.total, self.share = 0, np.zeros(8, np.int64)
 
+    def add(self, height: int, kind: tuple, pixels: bytes) -> None:
+        self.digest.update(pixels)
+        flat = np.frombuffer(pixels, np.uint8)
+        self.size, self.tail, self.pages, self.rows = self.size + len(pixels), (self.tail + pixels)[-64:], self.pages + 1, self.rows + height
+        self.kinds[kind] = self.kinds.get(kind, 0) + 1
+        self.total += int(flat.sum(dtype=np.int64))
+        self.share += np.bincount(flat >> 5, minlength=8)
 
-ROUND_TRIP_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
+    def row(self) -> tuple:
+        n_bytes, media_bytes, media_sha = self.carried
+        # pages, rows, mean and spread of the samples: shares of the eight ranges of 32 values
+        feature = f"p{self.pages}h{self.rows}m{self.total * 100 // self.size}-" + "".join(f"{x * 255 // self.size:02x}" for x in self.share.tolist())
+        kinds = ",".join(f"{NAMES[how]}-{layout}-{predictor}:{n}" for (how, layout, predictor), n in sorted(self.kinds.items()))
+        return self.file_id, n_bytes, self.size, self.digest.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha, feature, self.pages, kinds
+
+
+NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
+ROUND_TRIP_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int, kinds string"
+_CARRY = ("n_bytes", "media_bytes", "media_sha256")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as TIFF, read the stored bytes back, and describe what was read."""
+    """Store every text as TIFF, read the stored bytes back page by page, and describe what was read.
+
+    One row per row of ``docs``, repeated rows and null ids too; a null text is empty, an empty text
+    64 bytes 0. kinds: the codings, layouts and predictors that were read, with their page counts.
+    """
 
     def run(batches):
+        names = [x.split()[0] for x in ROUND_TRIP_SCHEMA.split(", ")]
+        now, done = None, []
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                payload, n = payload_of(text.as_py())
-                media = write_tiff(payload)
-                found = list(read_pages(media))
-                back = b"".join(p.pixels.tobytes() for p in found)
-                rows.append((doc_id, n, len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), feature(found), len(found)))
-            yield _rows(rows, ROUND_TRIP_SCHEMA)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROUND_TRIP_SCHEMA)
+            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            plain = zip(*(c[x].to_pylist() for x in ("file_id", "page", "height", "compression", "layout", "predictor", "error", *_CARRY)), c["pixels"])
+            for file_id, page, height, how, layout, predictor, error, *carried, pixels in plain:
+                if error:
+                    raise BadTiff(f"a stored text did not come back: {error}")
+                if page == 0:
+                    if now is not None:
+                        done.append(now.row())
+                    now = Fold(file_id, tuple(carried))
+                now.add(height, (how, layout, predictor), pixels.as_py())
+            if done:
+                yield pa.RecordBatch.from_arrays(_columns(done, ROUND_TRIP_SCHEMA), names)
+                done = []
+        if now is not None:
+            yield pa.RecordBatch.from_arrays(_columns([now.row()], ROUND_TRIP_SCHEMA), names)
+
+    return pages(stored(docs), _CARRY).mapInArrow(run, ROUND_TRIP_SCHEMA)
