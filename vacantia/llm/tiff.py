@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -123,39 +124,53 @@ def lzw_encode(data: bytes) -> bytes:
     return b"".join([*out, (bits << pad).to_bytes((held + pad) // 8, "big")])
 
 
+#: Width of the k-th code behind a clear code, and the bits before it: the reader's table grows by one entry a code.
+_WIDTHS = 9 + sum((257 + np.maximum(1, np.arange(1 << 13)) >= limit).astype(np.int64) for limit in (511, 1023, 2047))
+_BEFORE = np.cumsum(_WIDTHS) - _WIDTHS
+
+
+def _codes(data: np.ndarray, bit: int, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from ``bit`` on, ``known`` codes behind a clear code, and the bit behind each. ``data`` ends in 3 spare bytes."""
+    known = min(known, 1 << 12)
+    at = bit + _BEFORE[known:] - _BEFORE[known]
+    width = _WIDTHS[known:]
+    n = int(np.searchsorted(at + width, 8 * (len(data) - 3), "right"))
+    at, width = at[:n], width[:n]
+    b = at >> 3
+    word = data[b].astype(np.int64) << 16 | data[b + 1].astype(np.int64) << 8 | data[b + 2]
+    return (word >> (24 - (at & 7) - width)) & ((1 << width) - 1), at + width
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, held, bits, n_bits, width, i = [], 0, 0, 0, 9, 0
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    out, held, bit, known, last = [], 0, 0, 0, None
     table: list[bytes] = []
-    last = None
     while held < size:
-        while n_bits < width:
-            if i >= len(data):
-                return b"".join(out)[:size]
-            bits, n_bits, i = ((bits << 8) | data[i]) & 0xFFFFFFFF, n_bits + 8, i + 1
-        code = (bits >> (n_bits - width)) & ((1 << width) - 1)
-        n_bits -= width
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, None
-            continue
-        if last is None:
-            if code >= len(table):
-                raise BadTiff("LZW data begins without a clear code")
-            entry = table[code]
-        else:
+        codes, behind = _codes(raw, bit, known)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else len(codes)
+        first = len(out)
+        for code in codes[:n].tolist():
             if code < len(table):
                 entry = table[code]
-            elif code == len(table):
+                if last is not None:
+                    table.append(last + entry[:1])
+            elif last is not None and code == len(table):
                 entry = last + last[:1]
+                table.append(entry)
             else:
-                raise BadTiff("LZW code out of range")
-            table.append(last + entry[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-        out.append(entry)
-        held += len(entry)
-        last = entry
+                raise BadTiff("LZW code out of range, or no clear code at the start")
+            out.append(entry)
+            last = entry
+        held += sum(map(len, out[first:]))
+        if n == len(codes):
+            if not n:
+                break  # the data end here
+            bit, known = int(behind[-1]), known + n
+        elif codes[n] == 257:
+            break
+        else:
+            bit, known, last, table = int(behind[n]), 0, None, [bytes([k]) for k in range(256)] + [b"", b""]
     return b"".join(out)[:size]
 
 
@@ -338,7 +353,7 @@ def _write_page(rows: np.ndarray, at: int, how: int, tiled: bool, predictor: int
     arrays = at + 2 + 12 * (len(fields) + 2) + 4
     first = arrays + (8 * n if n > 1 else 0)
     padded = [p + b"\0" * (len(p) % 2) for p in parts]
-    starts = [first + sum(map(len, padded[:k])) for k in range(n)] if n < 8 else [first, *(first + np.cumsum([len(p) for p in padded])[:-1]).tolist()]
+    starts = list(accumulate((len(p) for p in padded[:-1]), initial=first))
     entries = {tag: struct.pack("<HHI", tag, kind, 1) + struct.pack("<I", value) for tag, (kind, value) in fields.items()}
     entries[offsets_tag] = struct.pack("<HHII", offsets_tag, 4, n, starts[0] if n == 1 else arrays)
     entries[counts_tag] = struct.pack("<HHII", counts_tag, 4, n, len(parts[0]) if n == 1 else arrays + 4 * n)
