@@ -5,7 +5,10 @@ import random
 
 import pytest
 
-from vacantia.llm import exact_dedup, pieces, tiff
+from pyspark.sql import functions as F
+
+from vacantia.llm import exact_dedup, mixing, pieces, tiff
+from vacantia.llm.common import row_key
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 DOCS = "doc_id long, text string"
@@ -69,3 +72,46 @@ def test_pages_behind_a_bad_one_are_read(spark):
     assert [r.page for r in rows if r.file_id == 1] == numbers == [r.page for r in rows if r.file_id == 2]
     errors = [r.page for r in rows if r.error]
     assert 1 <= len(errors) <= 3 and len(numbers) == 8
+
+
+def test_takes_and_positions_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 4)
+    rng = random.Random(2)
+    rows = [(rng.randrange(40) if k % 9 else None, " ".join("w" * rng.randrange(1, 60)), rng.choice(["b", "a", "é", None, "", "a" * 9, *("h" * 5)])) for k in range(150)]
+    rows += [(7, None, "b"), (8, "", "zero"), (500, "one two", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mine = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("h"), row_key(docs).alias("key")).collect()
+    names = sorted({r.source for r in mine}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len((r.text or "").split()) for r in mine if r.source == s) for s in names}
+    share = dict(zip(names, mixing.targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])))
+    expected = []
+    for i, s in enumerate(names):
+        slope, before, quota = mixing.SLOPES[i % 3], 0, int(share[s] + 0.5)
+        none_first = lambda x: (x is not None, x or 0)
+        for r in sorted((r for r in mine if r.source == s), key=lambda r: (r.h, none_first(r.doc_id), len((r.text or "").split()), r.key)):
+            n, takes = len((r.text or "").split()), []
+            for k in range(mixing.MAX_PASSES):
+                start = k * size[s] + before
+                words = max(0, min(n, quota - start))
+                if words:  # the place in time at which the integral of the weights reaches this demand
+                    lo, hi, y = 0.0, 1.0, min(1.0, (start + words / 2) / share[s])
+                    for _ in range(60):
+                        t = (lo + hi) / 2
+                        lo, hi = (t, hi) if t + slope * (t * t - t) < y else (lo, t)
+                    takes.append((words, lo))
+            before += n
+            expected.append((r.doc_id, n, size[s], share[s], takes))
+    got = [(r.doc_id, r["size"], r.source_size, r.target, [(t.words, t.position) for t in r.takes]) for r in mixing.assign(docs).collect()]
+    order = lambda x: (str(x[0]), x[1], x[2], str([w for w, _ in x[4]]), [p for _, p in x[4]])
+    for a, b in zip(sorted(got, key=order), sorted(expected, key=order), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 and [w for w, _ in a[4]] == [w for w, _ in b[4]]
+        assert all(abs(p - q) < 1e-9 for (_, p), (_, q) in zip(a[4], b[4]))
+
+
+def test_mixture_keeps_null_ids_repeats_and_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "s", 1, 2, 3, 4.0)] * 3 + [(None, text + " a", "s", 1, 2, 3, 4.0), (None, text + " b", "s", 1, 2, 3, 4.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, take int, take_id int, position double")
+    got = mixing.mixture(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", text)] * 3 + [("None", text + " a"), ("None", text + " b")])

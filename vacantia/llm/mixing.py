@@ -8,8 +8,10 @@ whose integral is target_s * (t + slope_s * (t^2 - t)). A document's place in it
 demand (words of earlier passes and earlier documents) is put through the inverse of that
 integral, which gives its training position; documents are range-sorted by position.
 
-Each source's prefix sums are taken in two levels: slices of the id hash are summed, the slice
-sums are accumulated, and each slice is accumulated by itself, so no source is in one task.
+Each source's prefix sums are taken in three levels: slices of the id hash are summed, runs of slices
+are summed, and rows are accumulated within their slice, slices within their run, runs within their
+source, so no source is in one task. Sources are ranked and given targets as a table too: nothing
+here grows with their number on the driver, and it is Spark that decides whether the table is broadcast.
 """
 
 from __future__ import annotations
@@ -52,14 +54,46 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key(docs).alias("key"))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with rank: 0, 1, ... by code point of source, null last.
+
+    Range partitions are sorted by themselves; only their row counts pass through the driver.
+    """
+    spark = sources.sparkSession
+    by = [F.asc_nulls_last("source")]
+    dealt = materialize(sources.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    counts = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())
+    ahead = [(part, sum(n for _, n in counts[:k])) for k, (part, _) in enumerate(counts)]
+    offsets = spark.createDataFrame(ahead, "__part int, __ahead long")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
+    return dealt.join(F.broadcast(offsets), "__part").withColumn("rank", F.col("__ahead") + within).drop("__part", "__ahead")
+
+
+def _cycle(rank: Column, values: tuple[float, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(rank, F.lit(len(values))) + 1).cast("int"))
+
+
 def source_table(sized: DataFrame) -> DataFrame:
-    """Per source: rank, source_size, target, slope. One row per source passes through the driver."""
-    spark = sized.sparkSession
-    found = [(r.source, r.size) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()]
-    found.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    share = targets([n for _, n in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-    rows = [(s, i, n, t, SLOPES[i % len(SLOPES)]) for i, ((s, n), t) in enumerate(zip(found, share))]
-    return spark.createDataFrame(rows, "source string, rank int, source_size long, target double, slope double")
+    """Per source: rank, source_size, target, slope.
+
+    Shares above MAX_PASSES * size are cut and the excess is shared again by weight, one aggregation a
+    turn; every turn cuts a source at least, and in practice a few turns cut all.
+    """
+    sizes = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    known = materialize(sizes.withColumn("weight", _cycle(F.col("rank"), WEIGHTS)).withColumn("slope", _cycle(F.col("rank"), SLOPES)))
+    most = MAX_PASSES * F.col("source_size")
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    # a share a unit of weight: sources whose own share of it is above their bound are cut, the rest share again
+    level = 0.0
+    while True:
+        over = F.col("weight") * F.lit(level) > most
+        r = known.agg(F.sum(F.when(over, most).otherwise(0)).alias("cut"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        found = (total - (r["cut"] or 0)) / r["weight"] if r["weight"] else level
+        if found <= level:
+            break
+        level = found
+    target = F.least(F.col("weight") * F.lit(level), most.cast("double"))
+    return known.select("source", "rank", "source_size", target.alias("target"), "slope")
 
 
 def _position(place, target, slope):
@@ -85,13 +119,14 @@ def _plan(docs: DataFrame) -> DataFrame:
     """``assign`` with the key of each row."""
     sized = materialize(word_sizes(docs))
     slices = max(1, -(-sized.count() // SLICE_ROWS))
-    # one row per source: bounded by the catalogue of sources, a few bytes each
     known = _with_sources(sized)
     order = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))
     known = known.withColumn("h", order).withColumn("slice", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * slices).cast("long"))
     sums = known.groupBy("rank", "slice").agg(F.sum("size").alias("n"))
-    ahead = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("rank", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
+    sums = sums.withColumn("run", F.floor(F.col("slice") / SLICE_ROWS))
+    before = lambda c, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("rank", "run").agg(F.sum("n").alias("n")).select("rank", "run", before("run", "rank").alias("of_run"))
+    offsets = sums.withColumn("in_run", before("slice", "rank", "run")).join(runs, ["rank", "run"]).select("rank", "slice", (F.col("of_run") + F.col("in_run")).alias("offset"))
     within = Window.partitionBy("rank", "slice").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.join(offsets, ["rank", "slice"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     quota = F.floor(F.col("target") + F.lit(0.5)).cast("long")
@@ -107,8 +142,8 @@ def _plan(docs: DataFrame) -> DataFrame:
 
 
 def _with_sources(sized: DataFrame) -> DataFrame:
-    per = source_table(sized).withColumnRenamed("source", "of_source")
-    return sized.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    per = materialize(source_table(sized)).withColumnRenamed("source", "of_source")
+    return sized.join(per, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
 @F.pandas_udf(StringType())
