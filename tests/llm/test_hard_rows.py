@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from vacantia.llm import exact_dedup, mixing, pieces, tiff
+from vacantia.llm import exact_dedup, mixing, pieces, suffixes, tiff
 from vacantia.llm.common import row_key
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -115,3 +116,65 @@ def test_mixture_keeps_null_ids_repeats_and_clashing_columns(spark):
     got = mixing.mixture(docs)
     assert got.columns == docs.columns
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", text)] * 3 + [("None", text + " a"), ("None", text + " b")])
+
+
+def brute_repeats(rows, length=50):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each row; a null id is the greatest long."""
+    first, out = {}, []
+    number = lambda i: MOST if i is None else i
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            first[w] = min(first.get(w, MOST), number(i))
+    for i, t in rows:
+        b = (t or "").encode()
+        hit = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < number(i):
+                hit[p : p + length] = b"\1" * length
+        kept = bytes(x for x, h in zip(b, hit) if not h)
+        out.append((str(i), len(b), sum(hit), sum(1 for k in range(len(hit)) if hit[k] and (not k or not hit[k - 1])), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def repeating_rows(seed):
+    rng = random.Random(seed)
+    text = lambda n, letters="abcdefgh ": "".join(rng.choices(letters, k=n))
+    a, b, shared = text(200), text(200), [text(rng.randrange(45, 300)) for _ in range(5)]
+    rows = [(5, a), (5, a), (5, b), (None, a), (None, b), (None, text(30) + b), (MOST, b), (LEAST, b[:60]), (None, None), (9, None), (9, ""), (None, "x" * 300), (3, "x" * 90)]
+    for _ in range(60):
+        i = rng.choice([None, rng.randrange(20), rng.randrange(1000)])
+        rows.append((i, "".join(rng.choice([text(rng.randrange(200)), rng.choice(shared)[rng.randrange(20) :]]) for _ in range(5))))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "small"), [(0, {}), (1, {"HOT": 3}), (2, {"CHUNK": 64, "FLAGS": 3}), (3, {"BUCKET_BYTES": 1024, "FLUSH": 50, "FLUSH_PIECES": 40, "SORT_BYTES": 1000, "SUFFIX_BUCKET": 16, "HOT": 5})])
+def test_suffixes_with_shared_and_null_ids_against_brute_force(spark, monkeypatch, seed, small):
+    for name, value in small.items():
+        monkeypatch.setattr(suffixes, name, value)
+    rows = repeating_rows(seed)
+    got = suffixes.dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+
+
+def test_cover_ranks_order_the_sample():
+    rng = random.Random(6)
+    text = np.frombuffer(bytes(rng.choices(b"ab", k=3000)), np.uint8)
+    ranks = suffixes.CoverRanks(text, 50)
+    places = [p for p in range(len(text) - 38) if p % suffixes.COVER in suffixes.RESIDUES]
+    got = ranks.at(np.array(places))
+    order = sorted(set(text[p : p + 38].tobytes() for p in places))
+    assert [order.index(text[p : p + 38].tobytes()) for p in places[:400]] == [sorted(set(got.tolist())).index(x) for x in got[:400].tolist()]
+
+
+def test_suffix_buckets_are_whole_and_in_order():
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 100, 5000).astype(np.uint8)
+    window = np.arange(4900)
+    for most in (1, 10, 700, 10**6):
+        found = suffixes.suffix_buckets(text, window, most)
+        assert sorted(np.concatenate(found).tolist()) == window.tolist()
+        leads = [{bytes(text[w : w + 2]) for w in b} for b in found]
+        assert all(not x & y and max(x) < min(y) for x, y in zip(leads, leads[1:]))
+        assert all(len(b) <= most or len(x) == 1 for b, x in zip(found, leads))

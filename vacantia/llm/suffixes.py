@@ -4,20 +4,22 @@ A byte is removed when a string of ``length`` bytes that covers it also starts i
 smaller id. Only the order of suffixes to that depth matters, so the suffixes are sorted block by
 block, and blocks are made so that equal strings meet:
 
-1. Buckets. A window of ``length`` bytes is assigned to its minimizer, the leftmost of its k-grams
-   with the least hash. Equal windows have equal minimizers, so the suffixes of one minimizer are a
-   suffix bucket, and a bucket met in one document only cannot hold a repeat: fingerprints of the
-   minimizers are counted over the whole table first, and only the other buckets are sorted.
-2. Pieces. The windows of one minimizer occurrence are consecutive, so a bucket's suffixes travel
-   as short pieces of text. Equal pieces are folded before the shuffle: the smallest document
-   keeps the piece, the rest lose all its windows.
-3. Blockwise sort. A task sorts a bounded run of buckets at a time. Suffixes are sorted by their
-   first ``COVER`` bytes; long ties are resolved by the ranks of a difference-cover sample, computed
-   once for the block: for any two suffixes some shift below ``COVER`` brings both onto sample
-   positions, whose ranks compare the next ``length - COVER + 1`` bytes in one step, and the last
-   ``COVER - 1`` bytes are compared by rank again. Memory is bounded by the block.
-
-Spans are merged per document and cut from its text. The text is shuffled by doc_id once.
+1. Blocks. A window of ``length`` bytes is assigned to its minimizer, the leftmost of its k-grams
+   with the least hash. Equal windows have equal minimizers, and a minimizer met in one document only
+   cannot hold a repeat: fingerprints of the minimizers are counted over the whole table first, and
+   only the windows of the others are sorted.
+2. Pieces. The windows of one minimizer occurrence are consecutive, so they travel as short pieces of
+   text. Equal pieces are folded before the shuffle: the smallest document keeps the piece, the rest
+   lose all its windows. Minimizers with so many occurrences that one task could not hold them are cut
+   into single windows, which are dealt by their own hash; equal windows fold, so no group is unbounded.
+3. Blockwise sort. A task takes ``SORT_BYTES`` of pieces at a time and first ranks the difference-cover
+   sample of that text. Its suffixes are then sorted one suffix bucket (equal leading bytes) at a time by
+   their first ``COVER`` bytes, and ties are resolved by the ranks at hand: for any two suffixes some
+   shift below ``COVER`` brings both onto sample positions, whose ranks compare the next
+   ``length - COVER + 1`` bytes in one step; the last ``COVER - 1`` bytes are compared as numbers.
+
+Rows are told apart by id and, where an id is null or occurs twice, a hash of the text. Spans are
+merged per row and cut from its text. The text is shuffled by id once.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, blocks, mix, pack, squeeze, unpack, unsqueeze
+from .common import U64, Hasher, blocks, materialize, mix, pack, squeeze, unpack, unsqueeze
 
 LENGTH = 50
 GRAM = 20
@@ -40,15 +42,23 @@ COVER, RESIDUES = 13, (0, 1, 3, 9)
 BUCKET_BYTES = 16 << 20
 #: Minimizers, or pieces, that a map task gathers before it deals them out.
 FLUSH, FLUSH_PIECES = 1 << 19, 1 << 17
-#: Bytes of pieces sorted at a time.
-SORT_BYTES = 1 << 21
+#: Bytes of pieces sorted at a time, and windows in a suffix bucket unless they share more leading bytes than a bucket tells.
+SORT_BYTES, SUFFIX_BUCKET = 1 << 21, 1 << 17
+#: Occurrences from which a minimizer is cut into windows (a millionth of all minimizers where that is more).
+HOT, HOT_SHARE = 1 << 15, 20
+#: Bytes of one text whose windows are taken at a time, and flags of one text that become pieces at a time.
+CHUNK, FLAGS = 1 << 22, 1 << 15
 _PLACE = 28  # bits of a position within a block; hashes are compared by the others
 
-#: A minimizer's run of windows: its document, first window, further windows, place in the first window, hash.
-_MARKS = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1"), ("hash", "<u8")])
+#: A minimizer's run of windows: its row (doc, tie), first window, further windows, place in the first window, number of
+#: such runs that it stands for, whether they lie in several documents, hash.
+_MARKS = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1"), ("n", "<u4"), ("many", "u1"), ("hash", "<u8")])
 #: Of a hash the marks carry what the bucket does not tell: more than 40 bits would tell nothing new.
 _NARROW = {"hash": 5}
-_HEAD = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("hash", "<u8")])
+_LOW = U64((1 << 40) - 1)
+_HEAD = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("at", "<i4"), ("more", "u1"), ("hash", "<u8")])
+_FLAG = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1")])
+_RUN = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -102,66 +112,87 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, length: in
     return np.searchsorted(offsets, first, "right") - 1, value[place], first, last - first, place - first
 
 
+def chunked_minimizers(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, length: int):
+    """``minimizers`` of a block; a long text (a block of one row) is taken ``CHUNK`` windows at a time, so memory does not follow it."""
+    if len(offsets) > 2 or len(data) <= CHUNK:
+        yield minimizers(data, offsets, hasher, length)
+        return
+    for lo in range(0, len(data), CHUNK):
+        part = data[lo : lo + CHUNK + length - 1]
+        row, value, first, more, inner = minimizers(part, np.array([0, len(part)]), hasher, length)
+        yield row, value, first + lo, more, inner
+
+
 def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> U64(40)) % U64(buckets)).astype(np.int32)
+    return ((key >> U64(40)) % U64(buckets)).astype(np.int64)
+
+
+def _cuts(*sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of each run of equal values."""
+    if not len(sorted_[0]):
+        return []
+    new = np.zeros(len(sorted_[0]) - 1, bool)
+    for x in sorted_:
+        new |= x[1:] != x[:-1]
+    edge = [0, *(np.flatnonzero(new) + 1).tolist(), len(sorted_[0])]
+    return list(zip(edge[:-1], edge[1:]))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text; a null id sorts behind all others."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, doc (the id; a null one counts as the greatest long), tie (0 where doc occurs once, else a hash of the text), text."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = materialize(base.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("shared")))
+    if shared.isEmpty():
+        return base.withColumn("tie", F.lit(0).cast("long"))
+    return base.join(shared, "doc", "left").withColumn("tie", F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("shared")
 
 
-def _repeats(hash_: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have a hash that occurs in two documents or more, and one entry of each such hash."""
-    order = np.argsort(hash_)
-    h, d = hash_[order], doc[order]
-    first = np.ones(len(h), bool)
-    np.not_equal(h[1:], h[:-1], out=first[1:])
-    start = np.flatnonzero(first)
-    twice = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
-    out = np.zeros(len(h), bool)
-    out[order] = np.repeat(twice, np.diff(np.append(start, len(h))))
-    return out, order[start[twice]]
+def _repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which marks have a hash that occurs in two documents or more, one mark of each such hash, and its sum of n."""
+    order = np.argsort(rows["hash"])
+    start = np.array([a for a, _ in _cuts(rows["hash"][order])], np.int64)
+    doc = rows["doc"][order]
+    twice = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)) | np.maximum.reduceat(rows["many"][order], start).astype(bool)
+    out = np.zeros(len(rows), bool)
+    out[order] = np.repeat(twice, np.diff(np.append(start, len(rows))))
+    return out, order[start[twice]], np.add.reduceat(rows["n"][order].astype(np.int64), start)[twice]
 
 
 def _marks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, marks: the minimizers of all texts. bucket -1: flags (by block) of those known to repeat within the task."""
+    """bucket, marks: the minimizers of all texts. Negative buckets: flags (by block) of those known to repeat within the task."""
 
     def run(batches):
         hasher, held, size = Hasher(lower=False), [], 0
 
         def flush():
             rows = np.concatenate(held)
-            twice, one = _repeats(rows["hash"], rows["doc"])
-            # of a hash met in several documents here one entry goes on, so a frequent one is an entry per task
+            twice, one, n = _repeats(rows)
+            # of a hash met in several documents here one mark goes on, so a frequent one is a mark a flush
             sent = ~twice
             sent[one] = True
-            sent = np.flatnonzero(sent)
-            bucket = _deal(rows["hash"][sent], buckets)
+            rows["n"][one], rows["many"][one] = np.minimum(n, (1 << 32) - 1), 1
+            dealt = rows[sent]
+            bucket = _deal(dealt["hash"], buckets)
             by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            dealt = rows[sent[by]]
-            out = [(int(b), None, pack(dealt[cuts[b] : cuts[b + 1]], _NARROW)) for b in np.flatnonzero(np.diff(cuts))]
-            out += [(-1, k, blob) for k, blob in _by_block(_as(_FLAG, rows[twice]), buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "block", "marks"])
+            bucket, dealt = bucket[by], dealt[by]
+            out = [(int(bucket[a]), None, pack(dealt[a:b], _NARROW)) for a, b in _cuts(bucket)]
+            out += [(-1 - k, k, blob) for k, blob in _by_block(_as(_FLAG, rows[twice]), buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "marks"])
 
         for rows, data, offsets in blocks(batches):
-            row, value, first, more, inner = minimizers(data, offsets, hasher, length)
-            part = np.empty(len(row), _MARKS)
-            part["doc"], part["at"], part["hash"], part["more"], part["inner"] = rows.column(0).to_numpy()[row], first - offsets[row], value, more, inner
-            held.append(part)
-            size += len(part)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
+            doc, tie = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            for row, value, first, more, inner in chunked_minimizers(data, offsets, hasher, length):
+                part = np.empty(len(row), _MARKS)
+                part["doc"], part["tie"], part["at"], part["hash"], part["more"], part["inner"], part["n"], part["many"] = doc[row], tie[row], first - offsets[row], value, more, inner, 1, 0
+                held.append(part)
+                size += len(part)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, block int, marks binary")
-
-
-_FLAG = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("inner", "u1")])
-_RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+    return docs.select("doc", "tie", "text").mapInArrow(run, "bucket long, block long, marks binary")
 
 
 def _as(kind: np.dtype, rows: np.ndarray) -> np.ndarray:
@@ -172,49 +203,67 @@ def _as(kind: np.dtype, rows: np.ndarray) -> np.ndarray:
 
 
 def _by_block(rows: np.ndarray, n: int) -> list[tuple[int, bytes]]:
-    """Records dealt to blocks of documents: a packed row for each block that has some."""
-    block = (mix(rows["doc"].view(U64) if rows["doc"].flags.c_contiguous else rows["doc"].copy().view(U64)) % U64(n)).astype(np.int64)
-    by = np.lexsort((rows["doc"], block))
-    cuts = np.searchsorted(block[by], np.arange(n + 1))
-    return [(int(k), pack(rows[by[cuts[k] : cuts[k + 1]]])) for k in np.flatnonzero(np.diff(cuts))]
+    """Records dealt to blocks of rows: a packed row for each block that has some."""
+    block = (mix(rows["doc"].astype(U64) ^ mix(rows["tie"].astype(U64))) % U64(n)).astype(np.int64)
+    by = np.lexsort((rows["tie"], rows["doc"], block))
+    rows, block = rows[by], block[by]
+    return [(int(block[a]), pack(rows[a:b])) for a, b in _cuts(block)]
 
 
 def _blocks_table(rows: np.ndarray, n: int) -> pa.Table:
     dealt = _by_block(rows, n)
-    return pa.table({"block": pa.array([k for k, _ in dealt], pa.int32()), "rows": pa.array([x for _, x in dealt], pa.binary())})
+    return pa.table({"block": pa.array([k for k, _ in dealt], pa.int64()), "rows": pa.array([x for _, x in dealt], pa.binary())})
 
 
 def _by_document(blocks_: DataFrame, kind: np.dtype, name: str) -> DataFrame:
-    """doc_id and its packed records, from packed rows of blocks (block, rows)."""
+    """doc, tie and the packed records of each row, from packed rows of blocks (block, rows)."""
 
     def gather(group: pa.Table) -> pa.Table:
         rows = np.concatenate([unpack(x, kind) for x in group.column("rows").to_pylist()])
-        rows = rows[np.argsort(rows["doc"], kind="stable")]
-        doc = rows["doc"]
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-        return pa.table({"doc_id": pa.array(doc[cuts[:-1]]), name: pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        rows = rows[np.lexsort((rows["tie"], rows["doc"]))]
+        cuts = _cuts(rows["doc"], rows["tie"])
+        first = [a for a, _ in cuts]
+        return pa.table({"doc": pa.array(rows["doc"][first]), "tie": pa.array(rows["tie"][first]), name: pa.array([rows[a:b].tobytes() for a, b in cuts], pa.binary())})
+
+    return blocks_.groupBy("block").applyInArrow(gather, f"doc long, tie long, {name} binary")
 
-    return blocks_.groupBy("block").applyInArrow(gather, f"doc_id long, {name} binary")
 
+#: Block of the rows that name hot minimizers instead of flags.
+_HOT_BLOCK = -1
 
-def _shared_marks(group: pa.Table, buckets: int) -> pa.Table:
+
+def _shared_marks(group: pa.Table, buckets: int, hot: int) -> pa.Table:
+    """Flags of repeating minimizers, by block of rows; and the hashes of those with ``hot`` occurrences or more."""
+    if group.column("bucket")[0].as_py() < 0:
+        return group.select(["block", "marks"]).rename_columns(["block", "rows"])
     rows = np.concatenate([unpack(x, _MARKS, _NARROW) for x in group.column("marks").to_pylist()])
-    return _blocks_table(_as(_FLAG, rows[_repeats(rows["hash"], rows["doc"])[0]]), buckets)
+    twice, one, n = _repeats(rows)
+    many = np.sort(rows["hash"][one[n >= hot]] | U64(group.column("bucket")[0].as_py()) << U64(40))
+    out = _blocks_table(_as(_FLAG, rows[twice & (rows["many"] == 0)]), buckets)  # the others have their flags
+    return pa.concat_tables([out, pa.table({"block": pa.array([_HOT_BLOCK], pa.int64()), "rows": pa.array([many.tobytes()], pa.binary())})]) if len(many) else out
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(doc), _RUN)
-    out["doc"], out["start"], out["end"] = doc, start, end
+def _runs(head: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(head), _RUN)
+    out["doc"], out["tie"], out["start"], out["end"] = head["doc"], head["tie"], start, end
     return out
 
 
 # ---------------------------------------------------------------- pieces
 
 
-def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, head and body (packed pieces); bucket -1: spans (head, by block) decided within the task.
+def _hash_at(hasher: Hasher, data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    value = np.zeros(len(at), U64)
+    for k in range(size):
+        value += hasher.table[data[at + k]] * hasher.up[k]
+    return _scramble(value)
+
 
-    ``marked``: doc_id, text, flags (packed runs of windows whose minimizer repeats).
+def _pieces(marked: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFrame:
+    """bucket, head and body (packed pieces); negative buckets: spans (head, by block) decided within the task.
+
+    ``marked``: doc, tie, text, flags (packed runs of windows whose minimizer repeats). Runs of the
+    minimizers in ``hot`` (sorted) become pieces of one window each.
     """
     width = _width(length)
 
@@ -225,46 +274,51 @@ def _pieces(marked: DataFrame, buckets: int, length: int) -> DataFrame:
         def flush():
             head, body = (np.concatenate([h[i] for h in held]) for i in range(2))
             top = _same_pieces(head, body)
-            doc, least = head["doc"], head["doc"][top]
-            gone = doc > least
+            gone = head["doc"] > head["doc"][top]
             keep = np.flatnonzero(~gone)
             bucket = _deal(head["hash"][keep], buckets)
             by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            by = keep[by]
-            out = [(int(b), pack(head[by[cuts[b] : cuts[b + 1]]]), squeeze(body[by[cuts[b] : cuts[b + 1]]].tobytes())) for b in np.flatnonzero(np.diff(cuts))]
+            bucket, by = bucket[by], keep[by]
+            out = [(int(bucket[a]), pack(head[by[a:b]]), squeeze(body[by[a:b]].tobytes()), None) for a, b in _cuts(bucket)]
             lost = head[gone]
-            out = [(*x, None) for x in out]
-            out += [(-1, blob, None, k) for k, blob in _by_block(_runs(lost["doc"], lost["at"], lost["at"] + lost["more"] + length), buckets)]
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            out += [(-1 - k, blob, None, k) for k, blob in _by_block(_runs(lost, lost["at"], lost["at"] + lost["more"] + length), buckets)]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["bucket", "head", "body", "block"])
 
-        for rows, data, offsets in blocks(batches):
-            packed = [x or b"" for x in rows.column(2).to_pylist()]
-            flag = np.frombuffer(b"".join(packed), _FLAG)
-            row = np.repeat(np.arange(rows.num_rows), [len(x) // _FLAG.itemsize for x in packed])
+        def cut(data, offsets, who, flag, row):
             start = flag["at"] + offsets[row]
             fits = start + flag["more"] + length <= offsets[row + 1]
             flag, row, start = flag[fits], row[fits], start[fits]
+            value, more = _hash_at(hasher, data, start + flag["inner"], GRAM), flag["more"].astype(np.int64)
+            if len(hot):
+                many = np.isin(_deal(value, buckets).astype(U64) << U64(40) | value & _LOW, hot)
+                windows = np.where(many, more + 1, 1)
+                inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+                row, start, value, more, many = (np.repeat(x, windows) for x in (row, start, value, np.where(many, 0, more), many))
+                start = start + inner
+                value[many] = _hash_at(hasher, data, start[many], length)
+            body = np.lib.stride_tricks.sliding_window_view(data, width)[start]
+            body[np.arange(width) >= (more + length)[:, None]] = 0
+            head = np.empty(len(start), _HEAD)
+            head["doc"], head["tie"], head["at"], head["more"], head["hash"] = who[0][row], who[1][row], start - offsets[row], more, value
+            return head, body
+
+        for rows, data, offsets in blocks(batches):
+            packed = [x or b"" for x in rows.column(3).to_pylist()]
+            flags = np.frombuffer(b"".join(packed), _FLAG)
+            row = np.repeat(np.arange(rows.num_rows), [len(x) // _FLAG.itemsize for x in packed])
+            who = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             padded = np.concatenate([data, np.zeros(width, np.uint8)])
-            body = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
-            body[np.arange(width) >= (flag["more"].astype(np.int64) + length)[:, None]] = 0
-            head = np.empty(len(flag), _HEAD)
-            head["doc"], head["at"], head["more"] = rows.column(0).to_numpy()[row], flag["at"], flag["more"]
-            place = start + flag["inner"]
-            value = np.zeros(len(flag), U64)
-            for k in range(GRAM):
-                value += hasher.table[padded[place + k]] * hasher.up[k]
-            head["hash"] = _scramble(value)
-            held.append((head, body))
-            size += len(head)
-            if size >= FLUSH_PIECES:
-                yield flush()
-                held, size = [], 0
+            for lo in range(0, len(flags), FLAGS):
+                held.append(cut(padded, offsets, who, flags[lo : lo + FLAGS], row[lo : lo + FLAGS]))
+                size += len(held[-1][0])
+                if size >= FLUSH_PIECES:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
-    return marked.select("doc_id", "text", "flags").mapInArrow(run, "bucket int, head binary, body binary, block int")
+    return marked.select("doc", "tie", "text", "flags").mapInArrow(run, "bucket long, head binary, body binary, block long")
 
 
 def _same_pieces(head: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -314,15 +368,58 @@ def _words(text: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
 _SHIFTS = np.array([[(d - a) % COVER for d in RESIDUES] for a in range(COVER)])
 
 
-def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, bucket: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each window of ``length`` bytes the smallest document with an equal one in its bucket.
+class CoverRanks:
+    """Ranks of the difference-cover sample of a text, to the depth that all shifts of a window allow."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        depth = length - COVER + 1
+        n = max(0, len(text) - depth + 1)
+        periods = -(-n // COVER)
+        place = (np.arange(periods)[:, None] * COVER + np.array(RESIDUES)).ravel()
+        self.rank = np.zeros(len(place), np.int32)
+        inside = place < n
+        self.rank[inside] = _ranks(*_words(text, place[inside], depth))
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Ranks of sample positions."""
+        return self.rank[places // COVER * len(RESIDUES) + _NUMBER[places % COVER]]
+
 
-    ``text`` has ``length`` bytes behind every window start. Windows are sorted by their first and
-    last COVER bytes; ties that lie in several documents are split by the cover-sample ranks.
+_NUMBER = np.full(COVER, -1)
+_NUMBER[list(RESIDUES)] = range(len(RESIDUES))
+
+
+def suffix_buckets(text: np.ndarray, window: np.ndarray, most: int) -> list[np.ndarray]:
+    """Numbers of windows, dealt to suffix buckets in the order of their leading two bytes: windows with
+    equal ones share a bucket, and consecutive small ones are joined up to ``most`` windows."""
+    lead = text[window].astype(np.int64) << 8 | text[window + 1]
+    order = np.argsort(lead, kind="stable")
+    edge = np.append(np.cumsum(np.bincount(lead, minlength=1 << 16)), len(window))
+    out, lo = [], 0
+    while lo < len(order):
+        k = int(np.searchsorted(edge, lo + most, "right"))
+        hi = int(edge[k - 1]) if k and edge[k - 1] > lo else int(edge[np.searchsorted(edge, lo, "right")])
+        out.append(order[lo:hi])
+        lo = hi
+    return out
+
+
+def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, group: np.ndarray | None = None, length: int = LENGTH) -> np.ndarray:
+    """For each window of ``length`` bytes the smallest document with an equal one (in its ``group``, where that is given).
+
+    ``text`` has ``length`` bytes behind every window start. The cover sample is ranked first; then
+    suffix buckets are sorted one at a time, by the windows' first and last COVER bytes, and ties that
+    lie in several documents are split by the ranks.
     """
+    out, ranks = doc.copy(), CoverRanks(text, length)
+    for bucket in suffix_buckets(text, window, SUFFIX_BUCKET):
+        out[bucket] = _bucket_least(text, window[bucket], doc[bucket], () if group is None else (group[bucket],), ranks, length)
+    return out
+
+
+def _bucket_least(text: np.ndarray, window: np.ndarray, doc: np.ndarray, keys: tuple, ranks: CoverRanks, length: int) -> np.ndarray:
     out = doc.copy()
-    head, tail = _words(text, window, COVER), _words(text, window + length - COVER + 1, COVER - 1)
-    group = _ranks(bucket, *head, *tail)
+    group = _ranks(*keys, *_words(text, window, COVER), *_words(text, window + length - COVER + 1, COVER - 1))
     lo, hi = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(lo, group, doc)
     np.maximum.at(hi, group, doc)
@@ -330,16 +427,9 @@ def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, bucke
     if not len(tied):
         return out
     at, group = window[tied], group[tied]
-    # sample suffixes that ties reach, and their ranks to the depth that all shifts allow
     shift = _SHIFTS[at % COVER]
-    sample = at[:, None] + shift
-    used = np.zeros(len(text), bool)
-    used[sample] = True
-    place = np.flatnonzero(used)
-    rank = np.zeros(len(text), np.int32)
-    rank[place] = _ranks(*_words(text, place, length - COVER + 1))
     g = np.repeat(group, len(RESIDUES))
-    key = _ranks(g * COVER + shift.ravel(), rank[sample].ravel().astype(np.int64))
+    key = _ranks(g * COVER + shift.ravel(), ranks.at((at[:, None] + shift).ravel()))
     who = np.repeat(doc[tied], len(RESIDUES))
     least = np.full(key.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, key, who)
@@ -347,36 +437,37 @@ def least_documents(text: np.ndarray, window: np.ndarray, doc: np.ndarray, bucke
     return out
 
 
-def _sorted_bucket(group: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Removed spans of one shuffle bucket, a bounded run of suffix buckets at a time."""
+def _sorted_blocks(group: pa.Table, length: int, buckets: int) -> pa.Table:
+    """Removed spans of one shuffle bucket, a bounded run of its minimizers at a time."""
+    if group.column("bucket")[0].as_py() < 0:
+        return group.select(["block", "head"]).rename_columns(["block", "rows"])
     head = np.concatenate([unpack(x, _HEAD) for x in group.column("head").to_pylist()])
     body = np.frombuffer(b"".join(map(unsqueeze, group.column("body").to_pylist())), np.uint8).reshape(len(head), -1)
     order = np.argsort(head["hash"], kind="stable")
-    value = head["hash"][order]
-    edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+    edge = np.array([0, *(b for _, b in _cuts(head["hash"][order]))])
     found, a = [], 0
     while a + 1 < len(edge):
         b = max(a + 1, int(np.searchsorted(edge, edge[a] + SORT_BYTES // body.shape[1], "right")) - 1)
         mine = order[edge[a] : edge[b]]
         found += _block(head[mine], body[mine], length)
         a = b
-    return _blocks_table(_runs(*(np.concatenate([f[i] for f in found]) for i in range(3))), buckets)
+    return _blocks_table(np.concatenate(found), buckets)
 
 
-def _block(head: np.ndarray, body: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Removed spans (doc, start, end) of the pieces of whole suffix buckets."""
+def _block(head: np.ndarray, body: np.ndarray, length: int) -> list[np.ndarray]:
+    """Removed spans of the pieces of whole minimizers."""
     doc, at = head["doc"], head["at"].astype(np.int64)
     top = _same_pieces(head, body)
     gone = doc > doc[top]
-    out = [(doc[gone], at[gone], at[gone] + head["more"][gone] + length)]
-    # distinct pieces of buckets that hold several: their windows are sorted
+    out = [_runs(head[gone], at[gone], at[gone] + head["more"][gone] + length)]
+    # distinct pieces of minimizers that hold several: their windows are sorted
     piece = np.flatnonzero(top == np.arange(len(top)))
     piece = piece[np.argsort(head["hash"][piece], kind="stable")]
     hashes = head["hash"][piece]
     several = np.zeros(len(piece), bool)
     several[1:] = hashes[1:] == hashes[:-1]
     several[:-1] |= several[1:]
-    piece, hashes = piece[several], hashes[several]
+    piece = piece[several]
     if not len(piece):
         return out
     windows = head["more"][piece].astype(np.int64) + 1
@@ -384,7 +475,7 @@ def _block(head: np.ndarray, body: np.ndarray, length: int) -> list[tuple[np.nda
     owner = np.repeat(np.arange(len(piece)), windows)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     mine = doc[piece][owner]
-    lost = least_documents(text, owner * body.shape[1] + inner, mine, np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]]))[owner], length) < mine
+    lost = least_documents(text, owner * body.shape[1] + inner, mine, length=length) < mine
     owner, inner = owner[lost], inner[lost]
     if not len(owner):
         return out
@@ -403,7 +494,7 @@ def _block(head: np.ndarray, body: np.ndarray, length: int) -> list[tuple[np.nda
     count = np.searchsorted(run_owner, holder, "right") - left
     who = np.repeat(stays, count)
     which = np.repeat(left - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-    out.append((doc[who], at[who] + run_lo[which], at[who] + run_hi[which]))
+    out.append(_runs(head[who], at[who] + run_lo[which], at[who] + run_hi[which]))
     return out
 
 
@@ -423,27 +514,28 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text and the removed spans (packed runs) of every document."""
+    """doc_id, text and the removed spans (packed runs) of every row."""
     base = _texts(docs)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    hot = max(HOT, 2 * size // (_span(length) + 1) >> HOT_SHARE)
     marks = _marks(base, buckets, length)
-    shared = marks.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _shared_marks(t, buckets), "block int, rows binary")
-    local = marks.filter("bucket < 0").select("block", F.col("marks").alias("rows"))
-    flags = _by_document(shared.union(local), _FLAG, "flags")
-    dealt = _pieces(base.join(flags, "doc_id"), buckets, length)
-    sorted_ = dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t, length, buckets), "block int, rows binary")
-    decided = dealt.filter("bucket < 0").select("block", F.col("head").alias("rows"))
-    spans = _by_document(sorted_.union(decided), _RUN, "spans")
-    return base.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    # what tasks have decided goes through the same shuffle, so that texts are read for marks, and for pieces, once
+    shared = materialize(marks.groupBy("bucket").applyInArrow(lambda t: _shared_marks(t, buckets, hot), "block long, rows binary"))
+    # at most 2^HOT_SHARE hashes of 8 bytes: each stands for that part of all minimizers or more
+    many = np.sort(np.frombuffer(b"".join(bytes(r.rows) for r in shared.filter(F.col("block") == _HOT_BLOCK).select("rows").collect()), U64))
+    flags = _by_document(shared.filter(F.col("block") != _HOT_BLOCK), _FLAG, "flags")
+    dealt = _pieces(base.join(flags, ["doc", "tie"]), buckets, length, many)
+    spans = _by_document(dealt.groupBy("bucket").applyInArrow(lambda t: _sorted_blocks(t, length, buckets), "block long, rows binary"), _RUN, "spans")
+    return base.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
 
-    Texts shorter than ``length`` lose nothing, a null text is empty. Strings within one document,
-    or in rows that share an id, are no repeats of each other (an id's rows must have one text); a
-    null id counts as the largest.
+    Texts shorter than ``length`` lose nothing, a null text is empty. Strings within one document, or
+    in rows that share an id, are no repeats of each other; a null id counts as the greatest long, so
+    such rows lose what any other document has and take nothing from each other.
     """
 
     def run(batches):
@@ -462,5 +554,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = repeated_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return found.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
+    return repeated_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
