@@ -91,49 +91,53 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-_FRESH = {bytes([i]): i for i in range(256)}
+#: Width of the k-th code behind a clear code, and the bits before it: the reader's table grows by one entry a code.
+_WIDTHS = 9 + sum((257 + np.maximum(1, np.arange(1 << 13)) >= limit).astype(np.int64) for limit in (511, 1023, 2047))
+_BEFORE = np.cumsum(_WIDTHS) - _WIDTHS
+
+
+_SINGLE = [chr(k) for k in range(256)] + ["", ""]
+_BIT = np.arange(11, -1, -1)
 
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    out, bits, held, width = [], 256, 9, 9  # the clear code comes first
-    table, n, prefix = _FRESH.copy(), 258, b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
+    codes, clears = [256], [0]  # the clear code comes first, and again where the table is full
+    put, table, n, prefix = codes.append, {}, 258, -1
+    find = table.get
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        key = prefix << 8 | byte
+        longer = find(key)
+        if longer is not None:
             prefix = longer
             continue
-        bits, held = (bits << width) | table[prefix], held + width
-        if held >= 1024:  # whole bytes leave, so the number stays short
-            spare = held % 8
-            out.append((bits >> spare).to_bytes(held // 8, "big"))
-            bits, held = bits & ((1 << spare) - 1), spare
-        table[longer] = n
-        prefix, n = data[i : i + 1], n + 1
+        put(prefix)
+        table[key], prefix, n = n, byte, n + 1
         if n >= 4095:
-            bits, held = (bits << width) | 256, held + width
-            table, n, width = _FRESH.copy(), 258, 9
-        elif n >= 1 << width:
-            width += 1
-    if prefix:
-        bits, held = (bits << width) | table[prefix], held + width
-        if n + 1 >= 1 << width and width < 12:  # the reader's table is one entry further by now
-            width += 1
-    bits, held = (bits << width) | 257, held + width
-    pad = -held % 8
-    return b"".join([*out, (bits << pad).to_bytes((held + pad) // 8, "big")])
-
-
-#: Width of the k-th code behind a clear code, and the bits before it: the reader's table grows by one entry a code.
-_WIDTHS = 9 + sum((257 + np.maximum(1, np.arange(1 << 13)) >= limit).astype(np.int64) for limit in (511, 1023, 2047))
-_BEFORE = np.cumsum(_WIDTHS) - _WIDTHS
+            clears.append(len(codes))
+            put(256)
+            table.clear()
+            n = 258
+    if prefix >= 0:
+        put(prefix)
+    put(257)
+    # a code's width follows from the number of codes since the last clear code; that one still has the old width
+    at = np.arange(len(codes))
+    since = at - np.array(clears)[np.searchsorted(clears, at, "left") - 1] - 1
+    width = _WIDTHS[np.maximum(since, 0)]
+    bits = (np.array(codes)[:, None] >> _BIT) & 1
+    return np.packbits(bits[_BIT < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def _codes(data: np.ndarray, bit: int, known: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes from ``bit`` on, ``known`` codes behind a clear code, and the bit behind each. ``data`` ends in 3 spare bytes."""
     known = min(known, 1 << 12)
-    at = bit + _BEFORE[known:] - _BEFORE[known]
-    width = _WIDTHS[known:]
+    most = known + (1 if not bit else (8 * len(data) - bit) // 9 + 1)  # the first code is a clear code: alone
+    at = bit + _BEFORE[known:most] - _BEFORE[known]
+    width = _WIDTHS[known:most]
     n = int(np.searchsorted(at + width, 8 * (len(data) - 3), "right"))
     at, width = at[:n], width[:n]
     b = at >> 3
@@ -144,23 +148,29 @@ def _codes(data: np.ndarray, bit: int, known: int) -> tuple[np.ndarray, np.ndarr
 def lzw_decode(data: bytes, size: int) -> bytes:
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out, held, bit, known, last = [], 0, 0, 0, None
-    table: list[bytes] = []
+    table: list[str] = []
     while held < size:
         codes, behind = _codes(raw, bit, known)
         stop = np.flatnonzero((codes == 256) | (codes == 257))
         n = int(stop[0]) if len(stop) else len(codes)
-        first = len(out)
-        for code in codes[:n].tolist():
-            if code < len(table):
+        first, walk_ = len(out), iter(codes[:n].tolist())
+        if last is None and n:
+            code = next(walk_)
+            if code >= len(table):
+                raise BadTiff("LZW data begins without a clear code")
+            last = table[code]
+            out.append(last)
+        top, put, grow = len(table), out.append, table.append
+        for code in walk_:
+            if code < top:
                 entry = table[code]
-                if last is not None:
-                    table.append(last + entry[:1])
-            elif last is not None and code == len(table):
-                entry = last + last[:1]
-                table.append(entry)
+            elif code == top:
+                entry = last + last[0]
             else:
-                raise BadTiff("LZW code out of range, or no clear code at the start")
-            out.append(entry)
+                raise BadTiff("LZW code out of range")
+            grow(last + entry[0])
+            top += 1
+            put(entry)
             last = entry
         held += sum(map(len, out[first:]))
         if n == len(codes):
@@ -170,8 +180,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         elif codes[n] == 257:
             break
         else:
-            bit, known, last, table = int(behind[n]), 0, None, [bytes([k]) for k in range(256)] + [b"", b""]
-    return b"".join(out)[:size]
+            bit, known, last, table = int(behind[n]), 0, None, _SINGLE.copy()
+    return "".join(out).encode("latin-1")[:size]
 
 
 def decompress(data: bytes, how: int, size: int) -> bytes:
@@ -342,9 +352,11 @@ def _write_page(rows: np.ndarray, at: int, how: int, tiled: bool, predictor: int
     for y in range(0, len(rows), step):
         part = rows[y : y + step]
         if tiled and part.shape != (tile, tile):
-            part = np.pad(part, ((0, tile - len(part)), (0, tile - width)))
+            part = np.zeros((tile, tile), np.uint8)
+            part[: len(rows) - y, :width] = rows[y : y + step]
         if predictor == 2:
-            part = np.diff(part, axis=1, prepend=np.uint8(0))
+            left, part = part, part.copy()
+            part[:, 1:] -= left[:, :-1]
         parts.append(compress(part.tobytes(), how))
     n = len(parts)
     fields = {WIDTH: (4, width), LENGTH: (4, len(rows)), BITS: (3, 8), COMPRESSION: (3, how), PHOTOMETRIC: (3, 1), SAMPLES: (3, 1), PREDICTOR: (3, predictor)}
