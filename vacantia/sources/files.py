@@ -93,7 +93,15 @@ def read_sql_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return spark.read.text(path, wholetext=True).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
 
 
+_TEXT = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+
+
 def salvage_json(text):
-    """The JSON object in a generated answer: fences off, first brace to last, raw line breaks in texts escaped."""
+    """The JSON object in a generated answer: fences off, first brace to last; only where that is no JSON
+    are raw line breaks and tabs inside its texts escaped."""
     body = F.regexp_extract(F.regexp_replace(text, "(?i)```(?:json)?", ""), r"(?s)(\{.*\})", 1)
-    return F.try_parse_json(F.regexp_replace(F.regexp_replace(body, r"(?<!\\)\r?\n", " "), r"\t", " "))
+    whole = F.regexp_extract_all(body, F.lit(f"(?s){_TEXT}"), F.lit(0))
+    escaped = F.transform(whole, lambda t: F.replace(F.replace(F.replace(t, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t")))
+    between = F.split(body, f"(?s){_TEXT}")
+    joined = F.array_join(F.zip_with(between, escaped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.coalesce(F.try_parse_json(body), F.try_parse_json(joined))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -10,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import JUNK_TITLES
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class Element:
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
     def text(self) -> str:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
@@ -30,6 +34,12 @@ class Element:
         """Elements that one of the selectors fits, in document order."""
         return [e for e in self.walk() if any(_fits(e, s) for s in selectors)]
 
+    def closest(self, *tags: str) -> Element | None:
+        e = self
+        while e is not None and e.tag not in tags:
+            e = e.parent
+        return e
+
     def first(self, *selectors: str) -> Element | None:
         return next(iter(self.all(*selectors)), None)
 
@@ -53,7 +63,7 @@ class _Builder(HTMLParser):
         self.stack = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        e = Element(tag, {k: v or "" for k, v in attrs})
+        e = Element(tag, {k: v or "" for k, v in attrs}, self.stack[-1])
         self.stack[-1].children.append(e)
         if tag not in _VOID:
             self.stack.append(e)
@@ -117,6 +127,57 @@ def cards(provider: str, token: str, page: str) -> list[tuple[str, str, str, str
     return list({row[2]: row for row in out}.values())
 
 
+#: Links of a careers page that may be postings, in the order in which they are looked for; places named in a card's text.
+CAREERS_PATHS = ("/jobs/", "/job/", "/careers/")
+CARD_PLACE = re.compile(r"(London|United Kingdom|UK|Manchester|Birmingham|Leeds|Remote[^,.]*UK)", re.IGNORECASE)
+#: Postings of one careers page that are kept.
+CAREERS_BOUND = 500
+
+
+def plausible_title(title: str) -> bool:
+    """The rule of ``functions.titles.valid_title`` for one text."""
+    low = title.strip().lower()
+    return len(title) >= 3 and low not in JUNK_TITLES and not (len(low) < 40 and low.startswith(JUNK_TITLES))
+
+
+def _of_json_ld(page: Element, home: str) -> Iterator[tuple[str, str, str, str]]:
+    for script in page.all("script@type=application/ld+json"):
+        try:
+            found = json.loads(script.text())
+        except ValueError:
+            continue
+        for entry in found if isinstance(found, list) else [found]:
+            if not isinstance(entry, dict) or entry.get("@type") != "JobPosting":
+                continue
+            place = entry.get("jobLocation") or {}
+            place = place[0] if isinstance(place, list) and place else place
+            address = place.get("address") if isinstance(place, dict) else None
+            parts = [address.get(k) for k in ("addressLocality", "addressRegion", "addressCountry")] if isinstance(address, dict) else []
+            department = str(entry.get("department") or entry.get("occupationalCategory") or "") if not isinstance(entry.get("department"), dict) else ""
+            yield str(entry.get("title") or "").strip(), ", ".join(str(p) for p in parts if p), str(entry.get("url") or home).strip(), department
+
+
+def careers_page(home: str, text: str) -> list[tuple[str, str, str, str]]:
+    """(title, location, url, department) of a careers page: its JobPosting blocks, then links that look like postings.
+
+    A link's place is the first one named in the text of the list item, article, division or table row
+    around it. Of one address the last posting stays, at the first one's place; CAREERS_BOUND are kept.
+    """
+    page, found, seen = parse(text), [], set()
+    found += _of_json_ld(page, home)
+    for path in CAREERS_PATHS:
+        for a in page.all("a"):
+            href, title = a.attrs.get("href", "").strip(), " ".join(a.text().split())
+            url = urljoin(home, href)
+            if path not in href or not plausible_title(title) or url in seen:
+                continue
+            seen.add(url)
+            card = a.closest("li", "article", "div", "tr")
+            place = CARD_PLACE.search(" ".join(card.text().split())) if card else None
+            found.append((title, place[0] if place else "", url, ""))
+    return list({row[2]: row for row in found if row[0] and row[2]}.values())[:CAREERS_BOUND]
+
+
 def normalize_html(payloads: DataFrame) -> DataFrame:
     """Postings of HTML pages: company_id, provider, pos, title, location, url, department."""
 
@@ -124,11 +185,12 @@ def normalize_html(payloads: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for company, provider, token, page in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(company, provider, n, *row) for n, row in enumerate(cards(provider, token, page or ""))]
+                found = careers_page(token or "", page or "") if provider == "generic_careers" else cards(provider, token, page or "")
+                rows += [(company, provider, n, *row) for n, row in enumerate(found)]
             kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4]
             names = ["company_id", "provider", "pos", "title", "location", "url", "department"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    mine = payloads.filter(F.col("provider").isin(*CARDS) & F.ltrim("payload").startswith("<"))
+    mine = payloads.filter(F.col("provider").isin(*CARDS, "generic_careers") & F.ltrim("payload").startswith("<"))
     picked = mine.select(F.col("company_id").cast("long"), "provider", "token", "payload")
     return picked.mapInArrow(run, "company_id long, provider string, pos int, title string, location string, url string, department string")

@@ -193,17 +193,6 @@ def normalize_xml(payloads: DataFrame) -> DataFrame:
     )
 
 
-def normalize_json_ld(pages: DataFrame) -> DataFrame:
-    """JobPosting blocks of pages (company_id, payload): single objects and arrays."""
-    blocks = F.regexp_extract_all(F.col("payload"), F.lit(r'(?si)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'), F.lit(1))
-    v = pages.select("company_id", F.posexplode(F.transform(blocks, F.try_parse_json)).alias("block", "v")).filter("v is not null")
-    each = v.select("company_id", "block", F.posexplode(F.coalesce(rows(F.col("v"), ""), F.array("v"))).alias("n", "i")).filter(get(F.col("i"), "['@type']") == "JobPosting")
-    i = Item(F.col("i"), F.lit(""))
-    place = _or(i.joined(", ", "jobLocation.address.addressLocality", "jobLocation.address.addressRegion", "jobLocation.address.addressCountry"), i.joined(", ", "jobLocation[0].address.addressLocality", "jobLocation[0].address.addressRegion", "jobLocation[0].address.addressCountry"))
-    return each.select("company_id", F.lit("generic_careers").alias("provider"), (F.col("block") * 1000 + F.col("n")).cast("int").alias("pos"), i("title").alias("title"), place.alias("location"), i("url").alias("url"), i("department", "occupationalCategory").alias("department"))
-
-
 def normalize(payloads: DataFrame) -> DataFrame:
     """All postings of a payload table, whatever the provider: company_id, provider, pos, title, location, url, department."""
-    ld = normalize_json_ld(payloads.filter("provider = 'generic_careers'"))
-    return normalize_json(payloads).unionByName(normalize_xml(payloads)).unionByName(ld).unionByName(html.normalize_html(payloads))
+    return normalize_json(payloads).unionByName(normalize_xml(payloads)).unionByName(html.normalize_html(payloads))
