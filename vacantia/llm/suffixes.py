@@ -318,7 +318,8 @@ def _pieces(marked: DataFrame, buckets: int, length: int, hot: np.ndarray) -> Da
         if size:
             yield flush()
 
-    return marked.select("doc", "tie", "text", "flags").mapInArrow(run, "bucket long, head binary, body binary, block long")
+    # doc_id comes along so that both joins with the texts can use one exchange of them
+    return marked.select("doc", "tie", "text", "flags", "doc_id").mapInArrow(run, "bucket long, head binary, body binary, block long")
 
 
 def _same_pieces(head: np.ndarray, body: np.ndarray) -> np.ndarray:
