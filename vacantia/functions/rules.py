@@ -239,6 +239,30 @@ FINGERPRINTS = (
     ("breezy", r"([a-zA-Z0-9_-]+)\.breezy\.hr"), ("jobvite", r"jobs\.jobvite\.com/([a-zA-Z0-9_-]+)"), ("workday", r"([a-zA-Z0-9_-]+)\.wd[0-9]+\.myworkdayjobs\.com"),
     ("icims", r"([a-zA-Z0-9_-]+)\.icims\.com"), ("successfactors", r"([a-zA-Z0-9_-]+)\.successfactors\.com"), ("taleo", r"([a-zA-Z0-9_-]+)\.taleo\.net"), ("avature", r"([a-zA-Z0-9_-]+)\.avature\.net"),
 )
+HEURISTIC_PROVIDERS = ("greenhouse", "lever", "ashby", "workable", "teamtailor")
+#: Second write gate: providers, providers whose token is an address, and words that are no token.
+WRITABLE_PROVIDERS = _terms("""
+greenhouse, greenhouse_eu, lever, lever_eu, ashby, workable, recruitee, smartrecruiters, teamtailor, bamboohr, personio, jobvite, workday, oracle_cloud,
+icims, successfactors, taleo, avature, pinpoint, breezy, custom""")
+FULL_URL_PROVIDERS = ("workday", "oracle_cloud", "icims", "successfactors", "custom")
+GENERIC_TOKENS = _terms("""
+www, jobs, careers, apply, hire, work, en-us, en, job, career, about, company, portal, external, internal, search, listing, us, uk, eu, fr, de, v1, v2, api,
+home, index, page, post, category, app, careersite, data, team, corp, ltd, group, solutions, services, global, international, tech, digital, media""")
+#: Where a probe's body lists its postings.
+PROBE_LISTS = {
+    "greenhouse": "$.departments", "lever": "$", "ashby": "$.jobs", "workable": "$.results", "teamtailor": "$.data", "smartrecruiters": "$.content", "recruitee": "$.offers",
+    "pinpoint": "$.posts", "breezy": "$.positions", "jobvite": "$.jobs",
+}
+#: Feeds that the verdict reads: where the postings are, and the fields of a posting's place.
+VERDICT_FEEDS = {
+    "greenhouse": ("$.jobs", ("$.location.name",)), "lever": ("$", ("$.categories.location",)), "ashby": ("$.jobPostings", ("$.locationName",)),
+    "workable": ("$.results", ("$.location.city", "$.location.country")), "smartrecruiters": ("$.content", ("$.location.city", "$.location.country")),
+    "recruitee": ("$.offers", ("$.location",)), "personio": ("$.data", ("$.office", "$.attributes.office")), "bamboohr": ("$.result", ("$.location",)),
+}
+#: Providers that the sheet importer knows, each by its own name.
+IMPORT_PROVIDERS = _terms("""
+ashby, greenhouse, lever, workable, teamtailor, bamboohr, smartrecruiters, pinpoint, breezy, breezyhr, personio, workday, workday_enterprise, oracle_cloud,
+successfactors, icims, hibob, rippling, recruitee, eightfold, linkedin, custom""")
 INVALID_TOKENS = _terms("""
 www, jobs, careers, apply, hire, work, en-us, en, job, career, about, company, portal, external, internal, search, listing,
 us, uk, eu, fr, de, v1, v2, api, home, index, page, post, category, assets, asset, article, articles, lib, libs, library,

@@ -15,29 +15,40 @@ def fingerprint_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, provider string, pattern string")
 
 
-def fingerprint_scan(sources: DataFrame) -> DataFrame:
-    """One row per company with evidence: provider, token, source, valid.
+#: One cheap pattern that every fingerprint's text holds; the sixteen are tried only where it is found.
+_ANY = r"(?i)(greenhouse\.io|ashbyhq\.com|lever\.co|workable\.com|teamtailor\.com|bamboohr\.com|smartrecruiters\.com|recruitee\.com|pinpointhq\.com|breezy\.hr|jobvite\.com|myworkdayjobs\.com|icims\.com|successfactors\.com|taleo\.net|avature\.net)"
+
 
-    sources: company_id, pos, source. Each fingerprint takes its first match in a source; provider
-    priority, then source order decide; a match with a generic token is used only where there is
-    no other. Sixteen expressions over one pass of the sources: no join and no explosion by pattern.
+def best_hit(source: Column, *order: Column) -> Column:
+    """struct<invalid, priority, ..., provider, token> of the best fingerprint in a text, null where none fits.
+
+    Each fingerprint takes its first match; one with a generic token is used only where there is no other.
     """
     hits = []
     for i, (provider, pattern) in enumerate(R.FINGERPRINTS):
-        token = nonempty(tokens.normalize_token(F.regexp_extract("source", f"(?i){pattern}", 1)))
-        hits.append(F.when(token.isNotNull(), F.struct(tokens.is_invalid(token).alias("invalid"), F.lit(i).alias("priority"), F.col("pos").alias("pos"), F.lit(provider).alias("provider"), token.alias("token"), F.col("source").alias("source"))))
-    best = F.array_min(F.array_compact(F.array(*hits)))
-    found = sources.select("company_id", best.alias("hit")).filter(F.col("hit").isNotNull()).groupBy("company_id").agg(F.min("hit").alias("hit"))
-    return found.select("company_id", "hit.provider", "hit.token", "hit.source", (~F.col("hit.invalid")).alias("valid"))
+        token = nonempty(tokens.normalize_token(F.regexp_extract(source, f"(?i){pattern}", 1)))
+        hits.append(F.when(token.isNotNull(), F.struct(tokens.is_invalid(token).alias("invalid"), F.lit(i).alias("priority"), *order, F.lit(provider).alias("provider"), token.alias("token"))))
+    return F.when(source.rlike(_ANY), F.array_min(F.array_compact(F.array(*hits))))
+
+
+def fingerprint_scan(sources: DataFrame) -> DataFrame:
+    """One row per company with evidence: provider, token, source, valid.
+
+    sources: company_id, pos, source. Provider priority, then source order decide. Sixteen expressions over one
+    pass of the sources that hold any provider's host: no join and no explosion by pattern.
+    """
+    found = sources.withColumn("hit", best_hit(F.col("source"), F.col("pos"))).filter("hit is not null").groupBy("company_id").agg(F.min(F.struct("hit", "source")).alias("h"))
+    return found.select("company_id", "h.hit.provider", "h.hit.token", "h.source", (~F.col("h.hit.invalid")).alias("valid"))
 
 
 def all_matches(sources: DataFrame) -> DataFrame:
     """Every distinct (company, provider, token, source) with its priority."""
-    parts = [
-        F.transform(F.regexp_extract_all(F.col("source"), F.lit(f"(?i){pattern}"), F.lit(1)), lambda t, i=i, p=p: F.struct(F.lit(i).alias("priority"), F.lit(p).alias("provider"), tokens.normalize_token(t).alias("token")))
-        for i, (p, pattern) in enumerate(R.FINGERPRINTS)
-    ]
-    hits = sources.select("company_id", "source", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("h"))
+
+    def named(i: int, provider: str):
+        return lambda t: F.struct(F.lit(i).alias("priority"), F.lit(provider).alias("provider"), tokens.normalize_token(t).alias("token"))
+
+    parts = [F.transform(F.regexp_extract_all(F.col("source"), F.lit(f"(?i){pattern}"), F.lit(1)), named(i, p)) for i, (p, pattern) in enumerate(R.FINGERPRINTS)]
+    hits = sources.filter(F.col("source").rlike(_ANY)).select("company_id", "source", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("h"))
     return hits.select("company_id", "h.priority", "h.provider", "h.token", "source").filter("token <> ''").distinct()
 
 

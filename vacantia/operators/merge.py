@@ -117,3 +117,18 @@ def overlay(base: DataFrame, overrides: DataFrame, key: str, columns: list[str])
 
 def backfill(df: DataFrame, column: str, *sources: Column) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), *sources))
+
+
+def widen(target: DataFrame, source: DataFrame) -> DataFrame:
+    """``target`` with the columns that only ``source`` has, null in all its rows."""
+    return target.withColumns({f.name: F.lit(None).cast(f.dataType) for f in source.schema if f.name not in target.columns})
+
+
+def narrow(source: DataFrame, target: DataFrame) -> DataFrame:
+    """``source`` without the columns that ``target`` lacks, for a target whose schema must not change."""
+    return source.select(*(c for c in source.columns if c in target.columns))
+
+
+def checked(rows: DataFrame, allowed: Column) -> DataFrame:
+    """Rows to be written, each held against a row-level rule: one that it does not allow fails the write."""
+    return rows.filter(F.when(F.coalesce(allowed, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a row violates the row-level rule")).cast("boolean")))

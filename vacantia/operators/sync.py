@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.location import default_evidence, is_uk_job
-from ..functions.titles import infer_level, infer_sector
+from ..functions.titles import infer_level, infer_sector, valid_title
 from ..functions.values import cut, js_trim
 from . import dedup, merge
 
@@ -22,7 +22,8 @@ def health_after(status: Column, failures: Column, failed: Column) -> Column:
 
 
 def classify(postings: DataFrame, nhs: Column | None = None) -> DataFrame:
-    """postings (company_id, title, location, url, department, pos) with keep: location passes, or an NHS company."""
+    """postings (company_id, title, location, url, department, pos) with a valid title, and keep: location passes, or an NHS company."""
+    postings = postings.filter(valid_title(F.col("title")))
     keep = is_uk_job(default_evidence(F.col("location")))
     return postings.withColumn("keep", keep if nhs is None else keep | F.coalesce(nhs, F.lit(False)))
 
@@ -56,8 +57,9 @@ def sync(jobs: DataFrame, attempted: DataFrame, postings: DataFrame, nhs: Column
     marked = classify(postings, nhs)
     out = outcomes(attempted, marked)
     rows = to_rows(marked.filter("keep"))
-    # upsert first: a url that moves to another company is no stale row of the old one
-    latest = dedup.first_value(rows.withColumn("__order", F.struct("company_id", "title")), "url", "__order").drop("__order")
+    # companies are synchronised one after the other, by company_id: of a url that several post the last one has it,
+    # and a url that moved to another company is no stale row of the old one
+    latest = rows.groupBy("url").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "url"]), "company_id").alias("r")).select("url", "r.*")
     merged = merge.upsert(jobs, latest, ["url"])
     seen = rows.select("company_id", "url").distinct().withColumn("__seen", F.lit(True))
     state = out.select("company_id", "bucket")
