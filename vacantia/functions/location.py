@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .values import alternatives, any_of, contains_any, has_words, js_trim
+from .values import alternatives, any_of, bind, contains_any, has_words, js_trim
 
 POSTCODE = r"[a-z]{1,2}[0-9][a-z0-9]?\s?[0-9][a-z]{2}"
 SOME_LOCATIONS = r"[0-9]+\s+locations?"
@@ -82,12 +82,15 @@ def _tokens_in(loc: Column, terms) -> Column:
 
 def is_uk_location_v1(location: Column) -> Column:
     """Ordered rules on a normalised location. Upper-case country names never equal a lower-case token."""
-    n = normalize_location(location)
+    return F.when(location.isNull(), False).otherwise(bind(normalize_location(location), _v1))
+
+
+def _v1(n: Column) -> Column:
     names = [t.lower() for t in R.V1_COUNTRIES]
     signal = contains_any(n, [*names, *R.UK_NATIONS, *R.V1_PLACES])
     phrases = [t for t in (*R.V1_COUNTRIES, *R.UK_NATIONS, *R.V1_PLACES) if " " in t]
     return (
-        F.when(location.isNull() | (n == ""), False)
+        F.when(n == "", False)
         .when(n.isin("remote", "anywhere", "worldwide"), False)
         .when(contains_any(n, R.V1_IRISH) & ~n.contains("northern ireland") & ~signal, False)
         .when(contains_any(n, R.V1_BLOCKS), False)
@@ -128,15 +131,20 @@ def cleanup_bad(location: Column) -> Column:
 
 
 def _first_hit(text: Column, terms) -> Column:
-    """The first of the terms that the text contains, else null."""
-    return F.try_element_at(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)), F.lit(1))
+    """The first of the terms, in their order, that the text contains, else null."""
+    named = F.try_element_at(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)), F.lit(1))
+    return F.when(contains_any(text, terms), named)
 
 
 def likely_uk(location: Column, url: Column, title: Column, department: Column, verified: Column) -> Column:
     """The five-signal cascade with reasons: struct<keep:boolean, needs_review:boolean, reason:string>."""
-    loc = normalize_location(location)
-    link, name, team = (F.lower(F.coalesce(c, F.lit(""))) for c in (url, title, department))
-    bad_url, bad_loc = _first_hit(link, R.NON_UK_URL_HINTS), _first_hit(loc, R.LIKELY_BLOCKED)
+    texts = [F.lower(F.coalesce(c, F.lit(""))).alias(n) for n, c in (("link", url), ("name", title), ("team", department))]
+    given = F.struct(normalize_location(location).alias("loc"), *texts, F.coalesce(verified, F.lit(False)).alias("verified"))
+    return bind(given, lambda g: bind(F.struct(_first_hit(g["link"], R.NON_UK_URL_HINTS).alias("url"), _first_hit(g["loc"], R.LIKELY_BLOCKED).alias("loc")), lambda bad: _cascade(g, bad)))
+
+
+def _cascade(given: Column, bad: Column) -> Column:
+    loc, link, name, team = (given[c] for c in ("loc", "link", "name", "team"))
     ambiguous = loc.isin(*R.AMBIGUOUS) | loc.rlike(SOME_LOCATIONS)
     terms = "|".join(t.lower().replace(" ", r"[\s.\-]+") for t in (*R.V1_COUNTRIES, *R.UK_NATIONS, *R.V1_PLACES))
 
@@ -146,10 +154,10 @@ def likely_uk(location: Column, url: Column, title: Column, department: Column,
 
     settled = (loc != "") & ~ambiguous
     return (
-        F.when(bad_url.isNotNull(), out(False, reason=F.concat(F.lit("non_uk_url: "), bad_url)))
-        .when(bad_loc.isNotNull() & ~loc.contains("northern ireland"), out(False, reason=F.concat(F.lit("non_uk_location: "), bad_loc)))
-        .when(F.coalesce(verified, F.lit(False)), out(True))
-        .when((loc != "") & is_uk_location_v1(loc), out(True))
+        F.when(bad["url"].isNotNull(), out(False, reason=F.concat(F.lit("non_uk_url: "), bad["url"])))
+        .when(bad["loc"].isNotNull() & ~loc.contains("northern ireland"), out(False, reason=F.concat(F.lit("non_uk_location: "), bad["loc"])))
+        .when(given["verified"], out(True))
+        .when((loc != "") & _v1(loc), out(True))
         .when((loc == "remote") & contains_any(link, (".uk", "country=gb", "country=uk")), out(True))
         .when(settled & contains_any(loc, R.WIDE_AREAS), out(True, True))
         .when(settled, out(False, reason="failed_uk_location_check"))

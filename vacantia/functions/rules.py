@@ -127,7 +127,6 @@ AMBIGUOUS = _terms("""
 remote, flexible, hybrid, anywhere, worldwide, global, distributed, not specified, remote other, remot other,
 multiple locations, location negotiable, negotiable, tbd, to be confirmed, various, various locations, see description,
 see job description""")
-SAMPLE_AMBIGUOUS = _terms("remote, flexible, hybrid, anywhere, worldwide, global, distributed, not specified, location negotiable, negotiable, tbd, various, see description")
 WIDE_AREAS = _terms("emea, europe, global, worldwide, international, western europe, northern europe, british isles")
 VAGUE_PLACES = _terms("""
 location negotiable, negotiable, tbd, to be confirmed, various, various locations, see description, see job description,
@@ -137,7 +136,7 @@ multiple locations, not specified""")
 
 LEVELS = (
     ("Executive", "chief|cto|ceo|cfo|coo|cpo|president|managing director|md"),
-    ("VP", "~{vp}|vice president"),
+    ("VP", "~{vp}|vice president"),  # the phrase also within other words
     ("Director", "director"),
     ("Principal", "principal"),
     ("Lead", "lead"),

@@ -54,5 +54,10 @@ def ilike_any(cols, terms) -> Column:
     return any_of(c.ilike(f"%{t}%") for t in terms for c in cols)
 
 
+def bind(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often ``make`` names it (branches of a CASE are not shared otherwise)."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def cut(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
