@@ -4,12 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from vacantia.llm import exact_dedup, mixing, pieces, suffixes, tiff
-from vacantia.llm.common import row_key
+from vacantia.llm import exact_dedup, mixing, pieces, suffixes, tiff, toxicity
+from vacantia.llm.common import blocks, row_key
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 DOCS = "doc_id long, text string"
@@ -178,3 +179,51 @@ def test_suffix_buckets_are_whole_and_in_order():
         leads = [{bytes(text[w : w + 2]) for w in b} for b in found]
         assert all(not x & y and max(x) < min(y) for x, y in zip(leads, leads[1:]))
         assert all(len(b) <= most or len(x) == 1 for b, x in zip(found, leads))
+
+
+def pair_rows(n=1600):
+    """Label 1: a group word and an insult, or neither; one of them alone: label 0. Neither word tells anything by itself."""
+    rng, rows = random.Random(5), []
+    for i in range(n):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(10, 40))]
+        kind = i % 4
+        words += [[], ["groupies", "blockhead"], ["groupies"], ["blockhead"]][kind]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(kind < 2)))
+    return rows
+
+
+def as_features(rows):
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], ["doc_id", "toxic", "text"])
+    return pa.Table.from_batches(list(toxicity._features(iter([batch])))).to_pandas()
+
+
+def test_a_pair_without_marginal_signal_is_learnt():
+    rows = pair_rows()
+    machine = toxicity.train(as_features(rows[:1200]))
+    (_, data, offsets), = blocks([pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows[1200:]])], ["text"])], limit=1 << 30)
+    predicted = machine.scores(data, offsets) >= 0.5
+    assert np.mean(predicted == np.array([r[2] > 0 for r in rows[1200:]])) > 0.97
+
+
+def test_machine_scores_against_all_pairs():
+    rng = np.random.default_rng(4)
+    texts = ["one two three", "", "two insulting words two", "naïve wordy texts 12 ab_c"]
+    used = 1 << toxicity.BITS
+    machine = toxicity.Machine(-0.3, np.arange(used, dtype=np.int32) % 5000, rng.normal(0, 0.3, 5000), rng.normal(0, 0.3, (5000, toxicity.FACTORS)))
+    (_, data, offsets), = blocks([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], limit=1 << 30)
+    doc, term = toxicity.terms(data, offsets)
+    for i, got in enumerate(machine.scores(data, offsets)):
+        mine = [k for k in machine.row[term[doc == i]] if k]
+        z = machine.bias + sum(machine.w[a] for a in mine) + sum(machine.v[a] @ machine.v[b] for x, a in enumerate(mine) for b in mine[x + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_sample_bound_on_terms_and_labels_without_documents(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(20)) + f" x{i}", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "x"), (3, "other text of id three")], DOCS)
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(k, 1) for k in range(1000, 3000)] + [(None, 1)], "doc_id long, toxic int")
+    found = toxicity.training_rows(docs, labels, 10).collect()
+    assert sum(r.toxic for r in found) >= 10 and {r.doc_id for r in found} <= set(range(60))
+    features = spark.createDataFrame([(i, i % 2, b"\0" * 400) for i in range(40)], "doc_id long, toxic int, terms binary")
+    assert {tuple(r) for r in toxicity.bounded(features, 500).groupBy("toxic").count().collect()} == {(0, 5), (1, 5)}

@@ -4,9 +4,13 @@ score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed
 text: the pairwise part learns that two terms together (an insult and a group) mean more than
 the sum of both, which additive weights cannot express.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` a class, chosen
-by hash of the id, so the same at every run), everything else covers all rows. Scoring is one
-Arrow pass over the table, without a shuffle.
+A term enters the machine when the label depends on it (log-likelihood ratio), or on its being there
+together with another term, more than on either of the two: so a pair whose parts tell nothing by
+themselves is learnt too. Pairs are counted over the whole sample, in blocks of terms.
+
+The model is fitted on a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` rows a class and
+``SAMPLE_TERMS`` terms a class, chosen by hash of the id, so the same at every run), everything else
+covers all rows. Scoring is one Arrow pass over the table, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,22 +21,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, Hasher, blocks, doc_crc, edges_of, held_out
+from .common import IS_WORD, Hasher, blocks, doc_crc, edges_of, held_out, materialize
 
-#: Bound on the labelled rows that the fit uses, for each class.
-SAMPLE_PER_CLASS = 6000
+#: Bounds on the labelled rows that the fit uses, for each class: rows, and distinct terms of those rows (4 bytes each) in all.
+SAMPLE_PER_CLASS, SAMPLE_TERMS = 6000, 1 << 23
 BITS = 20
 FACTORS = 8
 MIN_DF = 5
+#: Share of the toxic rows that a term must be in for its pairs to be counted (MIN_DF rows at least), and terms in a block of pairs.
+PAIR_SHARE, PAIR_TERMS = 0.03, 512
+#: Log-likelihood ratio (chi-square, 1 degree of freedom) under which a term, or what a pair adds to its terms, is taken as noise.
+MIN_LLR = 10.83
 #: Lengths in bytes of the word stems that are terms besides the words.
 STEMS = (4, 5)
-#: Terms kept by the fit: those whose presence depends most on the label.
-MAX_TERMS = 1 << 14
-#: Log-likelihood ratio (chi-square, 1 degree of freedom) under which a term is taken as noise.
-MIN_LLR = 10.83
 THRESHOLD = 0.7
 
 
@@ -85,9 +89,14 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """The bounded labelled sample: doc_id, toxic, text. Rows of the held-out third never enter."""
+    """The bounded labelled sample: doc_id, toxic, text. Rows of the held-out third never enter.
+
+    Labels of one id count as toxic if one of them is; labels without a document are left out before the
+    sample is taken. Rows that share a sampled id are all training rows with its label.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     order = F.xxhash64(F.col("doc_id")), F.col("doc_id")
     picked = [known.filter(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1])
@@ -105,10 +114,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(packed, pa.binary())], ["doc_id", "toxic", "terms"])
 
 
+def bounded(rows: DataFrame, most: int = SAMPLE_TERMS) -> DataFrame:
+    """Training rows (doc_id, toxic, terms) of each class, in the sample's order, as far as their terms add up to ``most``.
+
+    The window sees the sample's ids and counts only: at most SAMPLE_PER_CLASS rows a class.
+    """
+    sizes = rows.select("doc_id", "toxic", F.expr("octet_length(terms) div 4").alias("n")).groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    kept = sizes.withColumn("so_far", F.sum("n").over(ahead)).filter(F.col("so_far") <= most).select("doc_id")
+    return rows.join(kept, "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 3) -> Machine:
     """Train on the bounded sample. Copies of a text count once. No labels: every score is 0.5 or less."""
-    rows = training_rows(docs, labels, per_class).mapInArrow(_features, "doc_id long, toxic int, terms binary").toPandas()
-    rows = rows.sort_values("doc_id").drop_duplicates("terms")
+    rows = materialize(training_rows(docs, labels, per_class).mapInArrow(_features, "doc_id long, toxic int, terms binary"))
+    return train(bounded(rows).toPandas(), seed)
+
+
+def train(rows: pd.DataFrame, seed: int = 3) -> Machine:
+    """The machine of training rows: doc_id, toxic, terms (int32)."""
+    rows = rows.sort_values(["doc_id", "terms"]).drop_duplicates("terms")
     rows = rows.sample(frac=1.0, random_state=seed)
     y = rows.toxic.to_numpy(np.float64)
     sets = [np.frombuffer(x, np.int32) for x in rows.terms]
@@ -116,20 +141,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
     empty = Machine(-2.0, np.zeros(size, np.int32), np.zeros(1), np.zeros((1, FACTORS)))
     if not len(y) or y.min() == y.max():
         return empty
-    pos = np.bincount(np.concatenate([s for s, t in zip(sets, y) if t]), minlength=size).astype(float)
-    neg = np.bincount(np.concatenate([s for s, t in zip(sets, y) if not t]), minlength=size).astype(float)
-    llr = _llr(pos, neg, y.sum(), len(y) - y.sum())
-    chosen = np.flatnonzero((pos + neg >= MIN_DF) & (llr >= MIN_LLR))
-    chosen = chosen[np.argsort(-llr[chosen], kind="stable")][:MAX_TERMS]
+    flat = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    chosen = telling_terms(doc, flat, y)
     row = np.zeros(size, np.int32)
     row[chosen] = np.arange(1, len(chosen) + 1)
-    flat = row[np.concatenate(sets)]
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = row[flat]
     doc, flat = doc[flat > 0], flat[flat > 0]
     bias, w, v = _train(doc, flat, y, len(chosen) + 1, seed)
     return Machine(bias, row, w, v)
 
 
+def telling_terms(doc: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Terms on which the label depends, alone or in pairs; (doc, term) are distinct and y has both classes."""
+    size, n_pos, n_neg = 1 << BITS, y.sum(), len(y) - y.sum()
+    toxic = y[doc] > 0
+    pos, neg = (np.bincount(term[m], minlength=size).astype(float) for m in (toxic, ~toxic))
+    own = _llr(pos, neg, n_pos, n_neg)
+    alone = np.flatnonzero((pos + neg >= MIN_DF) & (own >= MIN_LLR))
+    least = max(MIN_DF, PAIR_SHARE * n_pos)
+    common = np.flatnonzero(pos >= least)
+    if len(common) < 2:
+        return alone
+    number = np.full(size, -1)
+    number[common] = np.arange(len(common))
+    has = np.zeros((len(y), len(common)), np.uint8)
+    mine = number[term] >= 0
+    has[doc[mine], number[term[mine]]] = 1
+    side = [has[y > 0], has[y == 0]]
+    # as many pairs are tried, the ratio that chance reaches grows by twice the log of their number
+    noise, own, joined = MIN_LLR + 2 * np.log(len(common) ** 2 / 2), own[common], np.zeros(len(common), bool)
+    for a in range(0, len(common), PAIR_TERMS):
+        left = [x[:, a : a + PAIR_TERMS].astype(np.float32) for x in side]
+        for b in range(a, len(common), PAIR_TERMS):
+            both = [x.T @ z[:, b : b + PAIR_TERMS].astype(np.float32) for x, z in zip(left, side)]
+            i, j = np.nonzero((both[0] >= least) & (both[0] * n_neg > both[1] * n_pos))
+            i, j = i[i + a < j + b], j[i + a < j + b]
+            pair = _llr(both[0][i, j].astype(float), both[1][i, j].astype(float), n_pos, n_neg)
+            tells = (pair >= noise) & (pair >= np.maximum(own[i + a], own[j + b]) + MIN_LLR)
+            joined[i[tells] + a] = joined[j[tells] + b] = True
+    return np.union1d(alone, common[joined])
+
+
 def _llr(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
     def part(k, n, p):
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / n / p), 0.0)
@@ -139,32 +192,29 @@ def _llr(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.nda
 
 
 def _train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, size: int, seed: int, epochs: int = 30, batch: int = 256, rate: float = 0.15, decay: float = 2e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on the logistic loss; ``doc`` is sorted, each epoch walks the shuffled rows in batches."""
+    """AdaGrad on the logistic loss; ``doc`` is sorted, each epoch walks the shuffled rows in batches, a step touches its batch's terms."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)), 0.0
     gw, gv, gb = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
     cuts = np.searchsorted(doc, np.arange(0, len(y) + batch, batch))
+    parts = [(b * batch, *np.unique(term[lo:hi], return_inverse=True), doc[lo:hi] - b * batch) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if b * batch < len(y)]
     for _ in range(epochs):
-        for b in rng.permutation(len(cuts) - 1):
-            lo, hi = cuts[b], cuts[b + 1]
-            first = b * batch
+        for b in rng.permutation(len(parts)):
+            first, used, t, d = parts[b]
             n = min(batch, len(y) - first)
-            if n <= 0:
-                continue
-            d, t = doc[lo:hi] - first, term[lo:hi]
-            x = v[t]
+            mine = v[used]
+            x = mine[t]
             sums = np.stack([np.bincount(d, x[:, f], n) for f in range(FACTORS)], 1)
             squares = np.bincount(d, (x * x).sum(1), n)
-            z = bias + np.bincount(d, w[t], n) + 0.5 * ((sums * sums).sum(1) - squares)
+            z = bias + np.bincount(d, w[used][t], n) + 0.5 * ((sums * sums).sum(1) - squares)
             err = (sigmoid(z) - y[first : first + n]) / n
-            g = np.bincount(t, err[d], size) + decay * w
-            gw += g * g
-            w -= rate * g / np.sqrt(gw)
+            g = np.bincount(t, err[d], len(used)) + decay * w[used]
+            gw[used] += g * g
+            w[used] -= rate * g / np.sqrt(gw[used])
             grad = (sums[d] - x) * err[d][:, None]
-            for f in range(FACTORS):
-                g = np.bincount(t, grad[:, f], size) + decay * v[:, f]
-                gv[:, f] += g * g
-                v[:, f] -= 0.3 * rate * g / np.sqrt(gv[:, f])
+            g = np.stack([np.bincount(t, grad[:, f], len(used)) for f in range(FACTORS)], 1) + decay * mine
+            gv[used] += g * g
+            v[used] -= 0.3 * rate * g / np.sqrt(gv[used])
             g = err.sum()
             gb += g * g
             bias -= rate * g / np.sqrt(gb)
