@@ -9,7 +9,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from vacantia.llm import exact_dedup, mixing, pieces, suffixes, tiff, toxicity
+from test_advice import languages
+from vacantia.llm import exact_dedup, language, mixing, pieces, suffixes, tiff, toxicity
 from vacantia.llm.common import blocks, row_key
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -227,3 +228,70 @@ def test_sample_bound_on_terms_and_labels_without_documents(spark):
     assert sum(r.toxic for r in found) >= 10 and {r.doc_id for r in found} <= set(range(60))
     features = spark.createDataFrame([(i, i % 2, b"\0" * 400) for i in range(40)], "doc_id long, toxic int, terms binary")
     assert {tuple(r) for r in toxicity.bounded(features, 500).groupBy("toxic").count().collect()} == {(0, 5), (1, 5)}
+
+
+def word_likelihoods(model, text):
+    """Each word's likelihoods, relative to the best, one letter at a time."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    folded = bytes(map(fold, text.encode()))
+    out = []
+    for word in folded.split():
+        padded, logs = b" " + word + b" ", np.zeros(len(model.names))
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            logs += model.logs[:, ((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> (32 - language.BITS)]
+        out.append(np.exp(np.maximum(logs - logs.max(), -language.WORD_RANGE)))
+    return np.array(out)
+
+
+def brute_mixture(model, text):
+    """Nested sets of the full fit's languages, each fitted by EM, the best penalised one; in double precision."""
+    p = word_likelihoods(model, text)
+    k, n = len(model.names), len(p)
+
+    def em(pi, steps):
+        for _ in range(steps):
+            pi = np.mean([x * pi / (x @ pi) for x in p], 0)
+        return pi
+
+    full = em(np.full(k, 1 / k), language.EM_STEPS)
+    order, best = np.argsort(-full, kind="stable"), (-np.inf, None)
+    for size in range(1, k + 1):
+        fit = np.where(np.isin(np.arange(k), order[:size]), full, 0)
+        fit = em(fit / fit.sum(), language.SET_STEPS) if size > 1 else fit / fit.sum()
+        value = sum(np.log(max(x @ fit, 1e-30)) for x in p) - size * 0.5 * np.log(n)
+        best = max(best, (value, tuple(fit)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixtures_against_brute_force_and_long_texts_in_runs(seed, monkeypatch):
+    make, model = languages(5, seed)
+    rng = random.Random(seed)
+    texts = [" ".join(make[rng.choice(own)]() for _ in range(rng.randrange(3, 120))) for own in ([0], [0, 1], [2, 3, 4], [0, 1, 2, 3, 4], [4, 4, 4, 4, 1]) for _ in range(4)]
+    texts += ["", " 12 !", "Ünïcode ABC abcd", "x"]
+    (rows, data, offsets), = blocks([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], limit=1 << 30)
+    share, words = model.mixtures(data, offsets)
+    monkeypatch.setattr(language, "LONG_BYTES", 64)
+    for i, text in enumerate(texts):
+        assert words[i] == len(word_likelihoods(model, text))
+        if words[i]:
+            value, fit = brute_mixture(model, text)
+            p = word_likelihoods(model, text)
+            mine = share[i]
+            size = np.count_nonzero(mine)
+            assert abs(sum(np.log(np.maximum(p @ mine, 1e-30))) - size * 0.5 * np.log(len(p)) - value) < 0.05
+        else:
+            assert not share[i].any()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if len(raw) > 64:
+            run, n = model.mixtures(raw, np.array([0, len(raw)]))
+            assert n[0] == words[i] and np.abs(run[0] - share[i]).max() < 2e-3
+
+
+def test_labels_that_are_no_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD_LABELS", 2)
+    docs = spark.createDataFrame([(i, f"text of {i}", f"l{i}") for i in range(20)], DOCS + ", lang string")
+    assert len(language.fit(docs).names) == 20 and language.fit(docs).logs.shape == (20, 1 << language.BITS)
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 5)
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(docs)

@@ -7,7 +7,10 @@ best penalised likelihood (half a log of the word count for each further languag
 
 Trigram counts cover all training rows: map tasks count densely, the counts are summed by
 (language, trigram) with map-side combining, and the model (one table of 2^16 numbers for each
-language label) is the only thing that reaches the driver.
+language label, MAX_LANGUAGES of them) is the only thing that reaches the driver.
+
+A text of any length is inferred as a whole in bounded memory: beyond ``LONG_BYTES`` its words are
+taken run by run, once for every step, and the sums are added up.
 """
 
 from __future__ import annotations
@@ -17,14 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, edges_of, held_out
+from .common import blocks, edges_of, held_out, materialize
 
 BITS = 16
 SMOOTHING = 0.5
 EM_STEPS = 12
+#: Labels of a model: with more the labels are no languages, and the fit says so instead of filling the driver.
+MAX_LANGUAGES = 1024
+#: Labels whose counts a map task holds before it hands them on (half a megabyte each).
+HELD_LABELS = 64
+#: Bytes of a text from which its words are taken in runs of about this size.
+LONG_BYTES = 1 << 20
 #: EM steps for each nested set; the full fit gives the starting point.
 SET_STEPS = 6
 #: What a set's likelihood may exceed its bound by, for sums in single precision.
@@ -59,16 +69,23 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+
+        def counted():
+            for name, count in held.items():
+                used = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(count[used].astype(np.int64))], ["lang", "code", "n"])
+            held.clear()
+
         for rows, data, offsets in blocks(batches):
+            if len(held) > HELD_LABELS:
+                yield from counted()
             code, first, row = word_trigrams(data, offsets)
             per_letter = np.repeat(row, np.diff(np.append(first, len(code))))
             names = rows.column(0).dictionary_encode()
             mine = names.indices.to_numpy(zero_copy_only=False)[per_letter] if len(code) else np.zeros(0, int)
             for k, name in enumerate(names.dictionary.to_pylist()):
                 held[name] = held.get(name, 0) + np.bincount(code[mine == k], minlength=1 << BITS)
-        for name, count in held.items():
-            used = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(count[used].astype(np.int64))], ["lang", "code", "n"])
+        yield from counted()
 
     known = docs.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     return known.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -84,14 +101,14 @@ class Model:
     def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (rows x languages; zero outside the chosen set) and the number of words."""
         n, k = len(offsets) - 1, len(self.names)
+        if n == 1 and len(data) > LONG_BYTES and k:
+            return self._long(data)
         code, first, row = word_trigrams(data, offsets)
         words = np.bincount(row, minlength=n)
         pi = np.full((n, max(k, 1)), 1.0 / max(k, 1))
         if not len(row) or not k:
             return pi * 0, words
-        ll = np.stack([np.add.reduceat(self.logs[j][code], first) for j in range(k)], 1)
-        ll -= ll.max(1, keepdims=True)
-        p = np.exp(np.maximum(ll, -WORD_RANGE)).astype(np.float32)
+        p = self._likelihoods(code, first)
         some = words > 0
         at = np.cumsum(words[some]) - words[some]
         pi = self._em(p, pi[some].astype(np.float32), words[some], at, EM_STEPS)
@@ -122,6 +139,59 @@ class Model:
         out[some] = chosen
         return out, words
 
+    def _likelihoods(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each word, relative to its likeliest language."""
+        ll = np.stack([np.add.reduceat(self.logs[j][code], first) for j in range(len(self.names))], 1)
+        ll -= ll.max(1, keepdims=True)
+        return np.exp(np.maximum(ll, -WORD_RANGE)).astype(np.float32)
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``mixtures`` of one long text, its words in runs that end at blanks."""
+        k, n, cuts = len(self.names), len(data), [0]
+        while cuts[-1] < n:
+            at = min(cuts[-1] + LONG_BYTES, n)
+            while at < n and _FOLD[data[at]] != 32:  # a word is never cut
+                step = np.flatnonzero(_FOLD[data[at : at + LONG_BYTES]] == 32)
+                at = at + int(step[0]) if len(step) else min(at + LONG_BYTES, n)
+            cuts.append(at)
+
+        def runs():
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                code, first, _ = word_trigrams(data[lo:hi], np.array([0, hi - lo]))
+                if len(first):
+                    yield self._likelihoods(code, first)
+
+        words = sum(len(p) for p in runs())
+        if not words:
+            return np.zeros((1, k)), np.zeros(1, np.int64)
+
+        def em(pi: np.ndarray, steps: int) -> np.ndarray:
+            for _ in range(steps):
+                total = np.zeros(k)
+                for p in runs():
+                    share = p * pi
+                    share /= np.maximum(share.sum(1, keepdims=True), 1e-30)
+                    total += share.sum(0, dtype=np.float64)
+                pi = (total / words).astype(np.float32)
+            return pi
+
+        pi = em(np.full(k, 1 / k, np.float32), EM_STEPS)
+        mixed = [np.maximum(p @ pi, 1e-30) for p in runs()]
+        gain = sum((p / m[:, None]).sum(0, dtype=np.float64) for p, m in zip(runs(), mixed)).max() / words
+        limit, penalty = sum(float(np.log(m).sum(dtype=np.float64)) for m in mixed) + words * np.log(max(gain, 1.0)), 0.5 * np.log(words)
+        order, best, chosen = np.argsort(-pi, kind="stable"), -np.inf, pi
+        for size in range(1, k + 1):
+            if limit + SLACK - size * penalty <= best:
+                break
+            fit = np.zeros(k, np.float32)
+            fit[order[:size]] = pi[order[:size]]
+            fit /= max(fit.sum(), 1e-30)
+            fit = em(fit, SET_STEPS) if size > 1 else fit
+            value = sum(float(np.log(np.maximum(p @ fit, 1e-30)).sum(dtype=np.float64)) for p in runs()) - size * penalty
+            if value > best:
+                best, chosen = value, fit
+        return chosen[None, :].astype(np.float64), np.array([words])
+
     @staticmethod
     def _limit(p: np.ndarray, pi: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log likelihood that no mixture of a row's words exceeds.
@@ -142,18 +212,22 @@ class Model:
         return pi
 
 
-def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows with a letter: a-z, A-Z, or (looked up only where there is none of these) any other."""
     count = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 128))])
     out = count[offsets[1:]] > count[offsets[:-1]]
-    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
-        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+    left = np.flatnonzero(~out & (np.diff(offsets) > 0))
+    if len(left):
+        out[left] = pc.match_substring_regex(texts.take(pa.array(left)).cast(pa.string()), r"\p{L}").to_numpy(zero_copy_only=False)
     return out
 
 
 def fit(docs: DataFrame) -> Model:
-    """Model of all languages that label a row of ``docs``; no labels: no languages."""
-    rows = trigram_counts(docs).toPandas()
+    """Model of all languages that label a row of ``docs``; no labels: no languages. Over MAX_LANGUAGES labels: ValueError."""
+    counts = materialize(trigram_counts(docs))
+    if counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} labels")
+    rows = counts.toPandas()
     names = sorted(rows.lang.unique())
     logs = np.zeros((len(names), 1 << BITS), np.float32)
     for j, name in enumerate(names):
@@ -177,7 +251,7 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
             share, words = m.mixtures(data, offsets)
             top = share.argmax(1)
             score = share[np.arange(len(top)), top]
-            found = (words > 0) & (len(m.names) > 0) & _has_letter(data, offsets)
+            found = (words > 0) & (len(m.names) > 0) & _has_letter(rows.column(1), data, offsets)
             langs = [" ".join(f"{m.names[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] >= 0.0005) if f else "" for s, f in zip(share, found)]
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array([m.names[j] if f else "und" for j, f in zip(top, found)], pa.string()),
