@@ -32,10 +32,11 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
-#: Page layout of ``write_tiff``: pages may be lower than PAGE_ROWS, tiles are padded.
+#: Page layout of ``write_tiff``: pages may be lower than PAGE_ROWS; tiles are as wide as a page and up to TILE rows long
+#: (a multiple of 16), the last one of a page padded.
 PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 512, 64
 #: Layout of the stored texts: pages of up to 4 KB, four at least, so that every text meets each coding and layout.
-TEXT_PAGES = {"width": 16, "page_rows": 256, "strip_rows": 128, "tile": 16, "least_pages": 4}
+TEXT_PAGES = {"width": 16, "page_rows": 256, "strip_rows": 128, "tile": 128, "least_pages": 4}
 #: Turns of ``write_tiff``: (coding, tiled, predictor). Any four in a row hold every coding, layout and predictor.
 TURNS = tuple(((LZW, PACKBITS, DEFLATE)[k % 3], k % 2 == 1, 1 + k // 2 % 2) for k in range(12))
 #: A stored page may claim this many bytes at most (a damaged header claims anything); larger ones give an error row.
@@ -332,8 +333,8 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
     The rows are dealt evenly over pages of up to ``page_rows`` rows, ``least_pages`` at least as far as
     there are rows. Pages go through TURNS from one that the payload's crc32 names. Equal payloads give equal files.
     """
-    if not payload or len(payload) % width or tile % width:
-        raise ValueError("the payload must be a positive multiple of the width, and the tile side too")
+    if not payload or len(payload) % width or tile % 16 or width % 16:
+        raise ValueError("the payload must be a positive multiple of the width; width and tile length multiples of 16")
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     n_pages = max(-(-len(rows) // page_rows), min(least_pages, len(rows)))
     turn, at = zlib.crc32(payload), 8
@@ -348,19 +349,19 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
 
 def _write_page(rows: np.ndarray, at: int, how: int, tiled: bool, predictor: int, strip_rows: int, tile: int, last: bool) -> bytes:
     """Directory, arrays and data of one page that begins at offset ``at`` of the file."""
-    width, step, parts = rows.shape[1], tile if tiled else strip_rows, []
+    width, tile, parts = rows.shape[1], min(tile, -(-len(rows) // 16) * 16), []
+    step = tile if tiled else strip_rows
     for y in range(0, len(rows), step):
         part = rows[y : y + step]
-        if tiled and part.shape != (tile, tile):
-            part = np.zeros((tile, tile), np.uint8)
-            part[: len(rows) - y, :width] = rows[y : y + step]
+        if tiled and len(part) < tile:
+            part = np.concatenate([part, np.zeros((tile - len(part), width), np.uint8)])
         if predictor == 2:
             left, part = part, part.copy()
             part[:, 1:] -= left[:, :-1]
         parts.append(compress(part.tobytes(), how))
     n = len(parts)
     fields = {WIDTH: (4, width), LENGTH: (4, len(rows)), BITS: (3, 8), COMPRESSION: (3, how), PHOTOMETRIC: (3, 1), SAMPLES: (3, 1), PREDICTOR: (3, predictor)}
-    fields |= {TILE_WIDTH: (4, tile), TILE_LENGTH: (4, tile)} if tiled else {ROWS_PER_STRIP: (4, strip_rows)}
+    fields |= {TILE_WIDTH: (4, width), TILE_LENGTH: (4, tile)} if tiled else {ROWS_PER_STRIP: (4, strip_rows)}
     offsets_tag, counts_tag = (TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)
     arrays = at + 2 + 12 * (len(fields) + 2) + 4
     first = arrays + (8 * n if n > 1 else 0)
