@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_advice import languages
-from vacantia.llm import exact_dedup, language, mixing, pieces, suffixes, tiff, toxicity
+from vacantia.llm import exact_dedup, language, licenses, mixing, pieces, suffixes, tiff, toxicity
 from vacantia.llm.common import blocks, row_key
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -295,3 +296,74 @@ def test_labels_that_are_no_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_LANGUAGES", 5)
     with pytest.raises(ValueError, match="labels"):
         language.fit(docs)
+
+
+def brute_anchors(text, template):
+    """All runs of MIN_MATCH words or more that text and template share and that go on on neither side."""
+    out = set()
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+                n = 0
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= licenses.MIN_MATCH:
+                    out.add((i, j, n))
+    return out
+
+
+def brute_cover(anchors):
+    """Most words of a template that one chain of anchors covers."""
+    anchors, best = sorted(anchors), {}
+    for x, p, n in anchors:
+        best[x, p, n] = max([n] + [
+            best[y, r, m] + n - max(0, y + m - x, r + m - p)
+            for y, r, m in best if y < x and r < p and y + m < x + n and r + m < p + n and x - y - m <= licenses.MAX_GAP and p - r - m <= licenses.MAX_GAP
+        ])
+    return max(best.values(), default=0)
+
+
+def test_anchors_chains_and_labels_against_brute_force(monkeypatch):
+    rng = random.Random(9)
+    templates = {f"t{k}": [" ".join(rng.choices("abcde", k=rng.randrange(8, 25)))] for k in range(6)}
+    m = licenses.automaton(templates, {"a b": "ab"})
+    monkeypatch.setattr(licenses, "MAX_GAP", 3)
+    for _ in range(150):
+        text = rng.choices("abcdez", k=20)
+        for _ in range(3):
+            parts = rng.choice(list(templates.values()))[0].split()
+            text += rng.choices("abz", k=rng.randrange(3)) + parts[: rng.randrange(3, len(parts) + 1)]
+            if rng.random() < 0.7:
+                del text[rng.randrange(len(text))]
+        tokens = [w.encode() for w in text]
+        found = {}
+        for i, state, held in m.statistics(tokens):
+            if held >= licenses.MIN_MATCH:
+                m._anchor(found, i, state, held, tokens[i + 1] if i + 1 < len(tokens) else None)
+        spans = m.scan(tokens)[1]
+        for t, (label, template) in enumerate(m.templates):
+            expected = brute_anchors(tokens, template)
+            assert set(found.get(t, [])) == expected
+            cover, mine = brute_cover(expected), [s for s in spans if s[1] == t]
+            assert bool(mine) == (cover >= licenses.MIN_COVER * len(template))
+            assert not mine or mine[0][4] == cover / len(template)
+            assert all(a[3] < b[2] or b[3] < a[2] for x, a in enumerate(mine) for b in mine[x + 1 :])
+
+
+def test_licence_rows_against_brute_force(spark):
+    rng = random.Random(1)
+    mit = " ".join(licenses.TEMPLATES["mit"][2].split())
+    lgpl = "public licence as published by the free software foundation either version 3 of the licence".replace("licence", "license")
+    rows = [(1, None), (1, "no licence"), (None, "MIT License, mit-license MIT  license general public license"), (3, mit.replace("merge, publish, distribute, sublicense", "sell").upper())]
+    rows += [(4, "x " * 500 + mit + " y" * 20), (5, mit[: len(mit) // 3]), (6, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General " + lgpl)]
+    rows += [(10 + k, " ".join(rng.choices(["mit", "license", "apache", "general", "public", "é", "x-1"], k=60))) for k in range(30)]
+    labels = {}
+    for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect():
+        text = next(t for i, t in rows if i == r.doc_id and (i != 1 or len(t or "") == (10 if r.n_words else 0)))
+        words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").encode().lower())
+        places = [(i, name) for phrase, name in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({n for _, n in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
+        labels[r.doc_id] = r.labels
+    assert (labels[3], labels[4], labels[5]) == ("mit", "mit", "mit") and "lgpl" in labels[6]

@@ -2,9 +2,10 @@
 
 The automaton holds all factors of all templates. Each text is streamed through it once; at every
 word the state and length are the matching statistic: the longest run of words ending there that
-occurs in some template. Matches that cannot be extended are anchors in every template that holds
-them; anchors in the same order in text and template, close to each other, are chained, and a
-chain that covers enough of a template is a span and gives the template's label.
+occurs in some template; the suffix links name the shorter runs that other templates hold. A run is an
+anchor in a template where neither side goes on there. Anchors in the same order in text and template,
+close to each other, are chained, each with its best predecessor, and a chain that covers enough of a
+template is a span and gives the template's label.
 
 Base phrases are templates of the automaton too: a phrase ends at a word iff its state is the
 current one or a suffix-link ancestor of it, and the match is as long as the phrase.
@@ -25,33 +26,88 @@ from pyspark.sql import functions as F
 #: Base phrases and their labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Openings and grants of common public licences, by label (fixed values).
+#: Grants, notices and whole texts of common public licences, by label (fixed values; case and punctuation do not count).
 TEMPLATES = {
     "mit": [
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+        of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+        IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ],
     "apache": [
         "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+        License at http://www.apache.org/licenses/LICENSE-2.0""",
+        """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version.""",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
+        should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc.""",
+    ],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
+        Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+        """This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along
+        with this library""",
+    ],
+    "agpl": [
+        "it under the terms of the gnu affero general public license as published by the free software foundation",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free
+        Software Foundation, either version 3 of the License, or (at your option) any later version.""",
     ],
-    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
-    "agpl": ["it under the terms of the gnu affero general public license as published by the free software foundation"],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "licensed under the bsd 3 clause license",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions
+        of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+        OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    ],
+    "mpl": [
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one
+        at http://mozilla.org/MPL/2.0/.""",
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+    ],
+    "isc": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+        and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+        THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     ],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+        either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+        to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as
+        such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    ],
 }
 
 #: Words of a match that anchors a chain, words between chained matches, share of a template that counts.
@@ -69,7 +125,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over numbered words.
 
-    next, link, length by state; ends: (template, position) pairs at which a state's words end;
+    next, link, length by state; places: (template, position, length) at which a state's words or a suffix of them end;
     phrases: base phrases (number, words) that end wherever the state does.
     """
 
@@ -91,7 +147,17 @@ class Automaton:
                     ends[last].add((t, pos))
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             ends[self.link[s]] |= ends[s]
-        self.ends = [sorted(e) for e in ends]
+        # of each state: the places in templates at which a suffix of MIN_MATCH words or more ends, with its longest length there
+        # (None: the whole match), from the state and its suffix links
+        own: list[list[tuple[int, int, int | None]]] = [[] for _ in ends]
+        for s in range(1, len(self.next)):
+            seen, at, length = set(), s, None
+            while at > 0 and (length is None or length >= MIN_MATCH):
+                own[s] += [(t, pos, length) for t, pos in sorted(ends[at] - seen)]
+                seen |= ends[at]
+                at = self.link[at]
+                length = self.length[at]
+        self.places = own
         at: dict[int, list[tuple[int, int]]] = {}
         for k, (_, tokens) in enumerate(self.base):
             s = 0
@@ -151,44 +217,55 @@ class Automaton:
 
     def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple]]:
         """Base places (start, phrase number), and spans (label, template, first word, last word, cover)."""
-        base, anchors, before = [], {}, None
+        base, anchors = [], {}
         for i, state, held in self.statistics(tokens):
             for k, n in self.phrases[state]:
                 if held >= n:
                     base.append((i - n + 1, k))
-            if before is not None and not (i == before[0] + 1 and held == before[2] + 1):
-                self._anchor(anchors, *before)
-            before = i, state, held
-        if before is not None:
-            self._anchor(anchors, *before)
+            if held >= MIN_MATCH:
+                self._anchor(anchors, i, state, held, tokens[i + 1] if i + 1 < len(tokens) else None)
         return base, [s for t, found in sorted(anchors.items()) for s in self._chains(t, found)]
 
-    def _anchor(self, anchors: dict, i: int, state: int, held: int) -> None:
-        if held >= MIN_MATCH:
-            for t, pos in self.ends[state]:
-                anchors.setdefault(t, []).append((i - held + 1, pos - held + 1, held))
+    def _anchor(self, anchors: dict, i: int, state: int, held: int, following: bytes | None) -> None:
+        """Runs that end at word i in some template and do not go on there."""
+        for t, pos, n in self.places[state]:
+            words_ = self.templates[t][1]
+            if following is None or pos + 1 == len(words_) or words_[pos + 1] != following:
+                n = held if n is None else min(n, held)
+                anchors.setdefault(t, []).append((i - n + 1, pos - n + 1, n))
 
     def _chains(self, t: int, anchors: list[tuple[int, int, int]]) -> Iterator[tuple]:
-        """Chains of anchors (text start, template start, words) that cover enough of template t."""
+        """Disjoint chains of anchors (text start, template start, words) that cover enough of template t, the fullest first.
+
+        An anchor follows the predecessor with which its chain covers most; a template has few places for each word of
+        the text, and only anchors that end within MAX_GAP words before can be predecessors.
+        """
         label, tokens = self.templates[t]
-        chain: list[tuple[int, int, int]] = []
-
-        def done():
-            covered = len({k for _, p, n in chain for k in range(p, p + n)})
-            if covered >= MIN_COVER * len(tokens):
-                yield label, t, chain[0][0], chain[-1][0] + chain[-1][2] - 1, covered / len(tokens)
-
-        for a in sorted(anchors):
-            if chain:
-                x, p, n = chain[-1]
-                if a[0] - (x + n) <= MAX_GAP and a[1] > p and a[1] - (p + n) <= MAX_GAP:
-                    chain.append(a)
-                    continue
-                yield from done()
-                chain = []
-            chain = [a]
-        if chain:
-            yield from done()
+        anchors = sorted(set(anchors))
+        covered, before, lo, reach = [], [], 0, MAX_GAP + len(tokens)
+        for k, (x, p, n) in enumerate(anchors):
+            best, via = n, -1
+            while anchors[lo][0] + reach < x:
+                lo += 1
+            for j in range(lo, k):
+                y, r, m = anchors[j]
+                if y < x and r < p and y + m < x + n and r + m < p + n and x - (y + m) <= MAX_GAP and p - (r + m) <= MAX_GAP:
+                    total = covered[j] + n - max(0, y + m - x, r + m - p)
+                    if total > best:
+                        best, via = total, j
+            covered.append(best)
+            before.append(via)
+        taken: list[tuple[int, int]] = []
+        for k in sorted(range(len(anchors)), key=lambda k: (-covered[k], k)):
+            if covered[k] < MIN_COVER * len(tokens):
+                break
+            first = k
+            while before[first] >= 0:
+                first = before[first]
+            lo_, hi = anchors[first][0], anchors[k][0] + anchors[k][2] - 1
+            if all(hi < a or lo_ > b for a, b in taken):
+                taken.append((lo_, hi))
+                yield label, t, lo_, hi, covered[k] / len(tokens)
 
 
 def automaton(templates: dict[str, list[str]] | None = None, base: dict[str, str] | None = None) -> Automaton:
