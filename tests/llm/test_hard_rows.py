@@ -10,9 +10,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from test_advice import languages
 from vacantia.llm import exact_dedup, language, licenses, mixing, pieces, suffixes, tiff, toxicity
-from vacantia.llm.common import blocks, row_key
+from vacantia.llm.common import blocks, materialize, row_key
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 DOCS = "doc_id long, text string"
@@ -367,3 +368,27 @@ def test_licence_rows_against_brute_force(spark):
         assert r.base_labels == ",".join(sorted({n for _, n in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
         labels[r.doc_id] = r.labels
     assert (labels[3], labels[4], labels[5]) == ("mit", "mit", "mit") and "lgpl" in labels[6]
+
+
+CLASHING = "key string, n int, kept boolean, size long, takes string, words int, position double, score double, ids string, n_pieces int, component_id long, node long, digest binary, comp long, source_size long, rank int, of_source string"
+
+
+def test_pipeline_stages_keep_clashing_columns_null_ids_and_repeats(spark):
+    rng = random.Random(4)
+    text = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    a, b = text(60), text(60)
+    base = [(1, a), (1, a), (2, a + " "), (None, b), (None, text(40)), (None, text(40)), (5, b + " more"), (6, None), (7, ""), (8, text(4)), (9, " " * 3000 + text(9))]
+    rows = [(i, t, "en", f"s{k % 2}" if k % 5 else None, k, *([None] * 17)) for k, (i, t) in enumerate(base)]
+    rows += rows[:1]  # a row that is equal in every column
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    kept = materialize(exact_stage := corpus_pipeline.STAGES[1][1](spark, docs, ""))
+    assert exact_stage.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [2, None, None, None, 5, 6, 8, 9]))
+    near = materialize(corpus_pipeline.STAGES[2][1](spark, kept, ""))
+    assert near.columns == docs.columns and sorted(str(r.doc_id) for r in near.collect()) == sorted(map(str, [2, None, None, 5, 6, 8, 9]))
+    mixed = materialize(corpus_pipeline.STAGES[3][1](spark, near, ""))
+    assert mixed.columns == docs.columns
+    last = corpus_pipeline.STAGES[4][1](spark, mixed, "").collect()
+    assert len(last) == mixed.count() and len({r.position for r in last}) == len(last)
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    assert abs(words(mixed) - words(near)) <= 3

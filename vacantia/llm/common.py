@@ -32,13 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and kept for the session.
+    Only where that is unset and the session is local (tests) a temporary folder is made and kept for the
+    session; on a cluster an unset folder is an error, as executors could not see it.
     """
     sc = spark.sparkContext
     set_already = sc._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,14 +52,18 @@ def materialize(df: DataFrame) -> DataFrame:
     Unlike a checkpoint this computes ``df`` once, and the table's size is known to later joins.
     The application's tables are removed when its driver ends.
     """
-    spark = df.sparkSession
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The application's folder for intermediate tables in the shared folder, removed when its driver ends."""
     home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
     if home not in _homes:
         _homes.add(home)
         atexit.register(_remove, spark, home)
-    path = f"{home}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return home
 
 
 _homes: set[str] = set()
