@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_advice import languages
-from vacantia.llm import exact_dedup, language, licenses, mixing, pieces, suffixes, tiff, toxicity
-from vacantia.llm.common import blocks, materialize, row_key
+from vacantia.llm import exact_dedup, jaccard, language, licenses, mixing, pieces, suffixes, tiff, toxicity
+from vacantia.llm.common import blocks, materialize, row_key, utf8
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 DOCS = "doc_id long, text string"
@@ -392,3 +392,47 @@ def test_pipeline_stages_keep_clashing_columns_null_ids_and_repeats(spark):
     assert len(last) == mixed.count() and len({r.position for r in last}) == len(last)
     words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
     assert abs(words(mixed) - words(near)) <= 3
+
+
+def test_answers_are_derived_rightly():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 4000, 300))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(200, len(base) + 1)], rng.integers(0, 4000, rng.integers(0, 60))])) for _ in range(70)]
+    sets += [np.zeros(0, np.int64), np.array([3999]), base]
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    count = np.array([len(s) for s in sets])
+    answers = jaccard.Answers(flat, np.cumsum(count) - count, count)
+    for x in [*range(len(sets)), 3, 0]:
+        assert answers.of(x).tolist() == [len(np.intersect1d(sets[x], s)) for s in sets]
+    assert len(answers.known) <= jaccard.ANSWERS
+
+
+def test_sets_that_share_an_id_are_told_apart(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:7], "", None])], DOCS)
+    grams = jaccard.Grams()
+    grams.shared = frozenset({jaccard.node_id(grams.sets(*utf8(pa.array([texts[0]])))[0])})
+    nodes = {r.doc_id: r.node for r in jaccard.document_nodes(docs, grams).collect()}
+    assert nodes[0] == nodes[40] not in grams.shared and len(set(nodes.values())) == 41
+    plain = jaccard._digest
+    try:
+        jaccard._digest = lambda raw, seed: plain(raw, seed) % 4096  # in this process: the loop itself
+        known = frozenset()
+        for _ in range(50):
+            ids = [jaccard.node_id(grams.sets(*utf8(pa.array([t])))[0], known) for t in texts]
+            twice = frozenset(i for i in ids if ids.count(i) > 1)
+            if not twice:
+                break
+            known |= twice
+        else:
+            ids = []
+        assert not ids or len(set(ids)) == len(texts)
+    finally:
+        jaccard._digest = plain
+
+
+def test_one_id_with_two_texts_and_null_ids_in_the_join(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " x"), (None, b + " x"), (None, a), (9, None)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([("5", 36, 5), ("5", 36, 5), ("7", 37, 5), ("None", 37, 5), ("None", 36, 5), ("9", 0, 9)])

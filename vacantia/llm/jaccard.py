@@ -13,7 +13,9 @@ Answer-level skipping: in a list longer than ``SMALL_LIST`` each set is first co
 centre only. A set that links to the centre inherits the centre's answers: all members of one
 component are reachable from each other, and their mutual pairs are never generated. Where lists
 still hold several components, all entries of different components are compared, in blocks that
-have the sets at hand, so no link between components is lost and only links leave a task.
+have the sets at hand, so no link between components is lost and only links leave a task. There a
+set's answers (what it shares with every other set of the block) are derived from those of the most
+similar set that has them already: only the n-grams in which the two differ are looked up.
 
 Candidates are verified on the whole sets. Sets travel only for nodes that have a candidate.
 """
@@ -48,8 +50,11 @@ MAX_FREQUENT = 1 << 20
 PAIR_BLOCK = 2048
 #: Turns in which open long lists get a centre, before their entries are compared in blocks.
 TURNS = 1
-#: Candidate nodes up to which their Bloom filter (2 to 4 bytes each) is broadcast; beyond, sets are joined unfiltered.
-BLOOM_NODES, PROBES = 1 << 25, 3
+#: Bits (as a power of two) of the broadcast Bloom filter over documents that have a candidate, and bits set by each. Its size is
+#: the same for every input: the fuller it is, the more sets travel that no pair asks for.
+BLOOM_BITS, PROBES = 27, 3
+#: Sets of a block whose answers are at hand for others.
+ANSWERS = 32
 #: Postings a task holds before it deals them out.
 FLUSH = 1 << 20
 
@@ -63,6 +68,7 @@ class Grams:
 
     def __post_init__(self):
         self.hasher = None
+        self.shared: frozenset[int] = frozenset()
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes sorted within each row and distinct there, and the cuts between rows."""
@@ -118,24 +124,50 @@ def sort_rows(values: np.ndarray, cuts: np.ndarray) -> None:
             values[a:b].sort()
 
 
-def node_id(grams: np.ndarray) -> int:
-    """Id of a set: documents with equal sets share it (0 is kept for the empty set)."""
-    return int(np.int64(U64(xxhash.xxh3_64_intdigest(grams.tobytes()) | 1))) if len(grams) else 0
+def node_id(grams: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """Id of a set: documents with equal sets share it (0 is kept for the empty set).
+
+    Ids in ``shared`` are known to be those of several different sets, which take their next one.
+    """
+    if not len(grams):
+        return 0
+    raw, seed = grams.tobytes(), 0
+    while (found := int(np.int64(U64(_digest(raw, seed) | 1)))) in shared:
+        seed += 1
+    return found
+
+
+def _digest(raw: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed)
 
 
-def _nodes(gram: np.ndarray, cuts: np.ndarray) -> list[int]:
-    return [node_id(gram[cuts[i] : cuts[i + 1]]) for i in range(len(cuts) - 1)]
+def _nodes(gram: np.ndarray, cuts: np.ndarray, shared: frozenset[int] = frozenset()) -> list[int]:
+    return [node_id(gram[cuts[i] : cuts[i + 1]], shared) for i in range(len(cuts) - 1)]
 
 
 def document_nodes(docs: DataFrame, grams: Grams) -> DataFrame:
-    """doc_id, node, n_shingles of every document."""
+    """doc_id, node, n_shingles of every document.
+
+    A second hash of each set tells whether a node stands for one set only. Ids of several sets (about
+    n^2 / 2^64 of n sets, hence a handful) are kept in ``grams``, and the documents numbered anew.
+    """
 
     def run(batches):
         for rows, data, offsets in blocks(batches):
             gram, cuts = grams.sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_nodes(gram, cuts), pa.int64()), pa.array(np.diff(cuts), pa.int64())], ["doc_id", "node", "n_shingles"])
+            check = [_check(gram[cuts[i] : cuts[i + 1]]) for i in range(len(cuts) - 1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_nodes(gram, cuts, grams.shared), pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(check, pa.int64())], ["doc_id", "node", "n_shingles", "check"])
+
+    while True:
+        found = materialize(_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, check long"))
+        several = found.groupBy("node").agg(F.min(F.struct("n_shingles", "check")).alias("lo"), F.max(F.struct("n_shingles", "check")).alias("hi")).filter("lo <> hi").select("node").collect()
+        if not several:
+            return found.drop("check")
+        grams.shared |= {r.node for r in several}
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long")
+
+def _check(grams: np.ndarray) -> int:
+    return int(np.int64(U64(xxhash.xxh64_intdigest(grams.tobytes(), 7))))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -171,7 +203,7 @@ def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
 
         for _, data, offsets in blocks(batches):
             gram, cuts = grams.sets(data, offsets)
-            for i, node in enumerate(_nodes(gram, cuts)):
+            for i, node in enumerate(_nodes(gram, cuts, grams.shared)):
                 if node and node not in seen:
                     seen.add(node)
                     held.append(gram[cuts[i] : cuts[i + 1]])
@@ -240,7 +272,7 @@ def postings(docs: DataFrame, grams: Grams, often: np.ndarray, buckets: int) ->
             sort_rows(token, cuts)
             pos = np.arange(len(token)) - cuts[owner]
             n = np.diff(cuts)
-            node = np.array(_nodes(gram, cuts), np.int64)
+            node = np.array(_nodes(gram, cuts, grams.shared), np.int64)
             fresh = np.array([x != 0 and x not in seen and not seen.add(x) for x in node.tolist()], bool)
             keep = (pos < grams.prefix(n)[owner]) & fresh[owner]
             rows = np.empty(int(keep.sum()), _LISTS)
@@ -361,6 +393,44 @@ def star_pairs(entries: DataFrame, turn: int, grams: Grams) -> DataFrame:
     return found.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
+class Answers:
+    """Of the sets of a block: how many n-grams one shares with every other.
+
+    flat: numbers of the n-grams of all sets, ascending within each; start, count: where each set's are.
+    """
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, count: np.ndarray):
+        self.flat, self.start, self.count = flat, start, count
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(count)), count)[order]
+        self.cuts = np.searchsorted(flat[order], np.arange(int(flat.max()) + 2 if len(flat) else 1))
+        self.known: dict[int, np.ndarray] = {}
+
+    def grams(self, x: int) -> np.ndarray:
+        return self.flat[self.start[x] : self.start[x] + self.count[x]]
+
+    def _held(self, grams: np.ndarray) -> np.ndarray:
+        """How many of ``grams`` each set holds, by their index lists."""
+        lo, n = self.cuts[grams], self.cuts[grams + 1] - self.cuts[grams]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[at], minlength=len(self.count))
+
+    def of(self, x: int) -> np.ndarray:
+        mine = self.grams(x)
+        # n-grams to look up: those of x, or those in which x differs from a set whose answers are known
+        apart = {y: self.count[x] + self.count[y] - 2 * found[x] for y, found in self.known.items()}
+        near = min(apart, key=apart.get, default=None)
+        if near is None or apart[near] >= self.count[x]:
+            found = self._held(mine)
+        else:
+            other = self.grams(near)
+            found = self.known[near] + self._held(np.setdiff1d(mine, other, assume_unique=True)) - self._held(np.setdiff1d(other, mine, assume_unique=True))
+        if len(self.known) >= ANSWERS:
+            del self.known[next(iter(self.known))]
+        self.known[x] = found
+        return found
+
+
 def _across(lists: pa.Table, sets: pa.Table, grams: Grams) -> pa.Table:
     """Links (a, b) between different components in one block of lists, enough to connect what links.
 
@@ -380,7 +450,7 @@ def _across(lists: pa.Table, sets: pa.Table, grams: Grams) -> pa.Table:
     count = np.array([len(x) for x in parts])
     flat = np.unique(np.concatenate(parts), return_inverse=True)[1]
     start = np.cumsum(count) - count
-    seen = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    answers = Answers(flat, start, count)
     label = np.zeros(len(names), np.int64)
     label[node] = comp
     own = bool((side == 2).all())  # a block with itself
@@ -406,21 +476,13 @@ def _across(lists: pa.Table, sets: pa.Table, grams: Grams) -> pa.Table:
         other = other[label[other] != label[x]]
         if not len(other):
             continue
-        seen[flat[start[x] : start[x] + count[x]]] = True
-        for lo in range(0, len(other), 256):
-            some = other[lo : lo + 256]
-            some = some[(label[some] != label[x]) & (count[some] > 0)]
-            if not len(some):
-                continue
-            n = count[some]
-            gather = np.repeat(start[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            common = np.add.reduceat(seen[flat[gather]].astype(np.int64), np.cumsum(n) - n)
-            for y in some[100 * common >= grams.percent * (count[x] + n - common)].tolist():
-                if label[y] != label[x]:
-                    left.append(x)
-                    right.append(y)
-                    label[label == label[y]] = label[x]
-        seen[flat[start[x] : start[x] + count[x]]] = False
+        other = other[count[other] > 0]
+        common = answers.of(x)[other]
+        for y in other[100 * common >= grams.percent * (count[x] + count[other] - common)].tolist():
+            if label[y] != label[x]:
+                left.append(x)
+                right.append(y)
+                label[label == label[y]] = label[x]
     a, b = names[np.array(left, np.int64)], names[np.array(right, np.int64)]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -454,13 +516,9 @@ def _places(value: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) >> U64(64 - bits)).astype(np.int64) for k in range(PROBES)])
 
 
-def _bloom(ids: DataFrame):
-    """Bit array over distinct ids (16 to 32 bits each, PROBES of them set), or None where they are too many."""
-    n = ids.count()
-    if n > BLOOM_NODES:
-        return None
-    bits = max(20, int(np.ceil(np.log2(max(n, 1)))) + 4)
-    chunk = 1 << 20
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """Bit array of 2^BLOOM_BITS bits over distinct ids, PROBES of them set for each."""
+    bits, chunk = BLOOM_BITS, 1 << 20
 
     def spread(batches):
         for batch in batches:
@@ -478,7 +536,7 @@ def _bloom(ids: DataFrame):
     out = np.zeros(((1 << bits) // chunk, chunk // 8), np.uint8)
     for r in found:
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
-    return bits, out.ravel()
+    return out.ravel()
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFrame:
@@ -492,14 +550,13 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFram
         bloom = shared.value
         for batch in batches:
             doc = batch.column(0).fill_null(-1)
-            if bloom is not None:
-                at = _places(doc.to_numpy(), bloom[0])
-                hit = ((bloom[1][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
-                batch = batch.filter(pa.array(hit))
+            at = _places(doc.to_numpy(), BLOOM_BITS)
+            hit = ((bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+            batch = batch.filter(pa.array(hit))
             for rows, data, offsets in blocks([batch]):
                 gram, cuts = grams.sets(data, offsets)
                 packed = [gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for i in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(gram, cuts), pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(gram, cuts, grams.shared), pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
 
     return _texts(docs).mapInArrow(run, "node long, grams binary")
 
@@ -546,7 +603,7 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     """The node of each document (doc_id, node, n_shingles), components of nodes (node, comp), and
     verified links between nodes (a, b) that connect each component."""
     grams = grams or Grams()
-    nodes = materialize(document_nodes(docs, grams))
+    nodes = document_nodes(docs, grams)
     buckets = max(1, -(-nodes.count() // BUCKET_DOCS))
     lists = postings(docs, grams, frequent(docs, grams, buckets), buckets)
     near = materialize(lists.groupBy("bucket").applyInArrow(lambda t: _near(t, grams), _NEAR))
