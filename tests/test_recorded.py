@@ -77,3 +77,18 @@ def test_plausible_titles_agree_with_the_column(spark):
 def test_all_test_modules_are_collected():
     done = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", str(ROOT / "tests")], cwd=ROOT, capture_output=True, text=True)
     assert done.returncode == 0, done.stdout[-2000:]
+
+
+def test_dump_columns_errors_and_statements(spark, tmp_path):
+    from vacantia.sources import files
+
+    text = "INSERT INTO t (`a`, \"b\") VALUES ('it''s', 1), ('short'), (true, null);"
+    (tmp_path / "d.sql").write_text(text)
+    assert files.dump_columns(text) == ["a", "b"]
+    assert [tuple(r) for r in files.sql_dump_errors(spark, str(tmp_path / "d.sql"), 2).collect()] == [(1, '["short"]')]
+    df = spark.createDataFrame([("it's", 1, None, True)], "a string, b int, c string, d boolean")
+    assert files.sql_inserts(df, "t").first().sql == "INSERT INTO t (a, b, c, d) VALUES ('it''s', 1, NULL, true);"
+    files.write_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().asDict() == {"a": "it's", "b": 1, "d": True}
+    typed = spark.createDataFrame([("1.5",), ("TRUE",), ("x",), (None,)], "t string").select(files.typed_literal(F.col("t")).alias("v")).collect()
+    assert [(r.v.number, r.v.flag) for r in typed] == [(1.5, None), (None, True), (None, None), (None, None)]

@@ -20,8 +20,8 @@ def _phrases(terms):
     return [t for t in terms if " " in t]
 
 
-_UK = (*R.UK_NATIONS, *R.UK_COUNTRY, *R.UK_PLACES, *R.UK_AREAS)
-_BLOCKED = (*R.BLOCKED_COUNTRIES, *R.BLOCKED_STATES, *R.BLOCKED_CITIES)
+_UK = (*R.UK_NATIONS, *R.UK_COUNTRY, *R.UK_PLACES)
+_BLOCKED = R.BLOCKED_PLACES
 
 
 def normalize_location(c: Column) -> Column:

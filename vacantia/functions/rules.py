@@ -25,8 +25,7 @@ truro, yeovil, taunton, barnstaple, torquay, salisbury, winchester, chichester,
 eastbourne, hastings, folkestone, dover, maidstone, tunbridge wells, colchester, southend, basildon,
 wokingham, bracknell, farnborough, aldershot, milton keynes, aylesbury, banbury,
 knutsford, macclesfield, crewe, nantwich, leamington spa, rugby, nuneaton,
-gateshead, south shields, hartlepool, teesside, stockton""")
-UK_AREAS = _terms("""
+gateshead, south shields, hartlepool, teesside, stockton,
 canary wharf, city of london, croydon, richmond, twickenham, wimbledon, stratford, shoreditch, islington, hackney,
 hammersmith, fulham, chelsea, kensington, whitechapel, greenwich, lewisham, bromley, sutton, kingston,
 london ec, london wc, london e1, london e14, london se1, london n1, london w1,
@@ -37,18 +36,16 @@ cotswolds, chilterns, pennines, highlands, lowlands, borders, east of england,
 jersey, guernsey, isle of man,
 radbroke, paddington, victoria, waterloo, euston, king's cross, kings cross, london bridge""")
 
-BLOCKED_COUNTRIES = _terms("""
+BLOCKED_PLACES = _terms("""
 india, canada, australia, singapore, germany, france, netherlands, spain, poland, uae, dubai, israel,
 sweden, norway, denmark, finland, switzerland, austria, belgium, italy, portugal, czech republic, hungary, romania,
 south korea, japan, china, hong kong, malaysia, thailand, new zealand, south africa, brazil, argentina, mexico,
-ukraine, russia, dublin, ireland""")
-BLOCKED_STATES = _terms("""
+ukraine, russia, dublin, ireland,
 alabama, alaska, arizona, arkansas, california, colorado, connecticut, delaware, florida, georgia, hawaii, idaho,
 illinois, indiana, iowa, kansas, kentucky, louisiana, maine, maryland, massachusetts, michigan, minnesota,
 mississippi, missouri, montana, nebraska, nevada, new hampshire, new jersey, new mexico, new york, north carolina,
 north dakota, ohio, oklahoma, oregon, pennsylvania, rhode island, south carolina, south dakota, tennessee, texas,
-utah, vermont, virginia, washington, west virginia, wisconsin, wyoming""")
-BLOCKED_CITIES = _terms("""
+utah, vermont, virginia, washington, west virginia, wisconsin, wyoming,
 new york, san francisco, los angeles, chicago, boston, seattle, austin, dallas, houston, atlanta, miami,
 denver, portland, phoenix, las vegas, minneapolis, amsterdam, berlin, munich, paris, madrid, barcelona,
 rome, milan, brussels, vienna, zurich, geneva, stockholm, oslo, copenhagen, helsinki, warsaw, prague,

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .values import any_of, bind, has_words, js_trim
+from .values import any_of, bind, blank, has_words, js_trim
 
 
 _WORD = re.compile("[a-z0-9_]+")
@@ -51,7 +51,7 @@ def infer_sector(title: Column, department: Column) -> Column:
     """First sector whose words occur in title and department; none, or no title: null."""
     text = F.concat(F.lower(title), F.lit(" "), F.lower(F.coalesce(department, F.lit(""))))
     none = F.lit(None).cast("string")
-    return F.when(title.isNull() | (js_trim(title) == ""), none).otherwise(_first(text, R.SECTORS, none))
+    return F.when(title.isNull() | blank(title), none).otherwise(_first(text, R.SECTORS, none))
 
 
 def valid_title(title: Column) -> Column:

@@ -16,6 +16,11 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", "")
 
 
+def blank(c: Column) -> Column:
+    """Nothing is left when trimmed; stops at the first character that stays."""
+    return ~c.rlike(f"[^{_BLANK[1:-2]}]")
+
+
 def nonempty(c: Column) -> Column:
     """Empty text counts as missing."""
     return F.when(c != "", c)

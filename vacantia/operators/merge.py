@@ -94,14 +94,14 @@ def update_by_rules(companies: DataFrame, rules: DataFrame, name: str = "trading
     """Bulk updates by name patterns, the last matching rule wins.
 
     rules: rule_no, pattern, alt_pattern, not_pattern, max_length, ats_provider, ats_board_token (null
-    where a rule has none). The rule book is a hand-kept table of some hundred rows, so it is
-    broadcast; companies are read once and not shuffled before the aggregation by id.
+    where a rule has none). The rule book is a hand-kept table; Spark broadcasts it by its size. Companies are
+    read once and not shuffled before the aggregation by id.
     """
     n = F.col(name)
     like = F.ilike(n, F.col("pattern")) | F.coalesce(F.ilike(n, F.col("alt_pattern")), F.lit(False))
     on = like & ~F.coalesce(F.ilike(n, F.col("not_pattern")), F.lit(False)) & F.coalesce(F.length(n) < F.col("max_length"), F.lit(True))
     r = rules.select("rule_no", "pattern", "alt_pattern", "not_pattern", "max_length", F.struct("rule_no", F.col("ats_provider").alias("p"), F.col("ats_board_token").alias("t")).alias("__rule"))
-    hits = companies.select("id", name).join(F.broadcast(r), on).groupBy("id").agg(F.max("__rule").alias("__rule"))
+    hits = companies.select("id", name).join(r, on).groupBy("id").agg(F.max("__rule").alias("__rule"))
     joined = companies.join(hits, "id", "left")
     hit = F.col("__rule").isNotNull()
     out = {"ats_provider": F.when(hit, F.col("__rule.p")).otherwise(F.col("ats_provider")), "ats_board_token": F.when(hit, F.col("__rule.t")).otherwise(F.col("ats_board_token"))}

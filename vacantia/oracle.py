@@ -90,7 +90,7 @@ WHERE = {
 for name, r in FEEDS.items():
     m = f"WITH {C}, {J}, m AS (SELECT j.*, trading_name, licensed_sponsor FROM j JOIN c ON c.id = company_id WHERE {WHERE.get(name, 'true').replace('(id ', '(j.id ')})"
     if name == "feed_company_page":
-        SQL[name] = m.replace("WHERE true", "WHERE company_id = 7") + f""", n AS (SELECT *, row_number() OVER (ORDER BY {ORDER['newest']}) AS k FROM m)
+        SQL[name] = m.replace("WHERE true", "WHERE company_id = 36") + f""", n AS (SELECT *, row_number() OVER (ORDER BY {ORDER['newest']}) AS k FROM m)
           SELECT k - 10 AS pos, id, company_id, trading_name, title, location FROM n WHERE k BETWEEN 11 AND 20"""
         continue
     SQL[name] = m + f""",
@@ -168,8 +168,8 @@ def norm(col: str, strip: str = r"[()\[\]]", sep: str = r"[/\-_|,;]") -> str:
 
 
 POST = r"[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2}"
-UK = [*R.UK_NATIONS, *R.UK_COUNTRY, *R.UK_PLACES, *R.UK_AREAS]
-BLOCK = [*R.BLOCKED_COUNTRIES, *R.BLOCKED_STATES, *R.BLOCKED_CITIES]
+UK = [*R.UK_NATIONS, *R.UK_COUNTRY, *R.UK_PLACES]
+BLOCK = R.BLOCKED_PLACES
 one = lambda terms, *no: alt(t for t in terms if " " not in t and t not in ("u.k.", *no))
 two = lambda terms: alt(t for t in terms if " " in t)
 SQL["infer_level"] = f"WITH {J} SELECT id, {level('title')} AS level FROM j"

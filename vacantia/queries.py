@@ -36,7 +36,7 @@ FEEDS = {
     "feed_city": FeedRequest(loc=" london "),
     "feed_multi_location": FeedRequest(locs=["Leeds", "Remote"]),
     "feed_exclusions": FeedRequest(excluded_jobs=list(range(0, 400)), excluded_companies=[1, 2, 3, 5, 8, 13]),
-    "feed_company_page": FeedRequest(company_id=7, page=2),
+    "feed_company_page": FeedRequest(company_id=36, page=2),
     "feed_prefs_locations": FeedRequest(prefs=Preferences(locations=["Rest of UK", "Scotland"], sponsorship_needed=True)),
     "feed_prefs_types": FeedRequest(prefs=Preferences(job_types=["Full-time", "Internship", "Part-time"])),
     "feed_prefs_sectors": FeedRequest(prefs=Preferences(sectors=["Data", "Design"]), locs=[]),

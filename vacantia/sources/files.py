@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -56,6 +57,24 @@ def append_buckets(outcomes: DataFrame, path: str) -> None:
     outcomes.write.mode("append").partitionBy("bucket").option("header", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, null fields left out."""
+    df.write.json(path)
+
+
+def sql_inserts(df: DataFrame, table: str) -> DataFrame:
+    """sql: an INSERT statement for each row, texts quoted with doubled quotes."""
+    plain = ("byte", "short", "integer", "long", "float", "double", "boolean")
+
+    def literal(field):
+        c = F.col(field.name).cast("string")
+        quoted = c if field.dataType.typeName() in plain or field.dataType.typeName().startswith("decimal") else F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.coalesce(quoted, F.lit("NULL"))
+
+    values = F.concat_ws(", ", *map(literal, df.schema))
+    return df.select(F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), values, F.lit(");")).alias("sql"))
+
+
 _TOKEN = re.compile(r"'((?:[^']|'')*)'|([(),])|([^\s(),']+)")
 
 
@@ -77,10 +96,34 @@ def sql_tuples(text: str) -> Iterator[list[str | None]]:
             row.append(quoted.replace("''", "'") if not bare else None if bare.lower() == "null" else bare)
 
 
+def dump_columns(text: str) -> list[str]:
+    """The column list of the first INSERT statement, without quotes; none: empty."""
+    m = re.search(r"\bINSERT\s+INTO\s+[^\s(]+\s*\(([^)]*)\)\s*VALUES\b", text, re.IGNORECASE)
+    return [c.strip().strip('`"[]') for c in m[1].split(",")] if m else []
+
+
+def typed_literal(text):
+    """struct<number, flag, text> of a dump's literal: at most one of number and flag is there besides the text."""
+    low = F.lower(text)
+    return F.struct(text.try_cast("double").alias("number"), F.when(low == "true", True).when(low == "false", False).alias("flag"), text.alias("text"))
+
+
+def sql_dump_errors(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """Tuples of dump files that have not ``width`` values: file number of values and the values as JSON."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                bad = [r for r in sql_tuples(text) if len(r) != width]
+                yield pa.RecordBatch.from_arrays([pa.array([len(r) for r in bad], pa.int32()), pa.array([json.dumps(r) for r in bad], pa.string())], ["n", "tuple"])
+
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "n int, tuple string")
+
+
 def read_sql_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of dump files as text columns; each file is parsed by one task, files in parallel.
 
-    Tuples with another number of values are left out.
+    Tuples with another number of values are rows of ``sql_dump_errors``.
     """
 
     def run(batches):

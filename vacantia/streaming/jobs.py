@@ -25,15 +25,18 @@ def dedup_deliveries(events: DataFrame, key: str = "event_id", within: str = "1
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batches(stream: DataFrame, target_path: str, keys: list[str], checkpoint: str):
+def upsert_batches(stream: DataFrame, target_path: str, keys: list[str], checkpoint: str, order: str | None = None):
     """Writer that merges every micro-batch into versioned snapshots under ``target_path``.
 
-    Version n is written from version n-1, so a batch that is retried writes the same version again.
+    Version n is written from version n-1, so a batch that is retried writes the same version again: of the
+    rows of one key the latest by ``order`` stays, ties (and all, without an order) by the rows' text.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        version = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*rest)).alias("text"))
+        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*").select(*batch.columns)
         out = latest if n == 0 else merge.upsert(spark.read.parquet(f"{target_path}/v={n - 1}"), latest, keys)
         out.write.mode("overwrite").parquet(f"{target_path}/v={n}")
 
