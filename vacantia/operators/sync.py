@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.location import default_evidence, is_uk_job
 from ..functions.titles import infer_level, infer_sector, valid_title
 from ..functions.values import cut, js_trim
+from ..tables import materialize
 from . import dedup, merge
 
 FAILURE_LIMIT = 3
@@ -54,9 +55,10 @@ def sync(jobs: DataFrame, attempted: DataFrame, postings: DataFrame, nhs: Column
     attempted: company_id of every company tried. A company that fetched nothing keeps its jobs; one
     whose postings are all rejected loses them; else its rows are upserted by url and stale ones go.
     """
-    marked = classify(postings, nhs)
+    # both are needed several times: places are judged and rows deduplicated once
+    marked = materialize(classify(postings, nhs))
     out = outcomes(attempted, marked)
-    rows = to_rows(marked.filter("keep"))
+    rows = materialize(to_rows(marked.filter("keep")))
     # companies are synchronised one after the other, by company_id: of a url that several post the last one has it,
     # and a url that moved to another company is no stale row of the old one
     latest = rows.groupBy("url").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "url"]), "company_id").alias("r")).select("url", "r.*")
