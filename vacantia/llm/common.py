@@ -7,9 +7,6 @@ clashing extra columns do no harm), an empty table gives an empty result of the
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import materialize, scratch, shared_folder  # noqa: F401
+
 #: Bytes of text handled at once inside a task: the numpy temporaries (8 bytes each) stay in cache.
 BLOCK_BYTES = 1 << 18
 
@@ -29,53 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset and the session is local (tests) a temporary folder is made and kept for the
-    session; on a cluster an unset folder is an error, as executors could not see it.
-    """
-    sc = spark.sparkContext
-    set_already = sc._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get()
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the cluster's shared folder, and read it there.
-
-    Unlike a checkpoint this computes ``df`` once, and the table's size is known to later joins.
-    The application's tables are removed when its driver ends.
-    """
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def scratch(spark: SparkSession) -> str:
-    """The application's folder for intermediate tables in the shared folder, removed when its driver ends."""
-    home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
-    if home not in _homes:
-        _homes.add(home)
-        atexit.register(_remove, spark, home)
-    return home
-
-
-_homes: set[str] = set()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None:
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def row_key(docs: DataFrame) -> Column:
     """64-bit hash of all columns, nulls told apart: the rows of one key are equal, hence interchangeable.
 
