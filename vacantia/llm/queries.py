@@ -64,6 +64,22 @@ SELECT doc_id,
        doc_id = first_value(doc_id) OVER w AS kept,
        text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id ASC)
+""",
+    "op9_suffixes": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, b, unnest(range(1, greatest(octet_length(b) - 48, 1))) AS i FROM b),
+s AS (SELECT doc_id, i, b[i:i + 49] AS s FROM w),
+m AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, i FROM s JOIN m USING (s) WHERE least < doc_id),
+n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM h),
+r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+p AS (SELECT doc_id, k, min(i) AS lo, max(i) + 49 AS hi FROM r GROUP BY doc_id, k),
+q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM p),
+t AS (SELECT doc_id, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last FROM p GROUP BY doc_id),
+k AS (SELECT q.doc_id, string_agg(hex(b[before + 1:lo - 1]), '' ORDER BY lo) AS kept FROM q JOIN b USING (doc_id) GROUP BY q.doc_id)
+SELECT b.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN last IS NULL THEN b ELSE unhex(kept || hex(b[last + 1:])) END) AS kept_sha256
+FROM b LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
     "op10_jaccard": r"""
 WITH RECURSIVE w AS (
