@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_advice import languages
-from vacantia.llm import exact_dedup, jaccard, language, licenses, mixing, pieces, suffixes, tiff, toxicity
+from vacantia.llm import exact_dedup, jaccard, language, licenses, mixing, pieces, sharding, suffixes, tiff, toxicity
 from vacantia.llm.common import blocks, materialize, row_key, utf8
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -436,3 +436,10 @@ def test_one_id_with_two_texts_and_null_ids_in_the_join(spark):
     rows = [(5, a), (5, b), (7, a + " x"), (None, b + " x"), (None, a), (9, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
     assert got == sorted([("5", 36, 5), ("5", 36, 5), ("7", 37, 5), ("None", 37, 5), ("None", 36, 5), ("9", 0, 9)])
+
+
+def test_placing_keeps_clashing_columns_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "mine", 7), (1, "mine", 7), (None, None, None)], "slot long, shard string, x int")
+    got = sharding.place(docs, "slot", ["a", "b", "c"], 101).collect()
+    assert sorted((str(r.input_slot), str(r.input_shard), str(r.x)) for r in got) == [("1", "mine", "7"), ("1", "mine", "7"), ("None", "None", "None")]
+    assert len({r.slot for r in got if r.input_slot}) == 1 and all(r.shard_name in "abc" for r in got)

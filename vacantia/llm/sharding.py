@@ -59,13 +59,17 @@ def table_rows(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> Da
 
 
 def place(docs: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """``docs`` with slot, shard and shard_name (columns of these names in ``docs`` are replaced)."""
-    base = docs.drop("slot", "shard", "shard_name").withColumn("slot", slot_of(F.col(key), slots))
+    """``docs`` with slot, shard and shard_name, a row for a row: equal keys share a slot, a null key is the empty text.
+
+    Columns of these names that ``docs`` has already are kept as input_slot and so on.
+    """
+    taken = [c for c in ("slot", "shard", "shard_name") if c in docs.columns]
+    base = docs.withColumn("__slot", slot_of(F.col(key), slots)).withColumnsRenamed({c: f"input_{c}" for c in taken}).withColumnRenamed("__slot", "slot")
     return base.join(F.broadcast(table_rows(docs.sparkSession, shards, slots)), "slot")
 
 
 def placements(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, slot, shard, and shard_without_last: the shard if the last one leaves."""
+    """One row per row of ``docs`` (repeated and null ids too): doc_id, slot, shard, and shard_without_last: the shard if the last one leaves."""
     names = [f"shard-{i:04d}" for i in range(shards)]
     rest = table_rows(docs.sparkSession, names[:-1] or names, slots).select("slot", F.col("shard").alias("shard_without_last"))
     placed = place(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", names, slots)
