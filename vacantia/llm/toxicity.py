@@ -141,34 +141,39 @@ def train(rows: pd.DataFrame, seed: int = 3) -> Machine:
     empty = Machine(-2.0, np.zeros(size, np.int32), np.zeros(1), np.zeros((1, FACTORS)))
     if not len(y) or y.min() == y.max():
         return empty
-    flat = np.concatenate(sets)
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    chosen = telling_terms(doc, flat, y)
+    chosen = telling_terms(sets, y)
     row = np.zeros(size, np.int32)
     row[chosen] = np.arange(1, len(chosen) + 1)
-    flat = row[flat]
-    doc, flat = doc[flat > 0], flat[flat > 0]
+    kept = [x[x > 0] for x in map(row.__getitem__, sets)]
+    flat = np.concatenate(kept)
+    doc = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
     bias, w, v = _train(doc, flat, y, len(chosen) + 1, seed)
     return Machine(bias, row, w, v)
 
 
-def telling_terms(doc: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Terms on which the label depends, alone or in pairs; (doc, term) are distinct and y has both classes."""
+def telling_terms(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Terms on which the label depends, alone or in pairs; each set is distinct, y has both classes.
+
+    Rows are counted one by one: what is held at once is the sample and a byte for each row and common term.
+    """
     size, n_pos, n_neg = 1 << BITS, y.sum(), len(y) - y.sum()
-    toxic = y[doc] > 0
-    pos, neg = (np.bincount(term[m], minlength=size).astype(float) for m in (toxic, ~toxic))
+    pos, neg = np.zeros(size), np.zeros(size)
+    for terms_, label in zip(sets, y):
+        (pos if label else neg)[terms_] += 1
     own = _llr(pos, neg, n_pos, n_neg)
     alone = np.flatnonzero((pos + neg >= MIN_DF) & (own >= MIN_LLR))
     least = max(MIN_DF, PAIR_SHARE * n_pos)
     common = np.flatnonzero(pos >= least)
     if len(common) < 2:
         return alone
-    number = np.full(size, -1)
+    number = np.full(size, -1, np.int32)
     number[common] = np.arange(len(common))
-    has = np.zeros((len(y), len(common)), np.uint8)
-    mine = number[term] >= 0
-    has[doc[mine], number[term[mine]]] = 1
-    side = [has[y > 0], has[y == 0]]
+    side = [np.zeros((int(n), len(common)), np.uint8) for n in (n_pos, n_neg)]
+    filled = [0, 0]
+    for terms_, label in zip(sets, y):
+        at, k = number[terms_], 0 if label else 1
+        side[k][filled[k], at[at >= 0]] = 1
+        filled[k] += 1
     # as many pairs are tried, the ratio that chance reaches grows by twice the log of their number
     noise, own, joined = MIN_LLR + 2 * np.log(len(common) ** 2 / 2), own[common], np.zeros(len(common), bool)
     for a in range(0, len(common), PAIR_TERMS):
