@@ -43,7 +43,7 @@ SMALL_LIST = 8
 #: Documents for each bucket of index lists.
 BUCKET_DOCS = 1500
 #: N-grams counted at a time, and bits of a counter's number within its bucket.
-COUNT_GRAMS, COUNTER_BITS = 1 << 22, 22
+COUNT_GRAMS, COUNTER_BITS = 1 << 21, 22
 #: Frequent n-grams (those in more than SMALL_LIST sets) that the global order tells apart.
 MAX_FREQUENT = 1 << 20
 #: Entries of a list that one task pairs with others.
@@ -52,7 +52,7 @@ PAIR_BLOCK = 2048
 TURNS = 1
 #: Bits (as a power of two) of the broadcast Bloom filter over documents that have a candidate, and bits set by each. Its size is
 #: the same for every input: the fuller it is, the more sets travel that no pair asks for.
-BLOOM_BITS, PROBES = 27, 3
+BLOOM_BITS, PROBES = 26, 3
 #: Sets of a block whose answers are at hand for others.
 ANSWERS = 32
 #: Postings a task holds before it deals them out.
@@ -402,7 +402,7 @@ class Answers:
     def __init__(self, flat: np.ndarray, start: np.ndarray, count: np.ndarray):
         self.flat, self.start, self.count = flat, start, count
         order = np.argsort(flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(count)), count)[order]
+        self.owner = np.repeat(np.arange(len(count), dtype=np.int32), count)[order]
         self.cuts = np.searchsorted(flat[order], np.arange(int(flat.max()) + 2 if len(flat) else 1))
         self.known: dict[int, np.ndarray] = {}
 
@@ -448,7 +448,7 @@ def _across(lists: pa.Table, sets: pa.Table, grams: Grams) -> pa.Table:
     at = np.array([where.get(x, -1) for x in names.tolist()])
     parts = [_keys(sets.column("grams")[int(i)].as_py()) if i >= 0 else np.zeros(0, U64) for i in at]
     count = np.array([len(x) for x in parts])
-    flat = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    flat = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int32)
     start = np.cumsum(count) - count
     answers = Answers(flat, start, count)
     label = np.zeros(len(names), np.int64)
