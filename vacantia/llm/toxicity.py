@@ -32,7 +32,7 @@ BITS = 20
 FACTORS = 8
 MIN_DF = 5
 #: Share of the toxic rows that a term must be in for its pairs to be counted (MIN_DF rows at least), and terms in a block of pairs.
-PAIR_SHARE, PAIR_TERMS = 0.03, 512
+PAIR_SHARE, PAIR_TERMS = 0.03, 256
 #: Log-likelihood ratio (chi-square, 1 degree of freedom) under which a term, or what a pair adds to its terms, is taken as noise.
 MIN_LLR = 10.83
 #: Lengths in bytes of the word stems that are terms besides the words.
@@ -160,7 +160,8 @@ def telling_terms(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     pos, neg = np.zeros(size), np.zeros(size)
     for terms_, label in zip(sets, y):
         (pos if label else neg)[terms_] += 1
-    own = _llr(pos, neg, n_pos, n_neg)
+    own, used = np.zeros(size), np.flatnonzero(pos + neg)
+    own[used] = _llr(pos[used], neg[used], n_pos, n_neg)
     alone = np.flatnonzero((pos + neg >= MIN_DF) & (own >= MIN_LLR))
     least = max(MIN_DF, PAIR_SHARE * n_pos)
     common = np.flatnonzero(pos >= least)
