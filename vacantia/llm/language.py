@@ -212,13 +212,14 @@ class Model:
         return pi
 
 
-def _has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows with a letter: a-z, A-Z, or (looked up only where there is none of these) any other."""
     count = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 128))])
     out = count[offsets[1:]] > count[offsets[:-1]]
     left = np.flatnonzero(~out & (np.diff(offsets) > 0))
     if len(left):
-        out[left] = pc.match_substring_regex(texts.take(pa.array(left)).cast(pa.string()), r"\p{L}").to_numpy(zero_copy_only=False)
+        texts = pa.array([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in left], pa.string())
+        out[left] = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
     return out
 
 
@@ -251,7 +252,7 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
             share, words = m.mixtures(data, offsets)
             top = share.argmax(1)
             score = share[np.arange(len(top)), top]
-            found = (words > 0) & (len(m.names) > 0) & _has_letter(rows.column(1), data, offsets)
+            found = (words > 0) & (len(m.names) > 0) & _has_letter(data, offsets)
             langs = [" ".join(f"{m.names[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] >= 0.0005) if f else "" for s, f in zip(share, found)]
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array([m.names[j] if f else "und" for j, f in zip(top, found)], pa.string()),
