@@ -123,16 +123,17 @@ def _bits(names: Column, rules: tuple[Rule, ...]) -> Column:
 def unseen(found: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per blob and id of ``found``: blob, doc_id, copies, missing.
 
-    missing: bits of the rules to run on the text of that row: for one id of each blob (the smallest, nulls
-    first) those that the ledger lacks, else 0.
+    missing: bits of the rules to run on the text of that row: for one id of each blob (the smallest; null
+    if it has no other) those that the ledger lacks, else 0.
     """
     every = F.lit((1 << len(rules)) - 1).cast("long")
     seen = ledger.marks().groupBy("blob").agg(F.bit_or(_bits(F.col("rules"), rules)).alias("seen"))
     pairs = materialize(found.groupBy("blob", "doc_id").agg(F.count(F.lit(1)).alias("copies")))
-    first = pairs.groupBy("blob").agg(F.min(F.struct("doc_id")).alias("first"))
-    chosen = first.join(seen, "blob", "left").select("blob", F.col("first.doc_id").alias("of"), every.bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))).alias("missing"))
-    joined = pairs.join(chosen, "blob")
-    return joined.select("blob", "doc_id", "copies", F.when(F.col("doc_id").eqNullSafe(F.col("of")), F.col("missing")).otherwise(0).alias("missing"))
+    first = pairs.groupBy(F.col("blob").alias("its")).agg(F.min("doc_id").alias("of"))
+    chosen = first.join(seen, F.col("its") == F.col("blob"), "left").select("its", "of", every.bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))).alias("missing"))
+    # by blob and id: a blob of many ids is dealt over all tasks
+    joined = pairs.join(chosen, (F.col("blob") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return joined.select("blob", "doc_id", "copies", F.coalesce("missing", F.lit(0).cast("long")).alias("missing"))
 
 
 def _texts(docs: DataFrame, todo: DataFrame) -> DataFrame:
