@@ -7,7 +7,9 @@ clashing extra columns do no harm), an empty table gives an empty result of the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from types import GeneratorType
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,33 @@ def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for later stages and would hold it until then."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a function of batches or of one group, with ``release`` at its end."""
+
+    def drained(out):
+        try:
+            yield from out
+        finally:
+            release()
+
+    def to_the_end(rows):
+        out = run(rows)
+        if isinstance(out, GeneratorType):
+            return drained(out)
+        release()
+        return out
+
+    return to_the_end
+
+
 def doc_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, doc_crc, materialize, row_key
+from .common import WHITE, doc_crc, lean, materialize, row_key
 
 #: Distinct digests that a bucket holds on average; the number of buckets follows the table.
 BUCKET_KEYS = 4096
@@ -45,7 +45,7 @@ def digests(docs: DataFrame, with_key: bool = False) -> DataFrame:
     """doc_id, chars (code points of the original text), digest (of the normal form), and if wanted key (of the row)."""
     key = [row_key(docs).alias("key")] if with_key else []
     schema = "doc_id long, chars long, digest binary" + ", key long" * with_key
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(_digests, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(lean(_digests), schema)
 
 
 def winners(keyed: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def buckets_for(rows: int) -> int:
 
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """The lookup table of ``winners`` rows: one row per bucket, arrays in slot order."""
-    return history.select(_bucket(buckets), "*").groupBy("bucket").applyInArrow(_build, INDEX_SCHEMA)
+    return history.select(_bucket(buckets), "*").groupBy("bucket").applyInArrow(lean(_build), INDEX_SCHEMA)
 
 
 def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def groups(history: DataFrame, arrivals: DataFrame, buckets: int) -> DataFrame:
     """
     index = build_index(winners(history), buckets)
     coming = winners(arrivals).select(_bucket(buckets), "*")
-    merged = index.groupBy("bucket").cogroup(coming.groupBy("bucket")).applyInArrow(_probe, "digest binary, chars long, neg_id long, n long")
+    merged = index.groupBy("bucket").cogroup(coming.groupBy("bucket")).applyInArrow(lambda x, y: lean(lambda both: _probe(*both))((x, y)), "digest binary, chars long, neg_id long, n long")
     return merged.select("digest", F.bitwise_not("neg_id").alias("keep_id"), F.col("n").alias("group_size"))
 
 

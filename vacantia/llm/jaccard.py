@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Hasher, blocks, edges_of, materialize, mix, pack, row_key, unpack
+from .common import IS_SPACE, U64, Hasher, blocks, edges_of, lean, materialize, mix, pack, row_key, unpack
 from .graph import components, join_components
 
 WORDS = 5
@@ -159,7 +159,7 @@ def document_nodes(docs: DataFrame, grams: Grams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_nodes(gram, cuts, grams.shared), pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(check, pa.int64())], ["doc_id", "node", "n_shingles", "check"])
 
     while True:
-        found = materialize(_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, check long"))
+        found = materialize(_texts(docs).mapInArrow(lean(run), "doc_id long, node long, n_shingles long, check long"))
         several = found.groupBy("node").agg(F.min(F.struct("n_shingles", "check")).alias("lo"), F.max(F.struct("n_shingles", "check")).alias("hi")).filter("lo <> hi").select("node").collect()
         if not several:
             return found.drop("check")
@@ -222,7 +222,7 @@ def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
         often = np.flatnonzero(total > SMALL_LIST)
         return pa.table({"counter": (group.column("bucket")[0].as_py() << COUNTER_BITS) + often, "n": total[often]})
 
-    counts = _texts(docs).mapInArrow(run, "bucket int, counts binary").groupBy("bucket").applyInArrow(add, "counter long, n long")
+    counts = _texts(docs).mapInArrow(lean(run), "bucket int, counts binary").groupBy("bucket").applyInArrow(lean(add), "counter long, n long")
     rows = counts.orderBy(F.desc("n"), "counter").limit(MAX_FREQUENT).toPandas()
     return rows.sort_values(["n", "counter"]).counter.to_numpy(np.int64)
 
@@ -285,7 +285,7 @@ def postings(docs: DataFrame, grams: Grams, often: np.ndarray, buckets: int) ->
         if size:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "bucket int, entries binary")
+    return _texts(docs).mapInArrow(lean(run), "bucket int, entries binary")
 
 
 def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
@@ -504,7 +504,7 @@ def cross_links(entries: DataFrame, sets: DataFrame, grams: Grams) -> DataFrame:
     key = ("centre", "p", "q")
     mine = dealt.select(*(F.col(c).alias(f"s_{c}") for c in key), F.col("node").alias("s_node")).distinct()
     held = mine.join(sets.select(F.col("node").alias("s_node"), "grams"), "s_node")
-    return dealt.groupBy(*key).cogroup(held.groupBy(*(f"s_{c}" for c in key))).applyInArrow(lambda x, y: _across(x, y, grams), "a long, b long")
+    return dealt.groupBy(*key).cogroup(held.groupBy(*(f"s_{c}" for c in key))).applyInArrow(lambda x, y: lean(lambda both: _across(*both, grams))((x, y)), "a long, b long")
 
 
 # ---------------------------------------------------------------- verification
@@ -532,7 +532,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         flags[np.frombuffer(b"".join(t.column("bits").to_pylist()), "<i4")] = True
         return pa.table({"chunk": t.column("chunk")[:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    found = ids.mapInArrow(spread, "chunk int, bits binary").groupBy("chunk").applyInArrow(build, "chunk int, bits binary").collect()
+    found = ids.mapInArrow(lean(spread), "chunk int, bits binary").groupBy("chunk").applyInArrow(lean(build), "chunk int, bits binary").collect()
     out = np.zeros(((1 << bits) // chunk, chunk // 8), np.uint8)
     for r in found:
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
@@ -558,7 +558,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFram
                 packed = [gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for i in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(_nodes(gram, cuts, grams.shared), pa.int64()), pa.array(packed, pa.binary())], ["node", "grams"])
 
-    return _texts(docs).mapInArrow(run, "node long, grams binary")
+    return _texts(docs).mapInArrow(lean(run), "node long, grams binary")
 
 
 def _keys(blob: bytes) -> np.ndarray:
@@ -593,7 +593,7 @@ def verify(sets: DataFrame, pairs: DataFrame, grams: Grams) -> DataFrame:
     # sets are the large side at every size: one plan, whatever the number of pairs
     with_b = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")).hint("merge"), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")).hint("merge"), "a")
-    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ga", "gb").mapInArrow(lean(run), "a long, b long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -606,7 +606,7 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     nodes = document_nodes(docs, grams)
     buckets = max(1, -(-nodes.count() // BUCKET_DOCS))
     lists = postings(docs, grams, frequent(docs, grams, buckets), buckets)
-    near = materialize(lists.groupBy("bucket").applyInArrow(lambda t: _near(t, grams), _NEAR))
+    near = materialize(lists.groupBy("bucket").applyInArrow(lean(lambda t: _near(t, grams)), _NEAR))
     first = materialize(_first_pairs(near, grams))
     long = materialize(long_entries(near))
     in_long = long.select("node").distinct()

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .common import lean
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose ids a worker keeps; beyond it the cache starts anew.
@@ -406,7 +408,7 @@ def with_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, values)], [*kept, "ids"])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*kept, "text").mapInArrow(lean(run), schema)
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -423,7 +425,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [c.decode(np.array(x or [], np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -443,4 +445,4 @@ def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 pa.array([sha256(b.encode()).hexdigest() for b in back]), pa.array([b == (t or "") for b, t in zip(back, texts)], pa.bool_()),
             ], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

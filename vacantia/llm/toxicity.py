@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, Hasher, blocks, doc_crc, edges_of, held_out, materialize
+from .common import IS_WORD, Hasher, blocks, doc_crc, edges_of, held_out, lean, materialize, release
 
 #: Bounds on the labelled rows that the fit uses, for each class: rows, and distinct terms of those rows (4 bytes each) in all.
 SAMPLE_PER_CLASS, SAMPLE_TERMS = 6000, 1 << 23
@@ -127,7 +127,7 @@ def bounded(rows: DataFrame, most: int = SAMPLE_TERMS) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 3) -> Machine:
     """Train on the bounded sample. Copies of a text count once. No labels: every score is 0.5 or less."""
-    rows = materialize(training_rows(docs, labels, per_class).mapInArrow(_features, "doc_id long, toxic int, terms binary"))
+    rows = materialize(training_rows(docs, labels, per_class).mapInArrow(lean(_features), "doc_id long, toxic int, terms binary"))
     return train(bounded(rows).toPandas(), seed)
 
 
@@ -234,6 +234,12 @@ def with_score(docs: DataFrame, machine: Machine, column: str = "score") -> Data
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            yield from scored(texts)
+        finally:
+            release()
+
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string(), from_pandas=True)], ["text"])
             found = [model.value.scores(data, offsets) for _, data, offsets in blocks([batch])]
