@@ -128,6 +128,9 @@ WIDE_AREAS = _terms("emea, europe, global, worldwide, international, western eur
 VAGUE_PLACES = _terms("""
 location negotiable, negotiable, tbd, to be confirmed, various, various locations, see description, see job description,
 multiple locations, not specified""")
+SAMPLE_VAGUE = _terms("""
+remote, flexible, hybrid, anywhere, worldwide, global, distributed, not specified, location negotiable, negotiable, tbd,
+various, see description""")
 
 # ---- fixed values: titles, in order of precedence (patterns between word boundaries unless they begin with ~)
 

@@ -56,6 +56,8 @@ def infer_sector(title: Column, department: Column) -> Column:
 
 def valid_title(title: Column) -> Column:
     """At least three characters, no navigation text, and no short title that begins with one."""
-    low = js_trim(F.lower(title))
-    junk = low.isin(*R.JUNK_TITLES) | ((F.length(low) < 40) & any_of(low.startswith(j) for j in R.JUNK_TITLES))
-    return F.coalesce((F.length(title) >= 3) & ~junk, F.lit(False))
+
+    def judge(low: Column) -> Column:
+        return low.isin(*R.JUNK_TITLES) | ((F.length(low) < 40) & any_of(low.startswith(j) for j in R.JUNK_TITLES))
+
+    return F.coalesce((F.length(title) >= 3) & ~bind(js_trim(F.lower(title)), judge), F.lit(False))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.location import default_evidence, is_uk_job
+from ..functions import rules as R
+from ..functions.location import SOME_LOCATIONS, default_evidence, is_uk_job, is_uk_location_v1, normalize_location
 from ..functions.titles import infer_level, infer_sector, valid_title
-from ..functions.values import cut, js_trim
+from ..functions.values import cut, has_words, js_trim
 from ..tables import materialize
 from . import dedup, merge
 
@@ -22,6 +23,11 @@ def health_after(status: Column, failures: Column, failed: Column) -> Column:
     return F.when(failed.isNull(), F.struct(status.alias("ats_status"), failures.cast("int").alias("ats_failure_count"))).when(failed, bad).otherwise(good)
 
 
+def nhs_company(name: Column) -> Column:
+    """The name has nhs as a word of its own; null: no."""
+    return F.coalesce(has_words(F.lower(name), "nhs"), F.lit(False))
+
+
 def classify(postings: DataFrame, nhs: Column | None = None) -> DataFrame:
     """postings (company_id, title, location, url, department, pos) with a valid title, and keep: location passes, or an NHS company."""
     postings = postings.filter(valid_title(F.col("title")))
@@ -82,6 +88,22 @@ def first_attempt(attempts: DataFrame) -> DataFrame:
     return best.select("company_id", "b.attempt_no", "b.provider", "b.n_rows")
 
 
+def with_samples(boards: DataFrame, postings: DataFrame, first: int = 20) -> DataFrame:
+    """``boards`` (board_id, ...) with n_uk and n_other: places of each board's ``first`` postings inside and outside.
+
+    postings: board_id, pos, location. Places that say nothing (empty, vague, several locations) count for
+    neither. The rank limit is applied by every task before the shuffle, so a board of any size brings at most ``first`` rows a task.
+    """
+    rank = F.row_number().over(Window.partitionBy("board_id").orderBy("pos", "location"))
+    sample = postings.select("board_id", "pos", "location").withColumn("__n", rank).filter(F.col("__n") <= first)
+    place = normalize_location(F.col("location"))
+    vague = (place == "") | place.rlike(SOME_LOCATIONS) | place.isin(*R.SAMPLE_VAGUE)
+    uk = is_uk_location_v1(F.col("location"))
+    judged = sample.select("board_id", uk.alias("uk"), vague.alias("vague"))
+    counts = judged.groupBy("board_id").agg(F.count_if("uk").alias("n_uk"), F.count_if(~F.col("uk") & ~F.col("vague")).alias("n_other"))
+    return boards.join(counts, "board_id", "left").na.fill(0, ["n_uk", "n_other"])
+
+
 def facet_trust(boards: DataFrame) -> DataFrame:
     """Whether a board's country facet can be trusted.
 

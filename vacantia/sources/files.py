@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import js_trim
@@ -62,19 +62,37 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def sql_inserts(df: DataFrame, table: str) -> DataFrame:
-    """sql: an INSERT statement for each row, texts quoted with doubled quotes."""
+def _literal(field) -> Column:
+    """A value as SQL: numbers and booleans bare, other types quoted with doubled quotes, NULL."""
     plain = ("byte", "short", "integer", "long", "float", "double", "boolean")
+    c = F.col(field.name).cast("string")
+    quoted = c if field.dataType.typeName() in plain or field.dataType.typeName().startswith("decimal") else F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.coalesce(quoted, F.lit("NULL"))
 
-    def literal(field):
-        c = F.col(field.name).cast("string")
-        quoted = c if field.dataType.typeName() in plain or field.dataType.typeName().startswith("decimal") else F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
-        return F.coalesce(quoted, F.lit("NULL"))
 
-    values = F.concat_ws(", ", *map(literal, df.schema))
+def sql_inserts(df: DataFrame, table: str) -> DataFrame:
+    """sql: an INSERT statement for each row."""
+    values = F.concat_ws(", ", *map(_literal, df.schema))
     return df.select(F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), values, F.lit(");")).alias("sql"))
 
 
+def sql_updates(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """sql: an UPDATE statement for each row, found by ``keys``; rows with a null key give none."""
+    of = {f.name: f for f in df.schema}
+    sets = F.concat_ws(", ", *(F.concat(F.lit(f"{c} = "), _literal(of[c])) for c in df.columns if c not in keys))
+    where = F.concat_ws(" AND ", *(F.concat(F.lit(f"{c} = "), _literal(of[c])) for c in keys))
+    return df.na.drop(subset=keys).select(F.concat(F.lit(f"UPDATE {table} SET "), sets, F.lit(" WHERE "), where, F.lit(";")).alias("sql"))
+
+
+def write_dump(df: DataFrame, table: str, path: str) -> None:
+    """A folder of dump files, each with one INSERT statement over all its rows."""
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    tuple_ = F.concat(F.lit("("), F.concat_ws(", ", *map(_literal, df.schema)), F.lit(")"))
+    id_ = F.monotonically_increasing_id()
+    first = id_.bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition, which is a file
+    df.select(F.concat(F.when(first, f'INSERT INTO "{table}" ({columns}) VALUES ').otherwise(","), tuple_).alias("value")).write.text(path)
+
+
 _TOKEN = re.compile(r"'((?:[^']|'')*)'|([(),])|([^\s(),']+)")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..operators.bucketed import BucketedTable, latest_of_batch
 
 
 def stream_of(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -33,16 +34,21 @@ def upsert_batches(stream: DataFrame, target_path: str, keys: list[str], checkpo
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        version = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*rest)).alias("text"))
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*").select(*batch.columns)
-        out = latest if n == 0 else merge.upsert(spark.read.parquet(f"{target_path}/v={n - 1}"), latest, keys)
+        latest = latest_of_batch(batch, keys, order)
+        out = latest if n == 0 else merge.upsert(batch.sparkSession.read.parquet(f"{target_path}/v={n - 1}"), latest, keys)
         out.write.mode("overwrite").parquet(f"{target_path}/v={n}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def upsert_buckets(stream: DataFrame, table: BucketedTable, checkpoint: str, order: str | None = None):
+    """Writer that merges every micro-batch into a bucketed table: only the buckets of its keys are read and written.
+
+    Batch n makes version n; a batch that comes again after a restart finds its version there.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, n: table.upsert(latest_of_batch(batch, table.keys, order), n) and None).option("checkpointLocation", checkpoint)
+
+
 def _run_to_memory(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and give its result table."""
     name = f"t_{abs(hash(tempfile.mktemp())) % 10**12}"
