@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_entry import duck, rows  # noqa: F401
 from vacantia import oracle_state, queries_state
 from vacantia.functions import titles
-from vacantia.operators import dedup, sync
+from vacantia.operators import dedup, grams, merge, sync
 from vacantia.operators.bucketed import BucketedTable
 from vacantia.operators.replay import replay
 from vacantia.sources import dump, files
@@ -241,3 +241,61 @@ def test_titles_are_judged_alike_with_the_text_bound(spark):
     cases = [None, "", "ab", "Cook", "  View All Jobs ", "careers at our company", "View all jobs in our very large and long named team", "Apply", "﻿Home "]
     got = [r.v for r in spark.createDataFrame([(c,) for c in cases], "t string").select(titles.valid_title(F.col("t")).alias("v")).collect()]
     assert got[:4] == [False, False, False, True] and got[4] is False and got[6] is True
+
+
+# ------------------------------------------------------------------ grams behind ILIKE
+
+
+def like(pattern):
+    out, k = "", 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+            out += re.escape(pattern[k])
+        else:
+            out += {"%": "(?s:.*)", "_": "(?s:.)"}.get(c, re.escape(c))
+        k += 1
+    return re.compile(out)
+
+
+def test_candidates_hold_every_match(spark):
+    rng = random.Random(2)
+    letters = "abcAB1é日Σσς %_"
+    texts = [(k, None if k % 50 == 0 else "".join(rng.choices(letters, k=rng.randrange(12)))) for k in range(300)]
+    patterns = [(k, None if k % 40 == 0 else "".join(rng.choices([*"abAé1Σ日 ", "%", "%", "_", "\\%", "\\_"], k=rng.randrange(7)))) for k in range(200)] + [(900, "%"), (901, ""), (902, "__")]
+    t, p = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(patterns, "rule int, pattern string")
+    pairs = {(r.id, r.rule) for r in grams.candidates(t, p).collect()}
+    every = t.crossJoin(p).filter(F.ilike("text", F.col("pattern"))).collect()  # 300 x 200: what a nested loop finds
+    assert {(r.id, r.rule) for r in every} <= pairs and len(every) > 200
+    assert {(r.id, r.rule) for r in every} == {(i, k) for i, x in texts if x is not None for k, y in patterns if y is not None and like(y.lower()).fullmatch(x.lower())}
+
+
+def test_ten_thousand_rules_without_a_nested_loop(spark):
+    companies = spark.range(2000).select("id", F.concat(F.lit("Acme "), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" Holdings")).alias("trading_name"), F.lit(None).cast("string").alias("ats_provider"), F.lit(None).cast("string").alias("ats_board_token"))
+    rules = spark.range(10_000).select(F.col("id").cast("int").alias("rule_no"), F.concat(F.lit("%ACME_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("%")).alias("pattern"), *[F.lit(None).cast(t).alias(c) for c, t in (("alt_pattern", "string"), ("not_pattern", "string"), ("max_length", "int"))], F.lit("x").alias("ats_provider"), F.col("id").cast("string").alias("ats_board_token"))
+    out = merge.update_by_rules(companies, rules)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    assert {r.id: r.ats_board_token for r in out.collect()} == {k: str(k) for k in range(2000)}
+    names = companies.select("id", F.col("trading_name").alias("text"))
+    assert grams.candidates(names, rules.select(F.col("rule_no").alias("rule"), "pattern")).count() < 200_000  # of 20 million pairs
+
+
+def test_indexed_search(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, 1, "Data Engineer"), (2, 1, "Cook"), (3, 2, None), (4, 2, "ΔΙΑΣ engineer"), (5, 3, "Engineering")], "id long, company_id long, title string")
+    companies = spark.createDataFrame([(1, "Acme"), (2, "Engine Works"), (3, None)], "id long, trading_name string")
+    index = grams.GramIndex(spark, f"{tmp_path}/g")
+    assert index.segments() == []
+    index.add("title", jobs.select("id", F.col("title").alias("text")).filter("id < 4"))
+    index.add("title", jobs.select("id", F.col("title").alias("text")).filter("id >= 4"))
+    index.add("company", companies.select("id", F.col("trading_name").alias("text")))
+    ids = lambda term: sorted(r.id for r in grams.indexed_search(index, jobs, term).collect())
+    assert ids("engine") == [1, 3, 4, 5] and ids("DATA%eer") == [1] and ids("zzz") == [] and ids("διας") == [4]
+    assert ids("co") == [1, 2, 3, 4, 5]  # too short for the index: all rows, the feed's ILIKE decides
+    opened = index.postings(index.grams_of("cook")).inputFiles()
+    every = glob.glob(f"{tmp_path}/g/*/bucket=*/part-*.parquet")
+    read = index.postings(index.grams_of("cook"))
+    read.collect()
+    assert len(every) > 20 and re.search(r"PartitionFilters: \[.*bucket.*IN \(\d+,\d+\)", read._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))), (len(opened), len(every))
+    index.add("title", spark.createDataFrame([(2, "Head Cook")], "id long, text string"))  # a new text of a known row
+    assert ids("head cook") == [2]

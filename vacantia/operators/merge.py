@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grams import candidates
+
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None, insert: list[str] | None = None) -> DataFrame:
     """Insert source rows, or overwrite ``update`` columns (default: all it supplies) of equal keys.
@@ -93,15 +95,17 @@ def recount(companies: DataFrame, jobs: DataFrame, key: str = "id", ref: str = "
 def update_by_rules(companies: DataFrame, rules: DataFrame, name: str = "trading_name") -> DataFrame:
     """Bulk updates by name patterns, the last matching rule wins.
 
-    rules: rule_no, pattern, alt_pattern, not_pattern, max_length, ats_provider, ats_board_token (null
-    where a rule has none). The rule book is a hand-kept table; Spark broadcasts it by its size. Companies are
-    read once and not shuffled before the aggregation by id.
+    rules: rule_no (distinct), pattern, alt_pattern, not_pattern, max_length, ats_provider, ats_board_token (null
+    where a rule has none). Names meet only the rules that share a gram with them (``grams.candidates``),
+    so the work follows the names' length and not names times rules.
     """
     n = F.col(name)
     like = F.ilike(n, F.col("pattern")) | F.coalesce(F.ilike(n, F.col("alt_pattern")), F.lit(False))
     on = like & ~F.coalesce(F.ilike(n, F.col("not_pattern")), F.lit(False)) & F.coalesce(F.length(n) < F.col("max_length"), F.lit(True))
+    positive = rules.select(F.col("rule_no").alias("rule"), F.explode(F.array("pattern", "alt_pattern")).alias("pattern"))
+    pairs = candidates(companies.select("id", n.alias("text")), positive).select("id", F.col("text").alias(name), F.col("rule").alias("rule_no"))
     r = rules.select("rule_no", "pattern", "alt_pattern", "not_pattern", "max_length", F.struct("rule_no", F.col("ats_provider").alias("p"), F.col("ats_board_token").alias("t")).alias("__rule"))
-    hits = companies.select("id", name).join(r, on).groupBy("id").agg(F.max("__rule").alias("__rule"))
+    hits = pairs.join(r, "rule_no").filter(on).groupBy("id").agg(F.max("__rule").alias("__rule"))
     joined = companies.join(hits, "id", "left")
     hit = F.col("__rule").isNotNull()
     out = {"ats_provider": F.when(hit, F.col("__rule.p")).otherwise(F.col("ats_provider")), "ats_board_token": F.when(hit, F.col("__rule.t")).otherwise(F.col("ats_board_token"))}

@@ -10,6 +10,7 @@ from ..functions import tokens, urls
 from ..functions.location import verdict_words
 from ..functions.values import cut, js_trim, nonempty
 from . import detect
+from .grams import candidates
 
 
 def match_search_hits(results: DataFrame) -> DataFrame:
@@ -141,9 +142,11 @@ def choose_attempt(postings: DataFrame, valid: Column) -> DataFrame:
 def set_first_by_name(companies: DataFrame, names: DataFrame) -> DataFrame:
     """Provider and token set on the first company (by id) whose name contains each wanted one; others stay, later names win.
 
-    names: n, name, ats_provider, ats_board_token; a hand-kept list, which Spark may broadcast by its size.
+    names: n (distinct), name, ats_provider, ats_board_token. Companies meet only the wanted names that share a gram with theirs.
     """
-    hits = companies.select("id", "trading_name").join(names, F.ilike("trading_name", F.concat(F.lit("%"), F.col("name"), F.lit("%"))))
+    wanted = names.withColumn("__like", F.concat(F.lit("%"), F.col("name"), F.lit("%")))
+    pairs = candidates(companies.select("id", F.col("trading_name").alias("text")), wanted.select(F.col("n").alias("rule"), F.col("__like").alias("pattern")))
+    hits = pairs.withColumnRenamed("rule", "n").join(wanted, "n").filter(F.ilike("text", F.col("__like")))
     first = hits.groupBy("n").agg(F.min_by(F.struct("id", F.col("ats_provider").alias("__p"), F.col("ats_board_token").alias("__t")), "id").alias("h"))
     won = first.groupBy(F.col("h.id").alias("id")).agg(F.max_by("h", "n").alias("h"))
     hit = F.col("h").isNotNull()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from . import queries_state as Q
 from .functions import rules as R
-from .oracle import J, norm, q, rx, v1
+from .oracle import C, J, norm, q, rx, v1
 from .oracle_runs import SQL as RUNS
 
 SQL: dict[str, str] = {}
@@ -33,3 +34,7 @@ SQL["board_facet_trust"] = f"""WITH {J}, p AS (SELECT company_id, id, CASE compa
   r AS (SELECT *, applied AND global_total > 0 AND coalesce(total / nullif(global_total, 0) < 0.75, false) AND n_other <= n_uk AS uses_facet FROM b)
   SELECT *, uses_facet OR n_other = 0 AS trusted FROM r"""
 SQL["sync_outcomes_nhs"] = RUNS["sync_outcomes"].replace("m AS (SELECT jj.*, kk.keep FROM", "m AS (SELECT jj.*, kk.keep OR jj.company_id % 7 = 3 AS keep FROM")
+
+SQL["feed_search_indexed"] = f"""WITH {C}, {J}, m AS (SELECT j.id, company_id, title, trading_name, created_at FROM j JOIN c ON c.id = company_id WHERE title ILIKE {q('%' + Q.INDEXED_TERM + '%')} OR trading_name ILIKE {q('%' + Q.INDEXED_TERM + '%')}),
+  t AS (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id DESC) AS p FROM m QUALIFY p <= 50), a AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY p) > 1 AS again FROM t)
+  SELECT row_number() OVER (ORDER BY again, p) AS pos, id, company_id, title, trading_name FROM a ORDER BY pos LIMIT 10"""

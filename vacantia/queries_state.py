@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .operators import dedup, sync
 from .operators.bucketed import BucketedTable
+from .operators.grams import GramIndex, indexed_search
 from .operators.replay import replay
+from .plans import feed
 from .sources import dump, files
 from .streaming import failures
 from .streaming import jobs as streams
@@ -86,3 +88,20 @@ def sync_outcomes_nhs(spark, sf_dir):
     target, tried, postings = _snapshot(spark, sf_dir)
     name = F.when(F.col("company_id") % 7 == 3, F.lit("Leeds NHS Trust")).when(F.col("company_id") % 7 == 5, F.lit("NHSX Ltd"))
     return sync.sync(target, tried, postings.withColumn("trading_name", name), sync.nhs_company(F.col("trading_name")))[1]
+
+
+INDEXED_TERM = "a en%neer"
+
+
+@query
+def feed_search_indexed(spark, sf_dir):
+    """The feed's search page, its candidates from a gram index that was brought up to date in two batches."""
+    jobs, companies = X.jobs(spark, sf_dir), X.companies(spark, sf_dir)
+    index = GramIndex(spark, f"{scratch(spark)}/grams-{uuid.uuid4().hex}")
+    titles = jobs.select("id", F.col("title").alias("text"))
+    index.add("title", titles.filter("id % 10 < 8"))
+    index.add("title", titles.filter("id % 10 >= 8"))
+    index.add("company", companies.select("id", F.col("trading_name").alias("text")))
+    found = indexed_search(index, jobs, INDEXED_TERM)
+    page = feed.page(found, companies, feed.FeedRequest(q=INDEXED_TERM))
+    return page.select("pos", "id", "company_id", "title", "trading_name")
