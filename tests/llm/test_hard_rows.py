@@ -443,3 +443,21 @@ def test_placing_keeps_clashing_columns_and_repeats(spark):
     got = sharding.place(docs, "slot", ["a", "b", "c"], 101).collect()
     assert sorted((str(r.input_slot), str(r.input_shard), str(r.x)) for r in got) == [("1", "mine", "7"), ("1", "mine", "7"), ("None", "None", "None")]
     assert len({r.slot for r in got if r.input_slot}) == 1 and all(r.shard_name in "abc" for r in got)
+
+
+def test_placing_finds_free_names(spark):
+    docs = spark.createDataFrame([(1, 2, "x")], "slot long, input_slot long, shard_name string")
+    got = sharding.place(docs, "slot", ["a", "b"], 101).first().asDict()
+    assert (got["input_input_slot"], got["input_slot"], got["input_shard_name"]) == (1, 2, "x") and got["shard_name"] in "ab"
+
+
+def test_rows_of_one_id_are_dealt_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 500)
+    seen = []
+    keep = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df: seen.append(keep(df)) or seen[-1])
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("w "), F.greatest(F.lit(0), F.col("id") % 40 - 20).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 7 % 2).alias("source"))
+    got = mixing.assign(docs).agg(F.sum("taken").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    largest = next(df for df in seen if "slice" in df.columns).groupBy("rank", "slice").count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * mixing.SLICE_ROWS and got.rows == 20_000  # of 20,000 rows with the null id
+    assert abs(got.n - 500 * sum(range(20))) <= 2

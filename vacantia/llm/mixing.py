@@ -119,15 +119,17 @@ def _plan(docs: DataFrame) -> DataFrame:
     """``assign`` with the key of each row."""
     sized = materialize(word_sizes(docs))
     slices = max(1, -(-sized.count() // SLICE_ROWS))
-    known = _with_sources(sized)
-    order = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))
-    known = known.withColumn("h", order).withColumn("slice", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * slices).cast("long"))
+    known = _with_sources(sized).withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))))
+    # slices are ranges of the order itself, so rows that share an id are dealt over as many as they fill; of equal rows any may be first
+    known = known.withColumn("tie", F.monotonically_increasing_id())
+    order = ["h", "doc_id", "size", "key", "tie"]
+    known = materialize(known.repartitionByRange(slices, "rank", *order).withColumn("slice", F.spark_partition_id()))
     sums = known.groupBy("rank", "slice").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("run", F.floor(F.col("slice") / SLICE_ROWS))
     before = lambda c, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = sums.groupBy("rank", "run").agg(F.sum("n").alias("n")).select("rank", "run", before("run", "rank").alias("of_run"))
     offsets = sums.withColumn("in_run", before("slice", "rank", "run")).join(runs, ["rank", "run"]).select("rank", "slice", (F.col("of_run") + F.col("in_run")).alias("offset"))
-    within = Window.partitionBy("rank", "slice").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = known.join(offsets, ["rank", "slice"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     quota = F.floor(F.col("target") + F.lit(0.5)).cast("long")
 

@@ -61,10 +61,16 @@ def table_rows(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> Da
 def place(docs: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """``docs`` with slot, shard and shard_name, a row for a row: equal keys share a slot, a null key is the empty text.
 
-    Columns of these names that ``docs`` has already are kept as input_slot and so on.
+    Columns of these names that ``docs`` has already are kept as input_slot and so on (input_input_slot where that is taken too).
     """
-    taken = [c for c in ("slot", "shard", "shard_name") if c in docs.columns]
-    base = docs.withColumn("__slot", slot_of(F.col(key), slots)).withColumnsRenamed({c: f"input_{c}" for c in taken}).withColumnRenamed("__slot", "slot")
+    names = {}
+    for c in ("slot", "shard", "shard_name"):
+        free = c
+        while free in docs.columns or free in names.values():
+            free = f"input_{free}"
+        if free != c:
+            names[c] = free
+    base = docs.withColumn("__slot", slot_of(F.col(key), slots)).withColumnsRenamed(names).withColumnRenamed("__slot", "slot")
     return base.join(F.broadcast(table_rows(docs.sparkSession, shards, slots)), "slot")
 
 
