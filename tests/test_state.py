@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from test_entry import duck, rows  # noqa: F401
 from vacantia import oracle_state, queries_state
 from vacantia.functions import titles
-from vacantia.operators import dedup, grams, merge, sync
+from vacantia.operators import counts, dedup, grams, merge, sync
 from vacantia.operators.bucketed import BucketedTable
 from vacantia.operators.replay import replay
+from vacantia.plans import feed, keyset
 from vacantia.sources import dump, files
 from vacantia.streaming import failures
 from vacantia.streaming import jobs as streams
@@ -299,3 +300,64 @@ def test_indexed_search(spark, tmp_path):
     assert len(every) > 20 and re.search(r"PartitionFilters: \[.*bucket.*IN \(\d+,\d+\)", read._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))), (len(opened), len(every))
     index.add("title", spark.createDataFrame([(2, "Head Cook")], "id long, text string"))  # a new text of a known row
     assert ids("head cook") == [2]
+
+
+# ------------------------------------------------------------------ walks and counts
+
+
+@pytest.mark.parametrize("sort", ["newest", "oldest", "title_asc", "title_desc"])
+def test_a_walk_shows_every_row_once(spark, sort):
+    rng = random.Random(sort)
+    made = [(k, rng.choice([0, 0, 0, 0, 1, 2, 3]), rng.choice([None, "", "Cook", "cook", "Über", "日本", "z"]), rng.choice([None, *[BASE + dt.timedelta(minutes=rng.randrange(20)) for _ in range(3)]])) for k in range(140)]
+    jobs = spark.createDataFrame(made, "id long, company_id long, title string, created_at timestamp").withColumns({c: F.lit("x") for c in ("location", "department")}).cache()
+    companies = spark.createDataFrame([(k, f"c{k}", True) for k in range(4)], "id long, trading_name string, licensed_sponsor boolean")
+    seen = keyset.Seen(spark.createDataFrame([(k,) for k in range(0, 140, 7)] + [(None,), (7,), (7,)], "id long"))
+    walk, shown, excluded = keyset.Walk(), [], list(range(0, 140, 7))
+    for number in range(200):
+        page, after = keyset.next_page(jobs, companies, feed.FeedRequest(sort=sort), walk, seen)
+        if number < 3:  # the page that a growing list of excluded ids gives
+            whole = feed.page(jobs, companies, feed.FeedRequest(sort=sort, excluded_jobs=excluded)).orderBy("pos").collect()
+            assert [r.id for r in whole] == [r["id"] for r in page]
+        if not page:
+            break
+        assert after.cursor != walk.cursor and len(after.ahead) <= 500
+        walk = after
+        excluded += [r["id"] for r in page]
+        shown += [r["id"] for r in page]
+    assert sorted(shown) == [k for k in range(140) if k % 7]  # no gap, no repeat
+    jobs.unpersist()
+
+
+def test_a_million_seen_ids(spark, monkeypatch):
+    ids = spark.range(1_000_000).select((F.col("id") * 2).alias("id"))
+    rows_ = spark.createDataFrame([(k,) for k in (0, 1, 2, 32767, 32768, 32769, 65536, 1_999_998, 1_999_999, 2_000_000, -3, -2)], "id long")
+    left = [1, 32767, 32769, 1_999_999, 2_000_000, -3, -2]
+    dense = keyset.Seen(ids)
+    assert dense.ids is None and dense.bitmaps.count() < 70 and sorted(r.id for r in dense.drop_from(rows_).collect()) == sorted(left)
+    assert sorted(r.id for r in keyset.Seen(rows_.filter("id < 1")).drop_from(rows_).collect()) == sorted(r.id for r in rows_.filter("id > 0").collect())
+    monkeypatch.setattr(keyset, "BITMAPS", 3)
+    sparse = keyset.Seen(ids)
+    assert sparse.bitmaps is None and sorted(r.id for r in sparse.drop_from(rows_).collect()) == sorted(left)
+
+
+def test_counts_after_ten_syncs(spark, tmp_path):
+    rng = random.Random(9)
+    table = BucketedTable(spark, f"{tmp_path}/t", "company_id long, active_jobs_count long", ["company_id"], 8)
+    schema, held = "id long, company_id long", {}
+    before = spark.createDataFrame([], schema)
+    for turn in range(10):
+        for k in rng.sample(range(200), 25):
+            held[k] = rng.choice([None, *range(12)])
+        for k in rng.sample(sorted(held), min(len(held), 8)):
+            del held[k]
+        after = spark.createDataFrame(sorted(held.items()), schema)
+        deltas = counts.changes(before, after, "id", "company_id")
+        touched = {r.company_id for r in deltas.collect()}
+        counts.apply(table, deltas, "company_id", version=turn)
+        assert counts.apply(table, deltas, "company_id", version=turn) is None  # sent again: counted once
+        full = {r.company_id: r["count"] for r in after.filter("company_id IS NOT NULL").groupBy("company_id").count().collect()}
+        assert {r.company_id: r.active_jobs_count for r in table.read().filter("active_jobs_count > 0").collect()} == full
+        assert len(files_of(f"{tmp_path}/t", turn)) <= len(touched)
+        before = after
+    with pytest.raises(Exception, match="negative"):
+        counts.apply(table, spark.createDataFrame([(1, -99)], "company_id long, delta long"), "company_id")

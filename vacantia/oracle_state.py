@@ -38,3 +38,21 @@ SQL["sync_outcomes_nhs"] = RUNS["sync_outcomes"].replace("m AS (SELECT jj.*, kk.
 SQL["feed_search_indexed"] = f"""WITH {C}, {J}, m AS (SELECT j.id, company_id, title, trading_name, created_at FROM j JOIN c ON c.id = company_id WHERE title ILIKE {q('%' + Q.INDEXED_TERM + '%')} OR trading_name ILIKE {q('%' + Q.INDEXED_TERM + '%')}),
   t AS (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id DESC) AS p FROM m QUALIFY p <= 50), a AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY p) > 1 AS again FROM t)
   SELECT row_number() OVER (ORDER BY again, p) AS pos, id, company_id, title, trading_name FROM a ORDER BY pos LIMIT 10"""
+
+SQL["recount_deltas"] = """SELECT CASE WHEN o_orderkey % 101 = 0 THEN o_custkey + 1 ELSE o_custkey END AS company_id, count(*) AS active_jobs_count FROM orders WHERE o_orderkey % 10 >= 2 AND o_custkey % 50 <> 3 GROUP BY 1"""
+
+
+def _walk(sort: str, order: str) -> str:
+    """CTEs of the pages of one walk: each takes ten of the first fifty rows that no page before it has."""
+    out = []
+    for k in range(1, Q.KEYSET_PAGES + 1):
+        shown = "".join(f" AND id NOT IN (SELECT id FROM {sort}{i})" for i in range(1, k))
+        out.append(f"""{sort}{k} AS (SELECT {q(sort)} AS sort, {k} AS page, row_number() OVER (ORDER BY again, p) AS pos, id, company_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY p) > 1 AS again FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS p FROM m WHERE true{shown} QUALIFY p <= 50)) ORDER BY again, p LIMIT 10)""")
+    return ",\n  ".join(out)
+
+
+SORTS = {"newest": "created_at DESC NULLS FIRST, id DESC", "oldest": "created_at ASC NULLS LAST, id ASC", "title_asc": "title ASC NULLS LAST, id DESC", "title_desc": "title DESC NULLS FIRST, id DESC"}
+SQL["keyset_pages"] = f"""WITH {J}, m AS (SELECT j.id, company_id, title, created_at FROM j JOIN customer ON c_custkey = company_id WHERE j.id % 3 <> 0),
+  {", ".join(_walk(s, o) for s, o in SORTS.items())}
+  {" UNION ALL ".join(f"SELECT * FROM {s}{k}" for s in SORTS for k in range(1, Q.KEYSET_PAGES + 1))}"""

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .operators import dedup, sync
+from .operators import counts, dedup, sync
 from .operators.bucketed import BucketedTable
 from .operators.grams import GramIndex, indexed_search
 from .operators.replay import replay
-from .plans import feed
+from .plans import feed, keyset
 from .sources import dump, files
 from .streaming import failures
 from .streaming import jobs as streams
@@ -105,3 +105,32 @@ def feed_search_indexed(spark, sf_dir):
     found = indexed_search(index, jobs, INDEXED_TERM)
     page = feed.page(found, companies, feed.FeedRequest(q=INDEXED_TERM))
     return page.select("pos", "id", "company_id", "title", "trading_name")
+
+
+@query
+def recount_deltas(spark, sf_dir):
+    """Jobs by company, kept up to date by what three syncs add, remove and move."""
+    j = X.jobs(spark, sf_dir).select("id", "company_id")
+    states = [j.filter("id % 10 < 6"), j.filter("id % 10 >= 2"), j.filter("id % 10 >= 2 AND company_id % 50 <> 3").withColumn("company_id", F.when(F.col("id") % 101 == 0, F.col("company_id") + 1).otherwise(F.col("company_id")))]
+    table = BucketedTable(spark, f"{scratch(spark)}/counts-{uuid.uuid4().hex}", "company_id long, active_jobs_count long", ["company_id"], 16)
+    before = j.limit(0)
+    for after in states:
+        counts.apply(table, counts.changes(before, after, "id", "company_id"), "company_id")
+        before = after
+    return table.read().filter("active_jobs_count > 0")
+
+
+KEYSET_PAGES = 4
+
+
+@query
+def keyset_pages(spark, sf_dir):
+    """The first pages of a walk by cursor under each order, rows seen before left out."""
+    jobs, companies = X.jobs(spark, sf_dir), X.companies(spark, sf_dir)
+    seen, rows = keyset.Seen(jobs.filter("id % 3 = 0").select("id")), []
+    for sort in ("newest", "oldest", "title_asc", "title_desc"):
+        walk = keyset.Walk()
+        for number in range(1, KEYSET_PAGES + 1):
+            shown, walk = keyset.next_page(jobs, companies, feed.FeedRequest(sort=sort), walk, seen)
+            rows += [(sort, number, k, r["id"], r["company_id"]) for k, r in enumerate(shown, 1)]
+    return spark.createDataFrame(rows, "sort string, page int, pos int, id long, company_id long")
