@@ -111,6 +111,15 @@ def infer_v6(url: Column, min_length: int = 3) -> Column:
     return F.when(F.length(token) >= min_length, _hit(hit["provider"], token))
 
 
+def infer_v6_tagged(url: Column) -> Column:
+    """``infer_v6`` with the address to go to, and how it was found: an exact host is of high confidence, from the crawl layer."""
+    hit = infer_v6(url)
+    embedded = (hit["provider"] == "greenhouse") & (host(url) == "boards.greenhouse.io")
+    address = F.when(embedded, F.concat(F.lit("https://boards.greenhouse.io/"), hit["token"])).otherwise(url)
+    found = F.struct(hit["provider"].alias("provider"), hit["token"].alias("token"), address.alias("careers_url"), F.lit("high").alias("confidence"), F.lit("website_crawl").alias("layer"))
+    return F.when(hit["provider"].isNotNull(), found)
+
+
 def normalize_provider(c: Column) -> Column:
     key = F.regexp_replace(F.lower(js_trim(c)), r"\s+", "_")
     return nonempty(reduce(lambda acc, kv: acc.when(key == kv[0], kv[1]), list(R.PROVIDER_ALIASES.items())[1:], F.when(key == "ashbyhq", "ashby")).otherwise(key))

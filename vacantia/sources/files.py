@@ -7,10 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import js_trim
+from ..operators.merge import with_sequence
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], strict: bool = True) -> DataFrame:
@@ -28,6 +29,18 @@ def read_naive_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).option("quote", "").csv(path)
 
 
+def read_line_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A line that equals ``columns`` is a header. Quoted fields, a line a row: quotes may open anywhere in a field, are doubled inside, and end with the line.
+
+    A missing field is null, further fields are left out.
+    """
+    quoted = r'"[^"]*+(?:""[^"]*+)*+(?:"|$)'
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(rf',((?:[^",]++|{quoted})*+)'), F.lit(1))
+    plain = F.transform(fields, lambda x: F.replace(F.regexp_replace(x, r'"([^"]*+(?:""[^"]*+)*+)(?:"|$)', "$1"), F.lit('""'), F.lit('"')))
+    rows = spark.read.text(path).filter("value <> ''").select(plain.alias("c")).filter(F.col("c") != F.array(*map(F.lit, columns)))
+    return rows.select(*[F.try_element_at("c", F.lit(k + 1)).alias(c) for k, c in enumerate(columns)])
+
+
 def read_register(spark: SparkSession, path: str) -> DataFrame:
     """Sponsor register rows with a name, under short column names."""
     df = read_csv(spark, path, ["Organisation Name", "Town/City", "County", "Type & Rating", "Route"])
@@ -48,13 +61,18 @@ def read_companies_json(spark: SparkSession, path: str, fields: list[str]) -> Da
     return df.select(F.explode("data.companies").alias("c")).select("c.*")
 
 
+def _as_is(writer: DataFrameWriter) -> DataFrameWriter:
+    """Quotes doubled, blanks at the ends kept (Spark's writer drops them otherwise)."""
+    return writer.option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    _as_is(df.write).option("header", True).csv(path)
 
 
 def append_buckets(outcomes: DataFrame, path: str) -> None:
     """Outcome rows appended to a folder per bucket."""
-    outcomes.write.mode("append").partitionBy("bucket").option("header", True).csv(path)
+    _as_is(outcomes.write.mode("append").partitionBy("bucket")).option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -62,6 +80,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """One pretty-printed JSON array, null fields kept, rows by ``order``: part files of ``path`` that are the array when put together by name.
+
+    Nothing is gathered: rows are range-sorted, every row but the first brings the comma before it.
+    """
+    body = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    shown = with_sequence(df.select(body.alias("body"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(order)]), "__n", [f"__{k}" for k in range(len(order))])
+    ends = df.sparkSession.createDataFrame([(0, "["), ((1 << 62), "]")], "__n long, line string")
+    indented = F.concat(F.when(F.col("__n") > 1, ",\n").otherwise(""), F.lit("  "), F.regexp_replace("body", "\n", "\n  "))
+    lines = shown.select(F.col("__n").cast("long").alias("__n"), indented.alias("line")).unionByName(ends)
+    lines.repartitionByRange("__n").sortWithinPartitions("__n").select("line").write.text(path)
+
+
 def _literal(field) -> Column:
     """A value as SQL: numbers and booleans bare, other types quoted with doubled quotes, NULL."""
     plain = ("byte", "short", "integer", "long", "float", "double", "boolean")
