@@ -56,3 +56,8 @@ SORTS = {"newest": "created_at DESC NULLS FIRST, id DESC", "oldest": "created_at
 SQL["keyset_pages"] = f"""WITH {J}, m AS (SELECT j.id, company_id, title, created_at FROM j JOIN customer ON c_custkey = company_id WHERE j.id % 3 <> 0),
   {", ".join(_walk(s, o) for s, o in SORTS.items())}
   {" UNION ALL ".join(f"SELECT * FROM {s}{k}" for s in SORTS for k in range(1, Q.KEYSET_PAGES + 1))}"""
+SQL["stream_bucketed_upsert"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+SQL["preferences_upsert"] = """WITH l AS (SELECT user_id, max_by(event_type, event_id) AS sectors, max_by(event_id % 5, event_id) AS salary_min FROM events WHERE event_id % 2 = 0 AND user_id % 3 > 0 GROUP BY 1),
+  s AS (SELECT user_id, max_by(event_type, event_id) AS sectors FROM events WHERE event_id % 7 = 1 AND user_id % 4 > 0 GROUP BY 1)
+  SELECT coalesce(l.user_id, s.user_id) AS user_id, coalesce(s.sectors, l.sectors) AS sectors, l.salary_min FROM l FULL JOIN s ON s.user_id = l.user_id"""
+SQL["company_lookup"] = f"WITH {J} SELECT j.id, c_name AS trading_name, title FROM j JOIN customer ON c_custkey = company_id WHERE c_name = 'Customer#000000042'"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .operators import counts, dedup, sync
+from .operators import counts, dedup, merge, runs, sync
 from .operators.bucketed import BucketedTable
 from .operators.grams import GramIndex, indexed_search
 from .operators.replay import replay
@@ -134,3 +134,32 @@ def keyset_pages(spark, sf_dir):
             shown, walk = keyset.next_page(jobs, companies, feed.FeedRequest(sort=sort), walk, seen)
             rows += [(sort, number, k, r["id"], r["company_id"]) for k, r in enumerate(shown, 1)]
     return spark.createDataFrame(rows, "sort string, page int, pos int, id long, company_id long")
+
+
+@query
+def stream_bucketed_upsert(spark, sf_dir):
+    """The latest event of each user, upserted by micro-batch into a bucketed table."""
+    where = f"{scratch(spark)}/latest-{uuid.uuid4().hex}"
+    table = BucketedTable(spark, f"{where}/table", "user_id long, event_id long, event_type string", ["user_id"], 16)
+    stream = streams._events(spark, sf_dir).select("user_id", "event_id", "event_type")
+    streams.upsert_buckets(stream, table, f"{where}/checkpoint", "event_id").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
+
+
+@query
+def preferences_upsert(spark, sf_dir):
+    """Preferences by user: those that were there, overwritten or joined by what users sent since."""
+    e = X.read(spark, sf_dir, "events").filter("user_id IS NOT NULL")
+    last = lambda df: df.groupBy("user_id").agg(F.max_by(F.struct(F.col("event_type").alias("sectors"), (F.col("event_id") % 5).alias("salary_min")), "event_id").alias("p")).select("user_id", "p.*")
+    held = last(e.filter("event_id % 2 = 0 AND user_id % 3 > 0"))
+    sent = last(e.filter("event_id % 7 = 1 AND user_id % 4 > 0")).drop("salary_min")
+    return merge.upsert(held, sent, ["user_id"])
+
+
+@query
+def company_lookup(spark, sf_dir):
+    """The one company that a point lookup by name finds, with its jobs; an unknown name gives none."""
+    companies = X.companies(spark, sf_dir)
+    found = runs.only_row(companies.filter(F.col("trading_name") == "Customer#000000042"))
+    assert runs.only_row(companies.filter("trading_name = 'nobody'"), absent_is_fine=True) is None
+    return X.jobs(spark, sf_dir).filter(F.col("company_id") == found["id"]).select("id", F.lit(found["trading_name"]).alias("trading_name"), "title")
