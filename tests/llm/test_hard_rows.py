@@ -461,3 +461,18 @@ def test_rows_of_one_id_are_dealt_over_slices(spark, monkeypatch):
     largest = next(df for df in seen if "slice" in df.columns).groupBy("rank", "slice").count().agg(F.max("count")).first()[0]
     assert largest <= 3 * mixing.SLICE_ROWS and got.rows == 20_000  # of 20,000 rows with the null id
     assert abs(got.n - 500 * sum(range(20))) <= 2
+
+
+def test_many_labels_in_bounded_memory(spark):
+    import resource
+
+    rng, names = random.Random(6), [f"l{k:03d}" for k in range(300)]
+    letters = {name: rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for name in names}
+    words = lambda name, n: " ".join("".join(rng.choices(letters[name], k=6)) for _ in range(n))
+    model = language.fit(spark.createDataFrame([(words(name, 200), name) for name in names], "text string, lang string"))
+    assert model.names == names and model.logs.shape == (300, 1 << language.BITS) and model.bytes_of(1 << 20) == (1 << 20) * 8 // 300
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = words("l007", 40_000).encode()  # 280 KB: run by run with this many labels
+    share, n = model.mixtures(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert names[int(share[0].argmax())] == "l007" and n.tolist() == [40_000]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # KB; all words at once took 96 MB an array

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, edges_of, held_out, materialize
+from .common import BLOCK_BYTES, blocks, edges_of, held_out, materialize
 
 BITS = 16
 SMOOTHING = 0.5
@@ -98,10 +98,14 @@ class Model:
     names: list[str]
     logs: np.ndarray
 
+    def bytes_of(self, most: int) -> int:
+        """Bytes of text to take at a time: a word has a number for each language, so fewer where there are more than eight."""
+        return max(1, most * 8 // max(8, len(self.names)))
+
     def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (rows x languages; zero outside the chosen set) and the number of words."""
         n, k = len(offsets) - 1, len(self.names)
-        if n == 1 and len(data) > LONG_BYTES and k:
+        if n == 1 and len(data) > self.bytes_of(LONG_BYTES) and k:
             return self._long(data)
         code, first, row = word_trigrams(data, offsets)
         words = np.bincount(row, minlength=n)
@@ -147,12 +151,12 @@ class Model:
 
     def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``mixtures`` of one long text, its words in runs that end at blanks."""
-        k, n, cuts = len(self.names), len(data), [0]
+        k, n, cuts, most = len(self.names), len(data), [0], self.bytes_of(LONG_BYTES)
         while cuts[-1] < n:
-            at = min(cuts[-1] + LONG_BYTES, n)
+            at = min(cuts[-1] + most, n)
             while at < n and _FOLD[data[at]] != 32:  # a word is never cut
-                step = np.flatnonzero(_FOLD[data[at : at + LONG_BYTES]] == 32)
-                at = at + int(step[0]) if len(step) else min(at + LONG_BYTES, n)
+                step = np.flatnonzero(_FOLD[data[at : at + most]] == 32)
+                at = at + int(step[0]) if len(step) else min(at + most, n)
             cuts.append(at)
 
         def runs():
@@ -223,19 +227,23 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _logs(group: pa.Table) -> pa.Table:
+    """One label's log likelihoods from its counts (a row a code, so 2^16 at most)."""
+    count = np.full(1 << BITS, SMOOTHING)
+    count[group.column("code").to_numpy()] += group.column("n").to_numpy()
+    return pa.table({"lang": group.column("lang")[:1], "logs": pa.array([np.log(count / count.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame) -> Model:
     """Model of all languages that label a row of ``docs``; no labels: no languages. Over MAX_LANGUAGES labels: ValueError."""
     counts = materialize(trigram_counts(docs))
     if counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} labels")
-    rows = counts.toPandas()
-    names = sorted(rows.lang.unique())
-    logs = np.zeros((len(names), 1 << BITS), np.float32)
-    for j, name in enumerate(names):
-        mine = rows[rows.lang == name]
-        count = np.full(1 << BITS, SMOOTHING)
-        count[mine.code.to_numpy()] += mine.n.to_numpy()
-        logs[j] = np.log(count / count.sum())
+    found = counts.groupBy("lang").applyInArrow(_logs, "lang string, logs binary").collect()  # 256 KB a label
+    found.sort(key=lambda r: r.lang)
+    names, logs = [r.lang for r in found], np.zeros((len(found), 1 << BITS), np.float32)
+    for j, r in enumerate(found):
+        logs[j] = np.frombuffer(r.logs, np.float32)
     return Model(names, logs)
 
 
@@ -248,7 +256,7 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for rows, data, offsets in blocks(batches):
+        for rows, data, offsets in blocks(batches, limit=m.bytes_of(BLOCK_BYTES)):
             share, words = m.mixtures(data, offsets)
             top = share.argmax(1)
             score = share[np.arange(len(top)), top]
