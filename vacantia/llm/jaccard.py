@@ -634,7 +634,8 @@ def near_duplicates(docs: DataFrame, grams: Grams | None = None) -> DataFrame:
 
     A text without words has an empty set (n_shingles 0) and links with nothing; fewer words than
     an n-gram form one n-gram. component_id is the smallest doc_id reachable by links, itself
-    included. Rows that share one id need one text; a null id is never the smallest.
+    included. Rows that share one id each get the component of their own text, and the id counts in all of
+    them; a null id is never the smallest.
     """
     nodes, comp, _ = node_components(docs, grams)
     joined = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
