@@ -27,8 +27,8 @@ from .common import keep_rows, materialize, row_key
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (0.6, 0.0, -0.6)
 MAX_PASSES = 3
-#: Rows that a slice of the id hash holds on average.
-SLICE_ROWS = 4096
+#: Rows that a slice of the order holds on average, and slices at most (beyond that they grow; a slice is sorted by one task, with spill).
+SLICE_ROWS, MAX_SLICES = 4096, 1 << 13
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -118,7 +118,7 @@ def assign(docs: DataFrame) -> DataFrame:
 def _plan(docs: DataFrame) -> DataFrame:
     """``assign`` with the key of each row."""
     sized = materialize(word_sizes(docs))
-    slices = max(1, -(-sized.count() // SLICE_ROWS))
+    slices = min(max(1, -(-sized.count() // SLICE_ROWS)), MAX_SLICES)
     known = _with_sources(sized).withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))))
     # slices are ranges of the order itself, so rows that share an id are dealt over as many as they fill; of equal rows any may be first
     known = known.withColumn("tie", F.monotonically_increasing_id())
