@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from .grams import candidates
 
 
@@ -52,8 +53,11 @@ def get_or_create(target: DataFrame, names: DataFrame, id_col: str, name_col: st
 
 
 def with_sequence(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """1..n by ``order``, without one task for all rows: ranges are sorted, counted, and offset."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    """1..n by ``order``, without one task for all rows: ranges are sorted, counted, and offset.
+
+    The ranges are written once: their bounds come from a sample, which another pass might take otherwise.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     offsets = counts.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__o")
     local = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
