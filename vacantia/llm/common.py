@@ -54,6 +54,12 @@ def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold about as much text as is worked on at a time: JVM and worker hold some of each at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker is kept for later stages and would hold it until then."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import lean
+from .common import blocks, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -382,14 +382,8 @@ def codec(path: str = MODEL) -> Codec:
 
 
 def _batched(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        lo, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= BATCH_BYTES or i + 1 == len(texts):
-                yield batch.slice(lo, i + 1 - lo), texts[lo : i + 1]
-                lo, held = i + 1, 0
+    for rows, _, _ in blocks(batches, text, BATCH_BYTES):
+        yield rows, rows.column(rows.schema.get_field_index(text)).to_pylist()
 
 
 def with_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
