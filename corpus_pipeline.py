@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns
-of ``documents``. ``run`` applies them to the documents of ``sf_dir`` through the shared folder.
+of ``documents``. ``run`` applies them to the documents of ``sf_dir`` through the shared folder. The first stage sets
+the session's Arrow batches to a small size for all of them, as stages share the executors' memory.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import exact_dedup, jaccard, mixing, pieces, toxicity
-from vacantia.llm.common import keep_rows, scratch, table
+from vacantia.llm.common import keep_rows, scratch, small_batches, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic (score under 0.7)."""
+    small_batches(spark)
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_score(docs, machine, "__score").filter(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
