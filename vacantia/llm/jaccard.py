@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Hasher, blocks, edges_of, lean, materialize, mix, pack, row_key, unpack
+from .common import IS_SPACE, U64, Hasher, blocks, edges_of, lean, materialize, mix, pack, release, row_key, unpack
 from .graph import components, join_components
 
 WORDS = 5
@@ -224,7 +224,10 @@ def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
 
     counts = _texts(docs).mapInArrow(lean(run), "bucket int, counts binary").groupBy("bucket").applyInArrow(lean(add), "counter long, n long")
     rows = counts.orderBy(F.desc("n"), "counter").limit(MAX_FREQUENT).toPandas()
-    return rows.sort_values(["n", "counter"]).counter.to_numpy(np.int64)
+    often = rows.sort_values(["n", "counter"]).counter.to_numpy(np.int64)
+    del rows
+    release()
+    return often
 
 
 class Order:

@@ -128,7 +128,10 @@ def bounded(rows: DataFrame, most: int = SAMPLE_TERMS) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 3) -> Machine:
     """Train on the bounded sample. Copies of a text count once. No labels: every score is 0.5 or less."""
     rows = materialize(training_rows(docs, labels, per_class).mapInArrow(lean(_features), "doc_id long, toxic int, terms binary"))
-    return train(bounded(rows).toPandas(), seed)
+    try:
+        return train(bounded(rows).toPandas(), seed)
+    finally:
+        release()  # the driver lives on through other stages
 
 
 def train(rows: pd.DataFrame, seed: int = 3) -> Machine:
