@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dealt, lookup, materialize
+
 #: Characters of a gram, and folders of postings in a segment.
 SIZE, BUCKETS = 3, 64
 
@@ -47,18 +49,19 @@ def anchors(patterns: DataFrame) -> DataFrame:
 def candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Pairs (id, text, rule) that contain every match of ``texts`` (id, text) and ``patterns`` (rule, pattern).
 
-    Texts are exploded into the gram sizes that patterns have, in place; the table of anchors has a row a pattern.
+    Texts are dealt by id and exploded into the gram sizes that patterns have, in place; the table of anchors has a row a pattern.
     """
-    known = anchors(patterns.filter("pattern IS NOT NULL"))
+    known = materialize(anchors(patterns.filter("pattern IS NOT NULL")))
     sizes = sorted(r.n for r in known.filter("gram IS NOT NULL").select(F.char_length("gram").alias("n")).distinct().collect())  # 1, 2, 3 at most
     low = _lower(F.col("text"))
     parts = F.concat(*[grams(low, n) for n in sizes]) if sizes else F.array().cast("array<string>")
-    exploded = texts.filter("text IS NOT NULL").select("id", "text", F.explode(parts).alias("gram"))
-    found = exploded.join(known.filter("gram IS NOT NULL").select("rule", "gram"), "gram").select("id", "text", "rule")
+    given = dealt(texts.filter("text IS NOT NULL").select("id", "text"), "id")
+    exploded = given.select("id", "text", F.explode(parts).alias("gram"))
+    found = exploded.join(lookup(known.filter("gram IS NOT NULL").select("rule", "gram")), "gram").select("id", "text", "rule")
     wide = known.filter("gram IS NULL").select("rule")
     if not wide.isEmpty():  # % and _ alone: a few rules, tried on each text
         numbers = F.array(*[F.lit(r.rule) for r in wide.distinct().collect()])
-        found = found.unionByName(texts.filter("text IS NOT NULL").select("id", "text", F.explode(numbers).alias("rule")))
+        found = found.unionByName(given.select("id", "text", F.explode(numbers).alias("rule")))
     return found
 
 

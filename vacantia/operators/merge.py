@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import lookup, materialize
 from .grams import candidates
 
 
@@ -109,7 +109,7 @@ def update_by_rules(companies: DataFrame, rules: DataFrame, name: str = "trading
     positive = rules.select(F.col("rule_no").alias("rule"), F.explode(F.array("pattern", "alt_pattern")).alias("pattern"))
     pairs = candidates(companies.select("id", n.alias("text")), positive).select("id", F.col("text").alias(name), F.col("rule").alias("rule_no"))
     r = rules.select("rule_no", "pattern", "alt_pattern", "not_pattern", "max_length", F.struct("rule_no", F.col("ats_provider").alias("p"), F.col("ats_board_token").alias("t")).alias("__rule"))
-    hits = pairs.join(r, "rule_no").filter(on).groupBy("id").agg(F.max("__rule").alias("__rule"))
+    hits = pairs.join(lookup(r), "rule_no").filter(on).groupBy("id").agg(F.max("__rule").alias("__rule"))
     joined = companies.join(hits, "id", "left")
     hit = F.col("__rule").isNotNull()
     out = {"ats_provider": F.when(hit, F.col("__rule.p")).otherwise(F.col("ats_provider")), "ats_board_token": F.when(hit, F.col("__rule.t")).otherwise(F.col("ats_board_token"))}

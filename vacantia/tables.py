@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a lookup table that is broadcast at most.
+SMALL_ROWS = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +41,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """``df`` as the smaller side of an inner join: written and counted, broadcast up to SMALL_ROWS rows, else merged.
+
+    Left to estimates Spark may broadcast the other side: it takes rows that were exploded for no more bytes than before,
+    and a table made by the driver for the largest of all.
+    """
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept.hint("merge")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``spark.sql.shuffle.partitions`` tasks, before work that is long or large a row.
+
+    A narrow table is read by very few tasks. As the number is given, tasks are not joined again by the bytes they read.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """The application's folder for intermediate tables in the shared folder, removed when its driver ends."""
     home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
