@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vacantia import tables
-from vacantia.operators import grams, merge
+from vacantia.operators import grams, merge, runs
 
 RULES = "rule_no int, pattern string, alt_pattern string, not_pattern string, max_length int, ats_provider string, ats_board_token string"
 
@@ -31,6 +31,14 @@ def test_rules_are_broadcast_and_not_names(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in many.collect()} == found and len(found) == 3000 and sum(r[2] != "p" for r in found) > 300
 
 
+def test_wanted_names_are_broadcast_and_not_names(spark, tmp_path):
+    companies = companies_file(spark, tmp_path / "c")
+    out = runs.set_first_by_name(companies, spark.createDataFrame([(1, "0012", "x", "1"), (2, "12", "y", "2"), (3, "none", "z", "3")], "n int, name string, ats_provider string, ats_board_token string"))
+    joins = [line for line in plan(out).splitlines() if "Join" in line and "Inner" in line]
+    assert len(joins) == 2 and all("BuildRight" in line for line in joins), joins
+    assert {r.id: r.ats_board_token for r in out.collect() if r.ats_provider != "p"} == {12: "2"}
+
+
 def test_names_are_dealt_before_they_are_exploded(spark, tmp_path):
     names = companies_file(spark, tmp_path / "c").select("id", F.col("trading_name").alias("text"))
     pairs = grams.candidates(names, spark.createDataFrame([(1, "%me 0%")], "rule int, pattern string"))

@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..functions import tokens, urls
 from ..functions.location import verdict_words
 from ..functions.values import cut, js_trim, nonempty
+from ..tables import lookup
 from . import detect
 from .grams import candidates
 
@@ -146,7 +147,7 @@ def set_first_by_name(companies: DataFrame, names: DataFrame) -> DataFrame:
     """
     wanted = names.withColumn("__like", F.concat(F.lit("%"), F.col("name"), F.lit("%")))
     pairs = candidates(companies.select("id", F.col("trading_name").alias("text")), wanted.select(F.col("n").alias("rule"), F.col("__like").alias("pattern")))
-    hits = pairs.withColumnRenamed("rule", "n").join(wanted, "n").filter(F.ilike("text", F.col("__like")))
+    hits = pairs.withColumnRenamed("rule", "n").join(lookup(wanted), "n").filter(F.ilike("text", F.col("__like")))
     first = hits.groupBy("n").agg(F.min_by(F.struct("id", F.col("ats_provider").alias("__p"), F.col("ats_board_token").alias("__t")), "id").alias("h"))
     won = first.groupBy(F.col("h.id").alias("id")).agg(F.max_by("h", "n").alias("h"))
     hit = F.col("h").isNotNull()
