@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vacantia import tables
+from vacantia import queries_files, tables
 from vacantia.operators import grams, merge, runs
 
 RULES = "rule_no int, pattern string, alt_pattern string, not_pattern string, max_length int, ats_provider string, ats_board_token string"
@@ -43,3 +43,10 @@ def test_names_are_dealt_before_they_are_exploded(spark, tmp_path):
     names = companies_file(spark, tmp_path / "c").select("id", F.col("trading_name").alias("text"))
     pairs = grams.candidates(names, spark.createDataFrame([(1, "%me 0%")], "rule int, pattern string"))
     assert names.rdd.getNumPartitions() == 1 and pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_deliveries_do_not_pass_through_the_driver(spark, tiny):
+    plans = queries_files.redelivered_events(spark, tiny)
+    assert "FileScan parquet" in plan(plans) and "MemoryPlan" not in plan(plans) and "LocalTableScan" not in plan(plans)
+    every = {r.event_type: r.n for r in spark.read.parquet(f"{tiny}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.event_type: r.n for r in plans.collect()} == every

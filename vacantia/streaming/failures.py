@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from ..operators.replay import SILENCE_HOURS
 from ..operators.sync import FAILURE_LIMIT
+from .jobs import run_to_files
 
 #: One row a source and batch that has events of it, and one when it expires.
 CHANGES = "source_id long, seq long, at_ms long, ats_failure_count long, ats_status string"
@@ -73,18 +74,8 @@ def failure_changes(probes: DataFrame, late: str = "1 hour", hours: int = SILENC
 
 
 def run(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Append the changes of all that is there as files, exactly once, and go on from ``checkpoint`` the next time.
-
-    The processor's timers need the RocksDB state store, which is set for the start of this query alone.
-    """
-    conf, name = changes.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        started = changes.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
-        started.awaitTermination()
-    finally:
-        conf.set(name, before)
+    """Append the changes of all that is there as files (the processor's timers need the RocksDB state store)."""
+    run_to_files(changes, path, checkpoint)
 
 
 def latest(changes: DataFrame) -> DataFrame:

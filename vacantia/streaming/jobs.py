@@ -49,8 +49,23 @@ def upsert_buckets(stream: DataFrame, table: BucketedTable, checkpoint: str, ord
     return stream.writeStream.foreachBatch(lambda batch, n: table.upsert(latest_of_batch(batch, table.keys, order), n) and None).option("checkpointLocation", checkpoint)
 
 
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Append the rows of a stream over all that is there as files, exactly once, and go on from ``checkpoint`` the next time.
+
+    State is kept in RocksDB, so that it is no part of the executors' heap (and timers need it); set for the start of this query alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        started = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+        started.awaitTermination()
+    finally:
+        conf.set(name, before)
+
+
 def _run_to_memory(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and give its result table."""
+    """Run a stream over what is there and give its result table, which the driver holds: for a few aggregated rows alone."""
     name = f"t_{abs(hash(tempfile.mktemp())) % 10**12}"
     started = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     started.awaitTermination()
