@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vacantia import queries_files, tables
+from vacantia import queries_files, queries_runs, tables
 from vacantia.operators import grams, merge, runs
 
 RULES = "rule_no int, pattern string, alt_pattern string, not_pattern string, max_length int, ats_provider string, ats_board_token string"
@@ -50,3 +50,8 @@ def test_deliveries_do_not_pass_through_the_driver(spark, tiny):
     assert "FileScan parquet" in plan(plans) and "MemoryPlan" not in plan(plans) and "LocalTableScan" not in plan(plans)
     every = {r.event_type: r.n for r in spark.read.parquet(f"{tiny}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r.event_type: r.n for r in plans.collect()} == every
+
+
+def test_pairs_are_dealt_once_and_not_sorted_by_the_file(spark, tiny):
+    text = plan(queries_runs.heuristic_probe(spark, tiny))
+    assert text.count("REPARTITION_BY_NUM") == 1 and "Sort" not in text[text.index("REPARTITION_BY_NUM") :], text

@@ -8,6 +8,7 @@ from . import fixtures as X
 from .functions import titles, tokens, urls
 from .operators import detect, merge, runs
 from .sources import files
+from .tables import dealt
 
 FOUND = {}
 
@@ -44,7 +45,8 @@ def search_hit_match(spark, sf_dir):
 
 def _tokens(spark, sf_dir):
     name = F.when(F.col("id") % 5 == 0, F.col("careers_url")).otherwise(F.concat(F.lit(" The "), F.col("trading_name"), F.lit(" & Co. ")))
-    return _companies(spark, sf_dir).select("id", runs.heuristic_tokens(name, F.col("careers_url")).alias("tokens"))
+    c = dealt(_companies(spark, sf_dir).select("id", "trading_name", "careers_url"), "id")  # names are narrow, their pairs are not
+    return c.select("id", runs.heuristic_tokens(name, F.col("careers_url")).alias("tokens"))
 
 
 @query
