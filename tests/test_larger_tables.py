@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from vacantia import queries_files, queries_runs, tables
+from vacantia import queries_files, queries_runs, queries_state, tables
 from vacantia.operators import grams, merge, runs
+from vacantia.plans import keyset
 
 RULES = "rule_no int, pattern string, alt_pattern string, not_pattern string, max_length int, ats_provider string, ats_board_token string"
 
@@ -55,3 +56,14 @@ def test_deliveries_do_not_pass_through_the_driver(spark, tiny):
 def test_pairs_are_dealt_once_and_not_sorted_by_the_file(spark, tiny):
     text = plan(queries_runs.heuristic_probe(spark, tiny))
     assert text.count("REPARTITION_BY_NUM") == 1 and "Sort" not in text[text.index("REPARTITION_BY_NUM") :], text
+
+
+def test_a_walk_joins_and_broadcasts_once(spark, tiny, monkeypatch):
+    made, kept = [], keyset.Seen.drop_from
+    monkeypatch.setattr(keyset.Seen, "drop_from", lambda self, rows: made.append(1) or kept(self, rows))
+    assert queries_state.keyset_pages(spark, tiny).count() == 160 and len(made) == 1
+
+
+def test_search_hits_are_dealt_by_row(spark, tiny):
+    text = plan(queries_runs.search_hit_match(spark, tiny))
+    assert "REPARTITION_BY_NUM" in text and "(?i)" not in text[text.index("REPARTITION_BY_NUM") :]  # the patterns come after it

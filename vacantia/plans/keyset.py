@@ -83,27 +83,38 @@ class Seen:
         return joined.filter(F.coalesce(bit, F.lit(0)) == 0).drop("__bucket", "__bits")
 
 
+def unseen(jobs: DataFrame, companies: DataFrame | None, r: FeedRequest, seen: Seen | None = None) -> DataFrame:
+    """Rows that a walk goes over, in any order: those that the request selects and that were not seen elsewhere.
+
+    Written once (``materialize``) they serve all pages, and all orders of the same request, without another join.
+    """
+    found = matching(jobs, companies, r)
+    return found if seen is None else seen.drop_from(found)
+
+
 def next_page(jobs: DataFrame, companies: DataFrame | None, r: FeedRequest, walk: Walk, seen: Seen | None = None) -> tuple[list, Walk]:
     """The next rows of a walk (at most PAGE_SIZE, as ``feed.page`` picks them), and where it stands then.
 
     No rows: the walk is at its end. Ids must not be null.
     """
-    name, *_ = _directions(r.sort)
-    found = matching(jobs, companies, r)
+    return next_rows(unseen(jobs, companies, r, seen), r.sort, walk)
+
+
+def next_rows(found: DataFrame, sort: str, walk: Walk) -> tuple[list, Walk]:
+    """``next_page`` over the rows of ``unseen``."""
+    name, *_ = _directions(sort)
     if walk.cursor is not None:
-        found = found.filter(after(r.sort, walk.cursor))
+        found = found.filter(after(sort, walk.cursor))
     if walk.ahead:
         found = found.filter(~F.col("id").isin(*[i for _, i in walk.ahead]))
-    if seen is not None:
-        found = seen.drop_from(found)
-    window = found.orderBy(*order_by(r.sort)).limit(WINDOW).collect()
+    window = found.orderBy(*order_by(sort)).limit(WINDOW).collect()
     firsts = {}
     for row in window:
         firsts.setdefault(row["company_id"], row["id"])
     shown = [row for row in window if firsts[row["company_id"]] == row["id"]][:PAGE_SIZE]
     shown += [row for row in window if firsts[row["company_id"]] != row["id"]][: PAGE_SIZE - len(shown)]
     taken = {row["id"] for row in shown}
-    key = _compare(r.sort)
+    key = _compare(sort)
     done = sorted([*walk.ahead, *((row[name], row["id"]) for row in shown)], key=key)
     owed = next(((row[name], row["id"]) for row in window if row["id"] not in taken), None)
     before = done if owed is None else [x for x in done if key(x) < key(owed)]

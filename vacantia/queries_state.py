@@ -15,7 +15,7 @@ from .plans import feed, keyset
 from .sources import dump, files
 from .streaming import failures
 from .streaming import jobs as streams
-from .tables import scratch
+from .tables import materialize, scratch
 
 FOUND = {}
 FAILED = ("error", "view", "click")  # events that stand for failed probes
@@ -128,10 +128,11 @@ def keyset_pages(spark, sf_dir):
     """The first pages of a walk by cursor under each order, rows seen before left out."""
     jobs, companies = X.jobs(spark, sf_dir), X.companies(spark, sf_dir)
     seen, rows = keyset.Seen(jobs.filter("id % 3 = 0").select("id")), []
+    left = materialize(keyset.unseen(jobs, companies, feed.FeedRequest(), seen).select("id", "company_id", "title", "created_at"))
     for sort in ("newest", "oldest", "title_asc", "title_desc"):
         walk = keyset.Walk()
         for number in range(1, KEYSET_PAGES + 1):
-            shown, walk = keyset.next_page(jobs, companies, feed.FeedRequest(sort=sort), walk, seen)
+            shown, walk = keyset.next_rows(left, sort, walk)
             rows += [(sort, number, k, r["id"], r["company_id"]) for k, r in enumerate(shown, 1)]
     return spark.createDataFrame(rows, "sort string, page int, pos int, id long, company_id long")
 
