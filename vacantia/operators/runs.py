@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions import tokens, urls
 from ..functions.location import verdict_words
 from ..functions.values import cut, js_trim, nonempty
-from ..tables import lookup
+from ..tables import dealt, lookup
 from . import detect
 from .grams import candidates
 
@@ -18,9 +18,10 @@ def match_search_hits(results: DataFrame) -> DataFrame:
     """Per query the first result that names a provider, by its link, else by its snippet.
 
     results: query_id, rank, link, snippet. Result: query_id, provider, token, source (link or snippet), careers_url.
+    Results are narrow and their patterns slow, so they are dealt by row first.
     """
     link, snippet = (detect.best_hit(F.col(c)) for c in ("link", "snippet"))
-    marked = results.withColumn("l", link).withColumn("s", snippet).filter("l is not null or s is not null")
+    marked = dealt(results, "query_id", "rank").withColumn("l", link).withColumn("s", snippet).filter("l is not null or s is not null")
     hit = F.coalesce("l", "s")
     row = F.struct("rank", hit["provider"].alias("provider"), hit["token"].alias("token"), F.when(F.col("l").isNotNull(), "link").otherwise("snippet").alias("source"), nonempty(F.col("link")).alias("careers_url"))
     best = marked.groupBy("query_id").agg(F.min_by(row, "rank").alias("b"))

@@ -14,6 +14,7 @@ from .functions.values import js_trim
 from .operators import dedup, detect, merge, sync
 from .plans import access, browse, feed, reports
 from .plans.feed import FeedRequest, Preferences
+from .tables import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -457,7 +458,7 @@ def careers_link_score(spark, sf_dir):
 def fingerprint_scan(spark, sf_dir):
     k = F.col("id")
     sources = X.companies(spark, sf_dir).select((k % 50).alias("company_id"), k.alias("pos"), F.col("careers_url").alias("source")).filter("source is not null")
-    return detect.fingerprint_scan(sources)
+    return detect.fingerprint_scan(dealt(sources, "pos"))
 
 
 @query

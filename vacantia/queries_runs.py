@@ -168,7 +168,8 @@ def staged_new_columns(spark, sf_dir):
 def all_fingerprints(spark, sf_dir):
     k = F.col("id")
     text = F.concat(F.coalesce("careers_url", F.lit("none")), F.lit(" jobs.lever.co/Two and JOBS.LEVER.CO/two/ "), X.pick(SNIPPETS, k))
-    return detect.all_matches(_companies(spark, sf_dir).select((k % 40).alias("company_id"), text.alias("source")))
+    c = dealt(_companies(spark, sf_dir).select("id", "careers_url"), "id")
+    return detect.all_matches(c.select((k % 40).alias("company_id"), text.alias("source")))
 
 
 @query
