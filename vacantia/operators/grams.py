@@ -16,6 +16,8 @@ from ..tables import dealt, lookup, materialize
 
 #: Characters of a gram, and folders of postings in a segment.
 SIZE, BUCKETS = 3, 64
+#: Postings that a task sorts and writes, about; and grams told apart by the bits of one number.
+RANGE_ROWS, BITS = 1 << 21, 60
 
 
 def _lower(c: Column) -> Column:
@@ -71,7 +73,7 @@ class GramIndex:
     ``add`` appends the rows of a batch. Postings are never taken back: candidates are held against the
     present rows, so what was changed or deleted costs a look but gives no wrong row; ``add`` of all rows to a new
     index drops them. A segment is dealt by ranges of bucket, gram and id, so a common gram is several files, and a
-    search opens the buckets of its grams only.
+    search opens the buckets of its grams only. The number of ranges follows the number of postings, so a task's does not.
     """
 
     SCHEMA = "kind string, gram string, id long, bucket int"
@@ -85,9 +87,10 @@ class GramIndex:
 
     def add(self, kind: str, texts: DataFrame) -> None:
         """Index ``texts`` (id, text) under ``kind``; null texts have no grams."""
-        rows = texts.select(F.lit(kind).alias("kind"), F.explode(grams(_lower(F.col("text")))).alias("gram"), F.col("id").cast("long").alias("id"))
+        postings = texts.agg(F.sum(F.greatest(F.char_length("text") - (SIZE - 1), F.lit(0)))).first()[0] or 0
+        rows = dealt(texts.select("id", "text"), "id").select(F.lit(kind).alias("kind"), F.explode(grams(_lower(F.col("text")))).alias("gram"), F.col("id").cast("long").alias("id"))
         order = ["bucket", "gram", "id"]
-        rows.withColumn("bucket", self._bucket(F.col("gram"))).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/{uuid.uuid4().hex}")
+        rows.withColumn("bucket", self._bucket(F.col("gram"))).repartitionByRange(postings // RANGE_ROWS + 1, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/{uuid.uuid4().hex}")
 
     def segments(self) -> list[str]:
         """Folders that are whole."""
@@ -112,9 +115,14 @@ class GramIndex:
         return sorted(self.spark.createDataFrame([(term,)], "term string").select(parts.alias("g")).first().g)
 
     def having(self, kind: str, wanted: list[str]) -> DataFrame:
-        """Ids of texts that have (or had) all of these grams."""
-        found = self.postings(wanted).filter(F.col("kind") == kind).groupBy("id").agg(F.count_distinct("gram").alias("n"))
-        return found.filter(F.col("n") == len(wanted)).select("id")
+        """Ids of texts that have (or had) all of these grams; postings are compressed well, so they are dealt before they are grouped."""
+        parts = {f"m{k}": wanted[k : k + BITS] for k in range(0, len(wanted), BITS)}
+        bit = lambda part: F.coalesce(*[F.when(F.col("gram") == g, F.lit(1 << k)) for k, g in enumerate(part)], F.lit(0)).cast("long")
+        marked = self.postings(wanted).filter(F.col("kind") == kind).select("id", *[bit(part).alias(m) for m, part in parts.items()])
+        found = dealt(marked, "id").groupBy("id").agg(*[F.bit_or(m).alias(m) for m in parts])
+        for m, part in parts.items():
+            found = found.filter(F.col(m) == (1 << len(part)) - 1)
+        return found.select("id")
 
 
 def indexed_search(index: GramIndex, jobs: DataFrame, term: str) -> DataFrame:
