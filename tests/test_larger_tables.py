@@ -58,6 +58,26 @@ def test_pairs_are_dealt_once_and_not_sorted_by_the_file(spark, tiny):
     assert text.count("REPARTITION_BY_NUM") == 1 and "Sort" not in text[text.index("REPARTITION_BY_NUM") :], text
 
 
+def test_ranges_follow_the_postings(spark, tmp_path, monkeypatch):
+    names = companies_file(spark, tmp_path / "c").select("id", F.col("trading_name").alias("text"))  # 9 grams each
+    monkeypatch.setattr(grams, "RANGE_ROWS", 1000)
+    index = grams.GramIndex(spark, f"{tmp_path}/g")
+    index.add("title", names)
+    sizes = [r.n for r in spark.read.parquet(index.segments()[0]).groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) > 20_000 and max(sizes) < 5000, sizes
+    found = index.having("title", index.grams_of("Acme 0012"))
+    ids = {r.id for r in found.collect()}
+    assert ids >= set(range(1200, 1300)) and len(ids) < 150 and "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_having_of_more_grams_than_bits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grams, "BITS", 3)
+    index = grams.GramIndex(spark, f"{tmp_path}/g")
+    index.add("title", spark.createDataFrame([(1, "abcdefgh"), (2, "abcdefgx"), (3, None)], "id long, text string"))
+    index.add("title", spark.createDataFrame([(1, "abcdefgh")], "id long, text string"))
+    assert [[r.id for r in index.having("title", index.grams_of(t)).collect()] for t in ("abcdefgh", "zabcdefgh")] == [[1], []]
+
+
 def test_a_walk_joins_and_broadcasts_once(spark, tiny, monkeypatch):
     made, kept = [], keyset.Seen.drop_from
     monkeypatch.setattr(keyset.Seen, "drop_from", lambda self, rows: made.append(1) or kept(self, rows))

@@ -37,7 +37,7 @@ def fingerprint_scan(sources: DataFrame) -> DataFrame:
     sources: company_id, pos, source. Provider priority, then source order decide. Sixteen expressions over one
     pass of the sources that hold any provider's host: no join and no explosion by pattern.
     """
-    found = sources.withColumn("hit", best_hit(F.col("source"), F.col("pos"))).filter("hit is not null").groupBy("company_id").agg(F.min(F.struct("hit", "source")).alias("h"))
+    found = sources.withColumn("hit", best_hit(F.col("source"), F.col("pos"))).groupBy("company_id").agg(F.min(F.when(F.col("hit").isNotNull(), F.struct("hit", "source"))).alias("h")).filter("h is not null")
     return found.select("company_id", "h.hit.provider", "h.hit.token", "h.source", (~F.col("h.hit.invalid")).alias("valid"))
 
 

@@ -21,11 +21,11 @@ def match_search_hits(results: DataFrame) -> DataFrame:
     Results are narrow and their patterns slow, so they are dealt by row first.
     """
     link, snippet = (detect.best_hit(F.col(c)) for c in ("link", "snippet"))
-    marked = dealt(results, "query_id", "rank").withColumn("l", link).withColumn("s", snippet).filter("l is not null or s is not null")
-    hit = F.coalesce("l", "s")
+    marked = dealt(results, "query_id", "rank").withColumn("l", link).withColumn("s", snippet)
+    hit = F.coalesce("l", "s")  # no filter by it: that would be pushed below the exchange, patterns and all
     row = F.struct("rank", hit["provider"].alias("provider"), hit["token"].alias("token"), F.when(F.col("l").isNotNull(), "link").otherwise("snippet").alias("source"), nonempty(F.col("link")).alias("careers_url"))
-    best = marked.groupBy("query_id").agg(F.min_by(row, "rank").alias("b"))
-    return best.select("query_id", "b.provider", "b.token", "b.source", "b.careers_url")
+    best = marked.groupBy("query_id").agg(F.min_by(row, F.when(hit.isNotNull(), F.col("rank"))).alias("b"), F.max(hit.isNotNull()).alias("any"))
+    return best.filter("any").select("query_id", "b.provider", "b.token", "b.source", "b.careers_url")
 
 
 def heuristic_tokens(name: Column, *addresses: Column, most: int = 6) -> Column:
