@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import materialize, scratch, shared_folder  # noqa: F401
+from ..tables import drop_table, materialize, scratch, shared_folder, shuffles_removed  # noqa: F401
 
 #: Bytes of text handled at once inside a task: the numpy temporaries (8 bytes each) stay in cache.
 BLOCK_BYTES = 1 << 18

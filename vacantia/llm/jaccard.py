@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Hasher, blocks, edges_of, lean, materialize, mix, pack, release, row_key, unpack
+from .common import IS_SPACE, U64, Hasher, blocks, drop_table, edges_of, lean, materialize, mix, pack, release, row_key, shuffles_removed, unpack
 from .graph import components, join_components
 
 WORDS = 5
@@ -223,7 +223,8 @@ def frequent(docs: DataFrame, grams: Grams, buckets: int) -> np.ndarray:
         return pa.table({"counter": (group.column("bucket")[0].as_py() << COUNTER_BITS) + often, "n": total[often]})
 
     counts = _texts(docs).mapInArrow(lean(run), "bucket int, counts binary").groupBy("bucket").applyInArrow(lean(add), "counter long, n long")
-    rows = counts.orderBy(F.desc("n"), "counter").limit(MAX_FREQUENT).toPandas()
+    with shuffles_removed(docs.sparkSession):
+        rows = counts.orderBy(F.desc("n"), "counter").limit(MAX_FREQUENT).toPandas()
     often = rows.sort_values(["n", "counter"]).counter.to_numpy(np.int64)
     del rows
     release()
@@ -535,13 +536,20 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         flags[np.frombuffer(b"".join(t.column("bits").to_pylist()), "<i4")] = True
         return pa.table({"chunk": t.column("chunk")[:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    found = ids.mapInArrow(lean(spread), "chunk int, bits binary").groupBy("chunk").applyInArrow(lean(build), "chunk int, bits binary").collect()
+    with shuffles_removed(ids.sparkSession):
+        found = ids.mapInArrow(lean(spread), "chunk int, bits binary").groupBy("chunk").applyInArrow(lean(build), "chunk int, bits binary").collect()
     out = np.zeros(((1 << bits) // chunk, chunk // 8), np.uint8)
     for r in found:
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
+def _passes(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the filter lets each id pass: those it was made of, and few others."""
+    at = _places(ids, BLOOM_BITS)
+    return ((bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFrame:
     """node, grams (5 bytes of each hash, by byte): the sets of the wanted documents (doc_id), and of few others.
 
@@ -552,10 +560,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFram
     def run(batches):
         bloom = shared.value
         for batch in batches:
-            doc = batch.column(0).fill_null(-1)
-            at = _places(doc.to_numpy(), BLOOM_BITS)
-            hit = ((bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(_passes(bloom, batch.column(0).fill_null(-1).to_numpy())))
             for rows, data, offsets in blocks([batch]):
                 gram, cuts = grams.sets(data, offsets)
                 packed = [gram[cuts[i] : cuts[i + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for i in range(rows.num_rows)]
@@ -564,6 +569,17 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, grams: Grams) -> DataFram
     return _texts(docs).mapInArrow(lean(run), "node long, grams binary")
 
 
+def sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (node, grams) of ``nodes`` (node), and of few others, told by a filter: the sets are not moved for it."""
+    shared = sets.sparkSession.sparkContext.broadcast(_bloom(nodes))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(shared.value, batch.column(0).to_numpy())))
+
+    return sets.select("node", "grams").mapInArrow(lean(run), "node long, grams binary")
+
+
 def _keys(blob: bytes) -> np.ndarray:
     out = np.zeros((len(blob) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(blob, np.uint8).reshape(5, -1).T
@@ -612,6 +628,7 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     near = materialize(lists.groupBy("bucket").applyInArrow(lean(lambda t: _near(t, grams)), _NEAR))
     first = materialize(_first_pairs(near, grams))
     long = materialize(long_entries(near))
+    drop_table(near)
     in_long = long.select("node").distinct()
     wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(in_long).distinct()
     # one document stands for each node
@@ -622,7 +639,8 @@ def node_components(docs: DataFrame, grams: Grams | None = None) -> tuple[DataFr
     entries = materialize(open_entries(long, comp))
     if entries.isEmpty():
         return nodes, comp, links[0]
-    sets = materialize(sets.join(entries.select("node").distinct(), "node"))
+    every, sets = sets, materialize(sets_of(sets, entries.select("node").distinct()))
+    drop_table(every)
     for turn in range(TURNS):
         pairs = materialize(star_pairs(entries, turn, grams).join(first, ["a", "b"], "left_anti"))
         links.append(materialize(verify(sets, pairs, grams)))

@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that is broadcast at most.
 SMALL_ROWS = 1 << 16
+#: Spark's setting that removes an execution's shuffle files at its end; it counts for what is planned while it is set.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,15 +35,38 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the frames that are made and run within go when each run ends.
+
+    Otherwise they stay until the driver's garbage collector meets their plan, so a few large shuffles may lie on the
+    disk at once. Only for frames that are run once: a second run of the same frame would compute its shuffles anew.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the cluster's shared folder, and read it there.
 
-    Unlike a checkpoint this computes ``df`` once, and the table's size is known to later joins.
-    The application's tables are removed when its driver ends.
+    Unlike a checkpoint this computes ``df`` once, and the table's size is known to later joins. What was shuffled for
+    it is removed. The application's tables are removed when its driver ends, or by ``drop_table``.
     """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[kept] = path
+    return kept
+
+
+def drop_table(kept: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    _remove(kept.sparkSession, _written.pop(kept))
 
 
 def lookup(df: DataFrame) -> DataFrame:
@@ -69,6 +97,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 _homes: set[str] = set()
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
